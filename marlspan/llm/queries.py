@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .language_id import held_out, predict, train
 from .mixing import entropy_mix
+from .packing import pack_documents
 from .sharding import shard_plan
 
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
 
 
+def op1_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()).select("text", "lang"))
+    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+
+
 def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = entropy_mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, share=1.5, cap=2.0)
     return mixed.select(
@@ -43,6 +51,13 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
 """
 
 
+def op8_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048)
+    return packed.select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def op10_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = shard_plan(table(spark, sf_dir, "documents"), n_shards=24)
     return plan.select(
@@ -52,8 +67,10 @@ def op10_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_word_backoff_language": op1_word_backoff_language,
     "op4_entropy_mixing": op4_entropy_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_genetic_packing": op8_genetic_packing,
     "op10_two_pass_sharding": op10_two_pass_sharding,
 }
 LLM_SQL = {"op6_exact_dedup": OP6_SQL}
