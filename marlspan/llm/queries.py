@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .html_extract import extract
 from .language_id import held_out, predict, train
 from .mixing import entropy_mix
 from .packing import pack_documents
@@ -22,6 +23,11 @@ def op1_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
+def op2_text_density_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = entropy_mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, share=1.5, cap=2.0)
     return mixed.select(
@@ -68,6 +74,7 @@ def op10_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_word_backoff_language": op1_word_backoff_language,
+    "op2_text_density_html": op2_text_density_html,
     "op4_entropy_mixing": op4_entropy_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_genetic_packing": op8_genetic_packing,
