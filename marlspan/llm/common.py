@@ -81,3 +81,20 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def with_group_facts(rows: DataFrame, keys: list[str], spread: list, partial: dict, final: dict, leaves: int) -> DataFrame:
+    """``rows`` with facts about their groups, without bringing a group together.
+
+    A group is aggregated per leaf (``leaves`` of them, dealt by a hash of
+    ``spread``), the leaves' results are aggregated per group, and the facts go
+    back to the rows leaf by leaf: a join meets at most ``leaves`` rows of one
+    group on one side and one leaf's share of it on the other. ``partial`` maps
+    names to aggregates of rows, ``final`` maps the same or fewer names to
+    aggregates of those. Keys must not be null.
+    """
+    dealt = rows.withColumn("__leaf", F.pmod(F.xxhash64(*spread), F.lit(leaves)).cast("int"))
+    parts = dealt.groupBy("__leaf", *keys).agg(*[c.alias(k) for k, c in partial.items()])
+    whole = parts.groupBy(*keys).agg(*[c.alias(k) for k, c in final.items()])
+    down = parts.select("__leaf", *keys).join(whole, keys)
+    return dealt.join(down, ["__leaf", *keys]).drop("__leaf")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .embedding_dedup import near_duplicates
 from .exact_dedup import exact_groups
 from .html_extract import extract
 from .language_id import held_out, predict, train
@@ -64,6 +65,11 @@ def op8_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pivot_permutation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op10_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = shard_plan(table(spark, sf_dir, "documents"), n_shards=24)
     return plan.select(
@@ -78,6 +84,7 @@ LLM_QUERIES = {
     "op4_entropy_mixing": op4_entropy_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_genetic_packing": op8_genetic_packing,
+    "op9_pivot_permutation_dedup": op9_pivot_permutation_dedup,
     "op10_two_pass_sharding": op10_two_pass_sharding,
 }
 LLM_SQL = {"op6_exact_dedup": OP6_SQL}
