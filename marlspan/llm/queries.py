@@ -12,6 +12,7 @@ from .exact_dedup import exact_groups
 from .html_extract import extract
 from .language_id import held_out, predict, train
 from .mixing import entropy_mix
+from .ngram_jaccard import near_components
 from .packing import pack_documents
 from .sharding import shard_plan
 
@@ -29,6 +30,11 @@ def op2_text_density_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op3_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_components(table(spark, sf_dir, "documents"), n=5, percent=80)
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = entropy_mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, share=1.5, cap=2.0)
     return mixed.select(
@@ -81,6 +87,7 @@ def op10_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_word_backoff_language": op1_word_backoff_language,
     "op2_text_density_html": op2_text_density_html,
+    "op3_token_group_jaccard": op3_token_group_jaccard,
     "op4_entropy_mixing": op4_entropy_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_genetic_packing": op8_genetic_packing,
