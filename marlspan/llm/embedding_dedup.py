@@ -59,6 +59,18 @@ def vector_classes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataF
     return rows, grouped.select("id", "row", "cls", "n", "low")
 
 
+def _apart(sample: np.ndarray, cosine: float = 0.7) -> np.ndarray:
+    """The vectors of ``sample`` that aren't close to an earlier one: a dense
+    cluster gets one pivot, as the order of several would be noise."""
+    kept: list[int] = []
+    near = np.zeros(len(sample), dtype=bool)
+    for i in range(len(sample)):
+        if not near[i]:
+            kept.append(i)
+            near |= sample @ sample[i] >= cosine
+    return sample[kept]
+
+
 def pivot_lists(reps: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
     """Adds ``near``: the numbers of the nearest pivots, nearest first."""
     shared = reps.sparkSession.sparkContext.broadcast(pivots)
@@ -120,8 +132,10 @@ def near_links(reps: DataFrame, threshold: float, prefix: int = PREFIX, min_shar
     if n_pivots < 2:
         return spark.createDataFrame([], out)
     sample = reps.orderBy(F.xxhash64(F.lit(5), "cls"), "cls").limit(n_pivots).select("vec").collect()
-    pivots = _unit([r[0] for r in sample])
-    indexed = durable(pivot_lists(reps, pivots, min(prefix, n_pivots)), "permutations")
+    pivots = _apart(_unit([r[0] for r in sample]))
+    if len(pivots) < 2 * prefix:  # all are close together: axes serve as further pivots
+        pivots = np.vstack([pivots, np.eye(pivots.shape[1])[:2 * prefix]])
+    indexed = durable(pivot_lists(reps, pivots, min(prefix, len(pivots))), "permutations")
     pairs = F.flatten(F.transform("near", lambda x: F.transform(
         F.filter("near", lambda y: y > x), lambda y: F.shiftleft(x.cast("long"), 16).bitwiseOR(y.cast("long")))))
     posted = indexed.select("cls", F.explode(pairs).alias("list"))

@@ -11,10 +11,12 @@ from .embedding_dedup import near_duplicates
 from .exact_dedup import exact_groups
 from .html_extract import extract
 from .language_id import held_out, predict, train
+from .line_dedup import repeated_units
 from .mixing import entropy_mix
 from .ngram_jaccard import near_components
 from .packing import pack_documents
 from .sharding import shard_plan
+from .stupid_backoff import backoff_scores
 
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
 
@@ -43,6 +45,11 @@ def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = backoff_scores(table(spark, sf_dir, "documents"))
+    return scores.select(F.col("id").alias("doc_id"), "n_words", "n_backed_off", "log_score", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(table(spark, sf_dir, "documents"))
     return groups.select(
@@ -64,6 +71,14 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
 """
 
 
+def op7_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removals = repeated_units(table(spark, sf_dir, "documents"), unit="line")
+    return removals.select(
+        F.col("id").alias("doc_id"), "unit", "start", "end", "n_words", "digest", "group_size",
+        F.col("keep_id").alias("keep_doc_id"), "keep_unit",
+    )
+
+
 def op8_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048)
     return packed.select(
@@ -89,7 +104,9 @@ LLM_QUERIES = {
     "op2_text_density_html": op2_text_density_html,
     "op3_token_group_jaccard": op3_token_group_jaccard,
     "op4_entropy_mixing": op4_entropy_mixing,
+    "op5_stupid_backoff": op5_stupid_backoff,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_line_hash_dedup": op7_line_hash_dedup,
     "op8_genetic_packing": op8_genetic_packing,
     "op9_pivot_permutation_dedup": op9_pivot_permutation_dedup,
     "op10_two_pass_sharding": op10_two_pass_sharding,
