@@ -1,4 +1,9 @@
 """All registered queries of the analytics operators, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from . import series_queries
+
+_PARTS = [series_queries]
+QUERIES = {k: f for m in _PARTS for k, f in m.reg.queries.items()}
+SQL = {k: s for m in _PARTS for k, s in m.reg.sql.items()}
