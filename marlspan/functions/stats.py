@@ -26,7 +26,8 @@ def safe_corr(a: Column, b: Column, w: WindowSpec | None = None) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """``x`` held between two bounds; null stays null, which ``least`` and ``greatest`` pass over."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def fisher_bound(r: Column, n: Column, sign: int) -> Column:
