@@ -253,15 +253,13 @@ def markov_two_states(y: np.ndarray, rounds: int = 100) -> np.ndarray:
     return smooth[:, int(np.argmax(var))]
 
 
-def bisect(f, low: float, high: float, steps: int = 80) -> float:
-    """A root of ``f`` between ``low`` and ``high``; nan if the ends have one sign."""
-    a, b = f(low), f(high)
-    if not a * b <= 0:
-        return math.nan
+def bisect(f, low: np.ndarray, high: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Roots of ``f``, elementwise, between ``low`` and ``high``; nan where both ends have one sign."""
+    a = f(low)
+    none = ~(a * f(high) <= 0)
     for _ in range(steps):
         mid = 0.5 * (low + high)
-        if a * f(mid) <= 0:
-            high = mid
-        else:
-            low, a = mid, f(mid)
-    return 0.5 * (low + high)
+        m = f(mid)
+        left = a * m <= 0
+        high, low, a = np.where(left, mid, high), np.where(left, low, mid), np.where(left, a, m)
+    return np.where(none, np.nan, 0.5 * (low + high))
