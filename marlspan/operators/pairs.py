@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from marlspan.functions import kernels
 from marlspan.functions.stats import fisher_bound, full, ratio, safe_corr
 
-A, B = F.col("a"), F.col("b")
-
 
 def _w(*keys: str):
     return Window.partitionBy(*keys).orderBy("ts")
@@ -25,13 +23,13 @@ def average_ranks(df: DataFrame, column: str, keys: list[str], name: str) -> Dat
 
 def correlation(df: DataFrame, min_n: int = 10) -> DataFrame:
     """Per pair: Pearson, Spearman, n, lag-1 autocorrelations, effective n, intervals and r²."""
-    ok = df.where(A.isNotNull() & B.isNotNull() & ~F.isnan("a") & ~F.isnan("b"))
+    ok = df.where(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b"))
     ranked = average_ranks(average_ranks(ok, "a", ["pair_id"], "ra"), "b", ["pair_id"], "rb")
     whole = Window.partitionBy("pair_id")
-    centred = ranked.withColumns({"xa": A - F.avg("a").over(whole), "xb": B - F.avg("b").over(whole)})
+    centred = ranked.withColumns({"xa": F.col("a") - F.avg("a").over(whole), "xb": F.col("b") - F.avg("b").over(whole)})
     lagged = centred.withColumns({"la": F.lag("xa").over(_w("pair_id")), "lb": F.lag("xb").over(_w("pair_id"))})
     s = lagged.groupBy("pair_id").agg(
-        safe_corr(A, B).alias("pearson"), safe_corr(F.col("ra"), F.col("rb")).alias("spearman"), F.count("*").alias("n"),
+        safe_corr(F.col("a"), F.col("b")).alias("pearson"), safe_corr(F.col("ra"), F.col("rb")).alias("spearman"), F.count("*").alias("n"),
         ratio(F.sum(F.col("xa") * F.col("la")), F.sum(F.col("xa") * F.col("xa"))).alias("auto_a"),
         ratio(F.sum(F.col("xb") * F.col("lb")), F.sum(F.col("xb") * F.col("xb"))).alias("auto_b"),
     ).where(F.col("n") >= min_n)
@@ -59,7 +57,7 @@ def lead_lag(df: DataFrame, max_lag: int) -> DataFrame:
     left = rows.select("pair_id", "k", "a").withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
     left = left.withColumn("kb", F.col("k") - F.col("lag"))
     right = rows.select("pair_id", F.col("k").alias("kb"), "b")
-    s = left.join(right, ["pair_id", "kb"]).groupBy("pair_id", "lag").agg(safe_corr(A, B).alias("r"), F.count("*").alias("n"))
+    s = left.join(right, ["pair_id", "kb"]).groupBy("pair_id", "lag").agg(safe_corr(F.col("a"), F.col("b")).alias("r"), F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("pair_id").orderBy(F.abs(F.round("r", 12)).desc_nulls_last(), "lag"))
     return s.withColumns({"band": 2 / F.sqrt("n"), "best": place == 1})
 
@@ -69,7 +67,7 @@ def rolling_correlation(df: DataFrame, window: int) -> DataFrame:
     least = max(3, round(0.8 * window))
     r = _w("pair_id").rowsBetween(-(window - 1), 0)
     n = F.count("*").over(r)
-    corr = F.when(n >= least, safe_corr(A, B, r))
+    corr = F.when(n >= least, safe_corr(F.col("a"), F.col("b"), r))
     out = df.withColumns({"r": corr, "n": n})
     return out.withColumns({"lo": fisher_bound(F.col("r"), F.col("n"), -1), "hi": fisher_bound(F.col("r"), F.col("n"), 1)})
 
@@ -78,7 +76,7 @@ def regression(df: DataFrame) -> DataFrame:
     """OLS of b on a: slope, intercept, r², Durbin-Watson and the spurious-regression flag."""
     whole = Window.partitionBy("pair_id")
     fit = df.withColumns({"beta": F.regr_slope("b", "a").over(whole), "alpha": F.regr_intercept("b", "a").over(whole), "r2": F.regr_r2("b", "a").over(whole)})
-    res = fit.withColumn("e", B - F.col("alpha") - F.col("beta") * A)
+    res = fit.withColumn("e", F.col("b") - F.col("alpha") - F.col("beta") * F.col("a"))
     res = res.withColumn("de", F.col("e") - F.lag("e").over(_w("pair_id")))
     return res.groupBy("pair_id").agg(
         F.first("beta").alias("beta"), F.first("alpha").alias("alpha"), F.first("r2").alias("r2"), F.count("*").alias("n"),
@@ -96,7 +94,7 @@ def rolling_beta(df: DataFrame, window: int) -> DataFrame:
 def spread_z(df: DataFrame, window: int) -> DataFrame:
     """Rolling z of the residual of b on a."""
     whole = Window.partitionBy("pair_id")
-    e = df.withColumn("spread", B - F.regr_intercept("b", "a").over(whole) - F.regr_slope("b", "a").over(whole) * A)
+    e = df.withColumn("spread", F.col("b") - F.regr_intercept("b", "a").over(whole) - F.regr_slope("b", "a").over(whole) * F.col("a"))
     size = max(10, window)
     r = _w("pair_id").rowsBetween(-(size - 1), 0)
     z = ratio(F.col("spread") - F.avg("spread").over(r), F.stddev_samp("spread").over(r))
@@ -106,7 +104,7 @@ def spread_z(df: DataFrame, window: int) -> DataFrame:
 def half_life(df: DataFrame) -> DataFrame:
     """AR(1) half-life of the residual of b on a."""
     whole = Window.partitionBy("pair_id")
-    e = df.withColumn("e", B - F.regr_intercept("b", "a").over(whole) - F.regr_slope("b", "a").over(whole) * A)
+    e = df.withColumn("e", F.col("b") - F.regr_intercept("b", "a").over(whole) - F.regr_slope("b", "a").over(whole) * F.col("a"))
     e = e.withColumn("before", F.lag("e").over(_w("pair_id"))).where("before IS NOT NULL")
     s = e.groupBy("pair_id").agg(F.regr_slope(F.col("e") - F.col("before"), F.col("before")).alias("k"))
     return s.withColumn("half_life", F.when((F.col("k") < 0) & (F.col("k") > -1), -F.ln(F.lit(2.0)) / F.ln(1 + F.col("k"))))
@@ -119,7 +117,7 @@ def stability(rolled: DataFrame) -> DataFrame:
 
 def conditional_correlation(df: DataFrame, min_n: int = 20) -> DataFrame:
     """Correlation of each pair within each regime; ``df`` carries ``regime``."""
-    s = df.groupBy("pair_id", "regime").agg(safe_corr(A, B).alias("r"), F.count("*").alias("n")).where(F.col("n") >= min_n)
+    s = df.groupBy("pair_id", "regime").agg(safe_corr(F.col("a"), F.col("b")).alias("r"), F.count("*").alias("n")).where(F.col("n") >= min_n)
     return s.withColumns({"lo": fisher_bound(F.col("r"), F.col("n"), -1), "hi": fisher_bound(F.col("r"), F.col("n"), 1)})
 
 
@@ -127,7 +125,7 @@ def matrix(series: DataFrame, min_overlap: int = 10) -> DataFrame:
     """Pairwise-complete correlations of a universe in long form, both halves and the diagonal."""
     left = series.select(F.col("series_id").alias("a_id"), "ts", F.col("value").alias("a"))
     right = series.select(F.col("series_id").alias("b_id"), "ts", F.col("value").alias("b"))
-    half = left.join(right, "ts").where("a_id < b_id").groupBy("a_id", "b_id").agg(safe_corr(A, B).alias("r"), F.count("*").alias("n"))
+    half = left.join(right, "ts").where("a_id < b_id").groupBy("a_id", "b_id").agg(safe_corr(F.col("a"), F.col("b")).alias("r"), F.count("*").alias("n"))
     half = half.withColumn("r", F.when(F.col("n") >= min_overlap, F.col("r")))
     other = half.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), "r", "n")
     diagonal = series.groupBy(F.col("series_id").alias("a_id"), F.col("series_id").alias("b_id")).agg(F.lit(1.0).alias("r"), F.count("*").alias("n"))

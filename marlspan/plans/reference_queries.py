@@ -210,7 +210,7 @@ def _(spark, d):
 @query("week_grid", """SELECT event_type AS country, count(*) FILTER (isodow(ts) = 1) AS mon, count(*) FILTER (isodow(ts) = 5) AS fri, count(*) FILTER (isodow(ts) = 7) AS sun FROM events GROUP BY 1""")
 def _(spark, d):
     e = views.table(spark, d, "events").select(F.col("event_type").alias("country"), F.weekday("ts").alias("w"))
-    return e.groupBy("country").pivot("w", [0, 4, 6]).agg(F.count("*")).select("country", *[F.coalesce(c, F.lit(0)).alias(n) for c, n in (("0", "mon"), ("4", "fri"), ("6", "sun"))])
+    return e.groupBy("country").pivot("w", [0, 4, 6]).agg(F.count(F.lit(1))).select("country", *[F.coalesce(c, F.lit(0)).alias(n) for c, n in (("0", "mon"), ("4", "fri"), ("6", "sun"))])
 
 
 @query("risk_windows", "SELECT event_id FROM events, (VALUES (TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-04'), (TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-12')) w(s, e) WHERE ts BETWEEN s AND e")
