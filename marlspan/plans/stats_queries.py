@@ -231,7 +231,7 @@ def _(spark, d):
 f AS (SELECT *, coalesce(value < lag(value) OVER w, false) AS falls, lead(ts) OVER w AS nxt FROM q WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
 g AS (SELECT *, coalesce(lag(falls) OVER (PARTITION BY series_id ORDER BY ts), false) AS before FROM f),
 i AS (SELECT *, sum(CASE WHEN falls AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY ts) AS island FROM g)
-SELECT series_id, min(ts) AS start, arg_max(nxt, ts) AS "end", count(*) AS rows FROM i WHERE falls GROUP BY series_id, island HAVING count(*) >= 2""")
+SELECT series_id, min(ts) AS start, CASE WHEN count(nxt) = count(*) THEN max(nxt) END AS "end", count(*) AS rows FROM i WHERE falls GROUP BY series_id, island HAVING count(*) >= 2""")
 def _(spark, d):
     return M.technical_recessions(S.resample(views.observations(spark, d), "1q"))
 
