@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspan.llm.common import durable, table
+from marlspan.llm.common import durable, small_batches, table
 from marlspan.llm.exact_dedup import drop_exact_copies
 from marlspan.llm.language_id import UNKNOWN, predict, train
 from marlspan.llm.mixing import entropy_mix
@@ -23,6 +23,7 @@ CAPACITY = 2048
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised. The model learns from all
     labelled documents of the stage; null and letterless texts go."""
+    small_batches(spark)
     model = train(docs.select("text", "lang"))
     found = predict(docs, model, lang_col="__lang", score_col="__score")
     return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
@@ -35,6 +36,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies."""
+    small_batches(spark)
     return drop_near_copies(docs, n=5, percent=80)
 
 
@@ -49,6 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents packed into sequences; ``row`` tells copies apart."""
+    small_batches(spark)
     return pack_documents(docs, TOKENIZER, CAPACITY).select(
         F.col("id").alias("doc_id"), "row", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

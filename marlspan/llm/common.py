@@ -5,25 +5,40 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of texts are long: Python workers get them ARROW_ROWS at a time, not the usual ten thousand."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dir: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
     the session. Only where that is unset (tests, one machine) a temporary
-    folder takes its place, and the setting is filled in with it."""
+    folder takes its place, one for each application."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="marlspan-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _own_dir.setdefault(app, "") or tempfile.mkdtemp(prefix="marlspan-")
+        _own_dir[app] = path
     return path.rstrip("/")
 
 
@@ -35,6 +50,21 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SLICE_ROWS = 1000
+
+
+def slices(batches: Iterator[pd.DataFrame], rows: int = SLICE_ROWS) -> Iterator[pd.DataFrame]:
+    """Arrow batches in pieces, so that a task holds the working memory of few texts."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.iloc[i:i + rows]
+
+
+def objects(values: list) -> pd.Series:
+    """A column of arrays or bytes, also where it is empty."""
+    return pd.Series(values, dtype=object)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

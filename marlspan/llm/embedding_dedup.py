@@ -30,6 +30,7 @@ MAX_PIVOTS = 2048
 PREFIX = 6
 MIN_SHARED = 2
 TILE = 1024
+CALL_ROWS = 8192
 
 
 def _unit(vectors) -> np.ndarray:
@@ -97,24 +98,29 @@ def pivot_lists(reps: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
 
 
 def _links_of(threshold: float, min_shared: int):
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        lists, a_tile, b_tile = key
-        g = g.sort_values("cls")
-        m, ids, salts = _unit(g["vec"]), g["cls"].to_numpy(), g["salt"].to_numpy()
-        near, sizes = g["near"].tolist(), g["n"].to_numpy()
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        keys = g[["list", "a_tile", "b_tile"]].to_numpy()
+        order = np.lexsort((g["cls"], keys[:, 2], keys[:, 1], keys[:, 0]))
+        keys, salts = keys[order], g["salt"].to_numpy()[order]
+        ids, sizes, near = g["cls"].to_numpy()[order], g["n"].to_numpy()[order], g["near"].to_numpy()[order]
+        m = _unit(g["vec"].to_numpy()[order])
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
         found = []
-        left, right = np.flatnonzero(salts == a_tile), np.flatnonzero(salts == b_tile)
-        for i in range(0, len(left), 512):
-            rows = left[i:i + 512]
-            cos = m[rows] @ m[right].T
-            for x, y in zip(*np.nonzero(cos >= threshold)):
-                p, q = rows[x], right[y]
-                if a_tile == b_tile and p >= q:
-                    continue
-                shared = sorted(set(near[p]) & set(near[q]))
-                # a pair meets in many lists and is told in the first
-                if len(shared) >= min_shared and (shared[0] << 16 | shared[1]) == lists:
-                    found.append((ids[p], ids[q], sizes[p], sizes[q]))
+        for first, last in zip(starts, [*starts[1:], len(keys)]):
+            lists, a_tile, b_tile = keys[first]
+            same = a_tile == b_tile
+            left = np.arange(first, last) if same else first + np.flatnonzero(salts[first:last] == a_tile)
+            right = left if same else first + np.flatnonzero(salts[first:last] == b_tile)
+            for i in range(0, len(left), 512):
+                rows = left[i:i + 512]
+                for x, y in zip(*np.nonzero(m[rows] @ m[right].T >= threshold)):
+                    p, q = rows[x], right[y]
+                    if same and p >= q:
+                        continue
+                    shared = sorted(set(near[p]) & set(near[q]))
+                    # a pair meets in many lists and is told in the first
+                    if len(shared) >= min_shared and (shared[0] << 16 | shared[1]) == lists:
+                        found.append((ids[p], ids[q], sizes[p], sizes[q]))
         return pd.DataFrame(found, columns=["a", "b", "n_a", "n_b"])
 
     return run
@@ -140,13 +146,18 @@ def near_links(reps: DataFrame, threshold: float, prefix: int = PREFIX, min_shar
         F.filter("near", lambda y: y > x), lambda y: F.shiftleft(x.cast("long"), 16).bitwiseOR(y.cast("long")))))
     posted = indexed.select("cls", F.explode(pairs).alias("list"))
     lengths = posted.groupBy("list").agg(F.count("*").alias("long")).where("long > 1") \
-        .select("list", F.ceil(F.col("long") / tile).cast("int").alias("tiles"))
-    full = indexed.select("*", F.explode(pairs).alias("list")).join(durable(lengths, "lists"), "list")
+        .select("list", "long", F.ceil(F.col("long") / tile).cast("int").alias("tiles"))
+    lengths = durable(lengths, "lists")
+    rows = lengths.agg(F.coalesce(F.sum(F.col("long") * F.col("tiles")), F.lit(0))).first()[0]
+    full = indexed.select("*", F.explode(pairs).alias("list")).join(lengths.drop("long"), "list")
     salted = full.withColumn("salt", F.pmod(F.xxhash64(F.lit(13), "cls"), "tiles").cast("int"))
     tiled = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "list", F.least("salt", "other").alias("a_tile"), F.greatest("salt", "other").alias("b_tile"), "cls", "n", "vec", "near", "salt"
     )
-    return tiled.groupBy("list", "a_tile", "b_tile").applyInPandas(_links_of(threshold, min_shared), out)
+    # short lists share a call; a tile is never divided
+    calls = max(1, -(-int(rows) // CALL_ROWS))
+    return tiled.withColumn("call", F.pmod(F.xxhash64("list", "a_tile", "b_tile"), F.lit(calls))).groupBy("call").applyInPandas(
+        _links_of(threshold, min_shared), out)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

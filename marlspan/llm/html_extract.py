@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.S,
@@ -254,7 +256,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     kept = [f for f in pages.schema.fields if f.name != html_col and f.name != text_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             texts = [extract_text(x) for x in b[html_col]]
             yield b[[f.name for f in kept]].assign(**{text_col: texts})
 

@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import durable, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 #: Longer runs of letters are counted and scored by their n-grams only, and not remembered.
 MEMORABLE = 40
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 UNKNOWN = "und"
 
 
@@ -45,7 +45,7 @@ def words_of(text: str) -> list[str]:
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in slices(batches):
         by_lang: dict[str, Counter] = {}
         for lang, text in zip(b["lang"], b["text"]):
             by_lang.setdefault(lang, Counter()).update(words_of(text))
@@ -167,10 +167,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_of(key, shared)
-        for b in batches:
+        for b in slices(batches):
             found = [scorer.predict(t) for t in b[text_col]]
-            b[lang_col], b[score_col] = [x[0] for x in found], [x[1] for x in found]
-            yield b
+            yield b.assign(**{lang_col: [x[0] for x in found], score_col: [x[1] for x in found]})
 
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     return docs.mapInPandas(run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, shuffle_width, with_group_facts
+from .common import durable, shuffle_width, slices, with_group_facts
 
 SPLITS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*(?:\n[ \t\r]*)+")}
 MIN_WORDS = 25
@@ -47,7 +47,7 @@ def unit_rows(docs: DataFrame, unit: str, min_words: int, id_col: str, text_col:
     split = SPLITS[unit]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for row, key, text in zip(b["row"], b["id"].astype("Int64"), b["text"]):
                 for k, (start, end) in enumerate(_cuts(text or "", split)):
@@ -86,7 +86,7 @@ def drop_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
     kept = [f.name for f in docs.schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             texts = []
             for text, cut in zip(b[text_col], b["__cuts"]):
                 if text and cut is not None:

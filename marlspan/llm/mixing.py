@@ -119,7 +119,7 @@ def _rounded(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size, rate = g["size"].to_numpy(), g["rate"].to_numpy()
         copies, owed = np.zeros(len(g), dtype="int64"), 0.0
         for i, (s, r) in enumerate(zip(size.tolist(), rate.tolist())):
-            low = int(r)
+            low = int(r) if s > 0 else 0
             n = low + (s > 0 and low < r and owed + (r - low) * s >= 0.5 * s)
             owed += (r - n) * s
             copies[i] = n

@@ -3,26 +3,32 @@
 A document's set are the 64-bit hashes of its distinct word n-grams. Documents
 with equal sets form a class, and only the first of a class takes part below.
 
-1. *Shared tokens.* Tokens are in one global order, rare ones first. Two sets
-   with Jaccard similarity ``t`` or more share a token among the first
-   ``size - ceil(t * size) + 1`` of each (otherwise too few are left for the
-   overlap), so only those prefixes are shuffled, and tokens that one class
-   alone has in its prefix go no further. The order may be any, so it is free
-   to put frequent tokens last: each batch of texts reports the tokens that
-   many of its documents have, and the ``HOT_TOKENS`` most frequent of those
-   (a fixed bound on what is broadcast) rank behind all others.
-2. *Groups.* Each class is compared with its leader, the class that is first in
-   most of its token lists. Classes linked to a leader, and those linked to
-   them, make up the groups of similar documents.
-3. *Token-group matrix.* For classes that still share a prefix token with
-   another group, the matrix holds a row per group and token of the group's
-   token union. A class meets a group only if ``t`` of its tokens are in the
-   union, which bounds the overlap with every member, and only the groups that
-   pass are opened: their members that share a prefix token are compared
-   exactly. Of two groups, the smaller one's classes ask the larger one.
-
-All links between different groups are found in step 3, and links inside a
-group change no component, so the components are exact.
+1. *Shared tokens.* Tokens are in one global order, rare ones first. Let
+   ``need(size)`` be a tenth of a set's size. Two sets with Jaccard similarity
+   ``t`` or more share at least ``need`` of the smaller one's size among the
+   first ``size - ceil(t * size) + need(size)`` tokens of each: otherwise too few
+   are left for the overlap. So only those prefixes take part. They are dealt in
+   batches; a batch asks the partition of each token's hash whether another
+   class has the token, at one row per batch however frequent it is, and only
+   shared tokens become rows. The order may be any, so it is free to put
+   frequent tokens last: each slice of texts reports the tokens that many of its
+   documents have, and the ``HOT_TOKENS`` most frequent of those (a fixed bound
+   on what is broadcast) rank behind all others.
+2. *Groups.* The leader of a token list is its best supported class, the one
+   whose tokens are in the longest lists for its size. Each class follows the
+   leader it shares most tokens with, and is compared with it; leaders follow
+   leaders, and all that end at the same class are a group of similar documents.
+3. *Token-group matrix.* The matrix holds a row per group and prefix token of
+   the group's token union. A class meets another group of its size only if
+   ``need`` of its prefix tokens are in the union, which bounds what it shares
+   with every member, and only the groups that pass are opened. Of two groups,
+   the smaller one's classes ask the larger one; a class that isn't in the
+   component of its group's head asks its own group. Opened groups are compared
+   exactly, in tiles of members and asking classes, and a tile tells links
+   between different components only, one for each class and component.
+
+Links inside a component change nothing, and every other link is between a
+class and a group that it asks, so the components are exact.
 
 Defined results: null text and text without a word has an empty set and links
 with nothing; fewer than ``n`` words make one n-gram; null or repeated ids are
@@ -41,50 +47,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, shuffle_width, with_group_facts
+from .common import connected_components, durable, objects, shuffle_width, slices, with_group_facts
+from .word_hash import token_sets
 
 HOT_TOKENS = 1 << 18
-#: A batch reports the tokens that this many of its documents have.
-HOT_IN_BATCH = 8
+#: Texts are worked on so many at a time; such a slice reports the tokens that HOT_IN_SLICE of its documents have.
+SLICE_ROWS = 2000
+HOT_IN_SLICE = 4
+#: One in so many of a set's tokens must be shared among the prefixes.
+NEED = 10
+#: Prefix tokens in a batch, and in a partition of all of them.
+BATCH_TOKENS = 1_000_000
+#: Members, and asking classes, in a tile of an opened group.
+TILE = 256
+#: Tiles are dealt to so many calls.
+CALLS = 1024
 #: Bits of the filter by which texts that need no second look are passed over.
 FILTER_BITS = 1 << 24
-CACHED_WORDS = 500_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _WordHashes()
-_MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(str(i), 17) | 1 for i in range(64)], dtype=np.uint64)
-
-
-def word_hashes(text: str) -> np.ndarray:
-    words = text.encode().lower().split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def token_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams, as signed 64-bit integers."""
-    h = word_hashes(text) if text else np.empty(0, np.uint64)
-    k = min(n, len(h))
-    if not k:
-        return np.empty(0, np.int64)
-    with np.errstate(over="ignore"):
-        total = np.full(len(h) - k + 1, k, np.uint64)
-        for i in range(k):
-            total += h[i:len(h) - k + 1 + i] * _MULTIPLIERS[i]
-        return np.unique(_mixed(total).view(np.int64))
 
 
 def digest_of(tokens: np.ndarray) -> bytes | None:
@@ -92,13 +71,13 @@ def digest_of(tokens: np.ndarray) -> bytes | None:
 
 
 def _first_pass(n: int):
-    """Frequent tokens of each batch."""
+    """Frequent tokens of each slice."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [token_set(t, n) for t in b["text"]]
+        for b in slices(batches, SLICE_ROWS):
+            sets = list(token_sets(b["text"], n))
             tokens, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.int64),) * 2
-            often = times >= HOT_IN_BATCH
+            often = times >= HOT_IN_SLICE
             yield pd.DataFrame({"token": tokens[often], "n": times[often].astype("int64")})
 
     return run
@@ -106,7 +85,7 @@ def _first_pass(n: int):
 
 def hot_tokens(texts: DataFrame, n: int) -> pd.DataFrame:
     """At most ``HOT_TOKENS`` tokens, sorted, with the rank of each: how often
-    its batches reported it, in powers of two."""
+    its slices reported it, in powers of two."""
     found = texts.mapInPandas(_first_pass(n), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toPandas().sort_values("token")
     return pd.DataFrame({"token": top["token"].to_numpy("int64"), "rank": np.log2(top["n"].to_numpy("float64")).astype("uint8") + 1})
@@ -115,20 +94,25 @@ def hot_tokens(texts: DataFrame, n: int) -> pd.DataFrame:
 def _prefixes(n: int, percent: int, hot):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often, rank = hot.value
-        for b in batches:
+        told: set[bytes] = set()
+        for b in slices(batches, SLICE_ROWS):
             sizes, digests, prefixes = [], [], []
-            for text in b["text"]:
-                tokens = token_set(text, n)
+            for tokens in token_sets(b["text"], n):
                 size = len(tokens)
+                d = digest_of(tokens)
                 sizes.append(size)
-                digests.append(digest_of(tokens))
-                keep = size - -(-percent * size // 100) + 1 if size else 0
+                digests.append(d)
+                if d is None or d in told:  # a partition tells the prefix of a class once
+                    prefixes.append(None)
+                    continue
+                told.add(d)
+                keep = size - -(-percent * size // 100) + -(-size // NEED)
                 if len(often) and size:
                     at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
                     level = np.where(often[at] == tokens, rank[at], 0)
                     tokens = tokens[np.argsort(level, kind="stable")]
                 prefixes.append(tokens[:keep])
-            yield pd.DataFrame({"row": b["row"], "id": b["id"].astype("Int64"), "size": sizes, "digest": digests, "prefix": prefixes})
+            yield pd.DataFrame({"row": b["row"], "id": b["id"].astype("Int64"), "size": sizes, "digest": objects(digests), "prefix": objects(prefixes)})
 
     return run
 
@@ -136,21 +120,107 @@ def _prefixes(n: int, percent: int, hot):
 def _sets(n: int, wanted):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = wanted.value
-        for b in batches:
+        for b in slices(batches, SLICE_ROWS):
             digests, sets = [], []
-            for text in b["text"]:
-                tokens = token_set(text, n)
+            for tokens in token_sets(b["text"], n):
                 d = digest_of(tokens)
                 if d is not None:
                     at = int.from_bytes(d[:3], "big")
                     if bits[at >> 3] >> (at & 7) & 1:
                         digests.append(d)
                         sets.append(tokens)
-            yield pd.DataFrame({"digest": digests, "tokens": sets})
+            yield pd.DataFrame({"digest": objects(digests), "tokens": objects(sets)})
+
+    return run
+
+
+def _need(size: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(size / NEED))
+
+
+def _classes_of(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Rows, sizes and prefixes of the classes of a batch, the first row of each."""
+    g = g.sort_values("row").drop_duplicates("digest")
+    return g["row"].to_numpy(), g["size"].to_numpy(), g["prefix"].tolist()
+
+
+def _ask_shared(n_parts: int):
+    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+        tokens, times = np.unique(np.concatenate(_classes_of(g)[2]), return_counts=True)
+        at = np.r_[np.searchsorted(tokens, _edges(n_parts)), len(tokens)]
+        out = [(k, int(key[0]), tokens[i:j].tobytes(), *_packed(times[i:j])) for k, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+        return pd.DataFrame(out, columns=["part", "batch", "tokens", "twice", "times"])
+
+    return run
+
+
+def _packed(times: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts of mostly ones: a bit for each that is more, and those."""
+    twice = times > 1
+    return np.packbits(twice).tobytes(), times[twice].astype("<u4").tobytes()
+
+
+def _unpacked(twice: bytes, times: bytes, n: int) -> np.ndarray:
+    out = np.ones(n, np.int64)
+    out[np.unpackbits(np.frombuffer(twice, "u1"), count=n).astype(bool)] = np.frombuffer(times, "<u4")
+    return out
+
+
+def _edges(n_parts: int) -> np.ndarray:
+    return np.array([-(2**63) + 2**64 * k // n_parts for k in range(n_parts)], np.int64)
+
+
+def _answer_shared(g: pd.DataFrame) -> pd.DataFrame:
+    """For each token that a batch asked for, how many classes have it."""
+    parts = [np.frombuffer(x, np.int64) for x in g["tokens"]]
+    every = np.concatenate(parts)
+    times = np.concatenate([_unpacked(x, y, len(p)) for x, y, p in zip(g["twice"], g["times"], parts)])
+    order = np.argsort(every, kind="stable")
+    ranked = every[order]
+    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    total = np.empty(len(every), np.int64)
+    total[order] = np.repeat(np.add.reduceat(times[order], first), np.diff(np.r_[first, len(every)]))
+    ends = np.cumsum([len(p) for p in parts])
+    packed = [_packed(total[e - len(p):e]) for e, p in zip(ends, parts)]
+    return g[["part", "batch"]].assign(twice=[x[0] for x in packed], times=[x[1] for x in packed], n=[len(p) for p in parts])
+
+
+def _keep_shared(percent: int):
+    def run(key, g: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        rows, sizes, prefixes = _classes_of(g)
+        flat, lengths = np.concatenate(prefixes), np.array([len(p) for p in prefixes])
+        owner = np.repeat(np.arange(len(rows)), lengths)
+        tokens, at = np.unique(flat, return_inverse=True)
+        answers = answers.sort_values("part")
+        total = np.concatenate([_unpacked(x, y, n) for x, y, n in zip(answers["twice"], answers["times"], answers["n"])])
+        assert len(total) == len(tokens), "a batch changed between its question and the answer"
+        length = total[at]
+        shared = length > 1
+        # a class with too few shared tokens for any partner is out
+        enough = np.bincount(owner[shared], minlength=len(rows)) >= np.maximum(1, np.ceil(np.ceil(sizes * percent / 100) / NEED))
+        support = np.bincount(owner[shared], length[shared], minlength=len(rows)) / sizes
+        kept = shared & enough[owner]
+        who = owner[kept]
+        return pd.DataFrame({"token": flat[kept], "cls": rows[who], "size": sizes[who], "support": support[who]})
 
     return run
 
 
+def shared_tokens(prefixes: DataFrame, percent: int) -> DataFrame:
+    """``(token, cls, size, support)``: the prefix tokens that two classes have
+    or more, of the classes that share enough of them, from ``prefixes(row,
+    digest, size, prefix)``. ``support`` is the mean length of the class's lists
+    for its size. Rows of a class meet in one batch, at most one of a partition."""
+    told = prefixes.where("prefix IS NOT NULL")
+    total = told.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    n = max(1, -(-int(total) // BATCH_TOKENS))
+    batched = told.withColumn("batch", F.pmod(F.xxhash64(F.lit(23), "digest"), F.lit(n))).repartition(n, "batch")
+    asked = batched.groupBy("batch").applyInPandas(_ask_shared(n), "part int, batch long, tokens binary, twice binary, times binary")
+    answers = asked.groupBy("part").applyInPandas(_answer_shared, "part int, batch long, twice binary, times binary, n long")
+    return batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(
+        _keep_shared(percent), "token long, cls long, size int, support double")
+
+
 def _filter_of(digests: DataFrame) -> np.ndarray:
     """A bit per value of a digest's first three bytes: FILTER_BITS / 8 bytes,
     whatever the number of digests."""
@@ -166,14 +236,16 @@ def _alike(size_a: Column, size_b: Column, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar; sets meet pairs over salted
-    keys, as one class may be asked for by many."""
-    salts = 8
-    left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    both = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int")).join(left, "a").join(right, ["b", "salt"])
+    """The pairs ``(a, b)`` whose sets are similar. A class that many ask for
+    is dealt out over salted keys, one for every 256 of them."""
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
+    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")).join(salts.hint("merge"), "b") \
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    left = pairs.join(salts.hint("merge"), "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int")) \
+        .join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
-    return both.where(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent).select("a", "b")
+    return left.join(right.hint("merge"), ["b", "salt"]).where(
+        shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent).select("a", "b")
 
 
 def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,30 +265,32 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     ).select("row", "id", "digest", "size", "cls", "low"), "classes")
     firsts = classes.where("row = cls").select("cls", "digest", "size", "low")
 
-    posted = rows.join(firsts.select(F.col("cls").alias("row")), "row", "left_semi").select(
-        F.col("row").alias("cls"), F.col("size").cast("int").alias("size"), F.explode("prefix").alias("token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("cls", "size")).alias("first")).where("n > 1").drop("n")
-    lists = durable(posted.join(shared, "token"), "lists")
+    lists = durable(shared_tokens(rows.select("row", F.col("size").cast("int").alias("size"), "digest", "prefix"), percent), "lists")
 
-    # the sets of all classes that share a prefix token with another
+    # the sets of the classes that share enough prefix tokens with others
     asked = lists.select("cls").distinct().join(firsts, "cls").select("cls", "digest")
     asked = durable(asked, "asked")
     wanted = spark.sparkContext.broadcast(_filter_of(asked))
     sets = texts.select("text").mapInPandas(_sets(n, wanted), "digest binary, tokens array<long>") \
-        .groupBy("digest").agg(F.first("tokens").alias("tokens")).join(asked, "digest").select("cls", "tokens")
+        .groupBy("digest").agg(F.first("tokens").alias("tokens")).join(asked.hint("merge"), "digest").select("cls", "tokens")
     sets = durable(sets, "sets")
 
     # groups: every class and its leader
-    led = lists.where("cls <> first.cls").where(_alike(F.col("size"), F.col("first.size"), percent)) \
-        .groupBy("cls", F.col("first.cls").alias("leader")).agg(F.count("*").alias("n")) \
-        .groupBy("cls").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
+    first = lists.groupBy("token").agg(F.max(F.struct("support", F.bitwise_not("cls").alias("not_cls"), "size")).alias("first"))
+    led = lists.join(first.select("token", F.bitwise_not("first.not_cls").alias("leader"), F.col("first.size").alias("l_size")).hint("merge"), "token") \
+        .where("cls <> leader").where(_alike(F.col("size"), F.col("l_size"), percent)) \
+        .groupBy("cls", "leader").agg(F.count("*").alias("n"), F.first(F.least("size", "l_size")).alias("less")) \
+        .where(F.col("n") >= _need(F.col("less"))).groupBy("cls").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
+    led = durable(led, "led")
     links = durable(_verified(led.select(F.col("cls").alias("a"), F.col("leader").alias("b")), sets, percent), "links")
-    grouped = connected_components(links).select(F.col("node").alias("cls"), "component")
-
-    members = durable(
-        asked.select("cls").join(firsts.select("cls", "size"), "cls").join(grouped, "cls", "left")
-        .select("cls", F.col("size").cast("int").alias("size"), F.coalesce("component", "cls").alias("grp")), "members")
-    more = _between_groups(lists.select("token", "cls"), members, sets, percent)
+    component = connected_components(links).select(F.col("node").alias("cls"), "component")
+    placed = asked.select("cls").join(firsts.select("cls", F.col("size").cast("int").alias("size")), "cls") \
+        .join(_roots(led), "cls", "left").join(component, "cls", "left") \
+        .select("cls", "size", F.coalesce("root", "cls").alias("grp"), F.coalesce("component", "cls").alias("comp"))
+    placed = durable(placed, "placed")
+    heads = placed.where("cls = grp").select("grp", F.col("comp").alias("head"))
+    members = durable(placed.join(heads, "grp", "left").withColumn("settled", F.col("comp").eqNullSafe(F.col("head"))).drop("head"), "members")
+    more = _between(lists.select("token", "cls"), members, sets, percent)
     component = durable(connected_components(durable(links.unionByName(more), "links")), "components")
 
     # names: the smallest id of all rows of all classes of a component
@@ -232,31 +306,73 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     return found.unionByName(empty)
 
 
-def _between_groups(lists: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between groups, by way of the token-group matrix."""
-    weights = members.groupBy("grp").agg(F.count("*").alias("weight"), F.min("size").alias("least"), F.max("size").alias("most"))
+def _roots(led: DataFrame) -> DataFrame:
+    """``(cls, root)``: leaders of leaders, eight steps up. Support rises along
+    the way, so there are no circles; a longer way ends in a group of its own."""
+    up = led.select("cls", F.col("leader").alias("root"))
+    for _ in range(3):
+        again = up.select(F.col("cls").alias("root"), F.col("root").alias("further"))
+        up = durable(up.join(again, "root", "left").select("cls", F.coalesce("further", "root").alias("root")), "roots")
+    return up
+
+
+def _between(lists: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, by way of the token-group matrix."""
+    weights = members.groupBy("grp").agg(F.count("*").alias("weight"), F.min("size").alias("least"), F.max("size").alias("most"),
+                                         F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("one"))
     known = members.join(weights, "grp")
-    held = durable(lists.join(known, "cls").select("token", "cls", "size", "grp", "weight", "least", "most"), "held")
-    columns = held.groupBy("token", "grp").agg(F.first("weight").alias("weight"), F.first("least").alias("least"), F.first("most").alias("most"))
-    open_tokens = columns.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    columns = columns.join(open_tokens, "token").select("token", *[F.col(c).alias(f"g_{c}") for c in ("grp", "weight", "least", "most")])
-    asking = held.join(open_tokens, "token", "left_semi").join(columns, "token").where("grp <> g_grp").where(
+    held = lists.join(known.hint("merge"), "cls").select("token", "cls", "size", "comp", "grp", "weight", "least", "most", "one")
+    held = durable(held, "held")
+    columns = held.groupBy("token", "grp").agg(F.first("weight").alias("weight"), F.first("least").alias("least"), F.first("most").alias("most"), F.first("one").alias("one"))
+    several = columns.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    columns = columns.join(several, "token").select("token", *[F.col(c).alias(f"g_{c}") for c in ("grp", "weight", "least", "most", "one")])
+    bound = _need(F.least(F.col("size"), F.greatest("g_least", F.col("size") * percent / 100)))
+    opened = held.join(columns.hint("merge"), "token").where("grp <> g_grp").where(
         "weight < g_weight OR weight = g_weight AND grp < g_grp"
-    ).where((F.col("size") * percent <= F.col("g_most") * 100) & (F.col("g_least") * percent <= F.col("size") * 100))
-    asking = durable(asking.select("cls", "size", F.col("g_grp").alias("grp"), F.col("g_weight").alias("weight")).distinct(), "asking")
-    # a group of one is its own union: the bound is the comparison itself
-    many = asking.where("weight > 1")
-    matrix = members.join(many.select("grp").distinct(), "grp", "left_semi").join(sets, "cls") \
-        .select("grp", F.explode("tokens").alias("token")).distinct()
-    overlap = many.join(sets, "cls").select("cls", "size", "grp", F.explode("tokens").alias("token")) \
-        .join(matrix, ["grp", "token"]).groupBy("cls", "size", "grp").agg(F.count("*").alias("overlap"))
-    opened = overlap.where(F.col("overlap") * 100 >= F.col("size") * percent).select("cls", "grp") \
-        .union(asking.where("weight = 1").select("cls", "grp"))
-    inside = held.select("token", F.col("cls").alias("b"), "grp", F.col("size").alias("b_size"))
-    pairs = held.select("token", F.col("cls").alias("a"), F.col("size").alias("a_size")) \
-        .join(opened.withColumnRenamed("cls", "a"), "a").join(inside, ["token", "grp"]) \
-        .where(_alike(F.col("a_size"), F.col("b_size"), percent)).select("a", "b").distinct()
-    return _verified(pairs, sets, percent)
+    ).where("g_one IS NULL OR g_one <> comp").where((F.col("size") * percent <= F.col("g_most") * 100) & (F.col("g_least") * percent <= F.col("size") * 100)).groupBy(
+        "cls", F.col("g_grp").alias("grp")).agg(F.count("*").alias("n"), F.first(bound).alias("bound")).where("n >= bound").select("cls", "grp")
+    own = members.where("NOT settled").select("cls", "grp")
+    asking = durable(opened.union(own).join(members.select("cls", "comp"), "cls"), "asking")
+    return _opened(asking, members, sets, percent)
+
+
+def _opened(asking: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Compares ``asking(cls, grp, comp)`` with the members of the groups, tile by tile."""
+    tiles = F.ceil(F.count("*") / TILE).cast("int")
+    a_tiles = asking.groupBy("grp").agg(tiles.alias("a_tiles"))
+    b_tiles = members.join(a_tiles, "grp").groupBy("grp").agg(tiles.alias("b_tiles"), F.first("a_tiles").alias("a_tiles"))
+    own = lambda n: F.pmod(F.xxhash64(F.lit(29), "cls"), F.col(n)).cast("int")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asking.join(b_tiles, "grp").withColumn("x", own("a_tiles")).withColumn("y", other("b_tiles")).select("grp", "x", "y", "cls", "comp", F.lit(True).alias("asks"))
+    right = members.join(b_tiles, "grp").withColumn("y", own("b_tiles")).withColumn("x", other("a_tiles")).select("grp", "x", "y", "cls", "comp", F.lit(False).alias("asks"))
+    # many small groups share a task and a call, tiles of one group do not
+    many = left.unionByName(right).join(sets.hint("merge"), "cls").withColumn("call", F.pmod(F.xxhash64("grp", "x", "y"), F.lit(CALLS)))
+    return many.groupBy("call").applyInPandas(_compare(percent), "a long, b long")
+
+
+def _compare(percent: int):
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, tile in g.groupby(["grp", "x", "y"], sort=False):
+            asks = tile["asks"].to_numpy()
+            a, b = tile[asks], tile[~asks]
+            if not len(a) or not len(b):
+                continue
+            b_cls, b_comp, b_size = b["cls"].to_numpy(), b["comp"].to_numpy(), b["tokens"].map(len).to_numpy()
+            flat, owner = np.concatenate(b["tokens"].tolist()), np.repeat(np.arange(len(b)), b_size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for cls, comp, tokens in zip(a["cls"], a["comp"], a["tokens"]):
+                low, high = np.searchsorted(flat, tokens, "left"), np.searchsorted(flat, tokens, "right")
+                n = high - low
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(b))
+                alike = (shared * 100 >= (len(tokens) + b_size - shared) * percent) & (b_comp != comp)
+                _, first = np.unique(b_comp[alike], return_index=True)
+                out += [(cls, x) for x in b_cls[alike][first]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD
-from .ngram_jaccard import _MULTIPLIERS, _mixed, word_hashes
+from .word_hash import MULTIPLIERS, hashed_words, mixed
 
 ALPHA = 0.4
 BATCH_CHARS = 12_000_000
@@ -37,15 +37,15 @@ START = np.uint64(0x9E3779B97F4A7C15)
 
 def _occurrences(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every word of a batch: its document, its hash, the hash of its bigram."""
-    hashes = [word_hashes(t) if t else np.empty(0, np.uint64) for t in texts]
-    lengths = np.array([len(h) for h in hashes], dtype=np.int64)
-    doc = np.repeat(np.arange(len(hashes)), lengths)
-    word = np.concatenate(hashes) if len(hashes) else np.empty(0, np.uint64)
+    found = list(hashed_words(texts))
+    word = np.concatenate([x[0] for x in found]) if found else np.empty(0, np.uint64)
+    lengths = np.concatenate([x[1] for x in found]) if found else np.empty(0, np.int64)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
     before = np.empty_like(word)
     before[1:] = word[:-1]
     before[np.cumsum(lengths)[lengths > 0] - lengths[lengths > 0]] = START
     with np.errstate(over="ignore"):
-        pair = _mixed(before * _MULTIPLIERS[40] + word * _MULTIPLIERS[41])
+        pair = mixed(before * MULTIPLIERS[40] + word * MULTIPLIERS[41])
     return doc, word, pair
 
 
