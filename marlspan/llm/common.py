@@ -54,10 +54,11 @@ SLICE_ROWS = 1000
 
 
 def slices(batches: Iterator[pd.DataFrame], rows: int = SLICE_ROWS) -> Iterator[pd.DataFrame]:
-    """Arrow batches in pieces, so that a task holds the working memory of few texts."""
+    """Arrow batches in pieces, so that a task holds the working memory of few
+    texts. Each piece is numbered from 0, whatever its place in the batch."""
     for b in batches:
         for i in range(0, len(b), rows):
-            yield b.iloc[i:i + rows]
+            yield b.iloc[i:i + rows].reset_index(drop=True)
 
 
 def objects(values: list) -> pd.Series:
