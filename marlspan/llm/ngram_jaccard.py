@@ -18,6 +18,8 @@ with equal sets form a class, and only the first of a class takes part below.
    whose tokens are in the longest lists for its size. Each class follows the
    leader it shares most tokens with, and is compared with it; leaders follow
    leaders, and all that end at the same class are a group of similar documents.
+   A class that is left alone so joins the largest group that enough of its
+   tokens are in.
 3. *Token-group matrix.* The matrix holds a row per group and prefix token of
    the group's token union. A class meets another group of its size only if
    ``need`` of its prefix tokens are in the union, which bounds what it shares
@@ -287,7 +289,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     placed = asked.select("cls").join(firsts.select("cls", F.col("size").cast("int").alias("size")), "cls") \
         .join(_roots(led), "cls", "left").join(component, "cls", "left") \
         .select("cls", "size", F.coalesce("root", "cls").alias("grp"), F.coalesce("component", "cls").alias("comp"))
-    placed = durable(placed, "placed")
+    placed = durable(_joined(lists.select("token", "cls"), durable(placed, "placed"), percent), "placed")
     heads = placed.where("cls = grp").select("grp", F.col("comp").alias("head"))
     members = durable(placed.join(heads, "grp", "left").withColumn("settled", F.col("comp").eqNullSafe(F.col("head"))).drop("head"), "members")
     more = _between(lists.select("token", "cls"), members, sets, percent)
@@ -316,6 +318,34 @@ def _roots(led: DataFrame) -> DataFrame:
     return up
 
 
+def _joined(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """``placed`` with the classes that are groups of their own moved to larger
+    ones. A token names the largest group whose union has it, one row whatever
+    the number of groups; a lone class follows the group that most of its tokens
+    name, if that is ``need`` of them. A lone class may follow another one, which
+    always ranks higher, so there are no circles here either."""
+    weights = placed.groupBy("grp").agg(F.count("*").alias("weight"), F.min("size").alias("least"), F.max("size").alias("most"))
+    held = durable(lists.join(placed.join(weights, "grp").hint("merge"), "cls").select("token", "cls", "size", "grp", "weight", "least", "most"), "held")
+    best = held.groupBy("token").agg(F.max(F.struct("weight", F.bitwise_not("grp").alias("not_grp"), "least", "most")).alias("g")) \
+        .select("token", F.bitwise_not("g.not_grp").alias("leader"), *[F.col(f"g.{c}").alias(f"g_{c}") for c in ("weight", "least", "most")])
+    bound = _bound(percent)
+    moved = held.where("weight = 1").join(best.hint("merge"), "token").where("grp <> leader").where(_in_range(percent)) \
+        .groupBy("cls", "leader").agg(F.count("*").alias("n"), F.first("g_weight").alias("g_weight"), F.first(bound).alias("bound")).where("n >= bound") \
+        .groupBy("cls").agg(F.max_by("leader", F.struct("n", "g_weight", -F.col("leader"))).alias("leader"))
+    roots = _roots(durable(moved, "moved"))
+    return placed.join(roots, "cls", "left").select("cls", "size", F.coalesce("root", "grp").alias("grp"), "comp")
+
+
+def _bound(percent: int) -> Column:
+    """Prefix tokens of a class that the union of a group ``g_`` must have."""
+    return _need(F.least(F.col("size"), F.greatest("g_least", F.col("size") * percent / 100)))
+
+
+def _in_range(percent: int) -> Column:
+    """Whether a class can be similar to any member by its size."""
+    return (F.col("size") * percent <= F.col("g_most") * 100) & (F.col("g_least") * percent <= F.col("size") * 100)
+
+
 def _between(lists: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components, by way of the token-group matrix."""
     weights = members.groupBy("grp").agg(F.count("*").alias("weight"), F.min("size").alias("least"), F.max("size").alias("most"),
@@ -326,10 +356,10 @@ def _between(lists: DataFrame, members: DataFrame, sets: DataFrame, percent: int
     columns = held.groupBy("token", "grp").agg(F.first("weight").alias("weight"), F.first("least").alias("least"), F.first("most").alias("most"), F.first("one").alias("one"))
     several = columns.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     columns = columns.join(several, "token").select("token", *[F.col(c).alias(f"g_{c}") for c in ("grp", "weight", "least", "most", "one")])
-    bound = _need(F.least(F.col("size"), F.greatest("g_least", F.col("size") * percent / 100)))
+    bound = _bound(percent)
     opened = held.join(columns.hint("merge"), "token").where("grp <> g_grp").where(
         "weight < g_weight OR weight = g_weight AND grp < g_grp"
-    ).where("g_one IS NULL OR g_one <> comp").where((F.col("size") * percent <= F.col("g_most") * 100) & (F.col("g_least") * percent <= F.col("size") * 100)).groupBy(
+    ).where("g_one IS NULL OR g_one <> comp").where(_in_range(percent)).groupBy(
         "cls", F.col("g_grp").alias("grp")).agg(F.count("*").alias("n"), F.first(bound).alias("bound")).where("n >= bound").select("cls", "grp")
     own = members.where("NOT settled").select("cls", "grp")
     asking = durable(opened.union(own).join(members.select("cls", "comp"), "cls"), "asking")
