@@ -114,6 +114,24 @@ def test_op3_matches_brute_force(spark, sf, documents):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(documents["text"].to_dict())
 
 
+def test_slices_number_their_rows_from_zero():
+    got = list(common.slices(iter([pd.DataFrame({"x": range(5)}), pd.DataFrame({"x": []})]), 2))
+    assert [g["x"].tolist() for g in got] == [[0, 1], [2, 3], [4]]
+    assert all(g.index.tolist() == list(range(len(g))) for g in got)
+
+
+def test_op3_batches_longer_than_a_slice(spark):
+    n, conf = 2 * ngram_jaccard.SLICE_ROWS + 1, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(n).coalesce(1).selectExpr("id AS doc_id", "concat('a b c d ', cast(id div 2 AS string)) AS text")
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "10000")
+    try:
+        got = ngram_jaccard.near_components(docs).toPandas()
+    finally:
+        spark.conf.set(conf, before)
+    assert len(got) == n and (got["component"] == got["id"] // 2 * 2).all()
+
+
 def test_op3_dense_group(spark):
     """Near copies of one text, linked pairwise only in part."""
     r = np.random.default_rng(3)
