@@ -76,9 +76,10 @@ def token_sets(texts, n: int) -> Iterator[np.ndarray]:
     integers; a text of fewer words is one n-gram, one without words has none."""
     for words, counts in hashed_words(texts):
         with np.errstate(over="ignore"):
-            grams = np.full(max(0, len(words) - n + 1), n, dtype=np.uint64)
+            m = max(0, len(words) - n + 1)
+            grams = np.full(m, n, dtype=np.uint64)
             for i in range(n):
-                grams += words[i:len(words) - n + 1 + i] * MULTIPLIERS[i]
+                grams += words[i:i + m] * MULTIPLIERS[i]
             grams = mixed(grams).view(np.int64)
             at = 0
             for c in counts.tolist():

@@ -167,6 +167,13 @@ def test_word_hashes_follow_the_words():
     assert [len(s) for s in sets] == [1, 0, 0, 1, 2, 1]
 
 
+@pytest.mark.parametrize("k", range(1, 7))
+def test_token_sets_of_a_single_short_text(k):
+    text = " ".join("abcdef"[:k])
+    (own,), (beside, _) = token_sets([text], 5), token_sets([text, "one two three four five six"], 5)
+    assert len(own) == max(1, k - 4) and own.tolist() == beside.tolist()
+
+
 def test_op4_law(spark, sf, documents):
     got = Q["op4_entropy_mixing"](spark, sf).toPandas().set_index("doc_id")
     size = documents["text"].map(lambda t: len(words(t)))
