@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspan.llm.common import durable, small_batches, table
+from marlspan.llm.common import durable, numbered, small_batches, table
 from marlspan.llm.exact_dedup import drop_exact_copies
 from marlspan.llm.language_id import UNKNOWN, predict, train
 from marlspan.llm.mixing import entropy_mix
@@ -42,10 +42,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: none, one or two copies."""
-    mixed = entropy_mix(docs, MIX_WEIGHTS, share=1.5, cap=2.0)
-    # rows that share an id share its copies; near_dedup leaves one row for each id
-    taken = mixed.groupBy(F.coalesce("id", F.lit(-(2**63))).alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).join(durable(taken, "copies"), "__id")
+    rows = numbered(docs, "__row")
+    mixed = entropy_mix(rows, MIX_WEIGHTS, share=1.5, cap=2.0, row_col="__row")
+    taken = durable(mixed.where("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies")), "copies")
+    keyed = rows.join(taken, "__row")
     return keyed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 

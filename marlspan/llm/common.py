@@ -50,6 +50,12 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, row_col: str = "__row") -> DataFrame:
+    """``docs`` written once with a number for each row, which stays the same
+    however often and in whatever order the table is read again."""
+    return durable(docs.withColumn(row_col, F.monotonically_increasing_id()), "numbered")
+
+
 SLICE_ROWS = 1000
 
 

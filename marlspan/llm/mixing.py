@@ -128,12 +128,14 @@ def _rounded(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def entropy_mix(
     docs: DataFrame, weights: list[float], share: float = 1.5, cap: float = 2.0,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None,
 ) -> DataFrame:
-    """Per row: ``id, row, source, size, source_size, target, rate, copies``."""
+    """Per row: ``id, row, source, size, source_size, target, rate, copies``.
+    ``row`` is ``row_col`` where that is given."""
     sized = durable(docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
-    ).withColumn("row", F.monotonically_increasing_id()), "sizes")
+        F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.col(row_col).alias("row") if row_col else F.monotonically_increasing_id().alias("row"),
+    ), "sizes")
     cells = durable(sized.groupBy("source").agg(F.sum("size").alias("tokens"), F.count("*").alias("n")), "cells")
     targets = durable(weighted_targets(cells, weights, share, cap), "targets")
     rates = balance(cells, ["source"], {"source": targets}, cap).select("source", "rate")

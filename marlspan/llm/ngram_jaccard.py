@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, objects, shuffle_width, slices, with_group_facts
+from .common import connected_components, durable, numbered, objects, shuffle_width, slices, with_group_facts
 from .word_hash import token_sets
 
 HOT_TOKENS = 1 << 18
@@ -254,9 +254,16 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     """Per row: ``row, id, size, component``: the size of its set and the
     smallest id among the rows that links of at least ``percent`` of a hundred
     reach. ``row`` tells rows with equal ids apart and names no text."""
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return _found(texts, n, percent).select("row", "id", "size", "component")
+
+
+def _found(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """:func:`near_components` of ``texts(row, id, text)``, with ``root``: one
+    row number for each component, also where its rows have no id or share one
+    with others. A row without a word is a root of its own."""
+    spark = texts.sparkSession
+    width = shuffle_width(spark)
     frequent = hot_tokens(texts.select("text"), n)
     hot = spark.sparkContext.broadcast((frequent["token"].to_numpy(), frequent["rank"].to_numpy()))
     rows = durable(texts.mapInPandas(_prefixes(n, percent, hot), "row long, id long, size long, digest binary, prefix array<long>"), "prefixes")
@@ -299,12 +306,12 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     named = firsts.join(component.select(F.col("node").alias("cls"), "component"), "cls", "left") \
         .withColumn("component", F.coalesce("component", "cls"))
     names = with_group_facts(named, ["component"], [F.col("cls")], {"name": F.min("low")}, {"name": F.min("name")}, width) \
-        .select("cls", "name")
+        .select("cls", "name", F.col("component").alias("root"))
     salts = 16
     names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     found = classes.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).join(names, ["cls", "salt"]) \
-        .select("row", "id", "size", F.col("name").alias("component"))
-    empty = rows.where("digest IS NULL").select("row", "id", "size", F.col("id").alias("component"))
+        .select("row", "id", "size", F.col("name").alias("component"), "root")
+    empty = rows.where("digest IS NULL").select("row", "id", "size", F.col("id").alias("component"), F.col("row").alias("root"))
     return found.unionByName(empty)
 
 
@@ -406,13 +413,12 @@ def _compare(percent: int):
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one whose id names it.
-    Rows without a word link with nothing and stay."""
-    found = near_components(docs, n, percent, id_col, text_col)
-    # of rows that share the naming id, one stays
-    kept = found.where("id <=> component").groupBy(F.coalesce("id", F.lit(-(2**63))).alias("__id")).agg(
-        F.count(F.when(F.col("size") > 0, 1)).alias("__rows"))
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).join(kept, "__id")
-    once = keyed.where("__rows <= 1")
-    again = keyed.where("__rows > 1").dropDuplicates(["__id"])
-    return once.unionByName(again).select(*docs.columns)
+    """``docs`` with one row of each component: the one of the smallest id, and
+    of rows that share it the first. Rows are found again by a durable number,
+    so null and repeated ids of unlike documents all stay. Rows without a word
+    link with nothing and stay."""
+    docs_once = numbered(docs, "__row")
+    found = _found(docs_once.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, percent)
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
+    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
+    return docs_once.join(kept, "__row").select(*docs.columns)

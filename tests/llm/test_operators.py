@@ -157,6 +157,20 @@ def test_op3_odd(odd, empty):
     assert sorted(r["doc_id"] for r in left if r["doc_id"]) == [1, 2, 3, 4, 6, 7]
 
 
+def test_near_copies_go_by_row_not_by_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a), (None, b), (None, c), (None, a), (7, a + " d"), (9, b + " e"), (9, "z " * 9), (9, c + " f g h"), (9, c.upper()), (None, ""), (None, None), (9, "y x")]
+    left = ngram_jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = collections.Counter((r["doc_id"], r["text"]) for r in left)
+    assert got[(7, a + " d")] == got[(9, b + " e")] == got[(9, "z " * 9)] == got[(9, "y x")] == got[(None, "")] == got[(None, None)] == 1
+    assert got[(9, c + " f g h")] + got[(9, c.upper())] == 1 and sum(got.values()) == 7
+    unlike = spark.createDataFrame([(i, x) for i in (None, 5) for x in (a, b + " e", c + " " + a)] + [(None, "x " + b), (5, "")], "doc_id long, text string")
+    left = collections.Counter((r["doc_id"], r["text"]) for r in ngram_jaccard.drop_near_copies(unlike).collect())
+    assert left == collections.Counter([(5, a), (5, b + " e"), (5, c + " " + a), (5, "")])
+    alone = spark.createDataFrame([(None, a), (None, b), (None, c), (None, ""), (3, "p q r s t u v"), (3, "k l m n o p q")], "doc_id long, text string")
+    assert ngram_jaccard.drop_near_copies(alone).count() == 6
+
+
 def test_word_hashes_follow_the_words():
     texts = ["A b\tc", None, "", " x ", "a B c d e f", "é É"]
     got = list(hashed_words(texts))

@@ -27,3 +27,9 @@ def test_empty_table(spark, sf, odd):
     docs = table(spark, sf, "documents").limit(0)
     for _, stage in P.STAGES[1:-1]:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_mixing_takes_rows_without_an_id_one_by_one(spark, sf):
+    docs = durable(table(spark, sf, "documents").selectExpr("cast(null AS long) AS doc_id", "text", "lang", "source", "n_chars"))
+    n = sum(len(words(r["text"])) for r in docs.collect())
+    assert abs(sum(len(words(r["text"])) for r in P.mixing(spark, docs, sf).collect()) - 1.5 * n) < 0.05 * n
