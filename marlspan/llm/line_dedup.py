@@ -4,9 +4,11 @@ Every text is split into units (lines, or paragraphs between blank lines).
 Units are normalised (lower case, digits as they are, runs of white space as
 one space) and hashed to 128 bits. Units with equal digests form a group; its
 earliest occurrence, by document id and then by place in the text, stays, and
-each other occurrence is a removal: a span of code points of the original
-text. Units of fewer than ``min_words`` words are left alone, as short lines
-repeat by chance and their loss would hurt clean documents.
+each other occurrence is a candidate: a span of code points of the original
+text. Neighbouring candidates of a text, with nothing but units without words
+between them, are a run, and the units of a run are removals if they have
+``min_words`` words together: a passage that is laid out in short lines goes,
+while single short lines, which repeat by chance, stay.
 
 Groups are aggregated leaf by leaf (see ``with_group_facts``), so a line that a
 third of all documents share is never brought together.
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,35 +44,42 @@ def _cuts(text: str, split: re.Pattern) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
-def unit_rows(docs: DataFrame, unit: str, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """Per unit of ``min_words`` or more: ``row, id, unit, start, end, n_words, digest``."""
+def unit_rows(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataFrame:
+    """Per unit that has a word: ``row, id, unit, place, start, end, n_words,
+    digest``; ``place`` counts these units alone."""
     split = SPLITS[unit]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
             out = []
             for row, key, text in zip(b["row"], b["id"].astype("Int64"), b["text"]):
+                place = 0
                 for k, (start, end) in enumerate(_cuts(text or "", split)):
                     words = text[start:end].lower().split() if end > start else ()
-                    if len(words) >= max(1, min_words):
-                        out.append((row, key, k, start, end, len(words), xxhash.xxh3_128_digest(" ".join(words).encode())))
-            yield pd.DataFrame(out, columns=["row", "id", "unit", "start", "end", "n_words", "digest"]).astype({"id": "Int64"})
+                    if words:
+                        out.append((row, key, k, place, start, end, len(words), xxhash.xxh3_128_digest(" ".join(words).encode())))
+                        place += 1
+            yield pd.DataFrame(out, columns=["row", "id", "unit", "place", "start", "end", "n_words", "digest"]).astype({"id": "Int64"})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "row long, id long, unit int, start long, end long, n_words long, digest binary")
+    return rows.mapInPandas(run, "row long, id long, unit int, place int, start long, end long, n_words long, digest binary")
 
 
 def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """Per removal: ``row, id, unit, start, end, n_words, digest, group_size``
     and the occurrence that stays, ``keep_id, keep_unit``."""
-    units = durable(unit_rows(docs, unit, min_words, id_col, text_col), "units")
+    units = durable(unit_rows(docs, unit, id_col, text_col), "units")
     first = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("unit").alias("unit"))
     known = with_group_facts(
         units, ["digest"], [F.col("row")], {"first": F.min(first), "n": F.count("*")}, {"first": F.min("first"), "n": F.sum("n")},
         shuffle_width(docs.sparkSession),
     )
-    return known.where("n > 1").where((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit"))).select(
+    again = known.where("n > 1").where((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit")))
+    # places less their numbers are equal along a run
+    runs = again.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("row").orderBy("place"))) \
+        .withColumn("run_words", F.sum("n_words").over(Window.partitionBy("row", "run")))
+    return runs.where(F.col("run_words") >= min_words).select(
         "row", "id", "unit", "start", "end", "n_words", F.lower(F.hex("digest")).alias("digest"), F.col("n").alias("group_size"),
         F.col("first.id").alias("keep_id"), F.col("first.unit").alias("keep_unit"),
     )

@@ -291,6 +291,16 @@ def test_op7_matches_brute_force(spark, sf, documents):
     assert {(r["doc_id"], r["unit"], r["start"], r["end"], r["keep_doc_id"], r["keep_unit"]) for r in got} == want and want
 
 
+def test_op7_passage_in_short_lines(spark):
+    lines = [" ".join(f"p{i}w{k}" for k in range(9)) for i in range(6)]
+    rows = [(1, "\n".join(["head of one", *lines])), (2, "\n".join(["of two", *lines[:3], "", *lines[3:], "tail"])), (3, f"{lines[0]}\nalone\n{lines[4]}"), (4, f"x\n{lines[1]}\n{lines[2]}\ny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["id"], r["unit"], r["keep_id"], r["keep_unit"]) for r in line_dedup.repeated_units(df).collect())
+    assert got == [(2, u, 1, k) for u, k in zip((1, 2, 3, 5, 6, 7), range(1, 7))]
+    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeats(df).collect()}
+    assert left == {**dict(rows), 2: "of two\n\ntail"}
+
+
 def test_op7_cut_and_odd(spark, odd, empty):
     line = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, f"head\n{line}\ntail"), (2, f"{line.upper()}\nother"), (3, None), (3, "")], "doc_id long, text string")
