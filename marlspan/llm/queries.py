@@ -46,7 +46,7 @@ def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = backoff_scores(table(spark, sf_dir, "documents"))
+    scores = backoff_scores(table(spark, sf_dir, "documents"), order=3)
     return scores.select(F.col("id").alias("doc_id"), "n_words", "n_backed_off", "log_score", "score")
 
 

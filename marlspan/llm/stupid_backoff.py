@@ -1,10 +1,12 @@
 """Stupid-backoff scores of documents by counts of the whole corpus.
 
 Words are compared without ASCII case. A word is scored by the relative
-frequency of its bigram, ``c(v w) / c(v)``; a bigram that is not known backs
-off to ``alpha * c(w) / N``, and an unknown word to ``alpha / N``. A document
-is scored by the *other* documents: its own counts are taken off first, or
-every bigram would be known.
+frequency of its n-gram of the highest order, ``c(u v w) / c(u v)`` for order
+3; an n-gram that is not known backs off to the next shorter one, at a factor
+of ``alpha`` for each step, down to ``c(w) / N``, and an unknown word counts as
+one. A document begins with as many marks as the order asks for. It is scored
+by the *other* documents: its own counts are taken off first, or every n-gram
+would be known.
 
 Documents are dealt by hash into batches of bounded text. A batch tells its
 distinct n-grams with their counts, each to the count table's partition for
@@ -12,7 +14,7 @@ its hash; a partition adds up the batches' counts and answers each batch, in
 the batch's own order; the batch joins the answers to its documents' n-grams
 and sums per document. An n-gram costs one row per batch however often it
 occurs, so a very common pair of words is no hot key, and texts are shuffled
-once.
+once. Sorted hashes travel as differences, and counts by bytes, compressed.
 
 Defined results: null and empty texts have no words and a null score; a corpus
 of one document backs off throughout; ids may be null or repeat, rows are
@@ -21,6 +23,9 @@ scored one by one; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,17 +41,44 @@ START = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _occurrences(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every word of a batch: its document, its hash, the hash of its bigram."""
+    """Of every word of a batch its document and its hash; and where documents with words start."""
     found = list(hashed_words(texts))
     word = np.concatenate([x[0] for x in found]) if found else np.empty(0, np.uint64)
     lengths = np.concatenate([x[1] for x in found]) if found else np.empty(0, np.int64)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[np.cumsum(lengths)[lengths > 0] - lengths[lengths > 0]] = START
-    with np.errstate(over="ignore"):
-        pair = mixed(before * MULTIPLIERS[40] + word * MULTIPLIERS[41])
-    return doc, word, pair
+    return np.repeat(np.arange(len(lengths)), lengths), word, np.cumsum(lengths)[lengths > 0] - lengths[lengths > 0]
+
+
+def _grams(word: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The orders from 1 on, each with the hashes of the n-grams that end at the words."""
+    gram = word
+    yield 1, gram
+    for kind in range(2, order + 1):
+        before = np.empty_like(gram)
+        before[1:] = gram[:-1]
+        before[starts] = START
+        with np.errstate(over="ignore"):
+            gram = mixed(before * MULTIPLIERS[36 + 2 * kind] + word * MULTIPLIERS[37 + 2 * kind])
+        yield kind, gram
+
+
+def _packed(a: np.ndarray, plain: int = 0) -> bytes:
+    """64-bit numbers byte by byte: the ``plain`` lowest ones as they are, the others compressed."""
+    planes = np.ascontiguousarray(a.astype("<u8").view("u1").reshape(-1, 8).T)
+    return planes[:plain].tobytes() + zlib.compress(planes[plain:].tobytes(), 1)
+
+
+def _unpacked(raw: bytes, n: int, plain: int = 0) -> np.ndarray:
+    planes = np.frombuffer(raw[:plain * n] + zlib.decompress(raw[plain * n:]), "u1").reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(n)
+
+
+def _packed_grams(grams: np.ndarray) -> bytes:
+    """Sorted hashes as differences; those of a million hashes have five random bytes."""
+    return _packed(np.diff(grams, prepend=np.uint64(0)), 5)
+
+
+def _unpacked_grams(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpacked(raw, n, 5), dtype=np.uint64)
 
 
 def _distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,33 +93,33 @@ def _parts(hashes: np.ndarray, n_parts: int) -> np.ndarray:
     return np.r_[np.searchsorted(hashes, np.array(edges, np.uint64)), len(hashes)]
 
 
-def _ask(n_parts: int):
+def _ask(n_parts: int, order: int):
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        _, word, pair = _occurrences(g["text"])
+        _, word, starts = _occurrences(g["text"])
         out = []
-        for kind, a in ((1, word), (2, pair)):
+        for kind, a in _grams(word, starts, order):
             grams, counts = _distinct(a)
             at = _parts(grams, n_parts)
-            out += [(kind * n_parts + k, kind, int(key[0]), grams[i:j].tobytes(), counts[i:j].tobytes())
+            out += [(kind * n_parts + k, kind, int(key[0]), int(j - i), _packed_grams(grams[i:j]), _packed(counts[i:j]))
                     for k, (i, j) in enumerate(zip(at, at[1:])) if j > i]
-        return pd.DataFrame(out, columns=["part", "kind", "batch", "grams", "counts"])
+        return pd.DataFrame(out, columns=["part", "kind", "batch", "n", "grams", "counts"])
 
     return run
 
 
 def _add_up(g: pd.DataFrame) -> pd.DataFrame:
     """The counts of one partition of one table, as answers to its batches."""
-    grams = [np.frombuffer(x, np.uint64) for x in g["grams"]]
+    grams = [_unpacked_grams(x, n) for x, n in zip(g["grams"], g["n"])]
     every = np.concatenate(grams)
     order = np.argsort(every, kind="stable")
     ranked = every[order]
     first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in g["counts"]]).astype(np.int64)[order]
+    counts = np.concatenate([_unpacked(x, n) for x, n in zip(g["counts"], g["n"])]).astype(np.int64)[order]
     total = np.add.reduceat(counts, first)
     answer = np.empty(len(every), np.int64)
     answer[order] = np.repeat(total, np.diff(np.r_[first, len(every)]))
     ends = np.cumsum([len(x) for x in grams])
-    return g[["part", "kind", "batch"]].assign(totals=[answer[e - len(x):e].tobytes() for e, x in zip(ends, grams)])
+    return g[["part", "kind", "batch", "n"]].assign(totals=[_packed(answer[e - len(x):e]) for e, x in zip(ends, grams)])
 
 
 def _own(doc: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -102,32 +134,32 @@ def _own(doc: np.ndarray, index: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score(n_words: int, n_docs: int, alpha: float):
+def _score(n_words: int, n_docs: int, alpha: float, order: int):
     def run(key, g: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        doc, word, pair = _occurrences(g["text"])
+        doc, word, starts = _occurrences(g["text"])
         lengths = np.bincount(doc, minlength=len(g))
         out = g[["row", "id"]].assign(n_words=lengths, n_backed_off=0, log_score=np.nan)
         if not len(doc):
             return out
-        known, own = {}, {}
-        for kind, a in ((1, word), (2, pair)):
+        for kind, a in _grams(word, starts, order):
             grams, _ = _distinct(a)
             index = np.searchsorted(grams, a)
             part = answers[answers["kind"] == kind].sort_values("part")
-            total = np.frombuffer(b"".join(part["totals"]), np.int64)
+            total = np.concatenate([_unpacked(x, n) for x, n in zip(part["totals"], part["n"])]).astype(np.int64)
             assert len(total) == len(grams), "a batch changed between its question and the answer"
-            own[kind] = _own(doc, index)
-            known[kind] = total[index] - own[kind]
-        # the word before, as a context: its count, or the number of other documents at a start
-        context = np.empty_like(known[1])
-        context[1:] = known[1][:-1]
-        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        context[starts] = n_docs - 1
-        rest = np.maximum(n_words - lengths[doc], 1)
-        seen = known[2] > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            log = np.where(seen, np.log(known[2]) - np.log(np.maximum(context, 1)),
-                           np.log(alpha) + np.log(np.maximum(known[1], 1)) - np.log(rest))
+            known = total[index] - _own(doc, index)
+            if kind == 1:
+                log = np.log(np.maximum(known, 1)) - np.log(np.maximum(n_words - lengths[doc], 1))
+                seen = known > 0
+            else:
+                # the words before, as a context: their count, or the number of other documents at a start
+                context = np.empty_like(shorter)
+                context[1:] = shorter[:-1]
+                context[starts] = n_docs - 1
+                seen = known > 0
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    log = np.where(seen, np.log(known) - np.log(np.maximum(context, 1)), np.log(alpha) + log)
+            shorter = known
         out["log_score"] = np.where(lengths > 0, np.bincount(doc, log, minlength=len(g)), np.nan)
         out["n_backed_off"] = np.bincount(doc, ~seen, minlength=len(g)).astype(np.int64)
         return out
@@ -136,9 +168,10 @@ def _score(n_words: int, n_docs: int, alpha: float):
 
 
 def backoff_scores(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text",
-                   batch_chars: int = BATCH_CHARS, partition_chars: int = PARTITION_CHARS) -> DataFrame:
-    """Per row: ``row, id, n_words, n_backed_off, log_score`` (the sum of the
-    words' natural logarithms) and ``score``, its mean per word."""
+                   batch_chars: int = BATCH_CHARS, partition_chars: int = PARTITION_CHARS, order: int = 2) -> DataFrame:
+    """Per row: ``row, id, n_words, n_backed_off`` (words whose n-gram of the
+    given order is not known), ``log_score`` (the sum of the words' natural
+    logarithms) and ``score``, its mean per word."""
     size = docs.agg(
         F.coalesce(F.sum(F.length(text_col)), F.lit(0)), F.coalesce(F.sum(F.regexp_count(text_col, F.lit(WORD))), F.lit(0)),
         F.count(F.when(F.regexp_like(text_col, F.lit(WORD)), 1)),
@@ -148,10 +181,10 @@ def backoff_scores(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # the batch follows from id and text alone, so a second reading deals the same
     batched = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n_batches))).repartition(n_batches, "batch")
-    asked = batched.groupBy("batch").applyInPandas(_ask(n_parts), "part int, kind int, batch long, grams binary, counts binary")
-    answers = asked.groupBy("part").applyInPandas(_add_up, "part int, kind int, batch long, totals binary")
+    asked = batched.groupBy("batch").applyInPandas(_ask(n_parts, order), "part int, kind int, batch long, n long, grams binary, counts binary")
+    answers = asked.groupBy("part").applyInPandas(_add_up, "part int, kind int, batch long, n long, totals binary")
     scored = batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(
-        _score(n_words, n_docs, alpha), "row long, id long, n_words long, n_backed_off long, log_score double")
+        _score(n_words, n_docs, alpha, order), "row long, id long, n_words long, n_backed_off long, log_score double")
     return scored.withColumn("log_score", F.when(~F.isnan("log_score"), F.col("log_score"))).withColumn(
         "score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 

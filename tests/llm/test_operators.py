@@ -248,6 +248,35 @@ def test_op5_matches_brute_force(spark, sf, documents):
         assert got.loc[i, "log_score"] == pytest.approx(s, rel=1e-9)
 
 
+def test_op5_trigrams_match_brute_force(spark, sf, documents):
+    got = Q["op5_stupid_backoff"](spark, sf).toPandas().set_index("doc_id")
+    small = stupid_backoff.backoff_scores(common.table(spark, sf, "documents"), batch_chars=60_000, partition_chars=50_000, order=3).toPandas().set_index("id")
+    w = {i: words(t) for i, t in documents["text"].items()}
+
+    def count(x):
+        p = [None, None, *x]
+        return [collections.Counter(tuple(p[k - j:k + 1]) for k in range(2, len(p))) for j in range(3)]
+
+    every = [sum(c, collections.Counter()) for c in zip(*map(count, w.values()))]
+    total, docs = sum(map(len, w.values())), sum(1 for x in w.values() if x)
+    for i, x in w.items():
+        own, p, s, b = count(x), [None, None, *x], 0.0, 0
+        for k in range(2, len(p)):
+            for j in (2, 1, 0):
+                gram = tuple(p[k - j:k + 1])
+                n = every[j][gram] - own[j][gram]
+                if j == 0:
+                    s += math.log(0.4 ** 2 * max(1, n) / max(1, total - len(x)))
+                elif n > 0:
+                    before = docs - 1 if gram[-2] is None else every[j - 1][gram[:-1]] - own[j - 1][gram[:-1]]
+                    s += math.log(0.4 ** (2 - j) * n / before)
+                    break
+                b += j == 2
+        for found in (got, small):
+            assert (found.loc[i, "n_words"], found.loc[i, "n_backed_off"]) == (len(x), b)
+            assert found.loc[i, "log_score"] == pytest.approx(s, rel=1e-9)
+
+
 def test_op5_odd(odd, empty):
     got = stupid_backoff.backoff_scores(odd).collect()
     assert len(got) == 10 and all((r["score"] is None) == (r["n_words"] == 0) for r in got)
