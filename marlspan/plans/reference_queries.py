@@ -250,7 +250,7 @@ def _(spark, d):
 def _(spark, d):
     from marlspan.operators.news import strip_html
 
-    return views.table(spark, d, "pages").where("page_id % 2 = 0").select("page_id", strip_html(F.substring("html", 1, 3000)).alias("text"))
+    return views.table(spark, d, "pages").select("page_id", strip_html(F.col("html")).alias("text"))
 
 
 @query("brief", f"""WITH {BARS}, m AS (SELECT 'mover' AS kind, ticker AS id, max(close) AS score FROM bars GROUP BY 2), e AS (SELECT 'event' AS kind, event_type AS id, max(value) AS score FROM events GROUP BY 2)

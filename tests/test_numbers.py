@@ -1,6 +1,7 @@
 """Hand-computed values and planted structure, seed 42."""
 
 import math
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -197,3 +198,12 @@ def test_spearman_within_bounds(a, b):
     n = min(len(a), len(b))
     r = kernels.spearman(a[:n], b[:n])
     assert r is None or r != r or abs(r) <= 1 + 1e-9
+
+
+def test_strip_html_takes_whole_pages(spark, sf):
+    from marlspan.plans import catalog
+
+    got = {r["page_id"]: r["text"] for r in catalog.QUERIES["strip_html"](spark, sf).collect()}
+    pages = pd.read_parquet(f"{sf}/pages.parquet").set_index("page_id")["html"]
+    plain = lambda html: re.sub(r"\s+", " ", re.sub("<[^>]*>", " ", html), flags=re.ASCII).strip(" ")
+    assert got == {i: plain(html) for i, html in pages.items()}
