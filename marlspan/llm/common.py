@@ -56,6 +56,14 @@ def numbered(docs: DataFrame, row_col: str = "__row") -> DataFrame:
     return durable(docs.withColumn(row_col, F.monotonically_increasing_id()), "numbered")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 SLICE_ROWS = 1000
 
 

@@ -54,9 +54,11 @@ def _chunks(texts) -> Iterator[list[bytes]]:
         yield held
 
 
-def hashed_words(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For runs of texts: the hashes of their words in order, and the number of
-    words of each text. Null counts as empty."""
+def word_spans(texts) -> Iterator[tuple[np.ndarray, ...]]:
+    """For runs of texts: the hashes of their words in order, the number of
+    words of each text, the bytes that all of them lie in, where each word
+    starts and ends there, and where each text begins. Null counts as empty;
+    one newline follows each text."""
     for raws in _chunks(texts):
         data = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)
         space = _SPACE[data]
@@ -68,7 +70,22 @@ def hashed_words(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             np.cumsum(_VALUE[data] * _power(_BASE, len(data)), out=sums[1:])
             words = mixed((sums[end] - sums[start]) * _power(_BACK, len(data))[start])
         ends = np.cumsum([len(r) + 1 for r in raws])
-        yield words, np.diff(np.searchsorted(start, ends), prepend=0)
+        yield words, np.diff(np.searchsorted(start, ends), prepend=0), data, start, end, np.r_[0, ends[:-1]]
+
+
+def hashed_words(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of texts: the hashes of their words in order, and the number of
+    words of each text. Null counts as empty."""
+    for words, counts, *_ in word_spans(texts):
+        yield words, counts
+
+
+def run_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hash of each run of words ``first <= k < last``."""
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(words) + 1, dtype=np.uint64)
+        np.cumsum(words * _power(_BASE, len(words)), out=sums[1:])
+        return mixed((sums[last] - sums[first]) * _power(_BACK, len(words))[first] + (last - first).astype(np.uint64))
 
 
 def token_sets(texts, n: int) -> Iterator[np.ndarray]:

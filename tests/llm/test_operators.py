@@ -304,20 +304,75 @@ def test_op6_rounds_agree(spark, sf):
     assert one.exceptAll(many).count() == 0
 
 
-def test_op7_matches_brute_force(spark, sf, documents):
+def brute_passages(texts, units, min_words=line_dedup.MIN_WORDS):
+    """Removals of ``units`` (lists of spans by text): those between the ends of
+    a chain of neighbouring repeated units that holds ``min_words`` words of one
+    earlier stretch."""
+    first, want = {}, set()
+    for i in sorted(texts):
+        norm = [" ".join(w.decode() for w in words(texts[i][a:b])) for a, b in units[i]]
+        where = []
+        for k, x in enumerate(norm):
+            first.setdefault(x, (i, k))
+            where.append(first[x] if first[x] != (i, k) else None)
+        k = 0
+        while k < len(norm):
+            if where[k] is None:
+                k += 1
+                continue
+            end = k
+            while end < len(norm) and where[end] is not None:
+                end += 1
+            for a in range(k, end):
+                same = [c for c in range(k, end) if where[c][0] == where[a][0] and where[c][1] - c == where[a][1] - a]
+                if sum(len(norm[c].split()) for c in same) >= min_words:
+                    want |= {(i, c, *units[i][c], *where[c]) for c in range(same[0], same[-1] + 1)}
+            k = end
+    return want
+
+
+def lines_of(text):
+    return [(m.start(), m.end()) for m in re.finditer(r"[^ \t-\r](?:[^\n]*[^ \t-\r])?", text)]
+
+
+def found_spans(rows, key="id"):
+    return {(r[key], r["unit"], r["start"], r["end"], r["keep_id" if key == "id" else "keep_doc_id"], r["keep_unit"]) for r in rows}
+
+
+def test_op7_lines_match_brute_force(spark, sf, documents):
+    texts = {i: t or "" for i, t in documents["text"].items()}
+    got = line_dedup.repeated_units(common.table(spark, sf, "documents"), "line").collect()
+    want = brute_passages(texts, {i: lines_of(t) for i, t in texts.items()})
+    assert found_spans(got) == want and want
+
+
+def test_op7_phrases_match_brute_force(spark, sf, documents):
+    texts = {i: t or "" for i, t in documents["text"].items()}
+    units = {}
+    for i, t in texts.items():
+        u = line_dedup.units_of([t], "phrase")
+        units[i] = list(zip(u["start"], u["end"]))
+        assert [w for a, b in units[i] for w in words(t[a:b])] == words(t) and u["n_words"].tolist() == [len(words(t[a:b])) for a, b in units[i]]
     got = Q["op7_line_hash_dedup"](spark, sf).collect()
-    seen, want = {}, set()
-    for i in sorted(documents.index):
-        at = 0
-        for k, line in enumerate((documents["text"][i] or "").split("\n")):
-            norm = " ".join(line.lower().split())
-            if len(norm.split()) >= line_dedup.MIN_WORDS:
-                if norm in seen:
-                    want.add((i, k, at, at + len(line), *seen[norm]))
-                else:
-                    seen[norm] = (i, k)
-            at += len(line) + 1
-    assert {(r["doc_id"], r["unit"], r["start"], r["end"], r["keep_doc_id"], r["keep_unit"]) for r in got} == want and want
+    want = brute_passages(texts, units)
+    assert found_spans(got, "doc_id") == want and want
+
+
+def test_op7_passages_inside_lines(spark):
+    """Passages of 51 words or more, at any place of a line, in other cases and wraps; nothing else."""
+    r = np.random.default_rng(7)
+    vocabulary = [f"{a}{b}" for a in "bcdfghklm" for b in ("a", "e", "ion", "ing", "able", "or", "en")]
+    say = lambda n: " ".join(r.choice(vocabulary, n))
+    passages = [say(int(r.integers(51, 90))) for _ in range(20)]
+    rows = [(i, f"{say(70)} {passages[i % 20] if i < 20 else passages[i % 20].upper()} {say(50)}\n{say(30)}") for i in range(60)]
+    rows += [(i, say(200)) for i in range(60, 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = line_dedup.repeated_units(df, "phrase").toPandas()
+    assert set(got["id"]) <= set(range(20, 60)) and len(set(got["id"])) >= 38
+    texts = dict(rows)
+    for _, x in got.iterrows():
+        assert texts[x["id"]][x["start"]:x["end"]].lower() in passages[x["id"] % 20]
+        assert x["n_words"] < 4 or x["keep_id"] == x["id"] % 20  # shorter units inside a passage may have occurred before by chance
 
 
 def test_op7_passage_in_short_lines(spark):
@@ -325,17 +380,34 @@ def test_op7_passage_in_short_lines(spark):
     rows = [(1, "\n".join(["head of one", *lines])), (2, "\n".join(["of two", *lines[:3], "", *lines[3:], "tail"])), (3, f"{lines[0]}\nalone\n{lines[4]}"), (4, f"x\n{lines[1]}\n{lines[2]}\ny")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["id"], r["unit"], r["keep_id"], r["keep_unit"]) for r in line_dedup.repeated_units(df).collect())
-    assert got == [(2, u, 1, k) for u, k in zip((1, 2, 3, 5, 6, 7), range(1, 7))]
+    assert got == [(2, u, 1, u) for u in range(1, 7)]
     left = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeats(df).collect()}
     assert left == {**dict(rows), 2: "of two\n\ntail"}
+    parts = spark.createDataFrame([(1, "\n \n".join(lines)), (2, "x\n\n" + "\n\n".join(lines))], "doc_id long, text string")
+    assert line_dedup.repeated_units(parts, "paragraph").count() == 6
 
 
 def test_op7_cut_and_odd(spark, odd, empty):
     line = " ".join(f"w{i}" for i in range(60))
-    df = spark.createDataFrame([(1, f"head\n{line}\ntail"), (2, f"{line.upper()}\nother"), (3, None), (3, "")], "doc_id long, text string")
-    assert sorted(str(r["text"]) for r in line_dedup.drop_repeats(df).collect()) == sorted([f"head\n{line}\ntail", "other", "None", ""])
-    assert line_dedup.drop_repeats(odd, min_words=5).count() == 10
-    assert line_dedup.repeated_units(empty).count() == 0
+    rows = [(1, f"head\n{line}\ntail", "a"), (2, f"{line.upper()}\nother", "b"), (3, None, "c"), (3, "", "d"), (None, f"{line}\nx", "e"), (None, f"y\n{line}", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumns({"cuts": F.lit(1), "_cuts": F.lit(2)})
+    left = line_dedup.drop_repeats(df)
+    assert left.columns == df.columns
+    assert {r["row"]: r["text"] for r in left.collect()} == {"a": f"head\n{line}\ntail", "b": "other", "c": None, "d": "", "e": "x", "f": "y\n"}
+    for unit in line_dedup.UNITS:
+        assert line_dedup.drop_repeats(odd, unit, min_words=5).count() == 10
+        assert line_dedup.repeated_units(empty, unit).count() == 0
+
+
+def test_op7_hot_unit(spark, monkeypatch):
+    """A line that most texts have goes by broadcast, the others by shuffle; the result is the same."""
+    line = " ".join(f"h{i}" for i in range(30))
+    df = spark.range(400).selectExpr("id AS doc_id", f"concat('{line}', chr(10), 'own ', id div 2, ' ', '{line[:-1]}') AS text")
+    found = []
+    for groups in (1 << 16, 1):
+        monkeypatch.setattr(line_dedup, "HOT_GROUPS", groups)
+        found.append(found_spans(line_dedup.repeated_units(df).collect()))
+    assert found[0] == found[1] and len(found[0]) == 399 + 200
 
 
 def test_op8_round_trip(spark, sf, documents):
