@@ -3,6 +3,7 @@ access and connected components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,10 +33,13 @@ _own_dir: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session. Only where that is unset (tests, one machine) a temporary
-    folder takes its place, one for each application."""
+    the session. Only where that is unset and all runs in one process (tests) a
+    temporary folder takes its place, one for each application; a cluster
+    without the setting is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         path = _own_dir.setdefault(app, "") or tempfile.mkdtemp(prefix="marlspan-")
         _own_dir[app] = path
@@ -45,9 +49,27 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage
     ends there, and a lost executor costs no recomputation of what is above."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/marlspan-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.durable_path = path
+    return back
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a durable table that nothing reads any more."""
+    _remove(df.sparkSession, df.durable_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all durable tables of this application; results that still read them are lost."""
+    _remove(spark, f"{shared_dir(spark)}/marlspan-{spark.sparkContext.applicationId}")
 
 
 def numbered(docs: DataFrame, row_col: str = "__row") -> DataFrame:
@@ -117,7 +139,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
-        e = durable(small, "cc")
+        before, e = e, durable(small, "cc")
+        discard(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
         if now == signature:
             break
@@ -128,6 +151,27 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+#: At most so many groups can have more than one in so many of all rows.
+HOT_GROUPS = 1 << 16
+LEAST_HOT = 64
+
+
+def hot_groups(rows: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
+    """The groups of ``rows`` that have more than one in ``HOT_GROUPS`` of all
+    rows, and more than ``LEAST_HOT``: at most ``HOT_GROUPS`` of them, small
+    enough to broadcast whatever the table. Counts are combined before any shuffle."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > max(LEAST_HOT, n_rows // HOT_GROUPS)).drop("__n")
+
+
+def spread(rows: DataFrame, keys: list[str], row_col: str, n_rows: int, out: str) -> DataFrame:
+    """``rows`` with ``out``: null, but in hot groups the row's number, so that a
+    hash of keys and ``out`` deals a hot group out and depends on nothing but the
+    keys elsewhere."""
+    hot = hot_groups(rows, keys, n_rows).select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(True).alias("__hot"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.join(F.broadcast(hot), same, "left").withColumn(out, F.when(F.col("__hot"), F.col(row_col))).drop("__hot", *[f"__{k}" for k in keys])
+
+
 def with_group_facts(rows: DataFrame, keys: list[str], spread: list, partial: dict, final: dict, leaves: int) -> DataFrame:
     """``rows`` with facts about their groups, without bringing a group together.
 

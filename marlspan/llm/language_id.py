@@ -14,7 +14,9 @@ hash of the text; a prediction reads the whole text.
 Defined results: null texts and texts without a letter give ``und`` with score
 0; with no training row every text gives ``und``; ties go to the language
 first by code point; rows with null text or null language train nothing; ids
-may be null or repeat; other columns are carried untouched.
+may be null or repeat; other columns are carried untouched, and columns named
+like the two results are replaced; symbols and digits that are no letters
+(superscripts, fractions) don't make a text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -94,7 +96,7 @@ class Scorer:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text) if text else []
-        if not words or not self.model.langs:
+        if not words or not self.model.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         total, rows, get = np.zeros(len(self.model.langs)), [], self.index.get
         for w in words:
@@ -162,16 +164,19 @@ def scorer_of(key: str, shared) -> Scorer:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score."""
+    """``docs`` with the predicted language and its score, in place of columns
+    of these names that are there."""
+    new = {lang_col.lower(), score_col.lower()}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in new]
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_of(key, shared)
         for b in slices(batches):
             found = [scorer.predict(t) for t in b[text_col]]
-            yield b.assign(**{lang_col: [x[0] for x in found], score_col: [x[1] for x in found]})
+            yield b[[f.name for f in kept]].assign(**{lang_col: [x[0] for x in found], score_col: [x[1] for x in found]})
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    schema = T.StructType([*kept, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     return docs.mapInPandas(run, schema)
 
 

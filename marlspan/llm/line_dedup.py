@@ -40,14 +40,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, free_name, numbered, slices
+from .common import HOT_GROUPS, LEAST_HOT, durable, free_name, numbered, slices
 from .word_hash import MULTIPLIERS, mixed, run_hashes, word_spans
 
 UNITS = ("line", "paragraph", "phrase")
 #: One in so many pairs of words is followed by a cut.
 PHRASE = 6
 MIN_WORDS = 25
-HOT_GROUPS = 1 << 16
 UNIT_COLUMNS = "row long, id long, place int, start int, end int, n_words int, digest long"
 
 
@@ -109,7 +108,7 @@ def _with_groups(units: DataFrame) -> DataFrame:
     """``units`` of groups of two or more, with ``group_size`` and the earliest occurrence ``first``."""
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "place")
     groups = durable(units.groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
-    bar = max(64, units.count() // HOT_GROUPS)
+    bar = max(LEAST_HOT, units.count() // HOT_GROUPS)
     hot, rest = groups.where(F.col("group_size") > bar), groups.where(F.col("group_size") <= bar)
     found = units.join(F.broadcast(hot), "digest")
     others = units.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest.hint("merge"), "digest")

@@ -26,9 +26,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable
+from .common import WORD, discard, durable, spread
 
-BLOCK = 16384
+BLOCK = 2048
 
 
 def word_count(text: Column) -> Column:
@@ -79,7 +79,7 @@ def balance(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame],
     """
     state = cells.select(*margins, F.col("tokens").cast("double").alias("tokens"), F.lit(0.0).alias("eta"))
     rate = F.least(F.lit(float(cap)), F.exp("eta"))
-    top = float(np.log(cap))
+    top, held = float(np.log(cap)), None
     for step in range(steps):
         worst = 0.0
         for m in margins:
@@ -103,7 +103,10 @@ def balance(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame],
                 F.least(F.col("__top"), F.col("eta") + F.coalesce("__step", F.lit(0.0))).alias("eta"),
                 F.coalesce("__off", F.lit(0.0)).alias("__off"),
             )
-            state = durable(state, "newton")
+            before, state = held, durable(state, "newton")
+            if before is not None:
+                discard(before)
+            held = state
             worst = max(worst, state.where("tokens > 0").agg(F.max("__off")).first()[0] or 0.0)
             state = state.drop("__off")
         if worst <= tolerance:
@@ -151,11 +154,12 @@ def entropy_mix(
     # the hot source is dealt over salted keys before it meets its one row of the plan
     salts = 16
     plan = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = sized.withColumn("__salt", F.pmod(F.xxhash64("id", "row"), F.lit(salts)).cast("int"))
+    # documents that share id and size are told apart by row, if they are many
+    dealt = spread(sized, ["id", "size"], "row", int(cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), "__own").withColumn("__salt", F.pmod(F.xxhash64("id", "row"), F.lit(salts)).cast("int"))
     known = dealt.join(plan, (dealt["source"].eqNullSafe(plan["__t"])) & (dealt["__salt"] == plan["__salt"]))
     known = known.select(
         "id", "row", "source", "size", "source_size", "target", "rate",
-        F.pmod(F.xxhash64(F.lit(7), "id", "size"), "blocks").alias("block"),
+        F.pmod(F.xxhash64(F.lit(7), "id", "size", "__own"), "blocks").alias("block"),
     )
     out = "id long, row long, source string, size long, source_size long, target double, rate double, block long, copies long"
     return known.groupBy("source", "block").applyInPandas(_one_block, out).drop("block")

@@ -68,6 +68,51 @@ def test_op2_pages(page):
     assert html_extract.extract_text(page) == PAGES[page]
 
 
+def test_op1_scores_match_brute_force(spark, sf, documents):
+    """Counts, smoothing and back-off written out again over plain dictionaries."""
+    texts = {i: documents["text"][i] for i in list(documents.index)[:60]}
+    langs = sorted(set(documents["lang"].dropna()))
+    counts = collections.defaultdict(collections.Counter)
+    for i, t in texts.items():
+        if t and documents["lang"][i]:
+            counts[documents["lang"][i]].update(re.findall(r"[^\W\d_]+", t.lower()))
+    grams = collections.defaultdict(collections.Counter)
+    for x, c in counts.items():
+        for w, k in c.items():
+            for n in range(1, 5):
+                for at in range(len(w) + 3 - n):
+                    grams[x][f"_{w}_"[at:at + n]] += k
+
+    def logs(table, floor):
+        items = [w for w in set().union(*table.values()) if sum(table[x][w] for x in langs) >= floor and len(w) <= 40]
+        total = {x: sum(table[x][w] for w in items) for x in langs}
+        return {w: [math.log(table[x][w] + 0.1) - math.log(total[x] + 0.1 * len(items)) for x in langs] for w in items}
+
+    known, parts = logs(counts, 2), logs(grams, 3)
+    rows = [(i, t) for i, t in documents["text"].items() if i not in texts][:60]
+    model = language_id.train(spark.createDataFrame([(t, documents["lang"][i]) for i, t in texts.items()], "text string, lang string"))
+    for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        total, found = [0.0] * len(langs), re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
+        for w in found:
+            got = [known[w]] if w in known else []
+            for at in range(0 if w in known else len(w) + 2):
+                got += next(([parts[g]] for n in range(4, 0, -1) if at + n <= len(w) + 2 and (g := f"_{w}_"[at:at + n]) in parts), [])
+            total = [a + sum(g[k] for g in got) / max(1, len(got)) for k, a in enumerate(total)]
+        if found:
+            odds = [math.exp((a - max(total)) / len(found)) for a in total]
+            assert r["lang_pred"] == langs[odds.index(max(odds))] and r["score"] == pytest.approx(max(odds) / sum(odds), rel=1e-9)
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+
+
+def test_op1_clashing_columns_and_texts_without_letters(spark, odd):
+    model = language_id.train(odd.select("text", "lang"))
+    df = spark.createDataFrame([("² ½", "was", 5, "k"), ("the dog", None, None, None)], "text string, lang_pred string, Score int, lang string")
+    got = language_id.predict(df, model)
+    assert got.columns == ["text", "lang", "lang_pred", "score"]
+    assert {r["text"]: r["lang_pred"] == "und" for r in got.collect()} == {"² ½": True, "the dog": False}
+
+
 def test_op2_broken_markup_ends():
     for bad in ("<p title=\"unclosed>q</p> more", "<" * 2000, "<div>" * 300 + "deep", "</p></div>stray", "<!-- open", "<script>never ends"):
         html_extract.extract_text(bad)
@@ -227,6 +272,9 @@ def test_op4_two_margins(spark):
 def test_op4_odd(odd, empty):
     got = mixing.entropy_mix(odd, [3.0, 1.0, 2.0]).collect()
     assert len(got) == 10 and all(r["copies"] == 0 for r in got if r["size"] == 0)
+    same = odd.sparkSession.range(6000).selectExpr("cast(null AS long) AS doc_id", "'a b c' AS text", "'s' AS source")
+    mixed = mixing.entropy_mix(same, [1.0], share=1.5).toPandas()
+    assert mixed["block"].value_counts().max() < 2.5 * 6000 / 3 if "block" in mixed else abs(mixed["copies"].sum() - 9000) <= 3
     assert mixing.entropy_mix(empty, [3.0, 1.0]).count() == 0
 
 
@@ -445,6 +493,38 @@ def test_op8_children_hold_every_item_once():
         assert sorted(i for b in bins for i in b) == list(range(200)) and [sum(sizes[i] for i in b) for b in bins] == fill and max(fill) <= 100
 
 
+def test_op8_children_beat_best_fit_decreasing():
+    """Items of a fifth to a half of a sequence, where best-fit decreasing wastes room."""
+    import random
+
+    for seed in range(3):
+        sizes = [random.Random(seed * 1000 + k).randint(410, 1024) for k in range(240)]
+        plain: tuple = ([], [])
+        packing.best_fit(sorted(range(240), key=lambda i: -sizes[i]), sizes, 2048, *plain)
+        pool = packing.evolve(sizes, 2048, [], "s", packing.POPULATION, packing.GENERATIONS)
+        assert len(pool[0][0]) < len(plain[0])
+        for bins, fill in pool:
+            assert sorted(i for b in bins for i in b) == list(range(240)) and [sum(sizes[i] for i in b) for b in bins] == fill and max(fill) <= 2048
+
+
+def test_op8_full_pieces_of_late_rows(spark):
+    pieces = spark.createDataFrame([(2**43 + k, 1, p, 64 * p, 64 if p < 3 else 5, 0) for k in range(4) for p in range(4)],
+                                   "row long, id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(common.durable(pieces), 64).toPandas()
+    fills = got.groupby("sequence_id")["length"].sum()
+    assert len(got) == 16 and fills.max() <= 64 and len(fills) == 13
+
+
+def test_op8_other_vocabularies_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    t = Tokenizer(models.BPE({"a": 0, "b": 1, " ": 2, "ab": 3, "a b": 4, "a ": 5}, [("a", "b"), ("a", " "), ("a ", "b")]))
+    t.save(str(tmp_path / "t.json"))
+    e = packing.WordEncoder(str(tmp_path / "t.json"))
+    assert not e.by_word and np.frombuffer(e.encode(["a b", "ab"])[0], "<u4").tolist() == t.encode("a b").ids
+    assert packing.encoder(packing.vocabulary("word_bpe_49k.json")).by_word
+
+
 def test_op8_odd(odd, empty):
     got = packing.pack_documents(odd, capacity=64).collect()
     assert len({r["row"] for r in got}) == 10 and all(r["length"] <= 64 for r in got)
@@ -504,6 +584,27 @@ def test_op10_laws(spark, sf, documents):
     assert got["size"].tolist() == [len(t) + 8 for t in text] and got["text_crc32"].tolist() == [zlib.crc32(t) for t in text]
 
 
+def test_op10_same_under_any_partition_count(spark, sf):
+    docs, conf, found = common.table(spark, sf, "documents"), "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(conf)
+    for n in ("3", "7"):
+        spark.conf.set(conf, n)
+        found.append(sharding.shard_plan(docs, 5, bucket_records=16).toPandas().sort_values("id"))
+    spark.conf.set(conf, before)
+    assert (found[0].to_numpy() == found[1].to_numpy()).all()
+    assert sorted(found[0]["shard"] + 5 * found[0]["slot"]) == list(range(len(found[0])))
+    # a permutation, not the order of the rows
+    assert abs(np.corrcoef(found[0]["id"], found[0]["shard"] + 5 * found[0]["slot"])[0, 1]) < 0.3
+
+
+def test_op10_repeated_records_are_spread(spark):
+    docs = spark.range(3000).selectExpr("cast(null AS long) AS doc_id", "'same' AS text")
+    keyed = sharding._scattered(docs, [F.lit(1).alias("x")], [F.col("doc_id").alias("id"), F.xxhash64("text").alias("key")], 3000, 10, 1)
+    sizes = keyed.groupBy("bucket").count().toPandas()["count"]
+    assert len(sizes) == 10 and sizes.max() < 400
+    assert sharding.shard_plan(docs, 4, bucket_records=300).groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] == 0
+
+
 def test_op10_odd_and_files(spark, odd, empty, tmp_path):
     assert sharding.shard_plan(odd, 3, bucket_records=3).count() == 10 and sharding.shard_plan(empty, 3).count() == 0
     sharding.write_shards(odd, str(tmp_path / "s"), 3, bucket_bytes=1000)
