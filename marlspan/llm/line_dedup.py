@@ -105,14 +105,16 @@ def unit_rows(texts: DataFrame, unit: str) -> DataFrame:
 
 
 def _with_groups(units: DataFrame) -> DataFrame:
-    """``units`` of groups of two or more, with ``group_size`` and the earliest occurrence ``first``."""
+    """``units`` of groups of two or more, with ``group_size`` and the earliest
+    occurrence ``first``. Digests and ids, which don't compress, stay behind."""
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "place")
     groups = durable(units.groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
     bar = max(LEAST_HOT, units.count() // HOT_GROUPS)
     hot, rest = groups.where(F.col("group_size") > bar), groups.where(F.col("group_size") <= bar)
-    found = units.join(F.broadcast(hot), "digest")
-    others = units.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest.hint("merge"), "digest")
-    return found.unionByName(others)
+    light = units.drop("id")
+    found = light.join(F.broadcast(hot), "digest")
+    others = light.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest.hint("merge"), "digest")
+    return found.unionByName(others).drop("digest")
 
 
 def _passages(candidates: DataFrame, min_words: int) -> DataFrame:
@@ -130,15 +132,16 @@ def _passages(candidates: DataFrame, min_words: int) -> DataFrame:
 def _repeated(texts: DataFrame, unit: str, min_words: int) -> DataFrame:
     units = durable(unit_rows(texts, unit), "units")
     candidates = _with_groups(units).where((F.col("row") != F.col("first.row")) | (F.col("place") != F.col("first.place")))
-    return _passages(candidates, min_words).select(
-        "row", "id", F.col("place").alias("unit"), "start", "end", "n_words", F.lower(F.lpad(F.hex("digest"), 16, "0")).alias("digest"),
+    ids = units.where("place = 0").select("row", "id")
+    return _passages(candidates, min_words).join(ids.hint("merge"), "row").select(
+        "row", "id", F.col("place").alias("unit"), "start", "end", "n_words",
         "group_size", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), F.col("first.place").alias("keep_unit"),
     )
 
 
 def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """Per removal: ``row, id, unit, start, end, n_words, digest, group_size``
+    """Per removal: ``row, id, unit, start, end, n_words, group_size``
     and the occurrence that stays, ``keep_id, keep_row, keep_unit``. Units are
     numbered from 0 in each text."""
     return _repeated(docs.select(

@@ -74,7 +74,7 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
 def op7_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removals = repeated_units(table(spark, sf_dir, "documents"), unit="phrase")
     return removals.select(
-        F.col("id").alias("doc_id"), "unit", "start", "end", "n_words", "digest", "group_size",
+        F.col("id").alias("doc_id"), "unit", "start", "end", "n_words", "group_size",
         F.col("keep_id").alias("keep_doc_id"), "keep_unit",
     )
 
