@@ -2,21 +2,28 @@
 
 A page becomes a light element tree. For each element the density is its
 characters per tag, corrected by how much of its text is in links: link-laden
-elements fall far below prose. The sum of the densities of an element's
-children marks where prose gathers; the element with the largest sum is the
-content, and the least density on its path to the body is the threshold that
-its neighbours must reach to be content as well.
+elements fall far below prose. The sum of the densities of an element's child
+blocks marks where prose gathers (inline elements dress the text of their block
+and add nothing to the sum); the element with the largest sum is the content,
+and the least density on its path to the body is the threshold that neighbours
+of the path must reach to be content as well.
 
-Elements that are never the article (menus, page headers and footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) are taken out by
-element name, role or class before densities are computed.
+Elements of the roles that are never the article (menus, page headers and
+footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
+are taken out before densities are computed, by element name, role, or a class
+or id that says so. Classes that may mean such a part or prose (related, share,
+legal, reviews and the like) decide nothing by themselves: such an element goes
+only if its density is below the threshold.
 
 Text comes out as blocks in page order, one line each: character references
 decoded, white space inside a block turned into one space, ends trimmed.
 
 Defined results: null or empty html gives the empty text; broken markup is read
 as far as it goes (unclosed elements end with their parent, stray ends are
-ignored); repeated rows give repeated results; other columns are carried along.
+ignored); very long and very deeply nested pages are read whole, in time that
+grows with their length; repeated rows give repeated results; of equal sums the
+outer element wins; other columns are carried along, one that is named like the
+result is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +31,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,8 +49,8 @@ TOKEN = re.compile(
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NEVER = {
-    "head", "script", "style", "noscript", "template", "iframe", "object", "embed", "svg", "canvas", "math", "audio", "video",
-    "nav", "menu", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "label", "fieldset", "dialog",
+    "head", "script", "style", "noscript", "template", "iframe", "embed", "svg", "canvas", "audio", "video",
+    "nav", "menu", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "dialog",
     "title", "noembed", "noframes",
 }
 INLINE = {
@@ -59,13 +68,23 @@ ENDS = {
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 HEADERS = {"header", "site-header", "page-header", "siteheader", "pageheader"}
-BOILER = re.compile(
-    r"(?:^|(?<=[\s_-]))(ads?|adverts?|advertisements?|adsense|adslot|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|"
-    r"breadcrumbs?|side-?bar|footer|masthead|(?:site|page)?-?header|topbar|cookies?|consent|gdpr|notice|notification|alert|popup|"
-    r"modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|comments?|"
-    r"comment-?list|commentlist|disqus|respond|replies|reply|reviews?|pagination|pager|copyright|disclaimer|legal|toolbar|skip-?link)"
-    r"(?=$|[\s_-]|\d)", re.I,
-)
+# Words of class and id names that say what role an element has, and words that only hint at one.
+ROLE_NAMES = (
+    "ads? adverts? advertisements? adsense adslot sponsor sponsored nav navbar navigation menu breadcrumbs? side-?bar footer masthead "
+    "(?:site|page)?-?header topbar cookies? consent gdpr notice notification newsletter subscribe signup login comments? comment-?list "
+    "disqus respond replies skip-?link"
+).split()
+HINT_NAMES = (
+    "banner promo promotion alert popup modal overlay share sharing social related recommended widget reply reviews? pagination pager "
+    "copyright disclaimer legal toolbar"
+).split()
+
+
+def _names(words: list[str]) -> re.Pattern:
+    return re.compile(rf"(?:^|(?<=[\s_-]))({'|'.join(words)})(?=$|[\s_-]|\d)", re.I)
+
+
+ROLE, HINT = _names(ROLE_NAMES), _names(HINT_NAMES)
 
 
 #: The logarithm's base nears 1 where an element and the page have no links; its own logarithm is held above this.
@@ -73,95 +92,91 @@ LEAST_LOG = 0.25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "dead", "chars", "tags", "link_chars", "link_tags", "density", "gathered", "first", "last")
+    __slots__ = ("tag", "parent", "block", "kids", "dead", "hint", "chars", "tags", "link_chars", "link_tags", "density", "gathered", "first", "last")
 
-    def __init__(self, tag: str, parent: Node | None, dead: bool):
-        self.tag, self.parent, self.dead = tag, parent, dead
+    def __init__(self, tag: str, parent: Node | None, dead: bool, hint: bool):
+        self.tag, self.parent, self.dead, self.hint = tag, parent, dead, hint
+        #: The nearest element that is no inline one: itself, or above.
+        self.block: Node = parent.block if parent is not None and tag in INLINE else self
         self.kids: list[Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.gathered = 0.0
         self.first = self.last = 0
 
 
-def _is_boiler(tag: str, attributes: str, in_room: bool) -> bool:
+def _role(tag: str, attributes: str, in_room: bool) -> tuple[bool, bool]:
+    """Whether an element has a role that is never the article, and whether a name hints at one."""
     if tag in NEVER or tag == "header" and not in_room:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes.lower():
-        return False
+        return False, False
+    hint = False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name in ("class", "id"):
-            found = {m.strip("-_ ").lower() for m in BOILER.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", value))}
+            parts = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
+            found = {m.strip("-_ ").lower() for m in ROLE.findall(parts)}
             if found - (HEADERS if in_room else set()):
-                return True
-    return False
+                return True, False
+            hint = hint or HINT.search(parts) is not None
+    return False, hint
 
 
 def _parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
     """The tree, and its text in page order: (element, text), or (element, None)
-    where a block begins or ends."""
-    root = Node("#page", None, False)
-    here, flow, at = root, [], 0
+    where a block begins or ends. The open elements and where each name is open
+    are kept, so a tag costs the elements that it closes."""
+    root = Node("#page", None, False, False)
+    path, flow, at = [root], [], 0
+    open_at: defaultdict[str, list[int]] = defaultdict(list)
 
-    def close(to: Node) -> Node:
-        to.last = len(flow)
-        if to.tag not in INLINE:
-            flow.append((to, None))
-        return to.parent
+    def close(depth: int) -> None:
+        """Close the open elements from ``depth`` on, innermost first."""
+        while len(path) > depth:
+            node = path.pop()
+            open_at[node.tag].pop()
+            node.last = len(flow)
+            if node.tag not in INLINE:
+                flow.append((node, None))
 
     pos, end = 0, len(page)
     find = TOKEN.search
     while pos < end:
         m = find(page, pos)
         if m is None:
-            flow.append((here, page[pos:]))
+            flow.append((path[-1], page[pos:]))
             break
         if m.start() > at:
-            flow.append((here, page[at:m.start()]))
+            flow.append((path[-1], page[at:m.start()]))
         pos = at = m.end()
         tag = m[2] or m[5]
         if tag is None:
             continue
         tag, attributes = tag.lower(), (m[3] if m[2] else m[6]) or ""
         if m[1] or m[4]:
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                while here is not up:
-                    here = close(here)
-                here = close(here)
+            if open_at[tag]:
+                close(open_at[tag][-1])
             continue
-        if tag == "body" or tag not in INLINE and tag not in RAW and tag not in VOID and here.tag == "head":
-            while here.tag == "head":
-                here = close(here)
+        if (tag == "body" or tag not in INLINE and tag not in RAW and tag not in VOID) and path[-1].tag == "head":
+            while path[-1].tag == "head":
+                close(len(path) - 1)
         if tag not in INLINE and tag not in VOID:
             # a block ends the paragraph that it opens in
-            up = here
-            while up is not root and up.tag in INLINE:
-                up = up.parent
+            up = path[-1].block
             if up.tag == "p" or up.tag in HEADINGS and tag in HEADINGS:
-                while here is not up:
-                    here = close(here)
-                here = close(here)
+                close(open_at[up.tag][-1])
             if tag in ENDS:
                 enders, holders = ENDS[tag]
-                up, last = here, None
-                while up is not root and up.tag not in holders:
-                    last = up if up.tag in enders else last
-                    up = up.parent
-                if last is not None:
-                    while here is not last:
-                        here = close(here)
-                    here = close(here)
-        in_room = False
-        if tag == "header" or "header" in attributes:
-            up = here
-            while up is not None and not in_room:
-                in_room, up = up.tag in ROOMS, up.parent
-        node = Node(tag, here, here.dead or _is_boiler(tag, attributes, in_room))
+                held = max((open_at[x][-1] for x in holders if open_at[x]), default=0)
+                inside = [open_at[x][k] for x in enders if (k := bisect_right(open_at[x], held)) < len(open_at[x])]
+                if inside:
+                    close(min(inside))
+        in_room = any(open_at[x] for x in ROOMS)
+        here = path[-1]
+        dead, hint = _role(tag, attributes, in_room)
+        node = Node(tag, here, here.dead or dead, hint)
         here.kids.append(node)
         if tag not in INLINE:
             flow.append((node, None))
@@ -176,10 +191,10 @@ def _parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
             pos = at = stop.end() if stop else end
             node.last = len(flow)
             continue
-        here = node
-    while here is not None:
-        here.last = len(flow)
-        here = here.parent
+        open_at[tag].append(len(path))
+        path.append(node)
+    close(1)
+    root.last = len(flow)
     return root, flow
 
 
@@ -211,31 +226,35 @@ def _densities(root: Node, flow: list[tuple[Node, str | None]]) -> list[Node]:
         base = math.log(c / plain * node.link_chars + share * c + math.e)
         node.density = c / t * math.log(max(c / lc * t / lt, 1.0)) / max(math.log(base), LEAST_LOG)
     for node in order:
-        node.gathered = sum(k.density for k in node.kids if not k.dead)
+        # inline elements are dressed text of their block; its own density speaks for them
+        node.gathered = sum(k.density for k in node.kids if not k.dead and k.tag not in INLINE)
     return order
 
 
-def extract_text(page: str | None) -> str:
-    if not page:
-        return ""
-    root, flow = _parse(page)
-    order = _densities(root, flow)
+def _content(root: Node, order: list[Node]) -> tuple[list[Node], float]:
+    """The element where densities gather most with the neighbours of its path
+    to the body that reach the path's least density; and that threshold."""
     best = max(order, key=lambda n: n.gathered)
-    if not best.gathered:
-        best = root
-    path, up = [], best
+    path, up = [], best if best.gathered else root
     while up is not None:
         path.append(up)
         up = up.parent
-    body = next((n for n in path if n.tag == "body"), root)
-    inside = path[:path.index(body) + 1]
+    inside = path[:next((k for k, n in enumerate(path) if n.tag == "body"), len(path) - 1) + 1]
     threshold = min((n.density for n in inside if n.density), default=0.0)
-    # an article or main element around the content is the content
-    room = next((n for n in reversed(inside) if n.tag in ROOMS), None)
-    chosen = [room or best]
-    if room is None:
-        for low, high in zip(inside, inside[1:]):
-            chosen += [k for k in high.kids if k is not low and not k.dead and (k.density >= threshold or k.tag in HEADINGS) and k.chars]
+    chosen = [path[0]]
+    for low, high in zip(inside, inside[1:]):
+        chosen += [k for k in high.kids if k is not low and not k.dead and k.chars and (k.density >= threshold or k.tag in HEADINGS)]
+    return chosen, threshold
+
+
+def extract_text(page: str | None) -> str:
+    if not page:
+        return ""
+    root, flow = _parse(page)
+    order = _densities(root, flow)
+    chosen, threshold = _content(root, order)
+    for node in order:  # parents before children
+        node.dead = node.parent is not None and node.parent.dead or node.hint and node.density < threshold
     spans = sorted((n.first, n.last) for n in chosen)
     blocks, now = [], []
     for first, last in spans:

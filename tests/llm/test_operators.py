@@ -118,6 +118,85 @@ def test_op2_broken_markup_ends():
         html_extract.extract_text(bad)
 
 
+def test_op2_long_and_deep_pages():
+    """Time grows with the length of a page, however deep it is; nothing is cut."""
+    import time
+
+    def took(page):
+        began = time.perf_counter()
+        html_extract.extract_text(page)
+        return time.perf_counter() - began
+
+    for make in (lambda n: "<div>" * n + "deep text" + "</em>" * n, lambda n: "<div>" * n + "<header>x" * n, lambda n: "<p>" + "<b>" * n + "<div>a</div>" * n,
+                 lambda n: "<ul><li>" + "<div>" * n + "<li>item" * n, lambda n: "<article>" + "<p>some words here</p>" * n):
+        took(make(200))
+        small, large = min(took(make(1000)) for _ in range(3)), min(took(make(8000)) for _ in range(2))
+        assert large < 40 * small + 0.2
+    body = "<article>" + "".join(f"<p>Paragraph {i} has a few words of its own.</p>" for i in range(20_000)) + "</article>"
+    assert len(html_extract.extract_text(body).split("\n")) == 20_000
+
+
+def plain_densities(root, flow):
+    """Counts of every element from the spans of the page, and the densities by their formula."""
+    def live(n):
+        return n is None or not n.dead and live(n.parent)
+
+    nodes, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        nodes.append(n)
+        todo += [k for k in n.kids if not k.dead]
+    under = {id(n): [] for n in nodes}
+    for n in nodes:
+        up = n.parent
+        while up is not None:
+            under[id(up)].append(n)
+            up = up.parent
+    text = collections.Counter()
+    for n, t in flow:
+        if t and not n.dead:
+            text[id(n)] += len(t.strip())
+    chars = {id(n): sum(text[id(k)] for k in [n, *under[id(n)]]) for n in nodes}
+    outer_links = {id(n): [k for k in [n, *under[id(n)]] if k.tag == "a"] for n in nodes}
+    share = sum(chars[id(k)] for k in outer_links[id(root)]) / (chars[id(root)] or 1)
+    out = {}
+    for n in nodes:
+        c, t = chars[id(n)], len(under[id(n)]) or 1
+        linked = sum(chars[id(k)] for k in outer_links[id(n)])
+        if c:
+            base = math.log(c / ((c - linked) or 1) * linked + share * c + math.e)
+            out[id(n)] = c / t * math.log(max(c / (linked or 1) * t / (len(outer_links[id(n)]) or 1), 1.0)) / max(math.log(base), 0.25)
+    return nodes, {id(n): out.get(id(n), 0.0) for n in nodes}
+
+
+def test_op2_densities_match_brute_force(sf):
+    pages = pd.read_parquet(sf.replace("sf0.001", "sf0.01") + "/pages.parquet")["html"].tolist()
+    for page in pages:
+        root, flow = html_extract._parse(page)
+        order = html_extract._densities(root, flow)
+        nodes, density = plain_densities(root, flow)
+        assert {id(n) for n in order} == {id(n) for n in nodes}
+        gathered = {id(n): sum(density[id(k)] for k in n.kids if not k.dead and k.tag not in html_extract.INLINE) for n in nodes}
+        for n in order:
+            assert n.density == pytest.approx(density[id(n)], rel=1e-9) and n.gathered == pytest.approx(gathered[id(n)], rel=1e-9)
+        chosen, threshold = html_extract._content(root, order)
+        assert gathered[id(chosen[0])] == pytest.approx(max(gathered.values()), rel=1e-9)
+        # the article of the driver's pages, found without its name
+        assert chosen[0].tag == "article" and threshold <= density[id(chosen[0])]
+
+
+def test_op2_density_decides_without_names():
+    prose = "".join(f"<p>Sentence {i} of the story, with enough words to be prose and not a label.</p>" for i in range(6))
+    links = "".join(f"<li><a href=/{i}>Go to page {i}</a></li>" for i in range(12))
+    page = f"<body><div><ul>{links}</ul></div><div><h2>Story</h2><div>{prose}</div></div><div><a href=x>More</a> <a href=y>Less</a></div></body>"
+    got = html_extract.extract_text(page).split("\n")
+    assert got[0] == "Story" and len(got) == 7 and all(x.startswith("Sentence") for x in got[1:])
+    # a name that only hints keeps prose and loses links
+    page = f"<body><article>{prose}<div class='reviews'>{prose}</div><div class='related'><ul>{links}</ul></div><div class='comments'>{prose}</div><fieldset><p>Kept words stand here, as prose does.</p></fieldset></article></body>"
+    got = html_extract.extract_text(page).split("\n")
+    assert len(got) == 13 and got[-1].startswith("Kept")
+
+
 def test_op2_whole_table(spark, sf):
     got = Q["op2_text_density_html"](spark, sf).toPandas()
     raw = pd.read_parquet(f"{sf}/pages.parquet").set_index("page_id")["html"]
