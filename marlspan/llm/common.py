@@ -106,13 +106,64 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: At most so many groups can have more than one in so many of all rows.
+HOT_GROUPS = 1 << 16
+LEAST_HOT = 64
+
+
+def hot_groups(rows: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
+    """The groups of ``rows`` that have more than one in ``HOT_GROUPS`` of all
+    rows, and more than ``LEAST_HOT``: at most ``HOT_GROUPS`` of them, small
+    enough to broadcast whatever the table. Counts are combined before any shuffle."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > max(LEAST_HOT, n_rows // HOT_GROUPS)).drop("__n")
+
+
+def spread(rows: DataFrame, keys: list[str], row_col: str, n_rows: int, out: str) -> DataFrame:
+    """``rows`` with ``out``: null, but in hot groups the row's number, so that a
+    hash of keys and ``out`` deals a hot group out and depends on nothing but the
+    keys elsewhere."""
+    hot = hot_groups(rows, keys, n_rows).select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(True).alias("__hot"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.join(F.broadcast(hot), same, "left").withColumn(out, F.when(F.col("__hot"), F.col(row_col))).drop("__hot", *[f"__{k}" for k in keys])
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n_rows: int, size: str = "n") -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row per group with
+    ``size``, the number of its rows. Facts of hot groups (at most ``HOT_GROUPS``
+    of them, as in :func:`hot_groups`) come by broadcast, so their rows stay
+    where they are; all others are joined by shuffle, at most one in
+    ``HOT_GROUPS`` of the rows to a key. Keys must not be null."""
+    bar = max(LEAST_HOT, n_rows // HOT_GROUPS)
+    hot, rest = facts.where(F.col(size) > bar).drop(size), facts.where(F.col(size) <= bar).drop(size)
+    found = rows.join(F.broadcast(hot), keys)
+    return found.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys))
+
+
+def with_group_facts(rows: DataFrame, keys: list[str], spread: list, partial: dict, final: dict, leaves: int) -> DataFrame:
+    """``rows`` with facts about their groups, without bringing a group together.
+
+    A group is aggregated per leaf (``leaves`` of them, dealt by a hash of
+    ``spread``), the leaves' results are aggregated per group, and the facts go
+    back to the rows leaf by leaf: a join meets at most ``leaves`` rows of one
+    group on one side and one leaf's share of it on the other. ``partial`` maps
+    names to aggregates of rows, ``final`` maps the same or fewer names to
+    aggregates of those. Keys must not be null.
+    """
+    dealt = rows.withColumn("__leaf", F.pmod(F.xxhash64(*spread), F.lit(leaves)).cast("int"))
+    parts = dealt.groupBy("__leaf", *keys).agg(*[c.alias(k) for k, c in partial.items()])
+    whole = parts.groupBy(*keys).agg(*[c.alias(k) for k, c in final.items()])
+    down = parts.select("__leaf", *keys).join(whole, keys)
+    return dealt.join(down, ["__leaf", *keys]).drop("__leaf")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as ``edges(a, b)`` of longs.
 
     Alternates large-star and small-star steps until no edge changes; every
     step is one or two shuffles of at most the edges, and the tables between
-    steps are durable. Hot vertices: a star step needs the minimum neighbour
-    of each vertex, which is a pre-aggregated ``min``, joined back to the edges.
+    steps are durable. A star step needs the minimum neighbour of each vertex,
+    which is a pre-aggregated ``min``; it goes back to the edges of hubs by
+    broadcast and to the others by shuffle (see :func:`join_facts`).
 
     Returns ``(node, component)`` for every vertex that has an edge, where
     ``component`` is the smallest vertex reachable. No edges: no rows.
@@ -121,19 +172,20 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     ).distinct()
     e = durable(e, "cc")
+    n_edges = e.count()
     signature = None
     for _ in range(rounds):
         # large star: neighbours larger than u are linked to the smallest neighbour of u
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        m = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = (
-            both.join(m, "u").where("v > u")
+            join_facts(both, m, ["u"], 2 * n_edges).where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v").distinct()
         )
         # small star: u and its smaller neighbours are linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        pairs = join_facts(large, low, ["u"], n_edges)
         small = (
             pairs.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v")))
@@ -142,6 +194,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before, e = e, durable(small, "cc")
         discard(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
+        n_edges = now[0]
         if now == signature:
             break
         signature = now
@@ -149,41 +202,3 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
-
-
-#: At most so many groups can have more than one in so many of all rows.
-HOT_GROUPS = 1 << 16
-LEAST_HOT = 64
-
-
-def hot_groups(rows: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
-    """The groups of ``rows`` that have more than one in ``HOT_GROUPS`` of all
-    rows, and more than ``LEAST_HOT``: at most ``HOT_GROUPS`` of them, small
-    enough to broadcast whatever the table. Counts are combined before any shuffle."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > max(LEAST_HOT, n_rows // HOT_GROUPS)).drop("__n")
-
-
-def spread(rows: DataFrame, keys: list[str], row_col: str, n_rows: int, out: str) -> DataFrame:
-    """``rows`` with ``out``: null, but in hot groups the row's number, so that a
-    hash of keys and ``out`` deals a hot group out and depends on nothing but the
-    keys elsewhere."""
-    hot = hot_groups(rows, keys, n_rows).select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(True).alias("__hot"))
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return rows.join(F.broadcast(hot), same, "left").withColumn(out, F.when(F.col("__hot"), F.col(row_col))).drop("__hot", *[f"__{k}" for k in keys])
-
-
-def with_group_facts(rows: DataFrame, keys: list[str], spread: list, partial: dict, final: dict, leaves: int) -> DataFrame:
-    """``rows`` with facts about their groups, without bringing a group together.
-
-    A group is aggregated per leaf (``leaves`` of them, dealt by a hash of
-    ``spread``), the leaves' results are aggregated per group, and the facts go
-    back to the rows leaf by leaf: a join meets at most ``leaves`` rows of one
-    group on one side and one leaf's share of it on the other. ``partial`` maps
-    names to aggregates of rows, ``final`` maps the same or fewer names to
-    aggregates of those. Keys must not be null.
-    """
-    dealt = rows.withColumn("__leaf", F.pmod(F.xxhash64(*spread), F.lit(leaves)).cast("int"))
-    parts = dealt.groupBy("__leaf", *keys).agg(*[c.alias(k) for k, c in partial.items()])
-    whole = parts.groupBy(*keys).agg(*[c.alias(k) for k, c in final.items()])
-    down = parts.select("__leaf", *keys).join(whole, keys)
-    return dealt.join(down, ["__leaf", *keys]).drop("__leaf")

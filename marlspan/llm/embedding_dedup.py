@@ -24,9 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, shuffle_width, with_group_facts
+from .common import connected_components, durable, join_facts, shuffle_width, with_group_facts
 
-MAX_PIVOTS = 2048
+MAX_PIVOTS = 8192
 PREFIX = 6
 MIN_SHARED = 2
 TILE = 1024
@@ -46,9 +46,10 @@ def usable(vec):
 def vector_classes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
     """The rows ``id, vec, row, ok`` and, of those that can link, the class of
     equal vectors: its first row ``cls``, its size ``n``, its smallest id ``low``."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    kind = "float" if vectors.select(vec_col).schema[0].dataType.simpleString() == "array<float>" else "double"  # floats travel as such
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
     # -0.0 equals 0.0
-    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0))).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(kind))).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("ok", usable(F.col("vec")) & F.col("id").isNotNull())
     rows = rows.withColumn("digest", F.when(F.col("ok"), F.sha2(F.to_json(F.struct("vec")).cast("binary"), 256)))
     rows = durable(rows, "vectors")
@@ -94,7 +95,32 @@ def pivot_lists(reps: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
                         near[i + j] = o.astype("int32").tolist()
             yield b.assign(near=near)
 
-    return reps.mapInPandas(nearest, "cls long, n long, vec array<double>, near array<int>")
+    return reps.mapInPandas(nearest, f"cls long, n long, vec {reps.schema['vec'].dataType.simpleString()}, near array<int>")
+
+
+def _shared_first(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of pivot numbers: how many they share, and the two smallest of those as a list's number."""
+    common = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, np.int64(1) << 40)
+    common.sort(axis=1)
+    return (common < np.int64(1) << 40).sum(axis=1), common[:, 0] << 16 | common[:, 1]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that hold the same vectors together as all of ``(a, b)``."""
+    up: dict[int, int] = {}
+    kept = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        u, v = x, y
+        while (w := up.get(u, u)) != u:
+            up[u] = up.get(w, w)
+            u = w
+        while (w := up.get(v, v)) != v:
+            up[v] = up.get(w, w)
+            v = w
+        if u != v:
+            up[v] = u
+            kept.append((x, y))
+    return kept
 
 
 def _links_of(threshold: float, min_shared: int):
@@ -102,10 +128,10 @@ def _links_of(threshold: float, min_shared: int):
         keys = g[["list", "a_tile", "b_tile"]].to_numpy()
         order = np.lexsort((g["cls"], keys[:, 2], keys[:, 1], keys[:, 0]))
         keys, salts = keys[order], g["salt"].to_numpy()[order]
-        ids, sizes, near = g["cls"].to_numpy()[order], g["n"].to_numpy()[order], g["near"].to_numpy()[order]
+        ids, sizes, near = g["cls"].to_numpy()[order], g["n"].to_numpy()[order], np.stack(g["near"].to_numpy()[order]).astype(np.int64)
         m = _unit(g["vec"].to_numpy()[order])
         starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-        found = []
+        lefts, rights = [], []
         for first, last in zip(starts, [*starts[1:], len(keys)]):
             lists, a_tile, b_tile = keys[first]
             same = a_tile == b_tile
@@ -113,27 +139,35 @@ def _links_of(threshold: float, min_shared: int):
             right = left if same else first + np.flatnonzero(salts[first:last] == b_tile)
             for i in range(0, len(left), 512):
                 rows = left[i:i + 512]
-                for x, y in zip(*np.nonzero(m[rows] @ m[right].T >= threshold)):
-                    p, q = rows[x], right[y]
-                    if same and p >= q:
-                        continue
-                    shared = sorted(set(near[p]) & set(near[q]))
-                    # a pair meets in many lists and is told in the first
-                    if len(shared) >= min_shared and (shared[0] << 16 | shared[1]) == lists:
-                        found.append((ids[p], ids[q], sizes[p], sizes[q]))
-        return pd.DataFrame(found, columns=["a", "b", "n_a", "n_b"])
+                x, y = np.nonzero(m[rows] @ m[right].T >= threshold)
+                p, q = rows[x], right[y]
+                if same:
+                    p, q = p[p < q], q[p < q]
+                shared, told_in = _shared_first(near[p], near[q])
+                # a pair meets in many lists and is told in the first
+                told = (shared >= min_shared) & (told_in == lists)
+                lefts.append(p[told])
+                rights.append(q[told])
+        p, q = np.concatenate(lefts), np.concatenate(rights)
+        # a row for each vector with the links found here, and a forest of them
+        ends, at = np.unique(np.r_[ids[p], ids[q]], return_inverse=True)
+        links = np.bincount(at, np.r_[sizes[q], sizes[p]], minlength=len(ends)).astype("int64")
+        kept = np.array(_forest(ids[p], ids[q]), dtype="int64").reshape(-1, 2)
+        return pd.DataFrame({"a": np.r_[ends, kept[:, 0]], "b": np.r_[ends, kept[:, 1]], "links": np.r_[links, np.zeros(len(kept), "int64")]})
 
     return run
 
 
 def near_links(reps: DataFrame, threshold: float, prefix: int = PREFIX, min_shared: int = MIN_SHARED, tile: int = TILE) -> DataFrame:
-    """Links ``(a, b, n_a, n_b)`` between classes, each once. All vectors of
-    ``reps(cls, n, vec)`` have the same dimension as the pivots to be indexed."""
+    """Links between classes as ``(a, b, links)``: where ``a = b``, a part of the
+    number of other vectors that ``a`` is linked with, to be added up; else a
+    link. The links connect what all links connect, but a dense group gives few
+    of them. All vectors of ``reps(cls, n, vec)`` have the same dimension."""
     spark = reps.sparkSession
     if min_shared < 2:
         raise ValueError("the lists are kept per pair of pivots: min_shared is 2 at least")
     n = reps.count()
-    out = "a long, b long, n_a long, n_b long"
+    out = "a long, b long, links long"
     n_pivots = int(min(MAX_PIVOTS, n, max(2 * prefix, 2 * n ** 0.5)))
     if n_pivots < 2:
         return spark.createDataFrame([], out)
@@ -149,7 +183,9 @@ def near_links(reps: DataFrame, threshold: float, prefix: int = PREFIX, min_shar
         .select("list", "long", F.ceil(F.col("long") / tile).cast("int").alias("tiles"))
     lengths = durable(lengths, "lists")
     rows = lengths.agg(F.coalesce(F.sum(F.col("long") * F.col("tiles")), F.lit(0))).first()[0]
-    full = indexed.select("*", F.explode(pairs).alias("list")).join(lengths.drop("long"), "list")
+    # at most one list for each pair of pivots
+    full = indexed.select("*", F.explode(pairs).alias("list"))
+    full = join_facts(full, lengths.withColumnRenamed("long", "size"), ["list"], 15 * n, "size")
     salted = full.withColumn("salt", F.pmod(F.xxhash64(F.lit(13), "cls"), "tiles").cast("int"))
     tiled = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "list", F.least("salt", "other").alias("a_tile"), F.greatest("salt", "other").alias("b_tile"), "cls", "n", "vec", "near", "salt"
@@ -172,20 +208,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         part = near_links(reps.where(F.size("vec") == d), threshold)
         links = part if links is None else links.unionByName(part)
     if links is None:
-        links = rows.sparkSession.createDataFrame([], "a long, b long, n_a long, n_b long")
+        links = rows.sparkSession.createDataFrame([], "a long, b long, links long")
     links = durable(links, "links")
-    degree = links.select(F.col("a").alias("cls"), F.col("n_b").alias("m")).union(links.select("b", "n_a")).groupBy("cls").agg(F.sum("m").alias("m"))
-    comps = connected_components(links.select("a", "b")).select(F.col("node").alias("cls"), "component")
+    degree = links.where("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("m"))
+    comps = connected_components(links.where("a <> b").select("a", "b")).select(F.col("node").alias("cls"), "component")
     facts = firsts.join(degree, "cls", "left").join(comps, "cls", "left")
     lows = classes.groupBy("cls").agg(F.min("low").alias("low"))
     facts = durable(facts.join(lows, "cls").select(
-        "cls", (F.coalesce("m", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component"), "low"), "facts")
-    names = facts.groupBy("component").agg(F.min("low").alias("name"))
-    facts = facts.join(names, "component").select("cls", "n_links", "name")
-    # a class that holds a third of the rows meets its facts over salted keys
-    salts = 16
-    facts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    linked = classes.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).join(facts, ["cls", "salt"])
+        "cls", "n", (F.coalesce("m", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component"), "low"), "facts")
+    names = facts.groupBy("component").agg(F.min("low").alias("name"), F.count("*").alias("size"))
+    facts = durable(join_facts(facts, names, ["component"], rows.count(), "size").select("cls", "n", "n_links", "name"), "named")
+    linked = join_facts(classes.drop("n"), facts, ["cls"], rows.count())
     alone = rows.where("NOT ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     every = linked.select("id", "n_links", F.col("name").alias("component")).unionByName(alone)
     return every.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))

@@ -16,9 +16,8 @@ its ends are removals, with their code points in the original text. Single
 short units, which repeat by chance, point here and there and stay, and so do
 two equal digests of unequal units.
 
-Groups are pre-aggregated in every task; the join back to the units sends the
-groups with more than one in ``HOT_GROUPS`` of all units, at most that many, by
-broadcast, and the rest by shuffle, so no task meets a hot group.
+Groups are pre-aggregated in every task; hot groups go back to their units by
+broadcast and the rest by shuffle, so no task meets a hot group.
 
 What this cannot reach: up to one unit at either end of a passage, and matches
 of fewer than ``min_words`` words.
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_GROUPS, LEAST_HOT, durable, free_name, numbered, slices
+from .common import durable, free_name, join_facts, numbered, slices
 from .word_hash import MULTIPLIERS, mixed, run_hashes, word_spans
 
 UNITS = ("line", "paragraph", "phrase")
@@ -108,13 +107,8 @@ def _with_groups(units: DataFrame) -> DataFrame:
     """``units`` of groups of two or more, with ``group_size`` and the earliest
     occurrence ``first``. Digests and ids, which don't compress, stay behind."""
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "place")
-    groups = durable(units.groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
-    bar = max(LEAST_HOT, units.count() // HOT_GROUPS)
-    hot, rest = groups.where(F.col("group_size") > bar), groups.where(F.col("group_size") <= bar)
-    light = units.drop("id")
-    found = light.join(F.broadcast(hot), "digest")
-    others = light.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest.hint("merge"), "digest")
-    return found.unionByName(others).drop("digest")
+    groups = units.groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("group_size"), F.count("*").alias("n"))
+    return join_facts(units.drop("id"), durable(groups.where("n > 1"), "groups"), ["digest"], units.count()).drop("digest")
 
 
 def _passages(candidates: DataFrame, min_words: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, durable, spread
+from .common import WORD, discard, durable, join_facts, spread
 
 BLOCK = 2048
 
@@ -142,22 +142,14 @@ def entropy_mix(
     cells = durable(sized.groupBy("source").agg(F.sum("size").alias("tokens"), F.count("*").alias("n")), "cells")
     targets = durable(weighted_targets(cells, weights, share, cap), "targets")
     rates = balance(cells, ["source"], {"source": targets}, cap).select("source", "rate")
-    plan = (
-        targets.withColumnRenamed("source", "__t")
-        .join(rates.withColumnRenamed("source", "__r"), F.expr("__t <=> __r"))
-        .join(cells.select("source", "n").withColumnRenamed("source", "__n"), F.expr("__t <=> __n"))
-        .select(
-            F.col("__t"), F.col("tokens").alias("source_size"), "target", "rate",
-            F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"),
-        )
-    )
-    # the hot source is dealt over salted keys before it meets its one row of the plan
-    salts = 16
-    plan = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    plan = targets.withColumnRenamed("source", "__t") \
+        .join(rates.withColumnRenamed("source", "__r"), F.expr("__t <=> __r")) \
+        .join(cells.select("source", "n").withColumnRenamed("source", "__n"), F.expr("__t <=> __n")) \
+        .select(_key("__t"), F.col("tokens").alias("source_size"), "target", "rate", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"), "n")
+    n_rows = int(cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     # documents that share id and size are told apart by row, if they are many
-    dealt = spread(sized, ["id", "size"], "row", int(cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), "__own").withColumn("__salt", F.pmod(F.xxhash64("id", "row"), F.lit(salts)).cast("int"))
-    known = dealt.join(plan, (dealt["source"].eqNullSafe(plan["__t"])) & (dealt["__salt"] == plan["__salt"]))
-    known = known.select(
+    dealt = spread(sized, ["id", "size"], "row", n_rows, "__own").withColumn("__key", _key("source"))
+    known = join_facts(dealt, durable(plan, "plan"), ["__key"], n_rows).select(
         "id", "row", "source", "size", "source_size", "target", "rate",
         F.pmod(F.xxhash64(F.lit(7), "id", "size", "__own"), "blocks").alias("block"),
     )
@@ -165,5 +157,10 @@ def entropy_mix(
     return known.groupBy("source", "block").applyInPandas(_one_block, out).drop("block")
 
 
+def _key(source: str) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")).alias("__key")
+
+
 def _one_block(g: pd.DataFrame) -> pd.DataFrame:
     return next(_rounded(iter([g])))

@@ -49,7 +49,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, numbered, objects, shuffle_width, slices, with_group_facts
+from .common import (
+    HOT_GROUPS, LEAST_HOT, connected_components, durable, free_name, join_facts, numbered, objects, shuffle_width, slices, with_group_facts,
+)
 from .word_hash import token_sets
 
 HOT_TOKENS = 1 << 18
@@ -62,8 +64,8 @@ NEED = 10
 BATCH_TOKENS = 1_000_000
 #: Members, and asking classes, in a tile of an opened group.
 TILE = 256
-#: Tiles are dealt to so many calls.
-CALLS = 1024
+#: Rows of tiles that a call compares, about.
+CALL_ROWS = 4096
 #: Bits of the filter by which texts that need no second look are passed over.
 FILTER_BITS = 1 << 24
 
@@ -238,12 +240,16 @@ def _alike(size_a: Column, size_b: Column, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar. A class that many ask for
-    is dealt out over salted keys, one for every 256 of them."""
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
-    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")).join(salts.hint("merge"), "b") \
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    left = pairs.join(salts.hint("merge"), "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int")) \
+    """The pairs ``(a, b)`` whose sets are similar. A class that many ask for is
+    dealt out over salted keys, one for every ``TILE`` of them; there are few
+    such classes, and the list of them is broadcast."""
+    n = pairs.count()
+    asked = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > max(LEAST_HOT, n // HOT_GROUPS))
+    hot = F.broadcast(durable(asked.select("b", F.ceil(F.col("n") / TILE).cast("int").alias("salts")), "hot"))
+    salts = F.coalesce("salts", F.lit(1))
+    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")).join(hot, "b", "left") \
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    left = pairs.join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), salts).cast("int")).drop("salts") \
         .join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
     return left.join(right.hint("merge"), ["b", "salt"]).where(
@@ -270,9 +276,9 @@ def _found(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
     classes = durable(with_group_facts(
         rows.where("digest IS NOT NULL").select("row", "id", "digest", "size"), ["digest"], [F.col("row")],
-        {"cls": F.min("row"), "low": F.min("id")}, {"cls": F.min("cls"), "low": F.min("low")}, width,
-    ).select("row", "id", "digest", "size", "cls", "low"), "classes")
-    firsts = classes.where("row = cls").select("cls", "digest", "size", "low")
+        {"cls": F.min("row"), "low": F.min("id"), "n": F.count("*")}, {"cls": F.min("cls"), "low": F.min("low"), "n": F.sum("n")}, width,
+    ).select("row", "id", "digest", "size", "cls", "low", "n"), "classes")
+    firsts = classes.where("row = cls").select("cls", "digest", "size", "low", "n")
 
     lists = durable(shared_tokens(rows.select("row", F.col("size").cast("int").alias("size"), "digest", "prefix"), percent), "lists")
 
@@ -285,8 +291,9 @@ def _found(texts: DataFrame, n: int, percent: int) -> DataFrame:
     sets = durable(sets, "sets")
 
     # groups: every class and its leader
-    first = lists.groupBy("token").agg(F.max(F.struct("support", F.bitwise_not("cls").alias("not_cls"), "size")).alias("first"))
-    led = lists.join(first.select("token", F.bitwise_not("first.not_cls").alias("leader"), F.col("first.size").alias("l_size")).hint("merge"), "token") \
+    first = lists.groupBy("token").agg(F.max(F.struct("support", F.bitwise_not("cls").alias("not_cls"), "size")).alias("first"), F.count("*").alias("n"))
+    leaders = first.select("token", F.bitwise_not("first.not_cls").alias("leader"), F.col("first.size").alias("l_size"), "n")
+    led = join_facts(lists, leaders, ["token"], lists.count()) \
         .where("cls <> leader").where(_alike(F.col("size"), F.col("l_size"), percent)) \
         .groupBy("cls", "leader").agg(F.count("*").alias("n"), F.first(F.least("size", "l_size")).alias("less")) \
         .where(F.col("n") >= _need(F.col("less"))).groupBy("cls").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
@@ -303,13 +310,11 @@ def _found(texts: DataFrame, n: int, percent: int) -> DataFrame:
     component = durable(connected_components(durable(links.unionByName(more), "links")), "components")
 
     # names: the smallest id of all rows of all classes of a component
-    named = firsts.join(component.select(F.col("node").alias("cls"), "component"), "cls", "left") \
+    named = firsts.select("cls", "low", "n").join(component.select(F.col("node").alias("cls"), "component"), "cls", "left") \
         .withColumn("component", F.coalesce("component", "cls"))
     names = with_group_facts(named, ["component"], [F.col("cls")], {"name": F.min("low")}, {"name": F.min("name")}, width) \
-        .select("cls", "name", F.col("component").alias("root"))
-    salts = 16
-    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = classes.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).join(names, ["cls", "salt"]) \
+        .select("cls", "name", F.col("component").alias("root"), "n")
+    found = join_facts(classes.drop("n"), durable(names, "names"), ["cls"], classes.count()) \
         .select("row", "id", "size", F.col("name").alias("component"), "root")
     empty = rows.where("digest IS NULL").select("row", "id", "size", F.col("id").alias("component"), F.col("row").alias("root"))
     return found.unionByName(empty)
@@ -383,7 +388,9 @@ def _opened(asking: DataFrame, members: DataFrame, sets: DataFrame, percent: int
     left = asking.join(b_tiles, "grp").withColumn("x", own("a_tiles")).withColumn("y", other("b_tiles")).select("grp", "x", "y", "cls", "comp", F.lit(True).alias("asks"))
     right = members.join(b_tiles, "grp").withColumn("y", own("b_tiles")).withColumn("x", other("a_tiles")).select("grp", "x", "y", "cls", "comp", F.lit(False).alias("asks"))
     # many small groups share a task and a call, tiles of one group do not
-    many = left.unionByName(right).join(sets.hint("merge"), "cls").withColumn("call", F.pmod(F.xxhash64("grp", "x", "y"), F.lit(CALLS)))
+    tiled = durable(left.unionByName(right), "tiles")
+    calls = max(1, -(-tiled.count() // CALL_ROWS))
+    many = tiled.join(sets.hint("merge"), "cls").withColumn("call", F.pmod(F.xxhash64("grp", "x", "y"), F.lit(calls)))
     return many.groupBy("call").applyInPandas(_compare(percent), "a long, b long")
 
 
@@ -417,8 +424,9 @@ def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     of rows that share it the first. Rows are found again by a durable number,
     so null and repeated ids of unlike documents all stay. Rows without a word
     link with nothing and stay."""
-    docs_once = numbered(docs, "__row")
-    found = _found(docs_once.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, percent)
+    row_col = free_name(docs, "row")
+    docs_once = numbered(docs, row_col)
+    found = _found(docs_once.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, percent)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
-    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
-    return docs_once.join(kept, "__row").select(*docs.columns)
+    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias(row_col))
+    return docs_once.join(kept, row_col).select(*docs.columns)

@@ -38,6 +38,8 @@ ISLANDS = 2
 ROUNDS = 2
 POPULATION = 8
 GENERATIONS = 12
+#: An island's round ends after so many generations that save no sequence.
+PATIENCE = 3
 CACHED_WORDS = 1_000_000
 
 
@@ -295,12 +297,14 @@ def evolve(sizes: list[int], capacity: int, founders: list, seed: str, populatio
         pool.append(ind)
     rank = lambda p: sorted(p, key=lambda x: -fitness(x[1], capacity))
     pool = rank(pool)[:population]
-    floor = -(-sum(sizes) // capacity)
+    floor, still = -(-sum(sizes) // capacity), 0
     for _ in range(generations):
-        if len(pool[0][1]) <= floor:
+        if len(pool[0][1]) <= floor or still == PATIENCE:
             break
+        before = len(pool[0][1])
         children = [crossover(rng, *rng.sample(pool, 2), sizes, capacity) for _ in range(population)]
         pool = rank(pool + children)[:population]
+        still = 0 if len(pool[0][1]) < before else still + 1
     return pool
 
 

@@ -532,7 +532,7 @@ def test_op7_hot_unit(spark, monkeypatch):
     df = spark.range(400).selectExpr("id AS doc_id", f"concat('{line}', chr(10), 'own ', id div 2, ' ', '{line[:-1]}') AS text")
     found = []
     for groups in (1 << 16, 1):
-        monkeypatch.setattr(line_dedup, "HOT_GROUPS", groups)
+        monkeypatch.setattr(common, "HOT_GROUPS", groups)
         found.append(found_spans(line_dedup.repeated_units(df).collect()))
     assert found[0] == found[1] and len(found[0]) == 399 + 200
 
@@ -619,7 +619,17 @@ def brute_links(vectors, threshold=0.95):
     return ids, link
 
 
-def test_op9_recall(spark):
+def brute_classes(ids, link):
+    """Components and direct links of the vectors ``ids``."""
+    component = np.array(ids)
+    while True:
+        lower = np.minimum(component, np.where(link, component[None, :], np.iinfo(np.int64).max).min(axis=1))
+        if (lower == component).all():
+            return component
+        component = lower
+
+
+def test_op9_matches_brute_force(spark):
     r = np.random.default_rng(9)
     base = r.normal(size=(300, 32))
     rows = [(int(i), (base[i % 300] + 0.12 * r.normal(size=32) * (i >= 300)).tolist()) for i in range(900)]
@@ -627,7 +637,28 @@ def test_op9_recall(spark):
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas().set_index("id")
     ids, link = brute_links([(i, np.float32(v)) for i, v in rows])
     want = link.sum(axis=1)
-    assert (got["n_links"].reindex(ids).to_numpy() <= want).all() and got["n_links"].sum() >= 0.95 * want.sum()
+    found = got["n_links"].reindex(ids).to_numpy()
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    right = got["component"].reindex(ids).to_numpy() == brute_classes(ids, link)
+    assert right.mean() > 0.99 and (got["kept"] == (got.index == got["component"])).all()
+
+
+@pytest.mark.parametrize("name", ["check_s", "check_h"])
+def test_op9_recall_on_the_check_tables(spark, name):
+    import os
+
+    at = f"/root/testdata/{name}"
+    if not os.path.isdir(at):
+        pytest.skip("no such table here")
+    got = Q["op9_pivot_permutation_dedup"](spark, at).toPandas().set_index("vec_id")
+    raw = pd.read_parquet(f"{at}/embeddings.parquet")
+    good = raw[raw["embedding"].map(lambda v: v is not None and np.isfinite(v).all() and np.any(v))]
+    m = np.stack(good["embedding"]).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = np.concatenate([(m[i:i + 1000] @ m.T >= 0.95).sum(axis=1) - 1 for i in range(0, len(m), 1000)])
+    found = got["n_links"].reindex(good["vec_id"]).to_numpy()
+    assert len(got) == len(raw) and (found <= want).all() and want.sum() > 0
+    assert found.sum() >= 0.99 * want.sum()
 
 
 def test_op9_tiles_agree(spark):
@@ -635,9 +666,9 @@ def test_op9_tiles_agree(spark):
     x = r.normal(size=16)
     rows = [(int(i), int(1), (x + 0.1 * r.normal(size=16)).tolist()) for i in range(150)]
     reps = spark.createDataFrame(rows, "cls long, n long, vec array<double>")
-    ends = [F.least("a", "b"), F.greatest("a", "b")]
-    a, b = (embedding_dedup.near_links(reps, 0.95, tile=t).select(*ends) for t in (1024, 20))
+    a, b = (embedding_dedup.near_links(reps, 0.95, tile=t).where("a = b").groupBy("a").agg(F.sum("links")) for t in (1024, 20))
     assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+    assert embedding_dedup.near_links(reps, 0.95).where("a <> b").count() < 150
 
 
 def test_op9_odd(spark):
@@ -692,6 +723,16 @@ def test_op10_odd_and_files(spark, odd, empty, tmp_path):
     assert {re.sub("shard|slot", "", c) for c in back.columns} - {""} == set(odd.columns)
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    edges = [(0, k) for k in range(1, 200)] + [(k, 1000 + k) for k in range(1, 200)] + [(5000, k) for k in range(1000, 1004)]
+    got = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["component"] for r in got if r["node"] not in (1000, 5000)} == {0} and len(got) == 401
+    rows = spark.range(300).selectExpr("if(id < 250, 0, id) AS k", "id AS v")
+    facts = rows.groupBy("k").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    assert common.join_facts(rows, facts, ["k"], 300).exceptAll(rows.join(facts.drop("n"), "k").select("k", "v", "s")).count() == 0
+    assert common.hot_groups(rows, ["k"], 300).count() == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)] + [(200, 200 + k) for k in range(1, 30)]
     got = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
