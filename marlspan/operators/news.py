@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -13,49 +15,87 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Query parameters that say how a link was reached, not what it is.
-TRACKING = ["fbclid", "gclid", "ref", "source", "cmp", "ito", "mc_cid", "mc_eid", "igshid"]
+TRACKING = [
+    "fbclid", "gclid", "dclid", "yclid", "msclkid", "igshid", "ref", "ref_src", "ref_url", "mc_cid", "mc_eid", "_ga", "_gl", "ocid",
+    "cmpid", "ncid", "sref", "srnd", "oc", "output", "guccounter", "guce_referrer", "guce_referrer_sig",
+]
+# Letters of one sound or shape, as they are and as they are compared.
+FINALS, PLAIN = "ךםןףץ", "כמנפצ"
+QUOTES, STRAIGHT = "’‘“”״׳", "''\"\"\"'"
+# Character references that feeds leave in texts, in the order in which they are decoded.
+REFERENCES = [("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">")]
 
 
-def canonical_url(url: Column) -> Column:
-    """https, lower-case host without www, no tracking parameters, sorted query, no fragment or closing slash."""
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, "^[a-zA-Z]+://([^/?#]+)", 1)), "^www\\.", "")
-    path = F.regexp_replace(F.regexp_extract(url, "^[a-zA-Z]+://[^/?#]+([^?#]*)", 1), "/+$", "")
-    query = F.split(F.regexp_extract(url, "\\?([^#]*)", 1), "&")
-    name = lambda p: F.lower(F.split(p, "=")[0])
-    kept = F.array_sort(F.filter(query, lambda p: (p != "") & ~name(p).isin(TRACKING) & ~name(p).startswith("utm_")))
-    return F.concat(F.lit("https://"), host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+def decoded_link(url: Column) -> Column:
+    """The address that a link of the old article format holds in base64, else null."""
+    token = F.translate(F.regexp_extract(url, "news\\.google\\.com/(?:rss/)?articles/([A-Za-z0-9_-]+)", 1), "-_", "+/")
+    padded = F.rpad(token, (F.ceil(F.length(token) / 4) * 4).cast("int"), "=")
+    inside = F.regexp_extract(F.decode(F.try_to_binary(padded, F.lit("base64")), "ISO-8859-1"), "http[\\x21-\\x7e]*", 0)
+    return F.when(inside.rlike("^https?://") & F.contains(inside, F.lit(".")), inside)
 
 
-def url_hash(url: Column) -> Column:
-    return F.substring(F.sha2(url.cast("binary"), 256), 1, 40)
+def canonical_url(url: Column) -> Column:
+    """https for http, lower-case host without www, no fragment, no tracking or
+    blank parameters, the others sorted, no closing slash; nested links decoded."""
+    u = F.trim(F.coalesce(decoded_link(url), url))
+    scheme = F.lower(F.regexp_extract(u, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
+    host = F.regexp_replace(F.lower(F.regexp_extract(u, "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), "^www\\.", "")
+    path = F.regexp_replace(F.regexp_extract(u, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
+    query = F.split(F.regexp_extract(u, "\\?([^#]*)", 1), "&")
+    parts = F.transform(query, lambda p: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"),
+                                                  F.try_url_decode(F.substr(p, F.length(F.substring_index(p, "=", 1)) + 2)).alias("v")))
+    kept = F.array_sort(F.filter(parts, lambda p: (p["v"] != "") & ~F.lower(p["k"]).isin(TRACKING) & ~F.lower(p["k"]).startswith("utm_")))
+    line = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
+    whole = F.concat(F.when(scheme.isin("http", "https"), "https").otherwise(scheme), F.lit("://"), host, F.when(path == "", "/").otherwise(path),
+                     F.when(F.size(kept) > 0, F.concat(F.lit("?"), line)).otherwise(""))
+    return F.when(F.coalesce(u, F.lit("")) == "", "").otherwise(whole)
 
 
-def normalize_title(title: Column) -> Column:
-    """Lower case, a publisher's name at the end taken off, punctuation to blanks."""
-    cut = F.regexp_replace(F.lower(title), "\\s+[|\\-]\\s+[^|\\-]{1,30}$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(cut, "[^\\p{L}\\p{N}]+", " "), " +", " "))
+def url_hash(url: Column) -> Column:
+    """The first 40 hex digits of the canonical address's digest; empty for none."""
+    c = canonical_url(url)
+    return F.when(c == "", "").otherwise(F.substring(F.sha2(c.cast("binary"), 256), 1, 40))
+
+
+def normalize_title(title: Column, publisher: Column | None = None) -> Column:
+    """Lower case with plain quotes and letters, a publisher's name of up to five
+    words after a dash, bar or colon taken off the end of titles that keep 20
+    characters, punctuation but $ and % to blanks."""
+    t = F.trim(F.translate(F.translate(F.coalesce(title, F.lit("")), QUOTES, STRAIGHT), FINALS, PLAIN))
+    if publisher is not None:
+        named = F.lower(F.trim(publisher))
+        tail = F.lower(F.regexp_extract(t, "\\s+[-–—|:]\\s+(.*?)\\s*$", 1))
+        t = F.when((named != "") & (tail == named), F.regexp_replace(t, "\\s+[-–—|:]\\s+.*?\\s*$", "")).otherwise(t)
+    end = "\\s+[-–—|:]\\s+([^-–—|]{2,40})$"
+    name, rest = F.regexp_extract(t, end, 1), F.regexp_replace(t, end, "")
+    cut = (name != "") & (F.length(F.trim(rest)) >= 20) & (F.size(F.split(F.trim(name), "\\s+")) <= 5)
+    t = F.lower(F.when(cut, rest).otherwise(t))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "[^\\p{L}\\p{M}\\p{N}_\\s$%]+", " "), "\\s+", " "))
 
 
 def strip_html(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), "\\s+", " "))
+    """Tags to blanks, the common character references decoded, white space to single blanks."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
+    for name, char in REFERENCES:
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(out, "\\s+", " "))
 
 
 def detect_lang(text: Column) -> Column:
     """``he`` where more than 30 % of the letters are Hebrew, else ``en``."""
     hebrew, letters = F.regexp_count(text, F.lit("[\\u0590-\\u05ff]")), F.regexp_count(text, F.lit("\\p{L}"))
-    return F.when(hebrew > 0.3 * letters, "he").otherwise("en")
+    return F.when((letters > 0) & (hebrew > 0.3 * letters), "he").otherwise("en")
 
 
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"[\w$%]+")
+_TO_PLAIN = str.maketrans(FINALS, PLAIN)
 
 
 def _simhash(text: str | None) -> int:
-    words = _WORD.findall((text or "").lower())
-    weights: dict[str, int] = {}
-    for w in words:
-        weights[w] = weights.get(w, 0) + 1
+    words = [w for w in _WORD.findall((text or "").lower().translate(_TO_PLAIN)) if len(w) > 1]
+    weights = Counter(words)
     for p in zip(words, words[1:]):
-        weights[" ".join(p)] = weights.get(" ".join(p), 0) + 2
+        weights[" ".join(p)] += 2
     if not weights:
         return 0
     hashes = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") for w in weights], dtype=np.uint64)
@@ -70,77 +110,177 @@ def simhash64(text: pd.Series) -> pd.Series:
     return text.map(_simhash).astype("int64")
 
 
-def hamming_pairs(df: DataFrame, most: int = 3) -> DataFrame:
-    """Pairs ``(a, b, distance)`` of ``df(id, hash)`` at most ``most`` bits apart.
-    With ``most + 1`` bands of bits one band agrees, so pairs meet by band; equal
-    hashes are collapsed first, their pairs given to the smallest id."""
+def hamming_pairs(df: DataFrame, most: int = 3, blocks: int = 6) -> DataFrame:
+    """Pairs ``(a, b, distance)`` of ``df(id, hash)`` at most ``most`` bits apart;
+    empty texts (hash 0) are near nothing.
+
+    The 64 bits are ``blocks`` blocks; of two near hashes ``blocks - most`` blocks
+    agree, so pairs meet by each choice of that many: 20 keys of 32 bits for six
+    blocks, which few hashes share by chance. Equal hashes are collapsed first,
+    their pairs given to the smallest id.
+    """
+    df = df.where("hash <> 0")
     hashes = df.groupBy("hash").agg(F.min("id").alias("id"))
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.expr(f"shiftrightunsigned(hash, {16 * i}) & 65535").alias("bits")) for i in range(4)])
-    banded = hashes.select("id", "hash", F.inline(bands))
-    other = banded.select(F.col("id").alias("b"), F.col("hash").alias("hash_b"), "band", "bits")
-    near = banded.withColumnRenamed("id", "a").join(other, ["band", "bits"]).where("a < b")
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    part = lambda k: F.shiftrightunsigned("hash", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
+    keys = [F.struct(F.lit(i).alias("choice"), F.xxhash64(*[part(k) for k in chosen]).alias("bits")) for i, chosen in enumerate(combinations(range(blocks), blocks - most))]
+    banded = hashes.select("id", "hash", F.inline(F.array(*keys)))
+    other = banded.select(F.col("id").alias("b"), F.col("hash").alias("hash_b"), "choice", "bits")
+    near = banded.withColumnRenamed("id", "a").join(other, ["choice", "bits"]).where("a < b")
     near = near.withColumn("distance", F.bit_count(F.col("hash").bitwiseXOR(F.col("hash_b")))).where(F.col("distance") <= most)
     copies = df.join(hashes.withColumnRenamed("id", "a"), "hash").where("id <> a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
     return near.select("a", "b", "distance").distinct().unionByName(copies)
 
 
+def _common_length(x: str, y: str) -> int:
+    """Length of the longest common subsequence, a bit of an integer for each character of ``x``."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << i
+    whole = (1 << len(x)) - 1
+    row = whole
+    for c in y:
+        hit = row & at.get(c, 0)
+        row = (row + hit | row - hit) & whole
+    return len(x) - row.bit_count()
+
+
+def title_ratio(x: str | None, y: str | None, least: float = 0.0) -> float:
+    """Similarity of two titles by their shared and remaining words, 0 to 100.
+    Comparisons that their lengths keep below ``least`` are not made."""
+    p, q = set((x or "").split()), set((y or "").split())
+    if not p or not q:
+        return 0.0
+    both, left, right = " ".join(sorted(p & q)), " ".join(sorted(p - q)), " ".join(sorted(q - p))
+    if both and (not left or not right):
+        return 100.0
+    u, v = f"{both} {left}".strip(), f"{both} {right}".strip()
+    best = 0.0
+    for a, b in ((u, v), (both, u), (both, v)):
+        total = len(a) + len(b)
+        if a and b and 200.0 * min(len(a), len(b)) / total >= max(least, best):
+            best = max(best, 200.0 * _common_length(a, b) / total)
+    return best
+
+
 @F.pandas_udf(T.DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two titles by their shared and remaining words, 0 to 100."""
-    def indel(x: str, y: str) -> float:
-        if not x and not y:
-            return 100.0
-        row = [0] * (len(y) + 1)
-        for c in x:
-            before = 0
-            for j, e in enumerate(y, 1):
-                before, row[j] = row[j], before + 1 if c == e else max(row[j], row[j - 1])
-        return 200.0 * row[-1] / (len(x) + len(y))
-
-    def one(x: str | None, y: str | None) -> float:
-        p, q = set((x or "").split()), set((y or "").split())
-        if not p or not q:
-            return 0.0
-        both, left, right = " ".join(sorted(p & q)), " ".join(sorted(p - q)), " ".join(sorted(q - p))
-        if both and (not left or not right):
-            return 100.0
-        u, v = f"{both} {left}".strip(), f"{both} {right}".strip()
-        return max(indel(u, v), indel(both, u) if both else 0.0, indel(both, v) if both else 0.0)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
-
-
-def cluster_in_order(items: DataFrame, hours: int = 48, most: int = 3) -> DataFrame:
-    """Greedy clusters per ticker in order of arrival: an item joins the latest
-    earlier item within ``hours`` whose simhash is near, else it starts a cluster.
-    Only items whose window is still open are remembered."""
+    return pd.Series([title_ratio(x, y) for x, y in zip(a, b)])
+
+
+def cluster_in_order(items: DataFrame, hours: int = 48, most: int = 3, least_ratio: float = 90.0) -> DataFrame:
+    """Greedy clusters per ticker in order of arrival, ``ticker, item_id, cluster_id``.
+
+    ``items(ticker, item_id, published_at, kind, url_hash, title, hash)``. An
+    item joins the cluster of the latest earlier item within ``hours`` that has
+    its address, else of the latest whose title is similar, else of the latest
+    whose simhash is near; otherwise, and for every filing, it starts one. A
+    ticker's history is divided where nothing came for ``hours``, as no item
+    reaches over such a gap; a run between gaps is worked through in order.
+    """
+    w = Window.partitionBy("ticker").orderBy("published_at", "item_id")
+    gap = F.col("published_at") > F.lag("published_at").over(w) + F.make_dt_interval(F.lit(0), F.lit(hours))
+    runs = items.withColumn("run", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(w))
+
     def grouped(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["published_at", "item_id"]).reset_index(drop=True)
         at = g["published_at"].to_numpy("datetime64[s]").astype("int64")
         hashes = g["hash"].to_numpy("int64").astype("uint64")
-        cluster, first = np.empty(len(g), "int64"), 0
+        ids, kinds, urls, titles = g["item_id"].tolist(), g["kind"].tolist(), g["url_hash"].tolist(), g["title"].tolist()
+        cluster, first, last_of = np.empty(len(g), "int64"), 0, {}
         for i in range(len(g)):
             while at[first] < at[i] - hours * 3600:
                 first += 1
-            near = np.bitwise_count(hashes[first:i] ^ hashes[i]) <= most
-            cluster[i] = cluster[first + np.flatnonzero(near)[-1]] if near.any() else g["item_id"].iloc[i]
+            found = None
+            if kinds[i] != "filing":
+                found = last_of.get(urls[i]) if urls[i] else None
+                if found is None or found < first:
+                    found = next((k for k in range(i - 1, first - 1, -1) if title_ratio(titles[k], titles[i], least_ratio) >= least_ratio), None)
+                if found is None and hashes[i]:
+                    near = np.flatnonzero((np.bitwise_count(hashes[first:i] ^ hashes[i]) <= most) & (hashes[first:i] != 0))
+                    found = first + int(near[-1]) if len(near) else None
+            cluster[i] = ids[i] if found is None else cluster[found]
+            last_of[urls[i]] = i
         return g.assign(cluster_id=cluster)[["ticker", "item_id", "cluster_id"]]
 
-    return items.groupBy("ticker").applyInPandas(grouped, "ticker string, item_id long, cluster_id long")
+    return runs.groupBy("ticker", "run").applyInPandas(grouped, "ticker string, item_id long, cluster_id long")
 
 
-def rollup(df: DataFrame, order: Column) -> DataFrame:
-    """Per cluster: the first item by ``order``, span, items, publishers, mean sentiment."""
-    return df.groupBy("cluster_id").agg(
-        F.min_by("item_id", order).alias("canonical"), F.min("published_at").alias("first_seen"), F.max("published_at").alias("last_seen"),
-        F.count("*").alias("n_items"), F.countDistinct(F.lower("source_id")).alias("n_publishers"))
+def earlier_within(items: DataFrame, hours: int) -> DataFrame:
+    """``item_id, other_id``: the earlier items (by time, then id) of the same
+    ticker within ``hours``. An equi join on blocks of that length and the block
+    before, no range join."""
+    block = F.floor(F.unix_micros(F.col("published_at").cast("timestamp")) / F.lit(hours * 3_600_000_000))
+    a = items.select("ticker", "item_id", "published_at", block.alias("block"))
+    b = items.select("ticker", F.col("item_id").alias("other_id"), F.col("published_at").alias("other_at"), F.explode(F.array(block, block + 1)).alias("block"))
+    later = (F.col("other_at") < F.col("published_at")) | (F.col("other_at") == F.col("published_at")) & (F.col("other_id") < F.col("item_id"))
+    return a.join(b, ["ticker", "block"]).where(later & (F.col("other_at") >= F.col("published_at") - F.make_dt_interval(F.lit(0), F.lit(hours)))).select("item_id", "other_id")
+
 
+def daily_stats(items: DataFrame) -> DataFrame:
+    """Items and mean sentiment per ticker and day."""
+    return items.groupBy("ticker", F.to_date("published_at").alias("day")).agg(F.count("*").alias("n"), F.avg("sentiment").alias("sentiment"))
 
-def importance(n_items: Column, tier: Column, sentiment: Column) -> Column:
-    """Coverage, source tier and sentiment strength, weighted into 0..100."""
-    coverage = F.least(F.lit(1.0), F.log1p(n_items) / F.log1p(F.lit(8.0)))
-    rank = F.when(tier == 1, 1.0).when(tier == 2, 0.6).otherwise(0.3)
-    return F.round(100 * (0.4 * coverage + 0.35 * rank + 0.25 * F.abs(sentiment)), 4)
+
+def rail(items: DataFrame) -> DataFrame:
+    """Per ticker of ``items(ticker, published_at, cluster_id, read, sentiment)``:
+    items, hours that have any, the most in one hour, distinct unread clusters,
+    and the mean of the hours' mean sentiments."""
+    hours = items.groupBy("ticker", F.date_trunc("hour", "published_at").alias("hour")).agg(F.count("*").alias("n"), F.avg("sentiment").alias("s"))
+    buckets = hours.groupBy("ticker").agg(F.sum("n").alias("n"), F.count("*").alias("hours"), F.max("n").alias("busiest"), F.avg("s").alias("sentiment"))
+    unread = items.groupBy("ticker").agg(F.countDistinct(F.when(~F.col("read"), F.col("cluster_id"))).alias("unread"))
+    return buckets.join(unread, "ticker")
+
+
+def rollup(df: DataFrame) -> DataFrame:
+    """Per cluster of ``df(cluster_id, item_id, kind, published_at, publisher,
+    sentiment)``: the canonical item (a filing before a wire before the rest,
+    then the earliest), span, items, publishers, mean sentiment."""
+    rank = F.when(F.col("kind") == "filing", 0).when(F.col("kind") == "wire", 1).otherwise(2)
+    return df.groupBy("cluster_id").agg(
+        F.min_by("item_id", F.struct(rank.alias("rank"), "published_at", "item_id")).alias("canonical"), F.min("published_at").alias("first_seen"),
+        F.max("published_at").alias("last_seen"), F.count("*").alias("n_items"), F.countDistinct(F.lower(F.trim("publisher"))).alias("n_publishers"),
+        F.avg("sentiment").alias("sentiment"))
+
+
+# What the five parts of importance weigh, outlets of the second tier, what a form or an item of it weighs.
+WEIGHTS = {"coverage": 25.0, "tier": 20.0, "market": 25.0, "filing": 20.0, "sentiment": 10.0}
+OUTLETS = [
+    "reuters", "bloomberg", "wall street journal", "wsj", "financial times", "ft", "cnbc", "associated press", "ap news", "marketwatch",
+    "barron's", "barrons", "the new york times", "nytimes", "the economist", "yahoo finance", "seeking alpha", "themarker", "globes",
+    "calcalist", "bizportal", "haaretz", "the information", "axios", "techcrunch", "the verge",
+]
+VENDORS = ["finnhub_news", "massive", "alphavantage"]
+HIGH_ITEMS = ["2.02", "1.01", "2.01", "5.02", "1.03", "4.02", "2.06", "3.01", "1.05"]
+MIDDLE_ITEMS = ["7.01", "8.01", "3.02", "5.03", "5.07"]
+FORMS = {"10-K": 0.8, "10-Q": 0.8, "20-F": 0.8, "6-K": 0.5, "SC 13D": 1.0, "SC 13D/A": 0.8, "SC 13G": 0.6, "SC 13G/A": 0.4, "DEF 14A": 0.3, "4": 0.4}
+
+
+def source_tier(kind: Column, publisher: Column, source_id: Column) -> Column:
+    p = F.lower(F.trim(F.coalesce(publisher, F.lit(""))))
+    return F.when(kind.isin("filing", "wire"), 1.0).when(p.isin(OUTLETS) | p.startswith("reuters") | p.startswith("bloomberg"), 0.7) \
+        .when(source_id.isin(VENDORS) & (p != ""), 0.55).otherwise(0.4)
+
+
+def filing_weight(form: Column, items: Column, size: Column) -> Column:
+    has = lambda names: F.arrays_overlap(F.coalesce(items, F.array().cast("array<string>")), F.array(*[F.lit(n) for n in names]))
+    by_form = None
+    for name, weight in FORMS.items():
+        by_form = F.when(form == name, weight) if by_form is None else by_form.when(form == name, weight)
+    base = by_form.otherwise(0.3)
+    grown = F.least(F.lit(0.8), base + F.least(F.lit(0.4), size / 100_000))
+    return F.when(F.coalesce(form, F.lit("")) == "", 0.0) \
+        .when(form.startswith("8-K"), F.when(has(HIGH_ITEMS), 1.0).when(has(MIDDLE_ITEMS), 0.5).otherwise(0.4)) \
+        .when((form == "4") & (F.coalesce(size, F.lit(0)) > 0), grown).otherwise(base)
+
+
+def importance(n_publishers: Column, tier: Column, market: Column, filing: Column, sentiment: Column, weights: dict[str, float] = WEIGHTS) -> Column:
+    """Coverage, source tier, market reaction, filing and strength of sentiment,
+    each 0 to 1 and rounded, weighted into 0..100."""
+    coverage = F.least(F.lit(1.0), F.log1p(F.greatest(F.lit(0), n_publishers)) / F.log1p(F.lit(8.0)))
+    parts = {"coverage": coverage, "tier": tier, "market": market, "filing": filing, "sentiment": F.least(F.lit(1.0), F.abs(F.coalesce(sentiment, F.lit(0.0))))}
+    raw = sum((F.round(F.coalesce(parts[k], F.lit(0.0)), 3) * w for k, w in weights.items()), F.lit(0.0))
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(100 * raw / (sum(weights.values()) or 1.0)))).cast("int")
 
 
 def entity_links(items: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -118,11 +118,12 @@ def asof_within(left: DataFrame, right: DataFrame, keys: list[str], value: str,
 
 
 def first_at_or_after(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Forward as-of: the first ``value`` at or after ``ts``."""
+    """Forward as-of: the first ``value`` at or after ``ts``. Read backwards in
+    time, it is the last one so far, so the frame runs on and is read once."""
     l = left.withColumn("__side", F.lit(0)).withColumn(value, F.lit(None).cast(right.schema[value].dataType))
     r = right.select(*keys, "ts", value).withColumn("__side", F.lit(1))
-    w = Window.partitionBy(*keys).orderBy("ts", "__side").rowsBetween(0, Window.unboundedFollowing)
-    both = l.unionByName(r, allowMissingColumns=True).withColumn(value, F.first(value, ignorenulls=True).over(w))
+    w = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
+    both = l.unionByName(r, allowMissingColumns=True).withColumn(value, F.last(value, ignorenulls=True).over(w))
     return both.where("__side = 0").drop("__side")
 
 

@@ -199,47 +199,131 @@ def _(spark, d):
     return views.table(spark, d, "orders").withColumn("k", F.row_number().over(w)).where("k = 1").select("o_custkey", F.col("o_orderkey").alias("latest"))
 
 
-REPORTS = """rep AS (SELECT o_orderkey AS event_id, o_orderpriority AS event_key, o_orderdate::DATE AS day, (o_custkey % 3)::INT AS tier, (o_custkey % 4)::INT AS importance, CASE WHEN o_custkey % 2 = 0 THEN o_totalprice END AS actual,
-  CASE WHEN o_custkey % 3 = 0 THEN o_totalprice / 2 END AS consensus, 'tag' || (o_custkey % 3) AS tag FROM orders)"""
+REPORTS = """rep AS (SELECT o_orderkey AS event_id, o_orderpriority || (o_custkey % 50) AS event_key, CASE WHEN o_orderstatus <> 'O' THEN strftime(o_orderdate, '%Y-%m') END AS period, o_orderdate::DATE AS day,
+  CASE o_custkey % 5 WHEN 0 THEN 'official' WHEN 1 THEN 'vendor' WHEN 2 THEN 'rule' WHEN 3 THEN 'forexfactory' ELSE 'user' END AS tier, CASE WHEN o_custkey % 7 = 0 THEN 'revised' ELSE 'scheduled' END AS status,
+  (o_custkey % 4)::INT AS importance, CASE WHEN o_custkey % 2 = 0 THEN o_totalprice END AS actual, CASE WHEN o_custkey % 3 = 0 THEN o_totalprice / 2 END AS consensus, 'tag' || (o_custkey % 3) AS tag FROM orders)"""
 
 
 def reports(spark, d):
     o = views.table(spark, d, "orders")
     k = F.col("o_custkey")
-    return o.select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("event_key"), F.col("o_orderdate").cast("date").alias("day"), (k % 3).cast("int").alias("tier"),
-                    (k % 4).cast("int").alias("importance"), F.when(k % 2 == 0, F.col("o_totalprice")).alias("actual"), F.when(k % 3 == 0, F.col("o_totalprice") / 2).alias("consensus"),
-                    F.concat(F.lit("tag"), (k % 3).cast("string")).alias("tag"))
+    tier = F.element_at(F.array(*[F.lit(t) for t in ("official", "vendor", "rule", "forexfactory", "user")]), (k % 5 + 1).cast("int"))
+    return o.select(
+        F.col("o_orderkey").alias("event_id"), F.concat("o_orderpriority", (k % 50).cast("string")).alias("event_key"),
+        F.when(F.col("o_orderstatus") != "O", F.date_format("o_orderdate", "yyyy-MM")).alias("period"), F.col("o_orderdate").cast("date").alias("day"),
+        tier.alias("tier"), F.when(k % 7 == 0, "revised").otherwise("scheduled").alias("status"), (k % 4).cast("int").alias("importance"),
+        F.when(k % 2 == 0, F.col("o_totalprice")).alias("actual"), F.when(k % 3 == 0, F.col("o_totalprice") / 2).alias("consensus"),
+        F.concat(F.lit("tag"), (k % 3).cast("string")).alias("tag"))
 
 
-@query("event_merge", f"""WITH {REPORTS} SELECT event_key, day, arg_min(actual, tier * 1000000000 + event_id) FILTER (actual IS NOT NULL) AS actual, arg_min(consensus, tier * 1000000000 + event_id) FILTER (consensus IS NOT NULL) AS consensus,
-max(importance) AS importance, array_to_string(list_sort(list_distinct(list(tag))), ',') AS tags, count(*) AS reports FROM rep GROUP BY 1, 2""")
+def _best(field: str, order: str) -> str:
+    return f"arg_min({field}, list_position({order}, tier) * 1000000000000 + event_id) FILTER ({field} IS NOT NULL) AS {field}"
+
+
+OFFICIAL = "['official', 'vendor', 'forexfactory', 'rule', 'user']"
+
+
+@query("event_merge", f"""WITH {REPORTS}, f AS (SELECT event_key, period, min(event_id) AS first FROM rep WHERE period IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT DISTINCT r.event_key, r.period, r.day, f.first FROM rep r JOIN f ON r.event_key = f.event_key AND r.period = f.period),
+n AS (SELECT r.event_id, g.period, row_number() OVER (PARTITION BY r.event_id ORDER BY CASE g.day - r.day WHEN 0 THEN 0 WHEN -1 THEN 1 ELSE 2 END, g.first) AS k
+  FROM rep r JOIN g ON r.event_key = g.event_key AND g.day BETWEEN r.day - 1 AND r.day + 1 WHERE r.period IS NULL),
+a AS (SELECT r.* REPLACE (coalesce(r.period, n.period) AS period) FROM rep r LEFT JOIN n ON r.event_id = n.event_id AND n.k = 1),
+m AS (SELECT event_key, period, CASE WHEN period IS NULL THEN day END AS "on", {_best('actual', OFFICIAL)}, {_best('consensus', "['vendor', 'forexfactory', 'official', 'rule', 'user']")},
+  {_best('status', "['official', 'rule', 'vendor', 'forexfactory', 'user']")}, max(importance) AS importance, min(day) AS day, array_to_string(list_sort(list_distinct(list(tag))), ',') AS tags, count(*) AS reports FROM a GROUP BY 1, 2, 3)
+SELECT * REPLACE (CASE WHEN status = 'scheduled' AND actual IS NOT NULL THEN 'released' ELSE status END AS status) FROM m""")
 def _(spark, d):
-    return E.best_by_tier(reports(spark, d), ["event_key", "day"], ["actual", "consensus"])
+    return E.merge_reports(reports(spark, d), ["actual", "consensus"])
 
 
-@query("time_band_join", f"""WITH {REPORTS}, a AS (SELECT event_key, day, event_id AS id FROM rep WHERE event_id % 10 = 0), b AS (SELECT event_key, day, min(event_id) AS other FROM rep WHERE event_id % 10 = 5 GROUP BY 1, 2),
+@query("time_band_join", f"""WITH {REPORTS}, a AS (SELECT event_key, day, event_id AS id FROM rep WHERE period IS NULL), b AS (SELECT event_key, day, min(event_id) AS other FROM rep WHERE period IS NOT NULL GROUP BY 1, 2),
 j AS (SELECT a.id, a.event_key, a.day, b.other, row_number() OVER (PARTITION BY a.id ORDER BY CASE b.day - a.day WHEN 0 THEN 0 WHEN -1 THEN 1 ELSE 2 END) AS k FROM a JOIN b ON a.event_key = b.event_key AND b.day - a.day BETWEEN -1 AND 1)
 SELECT id, event_key, day, other AS other_id FROM j WHERE k = 1""")
 def _(spark, d):
     r = reports(spark, d)
-    a = r.where("event_id % 10 = 0").select("event_key", "day", F.col("event_id").alias("id"))
-    b = r.where("event_id % 10 = 5").groupBy("event_key", "day").agg(F.min("event_id").alias("other_id"))
+    a = r.where("period IS NULL").select("event_key", "day", F.col("event_id").alias("id"))
+    b = r.where("period IS NOT NULL").groupBy("event_key", "day").agg(F.min("event_id").alias("other_id"))
     return E.near_days(a, b, "event_key")
 
 
-@query("event_upsert_vintage", """WITH s AS (SELECT o_custkey AS k, arg_max(o_totalprice, o_orderkey) AS was FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), f AS (SELECT o_custkey AS k, max(o_totalprice) AS actual FROM orders GROUP BY 1)
-SELECT k AS o_custkey, actual, CASE WHEN was IS NULL THEN 'new' ELSE 'revised' END AS status FROM f LEFT JOIN s USING (k) WHERE was IS NULL OR was <> actual""")
+@query("news_band_join", f"""WITH {ITEMS} SELECT i.item_id, count(*) AS near, max(j.item_id) AS latest FROM items i JOIN items j ON i.ticker = j.ticker AND j.item_id < i.item_id
+AND j.published_at >= i.published_at - INTERVAL 48 HOUR GROUP BY 1""")
+def _(spark, d):
+    i = views.items(spark, d).select("ticker", "item_id", "published_at")
+    return N.earlier_within(i, 48).groupBy("item_id").agg(F.count("*").alias("near"), F.max("other_id").alias("latest"))
+
+
+@query("event_upsert_vintage", """WITH s AS (SELECT o_custkey AS k, arg_max(o_totalprice, o_orderkey) FILTER (o_orderkey % 3 <> 0) AS actual, arg_max(o_totalprice / 2, o_orderkey) AS consensus, CASE WHEN o_custkey % 11 = 0 THEN 'user' ELSE 'feed' END AS provider
+  FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
+f AS (SELECT o_custkey AS k, CASE WHEN o_custkey % 5 <> 0 THEN max(o_totalprice) END AS actual, CASE WHEN o_custkey % 4 = 0 THEN max(o_totalprice) / 2 END AS consensus FROM orders GROUP BY o_custkey),
+j AS (SELECT f.k, s.k IS NOT NULL AS there, s.provider = 'user' AS users, coalesce(f.actual, s.actual) AS a, coalesce(f.consensus, s.consensus) AS c, s.actual AS sa, s.consensus AS sc,
+  (f.actual IS NOT NULL AND (s.k IS NULL OR f.actual IS DISTINCT FROM s.actual)) OR (f.consensus IS NOT NULL AND (s.k IS NULL OR f.consensus IS DISTINCT FROM s.consensus)) AS moved FROM f LEFT JOIN s USING (k)),
+x AS (SELECT *, CASE WHEN users THEN 'kept' WHEN moved AND there THEN 'vintage' WHEN moved THEN 'new' ELSE 'same' END AS action FROM j)
+SELECT k AS o_custkey, action, CASE WHEN action IN ('kept', 'same') THEN 'scheduled' WHEN there AND sa IS NOT NULL AND a <> sa THEN 'revised' WHEN a IS NOT NULL THEN 'released' ELSE 'scheduled' END AS status,
+CASE WHEN action = 'kept' THEN sa ELSE a END AS actual, CASE WHEN action = 'kept' THEN sc ELSE c END AS consensus,
+CASE WHEN action IN ('new', 'vintage') THEN a - c END AS surprise, CASE WHEN action IN ('new', 'vintage') THEN (a - c) / nullif(abs(c), 0) * 100 END AS surprise_pct FROM x""")
+def _(spark, d):
+    o = views.table(spark, d, "orders")
+    k = F.col("o_custkey")
+    stored = o.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(
+        F.max_by("o_totalprice", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey"))).alias("actual"), F.max_by(F.col("o_totalprice") / 2, "o_orderkey").alias("consensus")) \
+        .withColumns({"status": F.lit("scheduled"), "provider": F.when(k % 11 == 0, "user").otherwise("feed")})
+    fresh = o.groupBy("o_custkey").agg(F.max("o_totalprice").alias("m")).select(
+        "o_custkey", F.when(k % 5 != 0, F.col("m")).alias("actual"), F.when(k % 4 == 0, F.col("m") / 2).alias("consensus"), F.lit("scheduled").alias("status"), F.lit("feed").alias("provider"))
+    return E.upsert_vintages(stored, fresh, ["o_custkey"], ["actual", "consensus"])
+
+
+EVENTS = "e AS (SELECT o_orderkey AS event_id, 'S' || (o_orderkey % 10) AS ticker, o_orderdate::DATE AS day FROM orders)"
+
+
+def ticker_events(spark, d):
+    return views.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("event_id"), F.concat(F.lit("S"), (F.col("o_orderkey") % 10).cast("string")).alias("ticker"), F.to_date("o_orderdate").alias("day"))
+
+
+REACTION = """w AS (SELECT e.event_id, e.ticker, e.day, b.ts, b.close, b.volume, b.close / nullif(lag(b.close) OVER (PARTITION BY e.event_id ORDER BY b.ts), 0) - 1 AS ret,
+  CASE WHEN b.ts < e.day THEN row_number() OVER (PARTITION BY e.event_id, b.ts < e.day ORDER BY b.ts DESC) END AS back, CASE WHEN b.ts >= e.day THEN row_number() OVER (PARTITION BY e.event_id, b.ts >= e.day ORDER BY b.ts) END AS ahead
+  FROM e LEFT JOIN bars b ON e.ticker = b.ticker AND b.ts::DATE BETWEEN e.day - 120 AND e.day + 5),
+m AS (SELECT event_id, ticker, count(ts) AS n, max(ahead) AS n_ahead, max(least(back, 60)) AS n_back, max(ts) FILTER (ahead = 1) AS session, max(ret) FILTER (ahead = 1) AS ret, max(volume) FILTER (ahead = 1) AS volume,
+  stddev_samp(ret) FILTER (back <= 60) AS ret_sd, avg(volume) FILTER (back <= 60) AS vol_mean, stddev_samp(volume) FILTER (back <= 60) AS vol_sd FROM w GROUP BY 1, 2),
+z AS (SELECT *, coalesce(n >= 20 AND n_ahead > 0 AND n_back >= 10, false) AS known, CASE WHEN ret IS NOT NULL AND ret_sd > 1e-9 THEN abs(ret) / ret_sd ELSE 0 END AS rz,
+  CASE WHEN vol_sd > 1e-9 THEN (volume - vol_mean) / vol_sd ELSE 0 END AS vz FROM m)"""
+
+
+@query("market_reaction", f"""WITH {BARS}, {EVENTS}, {REACTION} SELECT event_id, ticker, CASE WHEN known THEN session END AS session, CASE WHEN known THEN round(ret, 6) END AS ret,
+CASE WHEN known THEN round(rz, 2) END AS ret_z, CASE WHEN known THEN round(vz, 2) END AS vol_z, CASE WHEN known THEN round(least(1, (rz + greatest(0, vz)) / 6), 3) ELSE 0 END AS score FROM z""")
+def _(spark, d):
+    return rounded(E.market_reaction(ticker_events(spark, d), views.bars(spark, d)), "ret")
+
+
+@query("calendar_rules", """WITH o AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders) SELECT day, day + 21 AS minutes, day - 14 AS beige FROM o""")
+def _(spark, d):
+    o = views.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return o.select("day", E.fomc_minutes(F.col("day")).alias("minutes"), E.beige_book(F.col("day")).alias("beige"))
+
+
+@query("cbs_release", """WITH o AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, o_orderkey % 2 = 0 AS price FROM orders), h AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_custkey % 100 = 0 AND day(o_orderdate) IN (3, 14, 15)),
+d AS (SELECT o.id, o.day, o.price, k, (o.day - k::INT)::DATE AS open_day FROM o, (SELECT unnest(range(0, 15)) AS k)), f AS (SELECT id, arg_min(open_day, k) AS open_day, min(k) AS k FROM d WHERE isodow(open_day) NOT IN (5, 6) AND open_day NOT IN (SELECT day FROM h) GROUP BY 1)
+SELECT o.id, o.day, ((f.open_day + CASE WHEN NOT price THEN INTERVAL 780 MINUTE WHEN f.k = 0 THEN INTERVAL 1110 MINUTE ELSE INTERVAL 840 MINUTE END) AT TIME ZONE 'Asia/Jerusalem' AT TIME ZONE 'UTC')::TIMESTAMP AS release FROM o LEFT JOIN f USING (id)""")
 def _(spark, d):
     o = views.table(spark, d, "orders")
-    stored = o.where("o_orderkey % 2 = 0").select("o_custkey", F.col("o_totalprice").alias("actual"), F.col("o_orderkey").alias("vintage"))
-    return E.new_vintages(stored, o.groupBy("o_custkey").agg(F.max("o_totalprice").alias("actual")), ["o_custkey"], ["actual"])
+    closed = o.where("o_custkey % 100 = 0 AND day(o_orderdate) IN (3, 14, 15)").select(F.to_date("o_orderdate").alias("day"))
+    nominal = o.select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day"))
+    return E.cbs_release(nominal, closed, F.col("id") % 2 == 0)
+
+
+@query("reporting_deadlines", """SELECT y::INT AS year, unnest([make_date(y, 3, 31), make_date(y, 5, 31), make_date(y, 8, 31), make_date(y, 11, 30)]) AS deadline, unnest(['FY', 'Q1', 'Q2', 'Q3']) AS period,
+unnest(['annual report FY' || (y - 1), 'Q1 ' || y || ' report', 'Q2 ' || y || ' report', 'Q3 ' || y || ' report']) AS label FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders)""")
+def _(spark, d):
+    return E.reporting_deadlines(views.table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct())
 
 
-@query("market_reaction", f"""WITH {BARS}, b AS (SELECT ticker, ts, close, lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS before FROM bars), e AS (SELECT o_orderkey AS event_id, 'S' || (o_orderkey % 10) AS ticker, o_orderdate::TIMESTAMP AS ts FROM orders)
-SELECT event_id, e.ticker, b.ts AS session, round(b.close / nullif(b.before, 0) - 1, 6) AS ret FROM e ASOF LEFT JOIN b ON e.ticker = b.ticker AND e.ts <= b.ts""")
+@query("month_range", """WITH c AS (SELECT c_custkey, DATE '2020-01-15' + (c_custkey % 90)::INT AS a, DATE '2020-01-15' + (c_custkey % 90 + c_custkey % 400)::INT AS b FROM customer)
+SELECT c_custkey, 'month' AS unit, year(m)::INT AS year, month(m)::INT AS part FROM (SELECT c_custkey, unnest(generate_series(date_trunc('month', a)::DATE, date_trunc('month', b)::DATE, INTERVAL 1 MONTH)) AS m FROM c)
+UNION ALL SELECT c_custkey, 'quarter', year(m)::INT, quarter(m)::INT FROM (SELECT c_custkey, unnest(generate_series(date_trunc('quarter', a)::DATE, date_trunc('quarter', b)::DATE, INTERVAL 3 MONTH)) AS m FROM c)""")
 def _(spark, d):
-    e = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.concat(F.lit("S"), (F.col("o_orderkey") % 10).cast("string")).alias("ticker"), F.col("o_orderdate").alias("ts"))
-    return rounded(E.reaction(e, views.bars(spark, d)), "ret")
+    k = F.col("c_custkey")
+    c = views.table(spark, d, "customer").select("c_custkey", F.date_add(F.lit("2020-01-15").cast("date"), (k % 90).cast("int")).alias("a"), F.date_add(F.lit("2020-01-15").cast("date"), (k % 90 + k % 400).cast("int")).alias("b"))
+    return E.month_range(c, "a", "b").withColumn("unit", F.lit("month")).unionByName(E.month_range(c, "a", "b", 3).withColumn("unit", F.lit("quarter"))).select("c_custkey", "unit", "year", "part")
 
 
 @query("option_expiry", """WITH m AS (SELECT unnest(generate_series(DATE '2020-01-01', DATE '2024-12-01', INTERVAL 1 MONTH))::DATE AS month), f AS (SELECT month, (month + ((12 - isodow(month)) % 7)::INT + 14)::DATE AS day FROM m)
@@ -264,28 +348,58 @@ def _(spark, d):
     return E.business_days(spark, "2024-01-01", "2024-12-31", ["2024-07-04", "2024-12-25"], [5, 6])
 
 
-URL = """'https://' || regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '')"""
-KEPT = """list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT lower(split_part(p, '=', 1)) IN ('fbclid', 'gclid', 'ref', 'source', 'cmp', 'ito', 'mc_cid', 'mc_eid', 'igshid') AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_')))"""
+LINKS = """links AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || '/?utm_source=x&b=2&a=1&fbclid=9&_ga=1#top' WHEN 2 THEN replace(url, 'https://', 'HTTP://') || '?ref_src=t&source=s&z=&y=3'
+  ELSE 'https://news.google.com/rss/articles/' || translate(rtrim(base64(encode(chr(8) || chr(19) || chr(34) || chr(60) || url || chr(1) || 'x')), '='), '+/', '-_') || '?oc=5' END AS link, url FROM (SELECT page_id, split_part(url, '?', 1) AS url FROM pages))"""
+CLEAN = """CASE page_id % 4 WHEN 1 THEN h || rtrim(p, '/') || '?a=1&b=2' WHEN 2 THEN h || CASE WHEN rtrim(p, '/') = '' THEN '/' ELSE rtrim(p, '/') END || '?source=s&y=3' ELSE h || CASE WHEN rtrim(p, '/') = '' THEN '/' ELSE rtrim(p, '/') END END"""
+SPLIT = r"split_url AS (SELECT *, 'https://' || regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^www\.', '') AS h, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS p FROM links)"
+
+
+def links(spark, d):
+    k = F.col("page_id")
+    url = F.substring_index("url", "?", 1)
+    hidden = F.base64(F.concat(F.lit("\x08\x13\x22\x3c"), url, F.lit("\x01x")).cast("binary"))
+    google = F.concat(F.lit("https://news.google.com/rss/articles/"), F.translate(F.rtrim(hidden, F.lit("=")), "+/", "-_"), F.lit("?oc=5"))
+    link = F.when(k % 4 == 0, url).when(k % 4 == 1, F.concat(url, F.lit("/?utm_source=x&b=2&a=1&fbclid=9&_ga=1#top"))) \
+        .when(k % 4 == 2, F.concat(F.replace(url, F.lit("https://"), F.lit("HTTP://")), F.lit("?ref_src=t&source=s&z=&y=3"))).otherwise(google)
+    return views.table(spark, d, "pages").select("page_id", link.alias("link"))
 
 
-@query("canonical_url", f"SELECT page_id, {URL} || CASE WHEN len({KEPT}) > 0 THEN '?' || array_to_string({KEPT}, '&') ELSE '' END AS url FROM pages")
+@query("canonical_url", f"WITH {LINKS}, {SPLIT} SELECT page_id, {CLEAN} AS url FROM split_url")
 def _(spark, d):
-    return views.table(spark, d, "pages").select("page_id", N.canonical_url(F.col("url")).alias("url"))
+    return links(spark, d).select("page_id", N.canonical_url(F.col("link")).alias("url"))
 
 
-@query("url_hash", "SELECT page_id, left(sha256(url), 40) AS h FROM pages")
+@query("decoded_link", f"WITH {LINKS} SELECT page_id, CASE WHEN page_id % 4 = 3 THEN url END AS url FROM links")
 def _(spark, d):
-    return views.table(spark, d, "pages").select("page_id", N.url_hash(F.col("url")).alias("h"))
+    return links(spark, d).select("page_id", N.decoded_link(F.col("link")).alias("url"))
 
 
-@query("normalize_title", f"""WITH {ITEMS} SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '\\s+[|\\-]\\s+[^|\\-]{{1,30}}$', ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' +', ' ', 'g')) AS title FROM items""")
+@query("url_hash", f"WITH {LINKS}, {SPLIT} SELECT page_id, left(sha256({CLEAN}), 40) AS h FROM split_url")
 def _(spark, d):
-    return views.items(spark, d).select("item_id", N.normalize_title(F.col("title")).alias("title"))
+    return links(spark, d).select("page_id", N.url_hash(F.col("link")).alias("h"))
+
+
+TITLE_SQL = r"""trim(regexp_replace(regexp_replace(lower(CASE WHEN length(trim(regexp_replace(t, '\s+[-–—|:]\s+([^-–—|]{2,40})$', ''))) >= 20 AND regexp_extract(t, '\s+[-–—|:]\s+([^-–—|]{2,40})$', 1) <> ''
+  AND len(string_split_regex(trim(regexp_extract(t, '\s+[-–—|:]\s+([^-–—|]{2,40})$', 1)), '\s+')) <= 5 THEN regexp_replace(t, '\s+[-–—|:]\s+([^-–—|]{2,40})$', '') ELSE t END), '[^\p{L}\p{M}\p{N}_\s$%]+', ' ', 'g'), '\s+', ' ', 'g'))"""
+TITLES = r"""titles AS (SELECT item_id, trim(translate(CASE item_id % 3 WHEN 0 THEN title WHEN 1 THEN title || ' — Globes News' ELSE 'שלום “' || title || '” | a b c d e f' END, '’‘“”״׳ךםןףץ', @Q@)) AS t FROM items)""".replace("@Q@", "'" + "''" * 2 + '"' * 3 + "''" + "כמנפצ'")
+
 
+def titles(spark, d):
+    k = F.col("item_id")
+    t = F.when(k % 3 == 0, F.col("title")).when(k % 3 == 1, F.concat("title", F.lit(" — Globes News"))).otherwise(F.concat(F.lit("שלום “"), "title", F.lit("” | a b c d e f")))
+    return views.items(spark, d).select("item_id", t.alias("title"))
 
-@query("detect_lang", f"WITH {ITEMS} SELECT item_id, CASE WHEN len(regexp_extract_all(snippet, '[֐-׿]')) > 0.3 * len(regexp_extract_all(snippet, '\\p{{L}}')) THEN 'he' ELSE 'en' END AS lang FROM items")
+
+@query("normalize_title", f"WITH {ITEMS}, {TITLES} SELECT item_id, {TITLE_SQL} AS title FROM titles")
+def _(spark, d):
+    return titles(spark, d).select("item_id", N.normalize_title(F.col("title")).alias("title"))
+
+
+@query("detect_lang", rf"""WITH {ITEMS}, t AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN repeat('שלום ', 200) || snippet ELSE snippet END AS x FROM items)
+SELECT item_id, CASE WHEN length(regexp_replace(x, '[^֐-׿]', '', 'g')) > 0.3 * length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) THEN 'he' ELSE 'en' END AS lang FROM t""")
 def _(spark, d):
-    return views.items(spark, d).select("item_id", N.detect_lang(F.col("snippet")).alias("lang"))
+    text = F.when(F.col("item_id") % 5 == 0, F.concat(F.repeat(F.lit("שלום "), F.lit(200)), "snippet")).otherwise(F.col("snippet"))
+    return views.items(spark, d).select("item_id", N.detect_lang(text).alias("lang"))
 
 
 @query("simhash64")
@@ -298,32 +412,80 @@ def _(spark, d):
     return N.hamming_pairs(views.items(spark, d).select(F.col("item_id").alias("id"), N.simhash64("snippet").alias("hash")))
 
 
+@query("title_similarity")
+def _(spark, d):
+    i = views.items(spark, d).select("ticker", "item_id", "published_at", N.normalize_title(F.col("title")).alias("title"))
+    pairs = N.earlier_within(i, 3)
+    t = i.select("item_id", "title")
+    both = pairs.join(t, "item_id").join(t.select(F.col("item_id").alias("other_id"), F.col("title").alias("other")), "other_id")
+    return both.select("item_id", "other_id", F.round(N.token_set_ratio("title", "other"), 4).alias("ratio"))
+
+
 @query("cluster_assign")
 def _(spark, d):
-    return N.cluster_in_order(views.items(spark, d).select("ticker", "item_id", "published_at", N.simhash64("snippet").alias("hash")))
+    i = views.items(spark, d).select(
+        "ticker", "item_id", "published_at", F.when(F.col("item_id") % 40 == 0, "filing").otherwise("news").alias("kind"), F.substring(F.sha2(F.col("snippet").cast("binary"), 256), 1, 40).alias("url_hash"),
+        N.normalize_title(F.col("title")).alias("title"), N.simhash64("snippet").alias("hash"))
+    return N.cluster_in_order(i)
+
+
+KINDS = "CASE item_id % 9 WHEN 0 THEN 'filing' WHEN 1 THEN 'wire' ELSE 'news' END"
+
+
+def kinds(spark, d):
+    k = F.col("item_id")
+    return views.items(spark, d).withColumns({
+        "cluster_id": F.expr("(item_id * 7) % 1000"), "kind": F.when(k % 9 == 0, "filing").when(k % 9 == 1, "wire").otherwise("news"),
+        "publisher": F.concat(F.lit(" Pub"), (k % 6).cast("string")), "sentiment": F.when(k % 5 != 0, (k % 21 - 10) / 10.0)})
+
+
+@query("cluster_rollup", f"""WITH {ITEMS}, c AS (SELECT *, (item_id * 7) % 1000 AS cluster_id, {KINDS} AS kind, ' Pub' || (item_id % 6) AS publisher, CASE WHEN item_id % 5 <> 0 THEN (item_id % 21 - 10) / 10.0::DOUBLE END AS sentiment FROM items),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY CASE kind WHEN 'filing' THEN 0 WHEN 'wire' THEN 1 ELSE 2 END, published_at, item_id) AS k FROM c)
+SELECT cluster_id, max(item_id) FILTER (k = 1) AS canonical, min(published_at) AS first_seen, max(published_at) AS last_seen, count(*) AS n_items, count(DISTINCT lower(trim(publisher))) AS n_publishers, round(avg(sentiment), 9) AS sentiment FROM r GROUP BY 1""")
+def _(spark, d):
+    return rounded(N.rollup(kinds(spark, d)), "sentiment", digits=9)
+
+
+@query("source_tier", f"""WITH {ITEMS}, k AS (SELECT item_id, {KINDS} AS kind, CASE item_id % 5 WHEN 0 THEN 'Reuters UK' WHEN 1 THEN ' Globes ' WHEN 2 THEN 'Some Blog' WHEN 3 THEN '' END AS publisher, CASE WHEN item_id % 2 = 0 THEN 'massive' ELSE 'rss' END AS src FROM items)
+SELECT item_id, CASE WHEN kind <> 'news' THEN 1.0 WHEN publisher IN ('Reuters UK', ' Globes ') THEN 0.7 WHEN src = 'massive' AND publisher = 'Some Blog' THEN 0.55 ELSE 0.4 END::DOUBLE AS tier FROM k""")
+def _(spark, d):
+    k = F.col("item_id")
+    publisher = F.when(k % 5 == 0, "Reuters UK").when(k % 5 == 1, " Globes ").when(k % 5 == 2, "Some Blog").when(k % 5 == 3, "")
+    return kinds(spark, d).select("item_id", N.source_tier(F.col("kind"), publisher, F.when(k % 2 == 0, "massive").otherwise("rss")).cast("double").alias("tier"))
+
+
+FORMS = ["8-K", "8-K/A", "10-K", "4", "SC 13G/A", "S-1", None]
+FORM_ITEMS = [["2.02", "9.01"], ["7.01"], ["9.01"], None]
 
 
-@query("cluster_rollup", f"""WITH {ITEMS}, c AS (SELECT *, item_id // 5 AS cluster_id FROM items) SELECT cluster_id, arg_min(item_id, item_id) AS canonical, min(published_at) AS first_seen, max(published_at) AS last_seen, count(*) AS n_items,
-count(DISTINCT lower(source_id)) AS n_publishers FROM c GROUP BY 1""")
+@query("filing_weight", """WITH f AS (SELECT o_orderkey, ['8-K', '8-K/A', '10-K', '4', 'SC 13G/A', 'S-1', NULL][o_orderkey % 7 + 1] AS form, o_orderkey % 4 AS i, o_custkey % 3 * 10000 AS size FROM orders)
+SELECT o_orderkey, CASE WHEN form IS NULL THEN 0 WHEN form LIKE '8-K%' THEN CASE i WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.4 END WHEN form = '10-K' THEN 0.8 WHEN form = '4' THEN least(0.8, 0.4 + least(0.4, size / 100000.0)) WHEN form = 'SC 13G/A' THEN 0.4 ELSE 0.3 END::DOUBLE AS weight FROM f""")
 def _(spark, d):
-    c = views.items(spark, d).withColumn("cluster_id", F.expr("item_id div 5"))
-    return N.rollup(c, F.col("item_id"))
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) if not isinstance(v, list) else F.array(*[F.lit(x) for x in v]) for v in values]), (i + 1).cast("int"))
+    k = F.col("o_orderkey")
+    return views.table(spark, d, "orders").select("o_orderkey", N.filing_weight(pick(FORMS, k % 7), pick(FORM_ITEMS, k % 4), F.col("o_custkey") % 3 * 10000).alias("weight"))
 
 
-@query("importance", f"""WITH {ITEMS}, c AS (SELECT source_id, count(*) AS n FROM items GROUP BY 1) SELECT source_id, round(100 * (0.4 * least(1.0, ln(1 + n) / ln(9.0)) + 0.35 * CASE n % 3 WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 0.3 END + 0.25 * 0.5), 4) AS importance FROM c""")
+@query("importance", f"""WITH {BARS}, {EVENTS}, {REACTION}, i AS (SELECT event_id, event_id % 12 AS pubs, [0.4, 0.55, 0.7, 1.0][event_id % 4 + 1]::DOUBLE AS tier, CASE WHEN known THEN round(least(1, (rz + greatest(0, vz)) / 6), 3) ELSE 0 END AS market,
+[0, 0.5, 1.0][event_id % 3 + 1]::DOUBLE AS filing, CASE WHEN event_id % 5 <> 0 THEN (event_id % 21 - 10) / 10.0::DOUBLE END AS sentiment FROM z)
+SELECT event_id, greatest(0, least(100, round_even(100 * (25 * round(least(1, ln(1 + pubs) / ln(9)), 3) + 20 * tier + 25 * market + 20 * filing + 10 * round(least(1, abs(coalesce(sentiment, 0))), 3)) / 100, 0)))::INT AS importance FROM i""")
 def _(spark, d):
-    c = views.items(spark, d).groupBy("source_id").agg(F.count("*").alias("n"))
-    return c.select("source_id", N.importance(F.col("n"), F.col("n") % 3, F.lit(0.5)).alias("importance"))
+    k = F.col("event_id")
+    at = lambda values, i: F.element_at(F.array(*[F.lit(float(v)) for v in values]), (i + 1).cast("int"))
+    r = E.market_reaction(ticker_events(spark, d), views.bars(spark, d))
+    return r.select("event_id", N.importance(k % 12, at([0.4, 0.55, 0.7, 1.0], k % 4), F.col("score"), at([0, 0.5, 1.0], k % 3), F.when(k % 5 != 0, (k % 21 - 10) / 10.0)).alias("importance"))
 
 
-@query("daily_news_stats", f"WITH {ITEMS} SELECT ticker, published_at::DATE AS day, count(*) AS n FROM items GROUP BY 1, 2")
+@query("daily_news_stats", f"WITH {ITEMS} SELECT ticker, published_at::DATE AS day, count(*) AS n, round(avg(CASE WHEN item_id % 5 <> 0 THEN (item_id % 21 - 10) / 10.0::DOUBLE END), 9) AS sentiment FROM items GROUP BY 1, 2")
 def _(spark, d):
-    return views.items(spark, d).groupBy("ticker", F.to_date("published_at").alias("day")).agg(F.count("*").alias("n"))
+    return rounded(N.daily_stats(kinds(spark, d)), "sentiment", digits=9)
 
 
-@query("news_rail", f"WITH {ITEMS} SELECT date_trunc('hour', published_at)::TIMESTAMP AS hour, count(*) AS n, count(DISTINCT source_id) AS sources FROM items GROUP BY 1")
+@query("news_rail", f"""WITH {ITEMS}, k AS (SELECT *, (item_id * 7) % 1000 AS cluster_id, item_id % 3 = 0 AS read, CASE WHEN item_id % 5 <> 0 THEN (item_id % 21 - 10) / 10.0::DOUBLE END AS sentiment FROM items),
+h AS (SELECT ticker, date_trunc('hour', published_at) AS hour, count(*) AS n, avg(sentiment) AS s FROM k GROUP BY 1, 2), b AS (SELECT ticker, sum(n)::BIGINT AS n, count(*) AS hours, max(n) AS busiest, round(avg(s), 9) AS sentiment FROM h GROUP BY 1),
+u AS (SELECT ticker, count(DISTINCT cluster_id) FILTER (NOT read) AS unread FROM k GROUP BY 1) SELECT * FROM b JOIN u USING (ticker)""")
 def _(spark, d):
-    return views.items(spark, d).groupBy(F.date_trunc("hour", "published_at").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("sources"))
+    return rounded(N.rail(kinds(spark, d).withColumn("read", F.col("item_id") % 3 == 0)), "sentiment", digits=9)
 
 
 @query("source_counts", f"WITH {ITEMS} SELECT source_id, count(*) AS n, count(DISTINCT ticker) AS tickers FROM items GROUP BY 1")

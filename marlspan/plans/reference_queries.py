@@ -9,6 +9,7 @@ from marlspan.functions.stats import ratio
 from marlspan.operators import reference as C
 from marlspan.operators import series as S
 from marlspan.operators import valuation as V
+from marlspan.operators.news import strip_html
 from marlspan.sources import views
 from marlspan.sources.views import BARS, FACTS, ITEMS, OBS
 
@@ -246,10 +247,9 @@ def _(spark, d):
         F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("sources"), F.max("s_name").alias("name"))
 
 
-@query("strip_html", "SELECT page_id, trim(regexp_replace(regexp_replace(left(html, 3000), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages WHERE page_id % 2 = 0")
+@query("strip_html", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'),
+'\s+', ' ', 'g')) AS text FROM pages""")
 def _(spark, d):
-    from marlspan.operators.news import strip_html
-
     return views.table(spark, d, "pages").select("page_id", strip_html(F.col("html")).alias("text"))
 
 

@@ -61,11 +61,12 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News items: documents with a time of their own, every seven minutes."""
+    """News items: documents with a time of their own, every seven minutes. The
+    title is the first line, the snippet the whole text."""
     d = table(spark, sf_dir, "documents")
     return d.select(
-        F.col("doc_id").alias("item_id"), F.col("source").alias("source_id"), F.substring("text", 1, 80).alias("title"),
-        F.substring("text", 1, 400).alias("snippet"), "lang",
+        F.col("doc_id").alias("item_id"), F.col("source").alias("source_id"), F.substring_index("text", "\n", 1).alias("title"),
+        F.col("text").alias("snippet"), "lang",
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, doc_id * 7)").alias("published_at"),
         F.concat(F.lit("S"), (F.col("doc_id") % 10).cast("string")).alias("ticker"),
     )
@@ -92,5 +93,5 @@ FACTS = """wide_facts AS (SELECT s_nationkey AS entity, (date_trunc('quarter', l
 facts AS (SELECT entity, period_end, 'revenue' AS field, revenue AS value FROM wide_facts UNION ALL
   SELECT entity, period_end, 'cost_of_revenue', cost_of_revenue FROM wide_facts UNION ALL
   SELECT entity, period_end, 'tax', tax FROM wide_facts UNION ALL SELECT entity, period_end, 'units', units FROM wide_facts)"""
-ITEMS = """items AS (SELECT doc_id AS item_id, source AS source_id, substring(text, 1, 80) AS title, substring(text, 1, 400) AS snippet, lang,
+ITEMS = """items AS (SELECT doc_id AS item_id, source AS source_id, split_part(text, chr(10), 1) AS title, text AS snippet, lang,
   TIMESTAMP '2024-01-01' + to_minutes((doc_id * 7)::BIGINT) AS published_at, 'S' || (doc_id % 10) AS ticker FROM documents)"""
