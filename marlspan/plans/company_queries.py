@@ -67,64 +67,6 @@ def _(spark, d):
     return rounded(D.ttm(views.facts(spark, d)).select("entity", "field", "period_end", "ttm"), "ttm", digits=4)
 
 
-@query("quarter_derivation", f"""WITH {FACTS}, y AS (SELECT entity, field, year(period_end - INTERVAL 1 DAY) AS fy, quarter(period_end - INTERVAL 1 DAY) AS q, value FROM facts),
-p AS (SELECT entity, field, fy, sum(value) FILTER (q = 1) AS q1, sum(value) FILTER (q = 2) AS q2, sum(value) FILTER (q = 3) AS q3, sum(value) FILTER (q = 4) AS q4 FROM y GROUP BY 1, 2, 3)
-SELECT entity, field, fy, round(q1, 4) AS q1, round(q2, 4) AS q2, round(q3, 4) AS q3, round(q4, 4) AS q4 FROM p WHERE q1 IS NOT NULL AND q2 IS NOT NULL AND q3 IS NOT NULL AND q4 IS NOT NULL""")
-def _(spark, d):
-    x = views.facts(spark, d).withColumn("day", F.col("period_end") - F.expr("interval 1 day"))
-    p = x.groupBy("entity", "field", F.year("day").alias("fy")).agg(*[F.sum(F.when(F.quarter("day") == i, F.col("value"))).alias(f"v{i}") for i in (1, 2, 3, 4)])
-    p = p.where("v1 IS NOT NULL AND v2 IS NOT NULL AND v3 IS NOT NULL AND v4 IS NOT NULL")
-    told = p.select("entity", "field", "fy", F.col("v1").alias("q1"), *[F.lit(None).cast("double").alias(c) for c in ("q2", "q3", "q4")],
-                    (F.col("v1") + F.col("v2")).alias("ytd2"), (F.col("v1") + F.col("v2") + F.col("v3")).alias("ytd3"),
-                    (F.col("v1") + F.col("v2") + F.col("v3") + F.col("v4")).alias("fy_value"))
-    return rounded(D.quarters_from_year_to_date(told), "q1", "q2", "q3", "q4", digits=4)
-
-
-@query("period_kind", """WITH x AS (SELECT o_orderkey, (o_custkey % 400)::INT AS days, o_orderdate::DATE AS d FROM orders) SELECT o_orderkey,
-CASE WHEN days BETWEEN 75 AND 105 THEN 'Q' WHEN days BETWEEN 165 AND 200 THEN 'H' WHEN days BETWEEN 255 AND 290 THEN '9M' WHEN days BETWEEN 350 AND 380 THEN 'FY' END AS kind,
-year(CASE WHEN day(d) <= 4 THEN d - 5 ELSE d END)::INT AS fy FROM x""")
-def _(spark, d):
-    o = views.table(spark, d, "orders")
-    return o.select("o_orderkey", D.period_kind(F.col("o_custkey") % 400).alias("kind"), D.fiscal_year(F.col("o_orderdate").cast("date")).alias("fy"))
-
-
-@query("period_meta", f"""WITH {FILED}, n AS (SELECT entity, source, count(*) AS n FROM filed GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, source) AS k FROM n) SELECT entity, source, n FROM k WHERE k = 1""")
-def _(spark, d):
-    return D.modal(filed(spark, d), ["entity"], "source")
-
-
-@query("ratios", f"""WITH {FACTS}, g AS (SELECT *, revenue - cost_of_revenue AS gp FROM wide_facts)
-SELECT entity, period_end, round(gp / nullif(revenue, 0), 6) AS gross_margin, round(tax / nullif(gp, 0), 6) AS tax_rate, round(revenue / nullif(units, 0), 6) AS price,
-round(revenue / nullif(lag(revenue, 4) OVER w, 0) - 1, 6) AS revenue_yoy, round(gp / nullif(lag(gp, 4) OVER w, 0) - 1, 6) AS gross_yoy FROM g WINDOW w AS (PARTITION BY entity ORDER BY period_end)""")
-def _(spark, d):
-    s = D.statements(views.facts(spark, d), ["revenue", "cost_of_revenue", "tax", "units"])
-    return rounded(D.margins(s), "gross_margin", "tax_rate", "price", "revenue_yoy", "gross_yoy")
-
-
-@query("altman_z", f"""WITH {FACTS} SELECT entity, period_end, round(1.2 * tax / revenue + 1.4 * cost_of_revenue / revenue + 3.3 * (revenue - cost_of_revenue) / revenue + 0.6 * units / cost_of_revenue + 1.0, 6) AS z FROM wide_facts WHERE cost_of_revenue <> 0""")
-def _(spark, d):
-    s = D.statements(views.facts(spark, d), ["revenue", "cost_of_revenue", "tax", "units"]).where("cost_of_revenue <> 0")
-    c = F.col
-    z = D.altman_z(c("tax"), c("cost_of_revenue"), c("revenue") - c("cost_of_revenue"), c("units"), c("revenue"), c("revenue"), c("cost_of_revenue"))
-    return rounded(s.select("entity", "period_end", z.alias("z")), "z")
-
-
-@query("piotroski", f"""WITH {FACTS}, p AS (SELECT entity, period_end, revenue > lag(revenue, 4) OVER w AS a, tax > 0 AS b, units > lag(units, 4) OVER w AS c, cost_of_revenue < lag(cost_of_revenue, 4) OVER w AS d FROM wide_facts WINDOW w AS (PARTITION BY entity ORDER BY period_end))
-SELECT entity, period_end, CASE WHEN (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT + (d IS NOT NULL)::INT >= 3 THEN coalesce(a, false)::INT + coalesce(b, false)::INT + coalesce(c, false)::INT + coalesce(d, false)::INT END AS score FROM p""")
-def _(spark, d):
-    s = D.statements(views.facts(spark, d), ["revenue", "cost_of_revenue", "tax", "units"])
-    w = Window.partitionBy("entity").orderBy("period_end")
-    ago = lambda c: F.lag(c, 4).over(w)
-    s = s.withColumns({"a": F.col("revenue") > ago("revenue"), "b": F.col("tax") > 0, "c": F.col("units") > ago("units"), "d": F.col("cost_of_revenue") < ago("cost_of_revenue")})
-    return s.select("entity", "period_end", D.score([F.col(x) for x in "abcd"], 3).alias("score"))
-
-
-@query("validate_extraction", f"""WITH {FACTS} SELECT entity, period_end, abs(cost_of_revenue - tax) <= 0.25 * greatest(abs(cost_of_revenue), abs(tax)) AS balanced FROM wide_facts""")
-def _(spark, d):
-    s = D.statements(views.facts(spark, d), ["revenue", "cost_of_revenue", "tax", "units"])
-    return s.select("entity", "period_end", D.within(F.col("cost_of_revenue"), F.col("tax"), 0.25).alias("balanced"))
-
-
 @query("facts_upsert", f"""WITH {FACTS}, n AS (SELECT entity, field, period_end, CASE WHEN entity % 3 = 0 THEN value * 2 ELSE value END AS value FROM facts WHERE field = 'units')
 SELECT entity, field, period_end, value, false AS restated FROM facts WHERE field = 'units' UNION ALL SELECT entity, field, period_end, value, true FROM n WHERE entity % 3 = 0 AND abs(value / 2) > 1e-6""")
 def _(spark, d):
@@ -133,12 +75,6 @@ def _(spark, d):
     return D.upsert(old, new, ["entity", "field", "period_end"])
 
 
-@query("coverage", f"""WITH {FILED}, p AS (SELECT entity, period_end, source, count(*) AS n, count(*) FILTER (approved) AS a, max(ord) AS f FROM filed GROUP BY 1, 2, 3)
-SELECT entity, period_end, sum(n)::BIGINT AS facts, sum(a)::BIGINT AS approved, count(*) AS sources, max(f) AS last_filed FROM p GROUP BY 1, 2""")
-def _(spark, d):
-    return D.coverage(filed(spark, d))
-
-
 @query("percentiles", """SELECT l_returnflag AS k, quantile_cont(l_extendedprice, 0.25) AS p25, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS p75 FROM lineitem GROUP BY 1""")
 def _(spark, d):
     return views.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(*V.quartiles(F.col("l_extendedprice")))
@@ -572,10 +508,3 @@ def _(spark, d):
 def _(spark, d):
     return views.table(spark, d, "events").groupBy(F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month"), F.col("event_type").alias("purpose")).agg(
         F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("spent"), F.count("*").alias("calls"))
-
-
-@query("range_join_validity", """WITH m AS (SELECT p_partkey % 7 AS k, p_size AS a, p_size + 10 AS b, min(p_partkey) AS id FROM part GROUP BY 1, 2, 3) SELECT o_orderkey, count(*) AS n, min(m.id) AS first_map FROM orders JOIN m ON o_custkey % 7 = m.k AND o_orderkey % 60 BETWEEN m.a AND m.b GROUP BY 1""")
-def _(spark, d):
-    m = views.table(spark, d, "part").groupBy((F.col("p_partkey") % 7).alias("k"), F.col("p_size").alias("a"), (F.col("p_size") + 10).alias("b")).agg(F.min("p_partkey").alias("id"))
-    o = views.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 7).alias("k"), (F.col("o_orderkey") % 60).alias("at"))
-    return o.join(m, "k").where("at BETWEEN a AND b").groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("id").alias("first_map"))

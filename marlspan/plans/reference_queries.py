@@ -127,21 +127,6 @@ def _(spark, d):
     return u.withColumn("k", F.row_number().over(w)).where("k = 1").select("field", "unit")
 
 
-@query("derived_fields", f"WITH {FACTS} SELECT entity, period_end, revenue - cost_of_revenue AS gross_profit, revenue - cost_of_revenue - tax AS operating FROM wide_facts")
-def _(spark, d):
-    s = views.facts(spark, d).groupBy("entity", "period_end").pivot("field", ["revenue", "cost_of_revenue", "tax"]).agg(F.first("value"))
-    gross = F.col("revenue") - F.col("cost_of_revenue")
-    return s.select("entity", "period_end", gross.alias("gross_profit"), (gross - F.col("tax")).alias("operating"))
-
-
-@query("half_year_derivation", f"""WITH {FACTS}, y AS (SELECT entity, year(period_end - INTERVAL 1 DAY)::INT AS fy, sum(value) FILTER (month(period_end - INTERVAL 1 DAY) <= 6) AS h1, sum(value) AS fy_value FROM facts WHERE field = 'units' GROUP BY 1, 2)
-SELECT entity, fy, h1, fy_value - h1 AS h2 FROM y WHERE h1 IS NOT NULL""")
-def _(spark, d):
-    x = views.facts(spark, d).where("field = 'units'").withColumn("day", F.col("period_end") - F.expr("interval 1 day"))
-    y = x.groupBy("entity", F.year("day").alias("fy")).agg(F.sum(F.when(F.month("day") <= 6, F.col("value"))).alias("h1"), F.sum("value").alias("fy_value"))
-    return y.where("h1 IS NOT NULL").select("entity", "fy", "h1", (F.col("fy_value") - F.col("h1")).alias("h2"))
-
-
 @query("classify_filer", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'us_10k' WHEN 1 THEN 'foreign_20f' ELSE 'unknown' END AS filer FROM supplier")
 def _(spark, d):
     forms = F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("10-K"), F.lit("8-K"))).when(F.col("s_suppkey") % 3 == 1, F.array(F.lit("20-F"))).otherwise(F.array(F.lit("S-1")))
