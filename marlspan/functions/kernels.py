@@ -132,8 +132,16 @@ def kpss(y: np.ndarray) -> float:
     return float(s @ s / (n * n * var)) if var > 0 else math.nan
 
 
+LEAST = 20
+
+
+def usable(*columns: np.ndarray) -> bool:
+    """Whether a test can be made: rows enough, all finite, nothing constant."""
+    return all(len(x) >= LEAST and np.isfinite(x).all() and np.ptp(x) > 0 for x in columns)
+
+
 def adf_kpss(y: np.ndarray) -> tuple[float, float, float, str]:
-    if len(y) < 20:
+    if not usable(y):
         return math.nan, math.nan, math.nan, "insufficient"
     tau, k = adf(y), kpss(y)
     p = adf_p(tau)
@@ -143,12 +151,18 @@ def adf_kpss(y: np.ndarray) -> tuple[float, float, float, str]:
 
 
 def engle_granger(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
+    if not usable(a, b):
+        return math.nan, math.nan, math.nan
     beta, e, _ = ols(b, np.column_stack([np.ones(len(a)), a]))
+    if np.ptp(e) <= 1e-12 * np.ptp(b):  # one is a multiple of the other: nothing is left to test
+        return float(beta[1]), math.nan, math.nan
     tau = adf(e, constant=False)
     return float(beta[1]), tau, adf_p(tau, 2)
 
 
-def johansen(a: np.ndarray, b: np.ndarray) -> tuple[float, float, int]:
+def johansen(a: np.ndarray, b: np.ndarray) -> tuple[float, float, int | None]:
+    if not usable(a, b):
+        return math.nan, math.nan, None
     y = np.column_stack([a, b])
     d = np.diff(y, axis=0)
     z0, z1, z2 = d[1:], y[1:-1], np.column_stack([np.ones(len(d) - 1), d[:-1]])
@@ -162,8 +176,11 @@ def johansen(a: np.ndarray, b: np.ndarray) -> tuple[float, float, int]:
     return float(trace[0]), float(trace[1]), rank
 
 
-def granger(x: np.ndarray, y: np.ndarray, most: int) -> tuple[int, float, float]:
-    """Whether the past of ``x`` helps to predict ``y``."""
+def granger(x: np.ndarray, y: np.ndarray, most: int) -> tuple[int | None, float, float]:
+    """Whether the past of ``x`` helps to predict ``y``; nothing on fewer than
+    five rows a lag and ten more."""
+    if not usable(x, y) or len(y) < 5 * most + 10:
+        return None, math.nan, math.nan
     def design(k: int, skip: int):
         rows = np.arange(skip, len(y))
         own = np.column_stack([np.ones(len(rows))] + [y[rows - i] for i in range(1, k + 1)])
@@ -183,14 +200,13 @@ def granger(x: np.ndarray, y: np.ndarray, most: int) -> tuple[int, float, float]
     return k, float(f), f_p(f, k, free)
 
 
-def ledoit_wolf(x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Shrunk covariance towards a scaled identity, and the intensity."""
-    n, p = x.shape
-    x = x - x.mean(axis=0)
-    s = x.T @ x / n
+def ledoit_wolf(s: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Shrunk covariance towards a scaled identity, and the intensity, from the
+    covariances ``s`` and the means ``q`` of products of squared deviations."""
+    p = len(s)
     mu = np.trace(s) / p
     d2 = ((s - mu * np.eye(p)) ** 2).sum() / p
-    b2 = min(d2, (((x ** 2).T @ (x ** 2)).sum() / n - (s ** 2).sum()) / (n * p))
+    b2 = min(d2, (q - s ** 2).sum() / (n * p))
     k = b2 / d2 if d2 else 0.0
     return (1 - k) * s + k * mu * np.eye(p), float(k)
 
@@ -211,8 +227,8 @@ def average_linkage(dist: np.ndarray, cut: float) -> tuple[list[int], list[int]]
     return label, next(iter(groups.values()))
 
 
-def universe(x: np.ndarray):
-    cov, k = ledoit_wolf(x)
+def universe(s: np.ndarray, q: np.ndarray, n: int):
+    cov, k = ledoit_wolf(s, q, n)
     sd = np.sqrt(np.diag(cov))
     corr = cov / np.outer(sd, sd)
     share = float(np.linalg.eigvalsh(corr)[-1] / len(corr))
@@ -220,6 +236,31 @@ def universe(x: np.ndarray):
     return k, share, label, np.argsort(order).tolist()
 
 
+def rolling_spearman(a: np.ndarray, b: np.ndarray, window: int, least: int) -> np.ndarray:
+    """Spearman over the last ``window`` rows at each row, of ``least`` rows on;
+    ranks of ties are means. All windows of a chunk are ranked at once."""
+    out = np.full(len(a), np.nan)
+
+    def ranks(x: np.ndarray) -> np.ndarray:
+        below, same = (x[:, None, :] < x[:, :, None]).sum(axis=2), (x[:, None, :] == x[:, :, None]).sum(axis=2)
+        return below + (same + 1) / 2
+
+    def rho(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x, y = ranks(x), ranks(y)
+        x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+
+    for n in range(least, min(window, len(a) + 1)):
+        out[n - 1] = rho(a[None, :n], b[None, :n])[0]
+    if len(a) >= window:
+        wa, wb = np.lib.stride_tricks.sliding_window_view(a, window), np.lib.stride_tricks.sliding_window_view(b, window)
+        step = max(1, 4_000_000 // window ** 2)
+        for i in range(0, len(wa), step):
+            out[window - 1 + i:window - 1 + i + step] = rho(wa[i:i + step], wb[i:i + step])
+    return out
+
+
 def markov_two_states(y: np.ndarray, rounds: int = 100) -> np.ndarray:
     """Smoothed probability of the state with the larger deviation, by EM on a
     two-state switching mean and variance."""

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from marlspan.functions import kernels
 from marlspan.functions.stats import fisher_bound, full, ratio, safe_corr
 
+from .series import common_dates
+
 
 def _w(*keys: str):
     return Window.partitionBy(*keys).orderBy("ts")
@@ -116,9 +118,16 @@ def stability(rolled: DataFrame) -> DataFrame:
 
 
 def conditional_correlation(df: DataFrame, min_n: int = 20) -> DataFrame:
-    """Correlation of each pair within each regime; ``df`` carries ``regime``."""
-    s = df.groupBy("pair_id", "regime").agg(safe_corr(F.col("a"), F.col("b")).alias("r"), F.count("*").alias("n")).where(F.col("n") >= min_n)
-    return s.withColumns({"lo": fisher_bound(F.col("r"), F.col("n"), -1), "hi": fisher_bound(F.col("r"), F.col("n"), 1)})
+    """Pearson, Spearman and the interval by the effective n of each pair within
+    each regime; nulls in regimes of fewer than ``min_n`` rows. ``df`` carries
+    ``regime``."""
+    keyed = df.withColumn("pair_id", F.to_json(F.struct("pair_id", "regime")))
+    s = correlation(keyed, 1)
+    key = F.from_json("pair_id", "pair_id string, regime string")
+    known = F.col("n") >= min_n
+    effective = F.when(F.col("n_eff").isNotNull(), F.col("n_eff")).otherwise(F.col("n"))
+    out = {"r": F.col("pearson"), "spearman": F.col("spearman"), "n_eff": F.col("n_eff"), "lo": fisher_bound(F.col("pearson"), effective, -1), "hi": fisher_bound(F.col("pearson"), effective, 1)}
+    return s.select(key["pair_id"].alias("pair_id"), key["regime"].alias("regime"), "n", *[F.when(known, c).alias(k) for k, c in out.items()])
 
 
 def matrix(series: DataFrame, min_overlap: int = 10) -> DataFrame:
@@ -146,15 +155,16 @@ def _per_pair(df: DataFrame, f, schema: str) -> DataFrame:
 
 
 def rolling_spearman(df: DataFrame, window: int) -> DataFrame:
-    """Spearman over the last ``window`` rows, from ranks inside each window."""
-    r = _w("pair_id").rowsBetween(-(window - 1), 0)
-    held = df.withColumn("w", F.collect_list(F.struct("a", "b")).over(r))
+    """Spearman over the last ``window`` rows, ranked inside each window; one
+    call a pair, which ranks many windows at once."""
+    least = max(3, round(0.8 * window))
 
-    @F.pandas_udf("double")
-    def rho(w):  # noqa: ANN001, ANN202
-        return w.map(lambda x: kernels.spearman([y["a"] for y in x], [y["b"] for y in x]))
+    def run(g):  # noqa: ANN001, ANN202
+        g = g.sort_values("ts")
+        return g.assign(rho=kernels.rolling_spearman(g["a"].to_numpy("float64"), g["b"].to_numpy("float64"), window, least))[["pair_id", "ts", "rho"]]
 
-    return held.withColumn("rho", F.when(F.size("w") >= max(3, round(0.8 * window)), rho("w"))).drop("w")
+    found = df.select("pair_id", "ts", "a", "b").groupBy("pair_id").applyInPandas(run, "pair_id string, ts timestamp_ntz, rho double")
+    return found.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
 
 
 def ewma_correlation(df: DataFrame, window: int) -> DataFrame:
@@ -194,17 +204,46 @@ def granger(df: DataFrame, max_lag: int = 5) -> DataFrame:
 
 def universe_structure(series: DataFrame) -> DataFrame:
     """Ledoit-Wolf shrinkage, first component's share, and average-linkage
-    clusters with leaf order. One row per series. The matrix is k by k: the
-    rows of all dates are complete cases of k columns, summed up beforehand."""
+    clusters with leaf order, over the dates that all series have. One row per
+    series. The products of all pairs are summed up in SQL, so that k by k
+    numbers, whatever the number of dates, meet in one call."""
     import pandas as pd
 
+    full = common_dates(series)
+    centred = full.withColumn("x", F.col("value") - F.avg("value").over(Window.partitionBy("series_id")))
+    left = centred.select("ts", F.col("series_id").alias("a"), F.col("x").alias("xa"))
+    right = centred.select("ts", F.col("series_id").alias("b"), F.col("x").alias("xb"))
+    product = F.col("xa") * F.col("xb")
+    sums = left.join(right, "ts").groupBy("a", "b").agg(F.avg(product).alias("s"), F.avg(product * product).alias("q"), F.count("*").alias("n"))
+
     def run(g):  # noqa: ANN001, ANN202
-        wide = g.pivot(index="ts", columns="series_id", values="value").dropna()
-        shrink, share, cluster, order = kernels.universe(wide.to_numpy("float64"))
-        return pd.DataFrame({"series_id": wide.columns, "shrinkage": shrink, "pc1_share": share, "cluster": cluster, "leaf": order})
+        s, q = (g.pivot(index="a", columns="b", values=c).sort_index().sort_index(axis=1) for c in ("s", "q"))
+        shrink, share, cluster, order = kernels.universe(s.to_numpy("float64"), q.to_numpy("float64"), int(g["n"].iloc[0]))
+        return pd.DataFrame({"series_id": s.index, "shrinkage": shrink, "pc1_share": share, "cluster": cluster, "leaf": order})
+
+    return sums.groupBy(F.lit(1).alias("universe")).applyInPandas(run, "series_id string, shrinkage double, pc1_share double, cluster int, leaf int")
 
-    return series.withColumn("universe", F.lit(1)).groupBy("universe").applyInPandas(
-        run, "series_id string, shrinkage double, pc1_share double, cluster int, leaf int")
+
+def discovery(df: DataFrame, levels: DataFrame, max_lag: int, window: int, days: int = 730, points: int = 40) -> DataFrame:
+    """One row per pair: correlations with p and effective n, the best lead or
+    lag, ``stability`` (mean of the rolling correlation over its deviation, the
+    last ``days`` days of it, three values at least), the p of a
+    cointegration test of the levels, and ``spark``, the rolling correlation at
+    ``points`` evenly spaced rows."""
+    base = with_p_values(correlation(df)).select("pair_id", "pearson", F.abs("pearson").alias("strength"), "spearman", F.col("p_value").alias("p"), "n", "n_eff")
+    best = lead_lag(df, max_lag).where("best").select("pair_id", F.col("lag").alias("best_lag"), F.col("r").alias("best_corr"))
+    whole = Window.partitionBy("pair_id")
+    rolled = rolling_correlation(df, window).select("pair_id", "ts", "r").withColumn("end", F.max("ts").over(whole)).where("r IS NOT NULL")
+    recent = F.when(F.col("ts") >= F.col("end") - F.make_dt_interval(F.lit(days)), F.col("r"))
+    sd = F.stddev_samp(recent)
+    stable = F.when((F.count(recent) >= 3) & (sd > 0), F.round(F.avg(recent) / sd, 3))
+    numbered = rolled.withColumns({"k": F.row_number().over(_w("pair_id")) - 1, "m": F.count("*").over(whole)})
+    # row k is drawn if it is the nearest to one of the evenly spaced places
+    place = F.bround(F.bround(F.col("k") * (points - 1) / (F.col("m") - 1)) * (F.col("m") - 1) / F.lit(points - 1))
+    drawn = F.when((F.col("m") <= points) | (place == F.col("k")), F.struct("k", F.round("r", 3).alias("r")))
+    lines = numbered.groupBy("pair_id").agg(stable.alias("stability"), F.transform(F.sort_array(F.collect_list(drawn)), lambda x: x["r"]).alias("spark"))
+    tested = cointegration(levels).select("pair_id", F.col("p_value").alias("coint_p"))
+    return base.join(best, "pair_id", "left").join(lines, "pair_id", "left").join(tested, "pair_id", "left")
 
 
 def full_windows(df: DataFrame, column: str, n: int) -> DataFrame:

@@ -10,15 +10,26 @@ from marlspan.functions import kernels
 
 from .series import by_series
 
-# The presets' edges and labels.
+# The presets' series, kinds, edges and labels.
 PRESETS = {
-    "rate_level": ([2.0, 4.0], ["low", "mid", "high"]),
-    "vix_level": ([15.0, 25.0], ["calm", "normal", "stress"]),
-    "curve_slope": ([0.0, 1.0], ["inverted", "flat", "steep"]),
-    "inflation": ([2.0, 4.0], ["low", "target", "high"]),
+    "vix": ("fred:VIXCLS", "bands", {"edges": [15.0, 25.0], "labels": ["calm", "normal", "stress"]}),
+    "curve": ("fred:T10Y3M", "bands", {"edges": [0.0], "labels": ["inverted", "normal"]}),
+    "fed": ("fred:DFF", "trend", {"periods": 63, "threshold": 0.10, "labels": ["cutting", "hold", "hiking"]}),
+    "hy": ("fred:BAMLH0A0HYM2", "bands", {"edges": [3.5, 5.0], "labels": ["tight", "mid", "wide"]}),
+    "usrec": ("fred:USREC", "bands", {"edges": [0.5], "labels": ["expansion", "recession"]}),
+    "boi_fed": ("derived:BOI_FED_DIFF", "bands", {"edges": [0.0], "labels": ["boi_below_fed", "boi_above_fed"]}),
+    "realized_vol": (None, "volatility", {"window": 20, "quantiles": [0.33, 0.67], "labels": ["low_vol", "mid_vol", "high_vol"]}),
+    "markov": (None, "markov", {}),
 }
 
 
+def preset(df: DataFrame, name: str) -> DataFrame:
+    """The regimes of ``df(series_id, ts, value)`` by a preset; ``df`` holds the
+    preset's series, or the analysed one where the preset names none."""
+    _, kind, params = PRESETS[name]
+    return {"bands": bands, "trend": trend, "volatility": volatility, "markov": markov}[kind](df, **params)
+
+
 def ladder(x: Column, edges: list[float], labels: list[str]) -> Column:
     """The label of the first edge above ``x``; the last label beyond all."""
     out = None
@@ -52,13 +63,21 @@ def volatility(df: DataFrame, window: int, quantiles=(0.33, 0.67), labels=("low"
 
 
 def user_windows(df: DataFrame, windows: DataFrame, default: str = "other") -> DataFrame:
-    """``windows(idx, start, end, label)`` with both ends included; a later window wins."""
-    hit = df.join(F.broadcast(windows) if _few(windows) else windows, (df.ts >= F.col("start")) & (df.ts <= F.col("end")), "left")
-    return hit.groupBy("series_id", "ts").agg(F.coalesce(F.max_by("label", "idx"), F.lit(default)).alias("regime"))
-
-
-def _few(windows: DataFrame, most: int = 10_000) -> bool:
-    return windows.limit(most + 1).count() <= most
+    """``windows(idx, start, end, label)`` with both ends included; a later window wins.
+
+    The windows' ends cut time into stretches, each with the label of the last
+    window over it; that is a join of the windows with their own ends. A series
+    meets one stretch by an as-of look back: a union and one frame, no range
+    join over data."""
+    step = F.expr("interval 1 microsecond")
+    cuts = windows.select(F.col("start").alias("at")).union(windows.select((F.col("end") + step).alias("at"))).distinct()
+    over = (F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end"))
+    stretches = cuts.join(windows, over, "left").groupBy("at").agg(F.coalesce(F.max_by("label", "idx"), F.lit(default)).alias("regime"))
+    rows = df.select("series_id", "ts").withColumns({"side": F.lit(1), "regime": F.lit(None).cast("string")})
+    marks = df.select("series_id").distinct().join(F.broadcast(stretches)).select("series_id", F.col("at").alias("ts"), F.lit(0).alias("side"), "regime")
+    w = by_series().orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.unionByName(marks).withColumn("regime", F.coalesce(F.last("regime", ignorenulls=True).over(w), F.lit(default)))
+    return found.where("side = 1").select("series_id", "ts", "regime")
 
 
 def markov(df: DataFrame, least: int = 100) -> DataFrame:

@@ -270,34 +270,38 @@ def _(spark, d):
     return rounded(I.vwap(views.bars(spark, d)), "vwap", digits=6).select("ticker", "ts", "vwap")
 
 
-def _ewm_sql(x: str, alpha: str) -> str:
-    return f"list_reduce({x}, lambda p, q: p + ({alpha}) * (q - p))"
+def _ewm_sql(lists: str, alpha: str) -> str:
+    """The running recursive average of a list of one-element lists."""
+    return f"list_reduce({lists}, lambda p, q: list_append(p, p[-1] + ({alpha}) * (q[1] - p[-1])))"
 
 
-@query("ind_ema20", f"""WITH {BARS}, h AS (SELECT ticker, ts, list(close) OVER (PARTITION BY ticker ORDER BY ts ROWS UNBOUNDED PRECEDING) AS x FROM bars WHERE ts < TIMESTAMP '1997-01-01')
-SELECT ticker, ts, round({_ewm_sql('x', '2.0::DOUBLE / 21')}, 6) AS ema20 FROM h""")
+@query("ind_ema20", f"""WITH {BARS}, h AS (SELECT ticker, list(ts ORDER BY ts) AS t, list([close] ORDER BY ts) AS x FROM bars GROUP BY 1), r AS (SELECT ticker, unnest(t) AS ts, unnest({_ewm_sql('x', '2.0::DOUBLE / 21')}) AS v FROM h)
+SELECT ticker, ts, round(v, 6) AS ema20 FROM r""")
 def _(spark, d):
-    return rounded(I.ema(views.bars(spark, d).where("ts < timestamp_ntz'1997-01-01 00:00:00'"), 20), "ema20", digits=6).select("ticker", "ts", "ema20")
+    return rounded(I.ema(views.bars(spark, d), 20), "ema20", digits=6).select("ticker", "ts", "ema20")
 
 
-@query("ind_rsi14", f"""WITH {BARS}, m AS (SELECT ticker, ts, coalesce(close - lag(close) OVER (PARTITION BY ticker ORDER BY ts), 0) AS move FROM bars WHERE ts < TIMESTAMP '1997-01-01'),
-h AS (SELECT ticker, ts, list(greatest(move, 0)) OVER w AS u, list(greatest(-move, 0)) OVER w AS d FROM m WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS UNBOUNDED PRECEDING)),
-r AS (SELECT ticker, ts, {_ewm_sql('u', '1.0::DOUBLE / 14')} AS u, {_ewm_sql('d', '1.0::DOUBLE / 14')} AS d FROM h)
+@query("ind_rsi14", f"""WITH {BARS}, m AS (SELECT ticker, ts, coalesce(close - lag(close) OVER (PARTITION BY ticker ORDER BY ts), 0) AS move FROM bars),
+h AS (SELECT ticker, list(ts ORDER BY ts) AS t, list([greatest(move, 0)] ORDER BY ts) AS u, list([greatest(-move, 0)] ORDER BY ts) AS d FROM m GROUP BY 1),
+r AS (SELECT ticker, unnest(t) AS ts, unnest({_ewm_sql('u', '1.0::DOUBLE / 14')}) AS u, unnest({_ewm_sql('d', '1.0::DOUBLE / 14')}) AS d FROM h)
 SELECT ticker, ts, round(100 * u / nullif(u + d, 0), 6) AS rsi14 FROM r""")
 def _(spark, d):
-    return rounded(I.rsi(views.bars(spark, d).where("ts < timestamp_ntz'1997-01-01 00:00:00'"), 14), "rsi14", digits=6).select("ticker", "ts", "rsi14")
+    return rounded(I.rsi(views.bars(spark, d), 14), "rsi14", digits=6).select("ticker", "ts", "rsi14")
 
 
-@query("ind_atr14", f"""WITH {BARS}, b AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS pc FROM bars WHERE ts < TIMESTAMP '1997-01-01'),
-h AS (SELECT ticker, ts, list(greatest(high - low, abs(high - pc), abs(low - pc))) OVER (PARTITION BY ticker ORDER BY ts ROWS UNBOUNDED PRECEDING) AS x FROM b)
-SELECT ticker, ts, round({_ewm_sql('x', '1.0::DOUBLE / 14')}, 6) AS atr14 FROM h""")
+@query("ind_atr14", f"""WITH {BARS}, b AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS pc FROM bars),
+h AS (SELECT ticker, list(ts ORDER BY ts) AS t, list([greatest(high - low, abs(high - pc), abs(low - pc))] ORDER BY ts) AS x FROM b GROUP BY 1), r AS (SELECT ticker, unnest(t) AS ts, unnest({_ewm_sql('x', '1.0::DOUBLE / 14')}) AS v FROM h)
+SELECT ticker, ts, round(v, 6) AS atr14 FROM r""")
 def _(spark, d):
-    return rounded(I.atr(views.bars(spark, d).where("ts < timestamp_ntz'1997-01-01 00:00:00'"), 14), "atr14", digits=6).select("ticker", "ts", "atr14")
+    return rounded(I.atr(views.bars(spark, d), 14), "atr14", digits=6).select("ticker", "ts", "atr14")
 
 
-@query("ind_macd")
+@query("ind_macd", f"""WITH {BARS}, h AS (SELECT ticker, list(ts ORDER BY ts) AS t, list([close] ORDER BY ts) AS x FROM bars GROUP BY 1),
+e AS (SELECT ticker, t, {_ewm_sql('x', '2.0::DOUBLE / 13')} AS fast, {_ewm_sql('x', '2.0::DOUBLE / 27')} AS slow FROM h), m AS (SELECT ticker, t, list_transform(list_zip(fast, slow), lambda p: p[1] - p[2]) AS macd FROM e),
+s AS (SELECT ticker, unnest(t) AS ts, unnest(macd) AS macd, unnest({_ewm_sql('list_transform(macd, lambda v: [v])', '2.0::DOUBLE / 10')}) AS signal FROM m)
+SELECT ticker, ts, round(macd, 6) AS macd, round(signal, 6) AS macd_signal, round(macd - signal, 6) AS macd_hist FROM s""")
 def _(spark, d):
-    return I.macd(views.bars(spark, d)).select("ticker", "ts", "macd", "macd_signal", "macd_hist")
+    return rounded(I.macd(views.bars(spark, d)), "macd", "macd_signal", "macd_hist", digits=6).select("ticker", "ts", "macd", "macd_signal", "macd_hist")
 
 
 @query("ind_apply", f"""WITH {BARS} SELECT ticker, ts, round(CASE WHEN count(*) OVER w = 5 THEN avg(close) OVER w END, 6) AS sma5,

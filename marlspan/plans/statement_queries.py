@@ -274,17 +274,17 @@ def _period_sql(value: str, name: str) -> str:
     avg, stock = "field = 'shares_basic_weighted'", "field IN ('total_assets', 'shares_outstanding')"
     less = lambda n, cur, prev: f"CASE WHEN {avg} THEN {n} * {cur} - {n - 1} * ({prev}) ELSE {cur} - ({prev}) END"
     mean = lambda *q: f"({' + '.join(q)}) / CASE WHEN {avg} THEN {len(q)} ELSE 1 END"
-    return f"""{name}_x AS (SELECT entity, field, {stock} AS stock, {avg} AS av, year(e) AS fy, quarter(e) AS q, e - s + 1 AS days, s, e, {value} AS v FROM vw),
-{name}_w AS (SELECT entity, field, stock, av, fy, {', '.join(f"max(v) FILTER (q = {n} AND (stock AND s IS NULL AND last OR days BETWEEN 75 AND 105)) AS q{n}" for n in (1, 2, 3, 4))},
+    return f"""{name}_x AS MATERIALIZED (SELECT entity, field, {stock} AS stock, {avg} AS av, year(e) AS fy, quarter(e) AS q, e - s + 1 AS days, s, e, {value} AS v FROM vw),
+{name}_w AS MATERIALIZED (SELECT entity, field, stock, av, fy, {', '.join(f"max(v) FILTER (q = {n} AND (stock AND s IS NULL AND last OR days BETWEEN 75 AND 105)) AS q{n}" for n in (1, 2, 3, 4))},
   max(v) FILTER (q = 4 AND (stock AND s IS NULL AND last OR days BETWEEN 350 AND 380)) AS yr, max(v) FILTER (q = 2 AND days BETWEEN 165 AND 200) AS y2, max(v) FILTER (q = 3 AND days BETWEEN 255 AND 290) AS y3,
   {', '.join(f"max(e) FILTER (q = {n}) AS e{n}" for n in (1, 2, 3, 4))} FROM (SELECT *, e = max(e) OVER (PARTITION BY entity, field, fy, q) AS last FROM {name}_x) GROUP BY 1, 2, 3, 4, 5),
-{name}_2 AS (SELECT * REPLACE (coalesce(q2, CASE WHEN NOT stock THEN {less(2, 'y2', 'q1')} END) AS q2), q2 IS NULL AS d2 FROM {name}_w),
-{name}_3 AS (SELECT * REPLACE (coalesce(q3, CASE WHEN NOT stock THEN {less(3, 'y3', f'coalesce(y2, {mean("q1", "q2")})')} END) AS q3), q3 IS NULL AS d3 FROM {name}_2),
-{name}_4 AS (SELECT * REPLACE (coalesce(q4, CASE WHEN NOT stock THEN {less(4, 'yr', f'coalesce(y3, {mean("q1", "q2", "q3")}, CASE WHEN {avg} THEN (2 * y2 + q3) / 3 ELSE y2 + q3 END)')} END) AS q4), q4 IS NULL AS d4 FROM {name}_3),
-{name}_q AS (SELECT entity, field, stock, av, 'Q' AS period_type, fy, 'Q1' AS fp, 1 AS n, e1 AS pe, q1 AS value, false AS derived FROM {name}_4 WHERE q1 IS NOT NULL
+{name}_2 AS MATERIALIZED (SELECT * REPLACE (coalesce(q2, CASE WHEN NOT stock THEN {less(2, 'y2', 'q1')} END) AS q2), q2 IS NULL AS d2 FROM {name}_w),
+{name}_3 AS MATERIALIZED (SELECT * REPLACE (coalesce(q3, CASE WHEN NOT stock THEN {less(3, 'y3', f'coalesce(y2, {mean("q1", "q2")})')} END) AS q3), q3 IS NULL AS d3 FROM {name}_2),
+{name}_4 AS MATERIALIZED (SELECT * REPLACE (coalesce(q4, CASE WHEN NOT stock THEN {less(4, 'yr', f'coalesce(y3, {mean("q1", "q2", "q3")}, CASE WHEN {avg} THEN (2 * y2 + q3) / 3 ELSE y2 + q3 END)')} END) AS q4), q4 IS NULL AS d4 FROM {name}_3),
+{name}_q AS MATERIALIZED (SELECT entity, field, stock, av, 'Q' AS period_type, fy, 'Q1' AS fp, 1 AS n, e1 AS pe, q1 AS value, false AS derived FROM {name}_4 WHERE q1 IS NOT NULL
   {' '.join(f"UNION ALL SELECT entity, field, stock, av, 'Q', fy, 'Q{n}', {n}, e{n}, q{n}, d{n} FROM {name}_4 WHERE q{n} IS NOT NULL" for n in (2, 3, 4))}),
-{name}_t AS (SELECT *, count(value) OVER w AS c, fy * 4 + n - min(fy * 4 + n) OVER w AS span, sum(value) OVER w AS total FROM {name}_q WINDOW w AS (PARTITION BY entity, field ORDER BY fy * 4 + n ROWS 3 PRECEDING)),
-{name} AS (SELECT entity, field, period_type, fy, fp, pe, value, derived FROM {name}_q UNION ALL SELECT entity, field, 'FY', fy, 'FY', e4, yr, false FROM {name}_4 WHERE yr IS NOT NULL
+{name}_t AS MATERIALIZED (SELECT *, count(value) OVER w AS c, fy * 4 + n - min(fy * 4 + n) OVER w AS span, sum(value) OVER w AS total FROM {name}_q WINDOW w AS (PARTITION BY entity, field ORDER BY fy * 4 + n ROWS 3 PRECEDING)),
+{name} AS MATERIALIZED (SELECT entity, field, period_type, fy, fp, pe, value, derived FROM {name}_q UNION ALL SELECT entity, field, 'FY', fy, 'FY', e4, yr, false FROM {name}_4 WHERE yr IS NOT NULL
   UNION ALL SELECT entity, field, 'TTM', fy, 'TTM', pe, CASE WHEN stock THEN value WHEN av THEN total / 4 ELSE total END, NOT stock FROM {name}_t WHERE stock OR c = 4 AND span = 3)"""
 
 

@@ -102,11 +102,15 @@ def _(spark, d):
     return rounded(P.stability(P.rolling_correlation(returns(spark, d), 12)), "mean_r", "sd_pop", "sd_samp")
 
 
-@query("conditional_corr", f"""WITH {RET}, c AS (SELECT pair_id, CASE WHEN month(ts) <= 6 THEN 'h1' ELSE 'h2' END AS regime, corr(a, b) AS r, count(*) AS n FROM rp GROUP BY 1, 2)
-SELECT pair_id, regime, round(r, 6) AS r, n, round({FISHER.format(r='r', s='-', n='n')}, 6) AS lo, round({FISHER.format(r='r', s='+', n='n')}, 6) AS hi FROM c WHERE n >= 20""")
+@query("conditional_corr", f"""WITH {RET}, g AS (SELECT *, CASE WHEN month(ts) <= 9 THEN 'h1' ELSE 'h2' END AS regime FROM rp),
+c AS (SELECT *, a - avg(a) OVER p AS xa, b - avg(b) OVER p AS xb, rank() OVER (PARTITION BY pair_id, regime ORDER BY a) AS ka, rank() OVER (PARTITION BY pair_id, regime ORDER BY b) AS kb, count(*) OVER (PARTITION BY pair_id, regime, a) AS ta, count(*) OVER (PARTITION BY pair_id, regime, b) AS tb FROM g WINDOW p AS (PARTITION BY pair_id, regime)),
+l AS (SELECT *, lag(xa) OVER w AS la, lag(xb) OVER w AS lb FROM c WINDOW w AS (PARTITION BY pair_id, regime ORDER BY ts)),
+s AS (SELECT pair_id, regime, count(*) AS n, corr(a, b) AS r, corr(ka + (ta - 1) / 2, kb + (tb - 1) / 2) AS spearman, sum(xa * la) / sum(xa * xa) * (sum(xb * lb) / sum(xb * xb)) AS p FROM l GROUP BY 1, 2),
+e AS (SELECT *, greatest(3, least(n, n * (1 - p) / (1 + p))) AS e FROM s)
+SELECT pair_id, regime, n, CASE WHEN n >= 20 THEN round(r, 6) END AS r, CASE WHEN n >= 20 THEN round(spearman, 6) END AS spearman, CASE WHEN n >= 20 THEN round(e, 6) END AS n_eff, CASE WHEN n >= 20 THEN round({FISHER.format(r='r', s='-', n='e')}, 6) END AS lo, CASE WHEN n >= 20 THEN round({FISHER.format(r='r', s='+', n='e')}, 6) END AS hi FROM e""")
 def _(spark, d):
-    x = returns(spark, d).withColumn("regime", F.when(F.month("ts") <= 6, "h1").otherwise("h2"))
-    return rounded(P.conditional_correlation(x), "r", "lo", "hi")
+    x = returns(spark, d).withColumn("regime", F.when(F.month("ts") <= 9, "h1").otherwise("h2"))
+    return rounded(P.conditional_correlation(x), "r", "spearman", "n_eff", "lo", "hi")
 
 
 @query("corr_matrix", f"""WITH {OBS}, mon AS (SELECT series_id, (date_trunc('month', ts) + INTERVAL 1 MONTH)::TIMESTAMP AS ts, arg_max(value, ts) AS value FROM obs GROUP BY 1, 2)
@@ -121,6 +125,11 @@ def _(spark, d):
     return rounded(s.orderBy(F.abs("r").desc(), "pair_id").limit(5), "r")
 
 
+@query("discovery_row")
+def _(spark, d):
+    return P.discovery(returns(spark, d), levels(spark, d), 6, 12).orderBy(F.desc_nulls_last("strength"), "pair_id").limit(50)
+
+
 @query("rolling_spearman")
 def _(spark, d):
     return P.rolling_spearman(returns(spark, d), 12).where("rho IS NOT NULL").select("pair_id", "ts", "rho")
@@ -156,6 +165,15 @@ def _(spark, d):
     return R.bands(views.observations(spark, d), [100000.0, 200000.0], ["low", "mid", "high"])
 
 
+@query("regime_presets", f"""WITH {OBS}, o AS (SELECT series_id, ts, value / 10000 AS value FROM obs), m AS (SELECT series_id, ts, value - lag(value, 63) OVER (PARTITION BY series_id ORDER BY ts) AS m FROM o)
+SELECT 'vix' AS preset, series_id, ts, CASE WHEN value < 15 THEN 'calm' WHEN value < 25 THEN 'normal' ELSE 'stress' END AS regime FROM o UNION ALL SELECT 'hy', series_id, ts, CASE WHEN value < 3.5 THEN 'tight' WHEN value < 5 THEN 'mid' ELSE 'wide' END FROM o
+UNION ALL SELECT 'fed', series_id, ts, CASE WHEN m < -0.1 THEN 'cutting' WHEN m > 0.1 THEN 'hiking' ELSE 'hold' END FROM m""")
+def _(spark, d):
+    o = views.observations(spark, d).withColumn("value", F.col("value") / 10000)
+    parts = [R.preset(o, n).withColumn("preset", F.lit(n)) for n in ("vix", "hy", "fed")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("regime_trend", f"""WITH {OBS}, m AS (SELECT series_id, ts, value - lag(value, 5) OVER (PARTITION BY series_id ORDER BY ts) AS m FROM obs)
 SELECT series_id, ts, CASE WHEN m < -20000 THEN 'falling' WHEN m > 20000 THEN 'rising' ELSE 'flat' END AS regime FROM m""")
 def _(spark, d):

@@ -4,14 +4,13 @@ alerts as stateful streams. A stream is replayed from files until none are left.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from marlspan.operators.alerts import OUTCOME, Rule, State, run_rows
+from marlspan.operators.alerts import OUTCOME, State, rule_of, run_rows
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
@@ -21,17 +20,17 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet")
         F.concat(F.lit("U"), (F.col("user_id") % 20).cast("string")).alias("ticker"), "event_id", "ts", "value")
 
 
-def run_to_end(stream: DataFrame, mode: str, shared: str, save: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
-    """Runs ``stream`` over all there is and returns what it wrote."""
+def run_to_end(stream: DataFrame, mode: str, shared: str) -> DataFrame:
+    """Runs ``stream`` over all there is and returns what it wrote. Each
+    micro-batch writes a folder of its own, over whatever an earlier attempt at
+    the same batch left there, so a batch that is run again is not told twice;
+    in complete mode the last one is the result."""
     at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     out, schema = f"{at}/out", stream.schema
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
-    if mode == "complete":
-        writer = writer.foreachBatch(save or (lambda df, _: df.write.mode("overwrite").parquet(out)))
-    else:
-        writer = writer.foreachBatch(lambda df, _: df.write.mode("append").parquet(out))
-    writer.start().awaitTermination()
-    return stream.sparkSession.read.schema(schema).parquet(out)
+    target = (lambda n: out) if mode == "complete" else (lambda n: f"{out}/batch={n}")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True) \
+        .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(target(n))).start().awaitTermination()
+    return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
 
 
 def latest_quotes(stream: DataFrame) -> DataFrame:
@@ -41,26 +40,28 @@ def latest_quotes(stream: DataFrame) -> DataFrame:
 
 
 def windowed_quotes(stream: DataFrame, width: str, delay: str) -> DataFrame:
-    """The last quote of each symbol in each tumbling window; windows close ``delay`` after their end."""
+    """The last quote of each symbol in each tumbling window. In append mode a
+    window is told, and its state dropped, once ``delay`` has passed after its end."""
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy("ticker", F.window("ts", width)).agg(
         F.max_by("value", F.struct("ts", "event_id")).alias("last"), F.count("*").alias("quotes")) \
         .select("ticker", F.col("window.start").alias("start"), "last", "quotes")
 
 
 def sessions(stream: DataFrame, gap: str, delay: str) -> DataFrame:
-    """Runs of quotes of a symbol with no pause longer than ``gap``."""
+    """Runs of quotes of a symbol with no pause longer than ``gap``, told in append
+    mode once ``delay`` has passed after their end."""
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy("ticker", F.session_window("ts", gap).alias("s")).agg(
         F.count("*").alias("quotes")).select("ticker", F.col("s.start").alias("start"), "quotes")
 
 
-def alerts(stream: DataFrame, rule: Rule) -> DataFrame:
-    """The alert machine with its state kept per ticker across micro-batches."""
+def alerts(ruled: DataFrame) -> DataFrame:
+    """The alert machine with its state kept per rule and ticker across micro-batches."""
     def step(key, batches, state):  # noqa: ANN001, ANN202
         s = State(*state.get) if state.exists else State()
         g = pd.concat(list(batches), ignore_index=True)
-        out = run_rows(rule, s, g)
-        state.update((s.armed, s.last_ts, s.fired_at, s.day, s.fired_today))
+        out = run_rows(rule_of(g), s, g)
+        state.update((s.armed, s.last_value, s.fired_at, s.day, s.fired_today))
         yield out
 
-    return stream.groupBy("ticker").applyInPandasWithState(
-        step, OUTCOME, "armed boolean, last_ts double, fired_at double, day int, fired_today int", "append", GroupStateTimeout.NoTimeout)
+    return ruled.groupBy("rule_id", "ticker").applyInPandasWithState(
+        step, OUTCOME, "armed boolean, last_value double, fired_at double, day int, fired_today int", "append", GroupStateTimeout.NoTimeout)

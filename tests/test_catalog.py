@@ -16,7 +16,8 @@ def test_query_matches_its_sql(spark, sf, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql_has_rows(spark, sf, name):
-    assert catalog.QUERIES[name](spark, sf).columns
+    rows = catalog.QUERIES[name](spark, sf).count()
+    assert rows > 0 or name == "simhash_pairs"  # 200 texts may have no near ones
 
 
 def test_entry(spark):

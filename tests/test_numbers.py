@@ -2,7 +2,7 @@
 
 import math
 import re
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -122,7 +122,9 @@ def test_markov_finds_the_wild_half():
 def test_block_universe():
     r = np.random.default_rng(42)
     x = r.normal(size=500)
-    _, share, label, order = kernels.universe(np.column_stack([x, x + 0.3 * r.normal(size=500), r.normal(size=500)]))
+    m = np.column_stack([x, x + 0.3 * r.normal(size=500), r.normal(size=500)])
+    m = m - m.mean(axis=0)
+    _, share, label, order = kernels.universe(m.T @ m / 500, (m ** 2).T @ (m ** 2) / 500, 500)
     assert 0.55 < share < 0.72 and label[0] == label[1] != label[2] and sorted(order) == [0, 1, 2]
 
 
@@ -144,9 +146,11 @@ def test_graham(spark):
 
 
 def test_url_and_titles(spark):
-    df = spark.createDataFrame([("http://WWW.Site.com/a/?utm_source=x&b=2&a=1#top", "Fed cuts rates - Big News")], "url string, title string")
+    df = spark.createDataFrame([("http://WWW.Site.com/a/?utm_source=x&b=2&a=1#top", "Fed cuts rates again today - Big News")], "url string, title string")
     got = df.select(N.canonical_url(F.col("url")), N.normalize_title(F.col("title"))).first()
-    assert got[0] == "https://site.com/a?a=1&b=2" and got[1] == "fed cuts rates"
+    assert got[0] == "https://site.com/a?a=1&b=2" and got[1] == "fed cuts rates again today"
+    short = spark.createDataFrame([("Fed cuts - Big News",)], "t string").select(N.normalize_title(F.col("t"))).first()[0]
+    assert short == "fed cuts big news"  # what is left would be too short
 
 
 def test_token_sets(spark):
@@ -167,16 +171,32 @@ def test_csv_lines(spark):
 
 def test_alert_machine():
     rule, s, hour = A.Rule(10, hysteresis=2, cooldown_hours=2, daily_cap=2), A.State(), 3600
-    steps = [(0, 5, "nothing"), (1, 11, "fired"), (2, 12, "nothing"), (3, 9, "nothing"), (4, 7, "rearmed"), (4.5, 11, "fired"),
-             (5, 7, "rearmed"), (5.5, 11, "cooldown"), (8, 11, "capped"), (1, 3, "stale"), (30, None, "missing"), (30, 11, "fired")]
+    steps = [(0, 5, "nothing"), (1, 11, "fired"), (2, 12, "hold"), (3, 9, "hold"), (4, 7, "rearmed"), (4.5, 11, "fired"),
+             (5, 7, "rearmed"), (5.5, 11, "cooldown"), (8, 11, "capped"), (30, None, "missing"), (30, 11, "fired")]
     assert [A.advance(rule, s, t * hour, v) for t, v, _ in steps] == [x for _, _, x in steps]
 
 
+def test_alert_directions_and_guards():
+    below, s = A.Rule(10, "below", hysteresis=2), A.State()
+    assert [A.advance(below, s, t, v) for t, v in enumerate([11, 10, 11, 12.5, 9])] == ["nothing", "fired", "hold", "rearmed", "fired"]
+    cross, s = A.Rule(0, "cross", hysteresis=1), A.State()
+    assert [A.advance(cross, s, t, v) for t, v in enumerate([3, 2, -1, -0.5, 2, -2])] == ["nothing", "nothing", "fired", "hold", "rearmed", "fired"]
+    rule, s = A.Rule(10), A.State()
+    assert A.advance(rule, s, 0, 11, age=901) == "stale" and A.advance(rule, s, 0, 11, grey=True) == "grey" and s == A.State()
+    assert A.advance(rule, s, 0, 11, age=901, is_open=False) == "fired"
+    # the cap counts by the day of Jerusalem, which begins at 22:00 UTC in winter
+    capped, s = A.Rule(10, hysteresis=1, daily_cap=1), A.State()
+    at = datetime(2024, 1, 1, 20, tzinfo=UTC).timestamp()
+    assert [A.advance(capped, s, at + h * 3600, v) for h, v in enumerate([11, 5, 11, 5, 11])] == ["fired", "rearmed", "fired", "rearmed", "capped"]
+
+
 def test_alert_stream_equals_replay(spark, sf):
     from marlspan.plans import catalog
 
     stream, batch = (catalog.QUERIES[q](spark, sf).toPandas() for q in ("alert_state_machine", "alert_replay"))
     by = ["ticker", "event_id"]
+    assert set(batch["rule_id"]) == {"high", "low", "turn"} and {"fired", "hold", "rearmed", "stale", "grey"} <= set(batch["outcome"])
+    batch = batch[batch["rule_id"] == "high"]
     pd.testing.assert_frame_equal(stream.sort_values(by).reset_index(drop=True), batch.sort_values(by).reset_index(drop=True))
 
 
@@ -205,5 +225,147 @@ def test_strip_html_takes_whole_pages(spark, sf):
 
     got = {r["page_id"]: r["text"] for r in catalog.QUERIES["strip_html"](spark, sf).collect()}
     pages = pd.read_parquet(f"{sf}/pages.parquet").set_index("page_id")["html"]
-    plain = lambda html: re.sub(r"\s+", " ", re.sub("<[^>]*>", " ", html), flags=re.ASCII).strip(" ")
+
+    def plain(html):
+        html = re.sub("<[^>]+>", " ", html)
+        for name, char in (("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">")):
+            html = html.replace(name, char)
+        return re.sub(r"\s+", " ", html, flags=re.ASCII).strip(" ")
+
     assert got == {i: plain(html) for i, html in pages.items()}
+
+
+@pytest.mark.parametrize("n", range(7))
+def test_kernels_on_short_input(n):
+    r = np.random.default_rng(n)
+    a, b = r.normal(size=n), r.normal(size=n)
+    assert kernels.adf_kpss(a)[3] == "insufficient" and math.isnan(kernels.engle_granger(a, b)[2])
+    assert kernels.johansen(a, b)[2] is None and kernels.granger(a, b, 2)[0] is None
+    assert len(kernels.rolling_spearman(a, b, 5, 3)) == n
+
+
+def test_kernels_on_constants_and_nans():
+    flat, walk = np.ones(100), np.cumsum(np.random.default_rng(1).normal(size=100))
+    broken = np.where(np.arange(100) == 50, np.nan, walk)
+    for x in (flat, broken):
+        assert kernels.adf_kpss(x)[3] == "insufficient" and math.isnan(kernels.engle_granger(walk, x)[2])
+        assert kernels.johansen(walk, x)[2] is None and kernels.granger(walk, x, 3)[0] is None
+    hedge, tau, _ = kernels.engle_granger(walk, 3 * walk)
+    assert hedge == pytest.approx(3) and math.isnan(tau)
+
+
+def test_pairs_of_any_length_stay(spark):
+    rows = [(f"p{n}", DAY + timedelta(days=i), float(i * i % 7), float(i % 5)) for n in (1, 3, 5, 40) for i in range(n)]
+    df = spark.createDataFrame(rows, "pair_id string, ts timestamp_ntz, a double, b double")
+    for f in (P.cointegration, P.johansen, P.granger, P.unit_roots):
+        assert f(df).count() == 4
+
+
+def test_rolling_spearman_is_that_of_each_window():
+    r = np.random.default_rng(5)
+    a, b = r.integers(0, 6, 60).astype(float), r.normal(size=60)
+    got = kernels.rolling_spearman(a, b, 10, 8)
+    for i in range(60):
+        w = slice(max(0, i - 9), i + 1)
+        want = pd.Series(a[w]).rank().corr(pd.Series(b[w]).rank()) if i >= 7 else math.nan
+        assert got[i] == pytest.approx(want, nan_ok=True)
+
+
+def test_shrinkage_from_sums_is_that_of_the_rows():
+    x = np.random.default_rng(3).normal(size=(60, 5)) @ np.diag([1, 2, 3, 1, 1])
+    x -= x.mean(axis=0)
+    s = x.T @ x / 60
+    mu, p = np.trace(s) / 5, 5
+    d2 = ((s - mu * np.eye(p)) ** 2).sum() / p
+    b2 = sum(((np.outer(t, t) - s) ** 2).sum() for t in x) / 60 ** 2 / p
+    assert kernels.ledoit_wolf(s, (x ** 2).T @ (x ** 2) / 60, 60)[1] == pytest.approx(min(b2, d2) / d2)
+
+
+def test_near_hashes_match_brute_force(spark):
+    r = np.random.default_rng(6)
+    base = [int(x) for x in r.integers(-2**62, 2**62, 40)]
+    hashes = base + [x ^ (1 << int(r.integers(62))) if int(r.integers(2)) else x for x in base]
+    for x in base[:20]:
+        for k in (2, 3, 4):
+            y = x
+            for bit in r.choice(63, k, replace=False):
+                y ^= 1 << int(bit)
+            hashes.append(y)
+    df = spark.createDataFrame(list(enumerate(hashes)), "id long, hash long")
+    got = {frozenset((x["a"], x["b"])): x["distance"] for x in N.hamming_pairs(df).collect()}
+    first = {h: hashes.index(h) for h in hashes}
+    want = {}
+    for i, x in enumerate(hashes):
+        for j in range(i):
+            n = bin((x ^ hashes[j]) & (2**64 - 1)).count("1")
+            if n <= 3 and (j == first[x] if n == 0 else j == first[hashes[j]] and i == first[x]):
+                want[frozenset((i, j))] = n
+    assert got == want
+
+
+def test_clusters_go_by_address_title_and_hash(spark):
+    near = 0b111
+    rows = [(1, 0, "news", "u1", "alpha beta gamma", 1 << 40), (2, 1, "news", "u1", "other words here", 5 << 50), (3, 2, "news", "u3", "gamma beta alpha", 9 << 30),
+            (4, 3, "news", "u4", "nothing alike at all", (1 << 40) ^ near), (5, 4, "filing", "u1", "alpha beta gamma", 1 << 40), (6, 60, "news", "u1", "alpha beta gamma", 1 << 40), (7, 61, "news", "u9", "", 0)]
+    df = spark.createDataFrame([("T", i, DAY + timedelta(hours=h), k, u, t, x) for i, h, k, u, t, x in rows],
+                               "ticker string, item_id long, published_at timestamp_ntz, kind string, url_hash string, title string, hash long")
+    got = {r["item_id"]: r["cluster_id"] for r in N.cluster_in_order(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7}
+
+
+def test_simhash_bits():
+    import hashlib
+
+    words = ["fed", "cuts", "rates", "fed"]
+    weights = {}
+    for w in words:
+        weights[w] = weights.get(w, 0) + 1
+    for a, b in zip(words, words[1:]):
+        weights[f"{a} {b}"] = weights.get(f"{a} {b}", 0) + 2
+    want = 0
+    for bit in range(64):
+        if sum(n if int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") >> bit & 1 else -n for w, n in weights.items()) > 0:
+            want |= 1 << bit
+    assert N._simhash("Fed cuts a rates, fed!") % 2**64 == want  # one-letter words don't count
+    assert N._simhash("שלום") == N._simhash("שלומ") and N._simhash("!") == 0
+
+
+def test_user_windows_match_brute_force(spark):
+    r = np.random.default_rng(8)
+    windows = [(i, DAY + timedelta(days=int(a)), DAY + timedelta(days=int(a + n)), f"w{i % 4}") for i, (a, n) in enumerate(r.integers(0, 60, (25, 2)))]
+    df = series(spark, [float(i) for i in range(130)]).unionByName(series(spark, [1.0] * 5, "y"))
+    got = {(x["series_id"], x["ts"]): x["regime"] for x in R.user_windows(df, spark.createDataFrame(windows, "idx int, start timestamp_ntz, end timestamp_ntz, label string")).collect()}
+    assert len(got) == 135
+    for (_, ts), label in got.items():
+        hit = [w for w in windows if w[1] <= ts <= w[2]]
+        assert label == (max(hit)[3] if hit else "other")
+
+
+def test_discovery_row_matches_numpy(spark):
+    r = np.random.default_rng(2)
+    n = 120
+    a = np.cumsum(r.normal(size=n))
+    rows = [("p", DAY + timedelta(days=i), float(a[i]), float(a[max(0, i - 2)] + r.normal())) for i in range(n)]
+    df = spark.createDataFrame(rows, "pair_id string, ts timestamp_ntz, a double, b double")
+    got = P.discovery(df, df, 4, 20).first()
+    x = pd.DataFrame(rows, columns=["p", "ts", "a", "b"])
+    rolled = x["a"].rolling(20, min_periods=16).corr(x["b"]).dropna().to_numpy()
+    assert got["pearson"] == pytest.approx(x["a"].corr(x["b"])) and got["n"] == n and abs(got["best_lag"]) == 2
+    assert got["stability"] == pytest.approx(rolled.mean() / rolled.std(ddof=1), abs=1e-3)
+    want = rolled[np.linspace(0, len(rolled) - 1, 40).round().astype(int)]
+    assert got["spark"] == pytest.approx(want, abs=6e-4)
+    assert got["coint_p"] == pytest.approx(kernels.engle_granger(x["a"].to_numpy(), x["b"].to_numpy())[2])
+
+
+def test_reports_without_a_period_join_their_neighbour(spark):
+    from datetime import date
+
+    from marlspan.operators import events as E
+
+    d = date(2024, 3, 10)
+    rows = [(1, "cpi", "2024-02", d, "vendor", "scheduled", 1, "a", 3.1, None), (2, "cpi", "2024-02", d, "official", "scheduled", 2, "b", None, 3.0),
+            (3, "cpi", None, d + timedelta(days=1), "forexfactory", "scheduled", 3, "c", 3.3, 3.2), (4, "cpi", None, d + timedelta(days=5), "user", "scheduled", 0, "d", None, None)]
+    df = spark.createDataFrame(rows, "event_id long, event_key string, period string, day date, tier string, status string, importance int, tag string, actual double, consensus double")
+    got = {r["period"]: r for r in E.merge_reports(df, ["actual", "consensus"]).collect()}
+    assert got["2024-02"]["reports"] == 3 and got["2024-02"]["actual"] == 3.1 and got["2024-02"]["consensus"] == 3.2
+    assert got["2024-02"]["status"] == "released" and got["2024-02"]["importance"] == 3 and got["2024-02"]["tags"] == "a,b,c" and got[None]["reports"] == 1
