@@ -81,3 +81,113 @@ def graham(eps: Column, bvps: Column) -> Column:
 
 def fade(first: Column, last: Column, i: Column, n: int) -> Column:
     return first + (last - first) * i / F.lit(float(n))
+
+
+METRICS = ["ev_ebitda", "ev_sales", "pe", "ps", "pb", "peg"]
+
+
+def company_figures(df: DataFrame) -> DataFrame:
+    """What multiples are applied to, from statement fields, ``shares``,
+    ``price`` and ``growth``: adds ``f_ebitda, f_eps, f_debt, f_minority``."""
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    debt = z("short_term_debt") + z("long_term_debt") + z("long_term_lease_liabilities") - z("cash_and_equivalents") - z("short_term_investments")
+    return df.withColumns({
+        "f_ebitda": F.col("operating_income") + z("depreciation_amortization"), "f_eps": F.coalesce("eps_diluted", ratio(F.col("net_income"), F.col("shares"))),
+        "f_debt": debt, "f_minority": z("minority_interest")})
+
+
+def multiples(df: DataFrame) -> DataFrame:
+    """The six multiples of :func:`company_figures` rows, null where price or
+    shares are missing, a denominator is zero, or earnings, book or growth are
+    not positive."""
+    known = (F.coalesce("price", F.lit(0.0)) != 0) & (F.coalesce("shares", F.lit(0.0)) != 0)
+    cap = F.when(known, F.col("price") * F.col("shares"))
+    ev = cap + F.col("f_debt") + F.col("f_minority")
+    positive = lambda c: F.when(F.col(c) > 0, F.col(c))
+    pe = F.when(known, ratio(F.col("price"), positive("f_eps")))
+    out = {"ev_ebitda": ratio(ev, F.col("f_ebitda")), "ev_sales": ratio(ev, F.col("revenue")), "pe": pe, "ps": ratio(cap, F.col("revenue")),
+           "pb": ratio(cap, positive("total_equity")), "peg": ratio(pe, positive("growth") * 100)}
+    return df.withColumns(out)
+
+
+def implied_price(metric: str, multiple: Column) -> Column:
+    """The price per share at which a company has a multiple."""
+    positive = lambda c: F.when(F.col(c) > 0, F.col(c))
+    some = lambda c: F.when(F.col(c) != 0, F.col(c))
+    shares = some("shares")
+    equity = lambda ev: ratio(ev - F.col("f_debt") - F.col("f_minority"), shares)
+    return {
+        "ev_ebitda": equity(multiple * positive("f_ebitda")), "ev_sales": equity(multiple * some("revenue")), "pe": F.when(shares.isNotNull(), multiple * positive("f_eps")),
+        "ps": ratio(multiple * some("revenue"), shares), "pb": ratio(multiple * positive("total_equity"), shares),
+        "peg": F.when(shares.isNotNull(), multiple * positive("growth") * 100 * positive("f_eps")),
+    }[metric]
+
+
+def multiple_stats(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Quartiles of each multiple within ``keys`` as ``<keys>, metric, p25, median, p75, n``, of two positive values on."""
+    long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS])))
+    good = F.when((F.col("x") > 0) & (F.col("x") < float("inf")), F.col("x"))
+    return long.groupBy(*keys, "metric").agg(*quartiles(F.col("x")), F.count(good).alias("n")).where("n >= 2")
+
+
+def blended_stats(peers: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics of peers and of a company's own history, averaged where both have a metric."""
+    q = ["p25", "median", "p75"]
+    both = peers.select(*keys, "metric", F.struct(*q).alias("a")).join(history.select(*keys, "metric", F.struct(*q).alias("b")), [*keys, "metric"], "full")
+    return both.select(*keys, "metric", *[F.when(F.col("a").isNull(), F.col(f"b.{c}")).when(F.col("b").isNull(), F.col(f"a.{c}")).otherwise((F.col(f"a.{c}") + F.col(f"b.{c}")) / 2).alias(c) for c in q])
+
+
+def relative_value(figures: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Low, base and high value per share: the medians over the metrics of the
+    prices that the quartiles imply, over metrics whose median implies one."""
+    x = figures.join(stats, keys)
+    by_metric = lambda q: F.coalesce(*[F.when(F.col("metric") == m, implied_price(m, F.col(q))) for m in METRICS])
+    x = x.withColumns({"low": by_metric("p25"), "base": by_metric("median"), "high": by_metric("p75")}).where("base IS NOT NULL")
+    return x.groupBy(*keys).agg(F.median("low").alias("low"), F.median("base").alias("base"), F.median("high").alias("high"), F.count("*").alias("n_metrics"))
+
+
+def football_field(rows: DataFrame, current: Column) -> DataFrame:
+    """``rows(ticker, method, low, base, high)`` in order of the base value, ends
+    that are missing taken from the base, with the upside to ``current``."""
+    filled = rows.where("base IS NOT NULL").withColumns({"low": F.coalesce("low", "base"), "high": F.coalesce("high", "base")})
+    x = filled.withColumns({"low": F.least("low", "high"), "high": F.greatest("low", "high"), "upside": ratio(F.col("base"), current) - 1})
+    return x.withColumn("place", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("base"), "method")))
+
+
+def implied_margin(df: DataFrame, years: int = 10) -> DataFrame:
+    """Margin at which the cash-flow value meets ``price``. The value is linear in
+    the margin, so two values tell it; null outside -50 % to 80 %. Needs a
+    ``ticker`` per row."""
+    at = lambda m: fcff(df.withColumn("margin", F.lit(m)), ["ticker"], years).select("ticker", F.col("value").alias(f"v{int(m)}"))
+    both = df.join(at(0.0), "ticker").join(at(1.0), "ticker")
+    m = ratio(F.col("price") - F.col("v0"), F.col("v1") - F.col("v0"))
+    return both.withColumn("implied_margin", F.when(m.between(-0.5, 0.8), m)).drop("v0", "v1")
+
+
+class Models:
+    """Valuation models of users: functions that add ``value`` to inputs, under
+    an id. A model that can't be planned is reported and left out; two models
+    can't share an id."""
+
+    def __init__(self) -> None:
+        self.models: dict[str, object] = {}
+        self.errors: dict[str, str] = {}
+
+    def add(self, model_id: str, run) -> None:  # noqa: ANN001
+        if model_id in self.models:
+            raise ValueError(f"there is a model {model_id!r} already")
+        self.models[model_id] = run
+
+    def values(self, inputs: DataFrame, keys: list[str]) -> DataFrame:
+        """``<keys>, model, value`` of all models."""
+        out = None
+        for name, run in self.models.items():
+            try:
+                part = run(inputs).select(*keys, F.lit(name).alias("model"), F.col("value").cast("double").alias("value"))
+            except Exception as e:  # noqa: BLE001  whatever a user's model raises concerns that model alone
+                self.errors[name] = str(e)[:200]
+                continue
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            raise ValueError(f"no model could be planned: {self.errors}")
+        return out

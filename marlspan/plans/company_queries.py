@@ -460,13 +460,6 @@ def _(spark, d):
     return N.search(views.items(spark, d), "title", "the", 20).select("item_id")
 
 
-@query("symbol_search", """SELECT p_partkey, CASE WHEN lower(p_name) = 'part 1' THEN 100 WHEN starts_with(lower(p_name), 'part') THEN 80 - length(p_name) WHEN contains(lower(p_name), 'part') THEN 40 ELSE 0 END AS score FROM part ORDER BY score DESC, p_partkey LIMIT 25""")
-def _(spark, d):
-    n = F.lower("p_name")
-    score = F.when(n == "part 1", 100).when(n.startswith("part"), 80 - F.length("p_name")).when(F.contains(n, F.lit("part")), 40).otherwise(0)
-    return views.table(spark, d, "part").select("p_partkey", score.alias("score")).orderBy(F.desc("score"), "p_partkey").limit(25)
-
-
 @query("peer_ranking", """WITH t AS (SELECT c_nationkey AS n, c_acctbal AS cap FROM customer WHERE c_custkey = 1) SELECT c_custkey FROM customer, t WHERE c_custkey <> 1 AND c_acctbal BETWEEN 0.2 * cap AND 5 * cap ORDER BY (c_nationkey = n)::INT DESC, c_acctbal DESC, c_custkey LIMIT 10""")
 def _(spark, d):
     c = views.table(spark, d, "customer")

@@ -158,14 +158,6 @@ def _(spark, d):
     return views.table(spark, d, "supplier").select("s_suppkey", C.checksum(F.struct(F.col("s_suppkey").alias("k"), F.col("s_name").alias("n"))).alias("sum"))
 
 
-@query("multiples", """WITH m AS (SELECT c_custkey, c_nationkey, c_acctbal / nullif(c_custkey % 50, 0) AS pe FROM customer), q AS (SELECT c_nationkey, quantile_cont(pe, 0.5) AS med, count(*) AS n FROM m WHERE pe > 0 GROUP BY 1)
-SELECT c_custkey, round(CASE WHEN n >= 2 THEN med * (c_custkey % 50) END, 4) AS implied FROM m JOIN q USING (c_nationkey)""")
-def _(spark, d):
-    m = views.table(spark, d, "customer").select("c_custkey", "c_nationkey", ratio(F.col("c_acctbal"), (F.col("c_custkey") % 50).cast("double")).alias("pe"))
-    q = m.where("pe > 0").groupBy("c_nationkey").agg(V.quartiles(F.col("pe"))[1].alias("med"))
-    return m.join(q, "c_nationkey").select("c_custkey", F.round(F.col("med") * (F.col("c_custkey") % 50), 4).alias("implied"))
-
-
 @query("scenarios", f"""WITH {INPUTS}, a AS (SELECT * REPLACE (growth + s.dg AS growth, margin + s.dg AS margin, wacc + s.dw AS wacc), s.name AS scenario FROM inp, (VALUES ('bear', -0.02::DOUBLE, 0.01::DOUBLE), ('base', 0.0, 0.0), ('bull', 0.02, -0.01)) s(name, dg, dw)),
 {_dcf_sql('a', 'ticker, scenario')} SELECT ticker, scenario, round((pv + terminal - net_debt) / shares, 5) AS value FROM v""")
 def _(spark, d):
@@ -174,14 +166,6 @@ def _(spark, d):
     return rounded(V.fcff(x, ["ticker", "scenario"]).drop("pv", "terminal"), "value", digits=5)
 
 
-@query("football_field", """SELECT s_suppkey, 'balance' AS method, s_acctbal * 0.9 AS low, s_acctbal AS base, s_acctbal * 1.1 AS high FROM supplier UNION ALL SELECT s_suppkey, 'nation', s_nationkey, s_nationkey, s_nationkey FROM supplier""")
-def _(spark, d):
-    s = views.table(spark, d, "supplier")
-    one = s.select("s_suppkey", F.lit("balance").alias("method"), (F.col("s_acctbal") * 0.9).alias("low"), F.col("s_acctbal").alias("base"), (F.col("s_acctbal") * 1.1).alias("high"))
-    two = s.select("s_suppkey", F.lit("nation").alias("method"), *[F.col("s_nationkey").cast("double").alias(c) for c in ("low", "base", "high")])
-    return one.unionByName(two)
-
-
 @query("external_model", f"WITH {INPUTS}, {_dcf_sql('inp', 'ticker')} SELECT ticker, round(CASE WHEN ticker % 4 = 0 THEN 42.0 ELSE (pv + terminal - net_debt) / shares END, 5) AS value FROM v")
 def _(spark, d):
     v = V.fcff(inputs(spark, d), ["ticker"])
