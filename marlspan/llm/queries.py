@@ -47,7 +47,29 @@ def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = backoff_scores(table(spark, sf_dir, "documents"), order=3)
-    return scores.select(F.col("id").alias("doc_id"), "n_words", "n_backed_off", "log_score", "score")
+    return scores.select(F.col("id").alias("doc_id"), "n_words", "n_backed_off", F.round("log_score", 6).alias("log_score"), F.round("score", 6).alias("score"))
+
+
+# Exploded n-grams of orders 1 to 3 with counts per document and in all; ids are unique in the driver's tables.
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS (
+  SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS k FROM d
+), g AS (
+  SELECT doc_id, k, w, CASE WHEN k > 0 THEN lag(w) OVER p END AS v, CASE WHEN k > 1 THEN lag(w, 2) OVER p END AS u FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY k)
+), c AS (
+  SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+    count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS c2, count(*) OVER (PARTITION BY u, v, w, k = 1) - count(*) OVER (PARTITION BY doc_id, u, v, w, k = 1) AS c3,
+    (SELECT count(*) FROM t) - count(*) OVER (PARTITION BY doc_id) AS others FROM g
+), x AS (
+  SELECT *, lag(c1) OVER p AS c1v, lag(c2) OVER p AS c2v, (SELECT count(*) FROM d WHERE len(w) > 0) - 1 AS starts FROM c WINDOW p AS (PARTITION BY doc_id ORDER BY k)
+), s AS (
+  SELECT doc_id, c3 > 0 AS known, CASE WHEN c3 > 0 THEN ln(c3 / (CASE WHEN k = 0 THEN starts ELSE c2v END)::DOUBLE)
+    WHEN c2 > 0 THEN ln(0.4 * c2 / (CASE WHEN k = 0 THEN starts ELSE c1v END)::DOUBLE) ELSE ln(0.16 * greatest(1, c1) / greatest(1, others)::DOUBLE) END AS l FROM x
+)
+SELECT doc_id, len(w) AS n_words, count(*) FILTER (NOT known) AS n_backed_off, round(sum(l), 6) AS log_score, round(sum(l) / len(w), 6) AS score FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id, w
+"""
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,4 +133,4 @@ LLM_QUERIES = {
     "op9_pivot_permutation_dedup": op9_pivot_permutation_dedup,
     "op10_two_pass_sharding": op10_two_pass_sharding,
 }
-LLM_SQL = {"op6_exact_dedup": OP6_SQL}
+LLM_SQL = {"op5_stupid_backoff": OP5_SQL, "op6_exact_dedup": OP6_SQL}

@@ -8,17 +8,24 @@ one. A document begins with as many marks as the order asks for. It is scored
 by the *other* documents: its own counts are taken off first, or every n-gram
 would be known.
 
-Documents are dealt by hash into batches of bounded text. A batch tells its
-distinct n-grams with their counts, each to the count table's partition for
-its hash; a partition adds up the batches' counts and answers each batch, in
-the batch's own order; the batch joins the answers to its documents' n-grams
-and sums per document. An n-gram costs one row per batch however often it
-occurs, so a very common pair of words is no hot key, and texts are shuffled
-once. Sorted hashes travel as differences, and counts by bytes, compressed.
+The n-grams of documents are exploded into rows (n-gram, count); the count
+tables, one per order, are partitioned by ranges of the n-gram's hash; rows meet
+their table's partition, are summed up there, and the sums join the documents'
+n-grams and are summed per document. What travels between tasks are not single
+rows but one packed set of rows for each batch of documents and partition of a
+table: a batch tells each of its n-grams once, so a very common one is no hot
+key, sorted hashes travel as differences and counts compressed, and texts are
+shuffled once. As rows of their own, trigrams would take several times the disk
+(see README).
+
+Hashes have ``HASH_BITS`` bits: of ``n`` known n-grams of an order, an unknown
+one is taken for one of them in ``n`` of ``2 ** HASH_BITS`` cases.
 
 Defined results: null and empty texts have no words and a null score; a corpus
 of one document backs off throughout; ids may be null or repeat, rows are
-scored one by one; other columns are ignored; an empty table gives no rows.
+scored one by one; equal rows that are many are dealt out by row number; a very
+long text stays whole, a batch then holds it and its n-grams; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,13 +38,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, spread
 from .word_hash import MULTIPLIERS, hashed_words, mixed
 
 ALPHA = 0.4
 BATCH_CHARS = 12_000_000
 PARTITION_CHARS = 12_000_000
 START = np.uint64(0x9E3779B97F4A7C15)
+HASH_BITS = 56
 
 
 def _occurrences(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,15 +58,15 @@ def _occurrences(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _grams(word: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray]]:
     """The orders from 1 on, each with the hashes of the n-grams that end at the words."""
-    gram = word
-    yield 1, gram
+    gram, short = word, np.uint64(64 - HASH_BITS)
+    yield 1, gram >> short
     for kind in range(2, order + 1):
         before = np.empty_like(gram)
         before[1:] = gram[:-1]
         before[starts] = START
         with np.errstate(over="ignore"):
             gram = mixed(before * MULTIPLIERS[36 + 2 * kind] + word * MULTIPLIERS[37 + 2 * kind])
-        yield kind, gram
+        yield kind, gram >> short
 
 
 def _packed(a: np.ndarray, plain: int = 0) -> bytes:
@@ -73,12 +81,12 @@ def _unpacked(raw: bytes, n: int, plain: int = 0) -> np.ndarray:
 
 
 def _packed_grams(grams: np.ndarray) -> bytes:
-    """Sorted hashes as differences; those of a million hashes have five random bytes."""
-    return _packed(np.diff(grams, prepend=np.uint64(0)), 5)
+    """Sorted hashes as differences; those of a million hashes have four random bytes."""
+    return _packed(np.diff(grams, prepend=np.uint64(0)), 4)
 
 
 def _unpacked_grams(raw: bytes, n: int) -> np.ndarray:
-    return np.cumsum(_unpacked(raw, n, 5), dtype=np.uint64)
+    return np.cumsum(_unpacked(raw, n, 4), dtype=np.uint64)
 
 
 def _distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +97,7 @@ def _distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _parts(hashes: np.ndarray, n_parts: int) -> np.ndarray:
     """Where each of ``n_parts`` equal ranges of hash values begins in sorted hashes."""
-    edges = [np.uint64((2**64 * k) // n_parts) for k in range(n_parts)]
+    edges = [np.uint64((2**HASH_BITS * k) // n_parts) for k in range(n_parts)]
     return np.r_[np.searchsorted(hashes, np.array(edges, np.uint64)), len(hashes)]
 
 
@@ -168,7 +176,7 @@ def _score(n_words: int, n_docs: int, alpha: float, order: int):
 
 
 def backoff_scores(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text",
-                   batch_chars: int = BATCH_CHARS, partition_chars: int = PARTITION_CHARS, order: int = 2) -> DataFrame:
+                   batch_chars: int = BATCH_CHARS, partition_chars: int = PARTITION_CHARS, order: int = 3) -> DataFrame:
     """Per row: ``row, id, n_words, n_backed_off`` (words whose n-gram of the
     given order is not known), ``log_score`` (the sum of the words' natural
     logarithms) and ``score``, its mean per word."""
@@ -179,8 +187,9 @@ def backoff_scores(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id"
     chars, n_words, n_docs = (int(x) for x in size)
     n_batches, n_parts = max(1, -(-chars // batch_chars)), max(1, -(-chars // partition_chars))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # the batch follows from id and text alone, so a second reading deals the same
-    batched = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n_batches))).repartition(n_batches, "batch")
+    # the batch follows from id and text, and in hot groups from the row's number, so a second reading deals the same
+    keyed = spread(rows.withColumn("key", F.xxhash64("text")), ["id", "key"], "row", docs.count(), "own")
+    batched = keyed.withColumn("batch", F.pmod(F.xxhash64("id", "key", "own"), F.lit(n_batches))).select("row", "id", "text", "batch").repartition(n_batches, "batch")
     asked = batched.groupBy("batch").applyInPandas(_ask(n_parts, order), "part int, kind int, batch long, n long, grams binary, counts binary")
     answers = asked.groupBy("part").applyInPandas(_add_up, "part int, kind int, batch long, n long, totals binary")
     scored = batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(
