@@ -37,6 +37,25 @@ def op3_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+# Shingles as text, pairs that share one, and the ids that links reach; ids are unique in the driver's tables.
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS k FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)
+), r AS (
+  SELECT doc_id, doc_id AS seen FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.seen) AS component_id FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY 1
+"""
+
+
 def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = entropy_mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, share=1.5, cap=2.0)
     return mixed.select(
@@ -133,4 +152,4 @@ LLM_QUERIES = {
     "op9_pivot_permutation_dedup": op9_pivot_permutation_dedup,
     "op10_two_pass_sharding": op10_two_pass_sharding,
 }
-LLM_SQL = {"op5_stupid_backoff": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+LLM_SQL = {"op3_token_group_jaccard": OP3_SQL, "op5_stupid_backoff": OP5_SQL, "op6_exact_dedup": OP6_SQL}

@@ -238,6 +238,10 @@ def test_op3_matches_brute_force(spark, sf, documents):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(documents["text"].to_dict())
 
 
+def test_op3_matches_sql(spark, sf):
+    check(Q["op3_token_group_jaccard"](spark, sf), connection(sf), queries.OP3_SQL)
+
+
 def test_slices_number_their_rows_from_zero():
     got = list(common.slices(iter([pd.DataFrame({"x": range(5)}), pd.DataFrame({"x": []})]), 2))
     assert [g["x"].tolist() for g in got] == [[0, 1], [2, 3], [4]]
