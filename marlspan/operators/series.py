@@ -175,6 +175,24 @@ def coarsest(freqs: list[str]) -> str:
     return max(freqs, key=FREQ_RANK.__getitem__)
 
 
+def freq_rank(freq: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, v in FREQ_RANK.items() for x in (k, v)]), freq)
+
+
+def resolved_freq(a: Column, b: Column, asked: Column) -> tuple[Column, Column]:
+    """The grid of two native frequencies, the coarser one where ``auto`` is
+    asked, and whether what is asked is finer than that and would invent rows."""
+    native = F.when(freq_rank(a) >= freq_rank(b), a).otherwise(b)
+    finer = (asked != "auto") & (freq_rank(asked) < freq_rank(native))
+    return F.when(asked == "auto", native).otherwise(asked), F.coalesce(finer, F.lit(False))
+
+
+def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key in an order, with ``n``, the number of its rows."""
+    by = Window.partitionBy(*keys)
+    return df.withColumns({"__k": F.row_number().over(by.orderBy(*order)), "n": F.count("*").over(by)}).where("__k = 1").drop("__k")
+
+
 def publication_lag(df: DataFrame, lags: DataFrame) -> DataFrame:
     """Dates moved to when the value was known; ``lags(series_id, lag_days)``."""
     return df.join(lags, "series_id", "left").withColumn(

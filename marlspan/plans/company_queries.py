@@ -129,12 +129,6 @@ def _(spark, d):
     return c.select("c_custkey", F.round(V.graham(F.col("c_acctbal"), (F.col("c_custkey") % 7 + 1).cast("double")), 6).alias("graham"))
 
 
-@query("latest_per_key", "SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS latest FROM orders GROUP BY 1")
-def _(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))
-    return views.table(spark, d, "orders").withColumn("k", F.row_number().over(w)).where("k = 1").select("o_custkey", F.col("o_orderkey").alias("latest"))
-
-
 REPORTS = """rep AS (SELECT o_orderkey AS event_id, o_orderpriority || (o_custkey % 50) AS event_key, CASE WHEN o_orderstatus <> 'O' THEN strftime(o_orderdate, '%Y-%m') END AS period, o_orderdate::DATE AS day,
   CASE o_custkey % 5 WHEN 0 THEN 'official' WHEN 1 THEN 'vendor' WHEN 2 THEN 'rule' WHEN 3 THEN 'forexfactory' ELSE 'user' END AS tier, CASE WHEN o_custkey % 7 = 0 THEN 'revised' ELSE 'scheduled' END AS status,
   (o_custkey % 4)::INT AS importance, CASE WHEN o_custkey % 2 = 0 THEN o_totalprice END AS actual, CASE WHEN o_custkey % 3 = 0 THEN o_totalprice / 2 END AS consensus, 'tag' || (o_custkey % 3) AS tag FROM orders)"""
@@ -475,11 +469,6 @@ def _(spark, d):
     return rounded(r.orderBy(F.abs("chg").desc(), "ticker", "ts").limit(10), "chg")
 
 
-@query("anti_prune", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def _(spark, d):
-    return views.table(spark, d, "customer").join(views.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
 @query("union_all", "SELECT s_suppkey AS id, s_acctbal AS bal, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_acctbal, NULL FROM customer")
 def _(spark, d):
     s = views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("bal"), F.col("s_name").alias("name"))
@@ -492,11 +481,6 @@ def _(spark, d):
     return views.table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).union(views.table(spark, d, "supplier").select("s_nationkey")).distinct()
 
 
-@query("job_last_status", "SELECT event_type AS job, max(ts) AS last_run, max(ts) FILTER (value > 50) AS last_ok FROM events GROUP BY 1")
-def _(spark, d):
-    return views.table(spark, d, "events").groupBy(F.col("event_type").alias("job")).agg(F.max("ts").alias("last_run"), F.max(F.when(F.col("value") > 50, F.col("ts"))).alias("last_ok"))
-
-
 @query("llm_budget", "SELECT date_trunc('month', ts)::TIMESTAMP AS month, event_type AS purpose, sum(value::DECIMAL(18,4))::DOUBLE AS spent, count(*) AS calls FROM events GROUP BY 1, 2")
 def _(spark, d):
     return views.table(spark, d, "events").groupBy(F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month"), F.col("event_type").alias("purpose")).agg(

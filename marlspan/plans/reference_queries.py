@@ -27,12 +27,6 @@ def _(spark, d):
     return C.catalog_filter(p, "12", ["p_name", "p_type"], "tags").select("p_partkey")
 
 
-@query("event_filter", "SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND value >= 50 AND event_type IN ('click', 'purchase', 'view')")
-def _(spark, d):
-    return views.table(spark, d, "events").where(
-        "ts BETWEEN timestamp_ntz'2024-01-05 00:00:00' AND timestamp_ntz'2024-01-20 00:00:00' AND value >= 50 AND event_type IN ('click', 'purchase', 'view')").select("event_id")
-
-
 @query("relative_since", """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN TIMESTAMP '2024-02-01' - to_hours(c_custkey % 48 + 1) WHEN 1 THEN TIMESTAMP '2024-02-01' - to_days((c_custkey % 9 + 1)::INT) ELSE TIMESTAMP '2024-01-15' END AS since FROM customer""")
 def _(spark, d):
     c = views.table(spark, d, "customer")
@@ -94,13 +88,6 @@ def _(spark, d):
     return views.table(spark, d, "nation").select("n_nationkey", F.array_join(got, ",").alias("peers"))
 
 
-@query("next_decisions", """WITH b AS (SELECT o_orderpriority AS bank, o_orderdate::DATE AS day FROM orders) SELECT bank, min(day) FILTER (day >= DATE '1998-01-01') AS next_day, max(day) FILTER (day < DATE '1998-01-01') AS last_day,
-count(*) FILTER (day >= DATE '1998-01-01') AS remaining, (min(day) FILTER (day >= DATE '1998-01-01') - DATE '1998-01-01')::INT AS days_to_go FROM b GROUP BY 1""")
-def _(spark, d):
-    b = views.table(spark, d, "orders").select(F.col("o_orderpriority").alias("bank"), F.col("o_orderdate").cast("date").alias("day"))
-    return C.decisions(b, F.lit("1998-01-01").cast("date"))
-
-
 @query("snap_instants", f"""WITH {FACTS}, p AS (SELECT DISTINCT entity, period_end FROM facts), i AS (SELECT c_nationkey AS entity, c_custkey, TIMESTAMP '1995-01-01' + to_days((c_custkey % 2000)::INT) AS ts FROM customer)
 SELECT i.entity, c_custkey, ts, p.period_end AS snapped FROM i ASOF JOIN p ON i.entity = p.entity AND i.ts >= p.period_end""")
 def _(spark, d):
@@ -177,31 +164,11 @@ def _(spark, d):
     return rounded(S.transform(views.observations(spark, d), "pct").groupBy("series_id").agg(F.max("ts").alias("period"), F.max_by("value", "ts").alias("last")), "last")
 
 
-@query("week_grid", """SELECT event_type AS country, count(*) FILTER (isodow(ts) = 1) AS mon, count(*) FILTER (isodow(ts) = 5) AS fri, count(*) FILTER (isodow(ts) = 7) AS sun FROM events GROUP BY 1""")
-def _(spark, d):
-    e = views.table(spark, d, "events").select(F.col("event_type").alias("country"), F.weekday("ts").alias("w"))
-    return e.groupBy("country").pivot("w", [0, 4, 6]).agg(F.count(F.lit(1))).select("country", *[F.coalesce(c, F.lit(0)).alias(n) for c, n in (("0", "mon"), ("4", "fri"), ("6", "sun"))])
-
-
-@query("risk_windows", "SELECT event_id FROM events, (VALUES (TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-04'), (TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-12')) w(s, e) WHERE ts BETWEEN s AND e")
-def _(spark, d):
-    day = lambda x: F.lit(x).cast("timestamp_ntz")
-    t = F.col("ts")
-    return views.table(spark, d, "events").where(t.between(day("2024-01-03"), day("2024-01-04")) | t.between(day("2024-01-10"), day("2024-01-12"))).select("event_id")
-
-
 @query("known_accessions", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def _(spark, d):
     return views.table(spark, d, "orders").join(views.table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
 
 
-@query("filings_query", "SELECT o_orderkey, o_orderdate::TIMESTAMP AS filed, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1997-01-01' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
-def _(spark, d):
-    o = views.table(spark, d, "orders").where("o_orderstatus = 'F' AND o_orderdate >= timestamp_ntz'1997-01-01 00:00:00'")
-    return o.join(views.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select(
-        "o_orderkey", F.col("o_orderdate").alias("filed"), "c_name")
-
-
 @query("profile_dual_listing", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
 def _(spark, d):
     n = views.table(spark, d, "nation")
@@ -209,27 +176,12 @@ def _(spark, d):
     return half.union(half.select("b", "a"))
 
 
-@query("lookup_joins", f"""WITH {ITEMS} SELECT i.ticker, count(*) AS n, array_to_string(list_sort(list_distinct(list(i.source_id))), ',') AS sources, max(s.s_name) AS name FROM items i LEFT JOIN supplier s ON i.ticker = 'S' || s.s_suppkey GROUP BY 1""")
-def _(spark, d):
-    s = views.table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), "s_name")
-    return views.items(spark, d).join(s, "ticker", "left").groupBy("ticker").agg(
-        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("sources"), F.max("s_name").alias("name"))
-
-
 @query("strip_html", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'),
 '\s+', ' ', 'g')) AS text FROM pages""")
 def _(spark, d):
     return views.table(spark, d, "pages").select("page_id", strip_html(F.col("html")).alias("text"))
 
 
-@query("brief", f"""WITH {BARS}, m AS (SELECT 'mover' AS kind, ticker AS id, max(close) AS score FROM bars GROUP BY 2), e AS (SELECT 'event' AS kind, event_type AS id, max(value) AS score FROM events GROUP BY 2)
-(SELECT * FROM m ORDER BY score DESC, id LIMIT 3) UNION ALL (SELECT * FROM e ORDER BY score DESC, id LIMIT 3)""")
-def _(spark, d):
-    m = views.bars(spark, d).groupBy(F.lit("mover").alias("kind"), F.col("ticker").alias("id")).agg(F.max("close").alias("score")).orderBy(F.desc("score"), "id").limit(3)
-    e = views.table(spark, d, "events").groupBy(F.lit("event").alias("kind"), F.col("event_type").alias("id")).agg(F.max("value").alias("score")).orderBy(F.desc("score"), "id").limit(3)
-    return m.unionByName(e)
-
-
 @query("relink_diff", f"""WITH {ITEMS}, o AS (SELECT item_id, ticker FROM items WHERE item_id % 3 <> 0), n AS (SELECT item_id, ticker FROM items WHERE item_id % 5 <> 0)
 SELECT coalesce(o.item_id, n.item_id) AS item_id, CASE WHEN o.item_id IS NULL THEN 'added' ELSE 'removed' END AS change FROM o FULL JOIN n ON o.item_id = n.item_id AND o.ticker = n.ticker WHERE o.item_id IS NULL OR n.item_id IS NULL""")
 def _(spark, d):
@@ -242,8 +194,3 @@ def _(spark, d):
 def _(spark, d):
     own = (F.col("item_id") % 100).cast("double")
     return views.items(spark, d).select("item_id", F.round(0.5 * own + 0.5 * F.coalesce(F.when(F.col("item_id") % 2 == 0, 60.0), own), 4).alias("importance"))
-
-
-@query("enrichment_queue", f"WITH {ITEMS} SELECT item_id FROM items WHERE lang <> 'en' OR item_id % 4 = 0 ORDER BY item_id % 10 DESC, item_id LIMIT 40")
-def _(spark, d):
-    return views.items(spark, d).where("lang <> 'en' OR item_id % 4 = 0").orderBy((F.col("item_id") % 10).desc(), "item_id").limit(40).select("item_id")

@@ -221,12 +221,6 @@ def _(spark, d):
     return rounded(M.tiles(S.resample(views.observations(spark, d), "1mo"), 12), "change", "yoy", "spark_mean")
 
 
-@query("z_trail", f"""WITH {MONTHLY}, z AS (SELECT ts, CASE WHEN count(*) OVER r >= 6 THEN (value - avg(value) OVER r) / nullif(stddev_samp(value) OVER r, 0) END AS z FROM mon WINDOW r AS (PARTITION BY series_id ORDER BY ts ROWS 11 PRECEDING))
-SELECT ts, round(avg(z), 6) AS z, count(*) AS n FROM z WHERE z IS NOT NULL GROUP BY 1""")
-def _(spark, d):
-    return rounded(M.z_trail(S.resample(views.observations(spark, d), "1mo"), 12), "z")
-
-
 @query("regime_label", f"""WITH {PAIRS}, l AS (SELECT pair_id, ts, a - lag(a) OVER w AS g, b - lag(b) OVER w AS i FROM pairs WINDOW w AS (PARTITION BY pair_id ORDER BY ts))
 SELECT pair_id, ts, CASE WHEN g >= 0 AND i < 0 THEN 'goldilocks' WHEN g >= 0 AND i >= 0 THEN 'reflation' WHEN g < 0 AND i >= 0 THEN 'stagflation' ELSE 'deflation' END AS regime FROM l WHERE g IS NOT NULL""")
 def _(spark, d):

@@ -54,3 +54,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_cache(df: DataFrame, path: str, by: str) -> None:
     """A result cache that is read by ``by``; replaced as a whole."""
     df.write.mode("overwrite").partitionBy(by).parquet(path)
+
+
+def read_cache(spark, path: str, by: str, key: str, score: str, name: str, limit: int) -> DataFrame:
+    """The strongest rows of one key of a cache; only its folder is read."""
+    return spark.read.parquet(path).where(F.col(by) == key).orderBy(F.abs(score).desc(), name).limit(limit)
