@@ -128,13 +128,16 @@ def spread(rows: DataFrame, keys: list[str], row_col: str, n_rows: int, out: str
 
 
 def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n_rows: int, size: str = "n") -> DataFrame:
-    """``rows`` with the columns of ``facts``, which has one row per group with
-    ``size``, the number of its rows. Facts of hot groups (at most ``HOT_GROUPS``
-    of them, as in :func:`hot_groups`) come by broadcast, so their rows stay
-    where they are; all others are joined by shuffle, at most one in
-    ``HOT_GROUPS`` of the rows to a key. Keys must not be null."""
+    """``rows`` with the columns of ``facts``, a durable table that has one row
+    per group with ``size``, the number of its rows. Facts of hot groups (at most
+    ``HOT_GROUPS`` of them, as in :func:`hot_groups`) come by broadcast, so their
+    rows stay where they are; all others, and all where no group is hot, are
+    joined by shuffle, at most one in ``HOT_GROUPS`` of the rows to a key. Keys
+    must not be null."""
     bar = max(LEAST_HOT, n_rows // HOT_GROUPS)
     hot, rest = facts.where(F.col(size) > bar).drop(size), facts.where(F.col(size) <= bar).drop(size)
+    if hot.isEmpty():
+        return rows.join(rest.hint("merge"), keys)
     found = rows.join(F.broadcast(hot), keys)
     return found.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys))
 
@@ -177,14 +180,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # large star: neighbours larger than u are linked to the smallest neighbour of u
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = (
+        m = durable(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "star")
+        large = durable(
             join_facts(both, m, ["u"], 2 * n_edges).where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v").distinct()
-        )
+            .where("u <> v").distinct(), "large")
         # small star: u and its smaller neighbours are linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        low = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "star")
         pairs = join_facts(large, low, ["u"], n_edges)
         small = (
             pairs.select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -192,7 +194,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .where("u <> v").distinct()
         )
         before, e = e, durable(small, "cc")
-        discard(before)
+        for used in (before, m, large, low):
+            discard(used)
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
         n_edges = now[0]
         if now == signature:

@@ -217,7 +217,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     facts = durable(facts.join(lows, "cls").select(
         "cls", "n", (F.coalesce("m", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component"), "low"), "facts")
     names = facts.groupBy("component").agg(F.min("low").alias("name"), F.count("*").alias("size"))
-    facts = durable(join_facts(facts, names, ["component"], rows.count(), "size").select("cls", "n", "n_links", "name"), "named")
+    facts = durable(join_facts(facts, durable(names, "names"), ["component"], rows.count(), "size").select("cls", "n", "n_links", "name"), "named")
     linked = join_facts(classes.drop("n"), facts, ["cls"], rows.count())
     alone = rows.where("NOT ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     every = linked.select("id", "n_links", F.col("name").alias("component")).unionByName(alone)

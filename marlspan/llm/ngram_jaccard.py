@@ -293,7 +293,7 @@ def _found(texts: DataFrame, n: int, percent: int) -> DataFrame:
     # groups: every class and its leader
     first = lists.groupBy("token").agg(F.max(F.struct("support", F.bitwise_not("cls").alias("not_cls"), "size")).alias("first"), F.count("*").alias("n"))
     leaders = first.select("token", F.bitwise_not("first.not_cls").alias("leader"), F.col("first.size").alias("l_size"), "n")
-    led = join_facts(lists, leaders, ["token"], lists.count()) \
+    led = join_facts(lists, durable(leaders, "leaders"), ["token"], lists.count()) \
         .where("cls <> leader").where(_alike(F.col("size"), F.col("l_size"), percent)) \
         .groupBy("cls", "leader").agg(F.count("*").alias("n"), F.first(F.least("size", "l_size")).alias("less")) \
         .where(F.col("n") >= _need(F.col("less"))).groupBy("cls").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))

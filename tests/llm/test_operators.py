@@ -742,7 +742,7 @@ def test_components_of_hubs(spark, monkeypatch):
     got = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["component"] for r in got if r["node"] not in (1000, 5000)} == {0} and len(got) == 401
     rows = spark.range(300).selectExpr("if(id < 250, 0, id) AS k", "id AS v")
-    facts = rows.groupBy("k").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    facts = common.durable(rows.groupBy("k").agg(F.sum("v").alias("s"), F.count("*").alias("n")))
     assert common.join_facts(rows, facts, ["k"], 300).exceptAll(rows.join(facts.drop("n"), "k").select("k", "v", "s")).count() == 0
     assert common.hot_groups(rows, ["k"], 300).count() == 1
 
