@@ -122,9 +122,10 @@ def hamming_pairs(df: DataFrame, most: int = 3, blocks: int = 6) -> DataFrame:
     df = df.where("hash <> 0")
     hashes = df.groupBy("hash").agg(F.min("id").alias("id"))
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    part = lambda k: F.shiftrightunsigned("hash", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
-    keys = [F.struct(F.lit(i).alias("choice"), F.xxhash64(*[part(k) for k in chosen]).alias("bits")) for i, chosen in enumerate(combinations(range(blocks), blocks - most))]
-    banded = hashes.select("id", "hash", F.inline(F.array(*keys)))
+    part = [F.shiftrightunsigned("hash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+    choices = F.array(*[F.array(*[F.lit(k) for k in chosen]) for chosen in combinations(range(blocks), blocks - most)])
+    dealt = hashes.select("id", "hash", F.array(*part).alias("parts"), F.posexplode(choices).alias("choice", "chosen"))
+    banded = dealt.select("id", "hash", "choice", F.xxhash64(F.transform("chosen", lambda k: F.get("parts", k))).alias("bits"))
     other = banded.select(F.col("id").alias("b"), F.col("hash").alias("hash_b"), "choice", "bits")
     near = banded.withColumnRenamed("id", "a").join(other, ["choice", "bits"]).where("a < b")
     near = near.withColumn("distance", F.bit_count(F.col("hash").bitwiseXOR(F.col("hash_b")))).where(F.col("distance") <= most)

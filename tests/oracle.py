@@ -2,6 +2,7 @@
 
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 
@@ -55,7 +56,8 @@ def check(df, con, sql):
     found = con.execute(sql)
     names = [c[0] for c in found.description]
     assert sorted(names) == columns
-    want = [tuple(r[names.index(c)] for c in columns) for r in found.fetchall()]
+    plain = lambda x: float(x) if isinstance(x, Decimal) else x
+    want = [tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()]
     assert len(got) == len(want)
     lost = pair_up(got, want)
     assert not lost, (len(lost), lost[:3])
