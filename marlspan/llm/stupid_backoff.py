@@ -15,8 +15,7 @@ n-grams and are summed per document. What travels between tasks are not single
 rows but one packed set of rows for each batch of documents and partition of a
 table: a batch tells each of its n-grams once, so a very common one is no hot
 key, sorted hashes travel as differences and counts compressed, and texts are
-shuffled once. As rows of their own, trigrams would take several times the disk
-(see README).
+shuffled once.
 
 Hashes have ``HASH_BITS`` bits: of ``n`` known n-grams of an order, an unknown
 one is taken for one of them in ``n`` of ``2 ** HASH_BITS`` cases.
