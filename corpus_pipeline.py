@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspan.llm.common import durable, numbered, small_batches, table
+from marlspan.llm.common import durable, free_name, numbered, small_batches, table
 from marlspan.llm.exact_dedup import drop_exact_copies
 from marlspan.llm.language_id import UNKNOWN, predict, train
 from marlspan.llm.mixing import entropy_mix
@@ -25,8 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled documents of the stage; null and letterless texts go."""
     small_batches(spark)
     model = train(docs.select("text", "lang"))
-    found = predict(docs, model, lang_col="__lang", score_col="__score")
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    found = predict(docs, model, lang_col=lang, score_col=score)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +43,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: none, one or two copies."""
-    rows = numbered(docs, "__row")
-    mixed = entropy_mix(rows, MIX_WEIGHTS, share=1.5, cap=2.0, row_col="__row")
-    taken = durable(mixed.where("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies")), "copies")
-    keyed = rows.join(taken, "__row")
-    return keyed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    row, copies = free_name(docs, "row"), free_name(docs, "copies")
+    rows = numbered(docs, row)
+    mixed = entropy_mix(rows, MIX_WEIGHTS, share=1.5, cap=2.0, row_col=row)
+    taken = durable(mixed.where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies)), "copies")
+    return rows.join(taken, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,10 +25,19 @@ def test_stages(spark, sf):
 
 def test_empty_table(spark, sf, odd):
     docs = table(spark, sf, "documents").limit(0)
-    for _, stage in P.STAGES[1:-1]:
+    for _, stage in P.STAGES:
         assert stage(spark, docs, sf).count() == 0
 
 
+def test_columns_with_clashing_names(spark, sf):
+    names = ["row", "_row", "copies", "lang_pred", "lang_score", "id", "size", "block", "__n"]
+    docs = durable(table(spark, sf, "documents").limit(40).selectExpr("*", *[f"'own {n}' AS `{n}`" for n in names]))
+    for _, stage in P.STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf))
+        assert {tuple(r) for r in docs.select(*[f"`{n}`" for n in names]).distinct().collect()} == {tuple(f"own {n}" for n in names)}
+    assert P.packing(spark, docs, sf).count() >= docs.count() > 0
+
+
 def test_mixing_takes_rows_without_an_id_one_by_one(spark, sf):
     docs = durable(table(spark, sf, "documents").selectExpr("cast(null AS long) AS doc_id", "text", "lang", "source", "n_chars"))
     n = sum(len(words(r["text"])) for r in docs.collect())
