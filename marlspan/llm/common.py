@@ -106,6 +106,8 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Edges of one vertex that a task may hold.
+HUB_EDGES = 1 << 18
 #: At most so many groups can have more than one in so many of all rows.
 HOT_GROUPS = 1 << 16
 LEAST_HOT = 64
@@ -165,8 +167,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps until no edge changes; every
     step is one or two shuffles of at most the edges, and the tables between
     steps are durable. A star step needs the minimum neighbour of each vertex,
-    which is a pre-aggregated ``min``; it goes back to the edges of hubs by
-    broadcast and to the others by shuffle (see :func:`join_facts`).
+    which is a pre-aggregated ``min``; it goes back to the edges by shuffle, and
+    where a vertex has more than ``HUB_EDGES``, to the edges of hubs by broadcast
+    (see :func:`join_facts`).
 
     Returns ``(node, component)`` for every vertex that has an edge, where
     ``component`` is the smallest vertex reachable. No edges: no rows.
@@ -175,29 +178,42 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     ).distinct()
     e = durable(e, "cc")
-    n_edges = e.count()
+
+    def size(edges: DataFrame) -> tuple:
+        """Edges, the most at one vertex, and a sum that tells whether edges changed."""
+        ends = edges.select(F.explode(F.array("u", "v")).alias("x"), F.hash("u", "v").cast("long").alias("h"))
+        at = ends.groupBy("x").agg(F.count("*").alias("n"), F.sum("h").alias("h"))
+        total, most, h = at.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.sum("h")).first()
+        return total // 2, most, h
+
+    def met(rows: DataFrame, facts: DataFrame, n: int) -> DataFrame:
+        if most > HUB_EDGES:
+            return join_facts(rows, durable(facts, "star"), ["u"], n)
+        return rows.join(facts.drop("n"), "u")
+
+    n_edges, most, _ = size(e)
     signature = None
     for _ in range(rounds):
         # large star: neighbours larger than u are linked to the smallest neighbour of u
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = durable(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "star")
-        large = durable(
-            join_facts(both, m, ["u"], 2 * n_edges).where("v > u")
+        m = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = (
+            met(both, m, 2 * n_edges).where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v").distinct(), "large")
+            .where("u <> v").distinct()
+        )
         # small star: u and its smaller neighbours are linked to the smallest of them
-        low = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "star")
-        pairs = join_facts(large, low, ["u"], n_edges)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        pairs = met(large, low, n_edges)
         small = (
             pairs.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
         before, e = e, durable(small, "cc")
-        for used in (before, m, large, low):
-            discard(used)
-        now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
-        n_edges = now[0]
+        discard(before)
+        n_edges, most, *now = size(e)
+        now = (n_edges, *now)
         if now == signature:
             break
         signature = now

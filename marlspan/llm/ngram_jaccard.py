@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    HOT_GROUPS, LEAST_HOT, connected_components, durable, free_name, join_facts, numbered, objects, shuffle_width, slices, with_group_facts,
+    HOT_GROUPS, LEAST_HOT, connected_components, discard, durable, free_name, join_facts, numbered, objects, shuffle_width, slices, with_group_facts,
 )
 from .word_hash import token_sets
 
@@ -308,6 +308,8 @@ def _found(texts: DataFrame, n: int, percent: int) -> DataFrame:
     members = durable(placed.join(heads, "grp", "left").withColumn("settled", F.col("comp").eqNullSafe(F.col("head"))).drop("head"), "members")
     more = _between(lists.select("token", "cls"), members, sets, percent)
     component = durable(connected_components(durable(links.unionByName(more), "links")), "components")
+    for used in (lists, sets, asked, led, members):
+        discard(used)
 
     # names: the smallest id of all rows of all classes of a component
     named = firsts.select("cls", "low", "n").join(component.select(F.col("node").alias("cls"), "component"), "cls", "left") \

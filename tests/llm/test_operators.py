@@ -739,8 +739,10 @@ def test_op10_odd_and_files(spark, odd, empty, tmp_path):
 
 def test_components_of_hubs(spark, monkeypatch):
     edges = [(0, k) for k in range(1, 200)] + [(k, 1000 + k) for k in range(1, 200)] + [(5000, k) for k in range(1000, 1004)]
-    got = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert {r["component"] for r in got if r["node"] not in (1000, 5000)} == {0} and len(got) == 401
+    for hub in (common.HUB_EDGES, 10):
+        monkeypatch.setattr(common, "HUB_EDGES", hub)
+        got = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r["component"] for r in got if r["node"] not in (1000, 5000)} == {0} and len(got) == 401
     rows = spark.range(300).selectExpr("if(id < 250, 0, id) AS k", "id AS v")
     facts = common.durable(rows.groupBy("k").agg(F.sum("v").alias("s"), F.count("*").alias("n")))
     assert common.join_facts(rows, facts, ["k"], 300).exceptAll(rows.join(facts.drop("n"), "k").select("k", "v", "s")).count() == 0
