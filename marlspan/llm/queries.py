@@ -16,6 +16,7 @@ from .mixing import entropy_mix
 from .ngram_jaccard import near_components
 from .packing import pack_documents
 from .sharding import shard_plan
+from .spelling import spelling_variants
 from .stupid_backoff import backoff_scores
 
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
@@ -140,6 +141,44 @@ def op10_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_rare_qgram_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+# crc32 by its table of 256 remainders; near words share what is left when the edited code point is taken out.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), r AS (
+  SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL
+), h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))::BIGINT[]),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM r, crc
+), v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3
+), k AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)
+), p AS (
+  SELECT a.word AS a, b.word AS b FROM k a JOIN k b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT k.word, v.word FROM k JOIN v ON v.word = k.rest UNION SELECT v.word, k.word FROM k JOIN v ON v.word = k.rest
+), f AS (
+  SELECT p.a AS word, count(*) AS n_near, min(struct_pack(less := -b.n, near := b.word)) AS best FROM p JOIN v b ON b.word = p.b GROUP BY 1
+), o AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 2 * v.n THEN best.near END AS form, CASE WHEN -best.less >= 2 * v.n THEN -best.less END AS form_n
+  FROM v LEFT JOIN f USING (word)
+), w AS (
+  SELECT word, form AS at FROM o UNION ALL SELECT w.word, o.form FROM w JOIN o ON o.word = w.at WHERE w.at IS NOT NULL
+), e AS (
+  SELECT w.word, w.at AS root FROM w JOIN o ON o.word = w.at WHERE o.form IS NULL
+)
+SELECT o.word, o.n, o.n_near, o.form, o.form_n, coalesce(e.root, o.word) AS root FROM o LEFT JOIN e USING (word)
+"""
+
+
 LLM_QUERIES = {
     "op1_word_backoff_language": op1_word_backoff_language,
     "op2_text_density_html": op2_text_density_html,
@@ -151,5 +190,6 @@ LLM_QUERIES = {
     "op8_genetic_packing": op8_genetic_packing,
     "op9_pivot_permutation_dedup": op9_pivot_permutation_dedup,
     "op10_two_pass_sharding": op10_two_pass_sharding,
+    "op12_rare_qgram_spelling": op12_rare_qgram_spelling,
 }
-LLM_SQL = {"op3_token_group_jaccard": OP3_SQL, "op5_stupid_backoff": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+LLM_SQL = {"op3_token_group_jaccard": OP3_SQL, "op5_stupid_backoff": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op12_rare_qgram_spelling": OP12_SQL}
