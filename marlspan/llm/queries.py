@@ -18,6 +18,7 @@ from .packing import pack_documents
 from .sharding import shard_plan
 from .spelling import spelling_variants
 from .stupid_backoff import backoff_scores
+from .token_files import token_table
 
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
 
@@ -179,6 +180,11 @@ SELECT o.word, o.n, o.n_near, o.form, o.form_n, coalesce(e.root, o.word) AS root
 """
 
 
+def op13_bit_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = token_table(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1)
+    return tokens.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 LLM_QUERIES = {
     "op1_word_backoff_language": op1_word_backoff_language,
     "op2_text_density_html": op2_text_density_html,
@@ -191,5 +197,6 @@ LLM_QUERIES = {
     "op9_pivot_permutation_dedup": op9_pivot_permutation_dedup,
     "op10_two_pass_sharding": op10_two_pass_sharding,
     "op12_rare_qgram_spelling": op12_rare_qgram_spelling,
+    "op13_bit_packed_token_files": op13_bit_packed_token_files,
 }
 LLM_SQL = {"op3_token_group_jaccard": OP3_SQL, "op5_stupid_backoff": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op12_rare_qgram_spelling": OP12_SQL}
