@@ -18,6 +18,7 @@ from .packing import pack_documents
 from .sharding import shard_plan
 from .spelling import spelling_variants
 from .stupid_backoff import backoff_scores
+from .token_alignment import align_tokenizers
 from .token_files import token_table
 
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
@@ -142,6 +143,11 @@ def op10_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_owner_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_tokenizers(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
+    return aligned.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_rare_qgram_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -196,6 +202,7 @@ LLM_QUERIES = {
     "op8_genetic_packing": op8_genetic_packing,
     "op9_pivot_permutation_dedup": op9_pivot_permutation_dedup,
     "op10_two_pass_sharding": op10_two_pass_sharding,
+    "op11_byte_owner_alignment": op11_byte_owner_alignment,
     "op12_rare_qgram_spelling": op12_rare_qgram_spelling,
     "op13_bit_packed_token_files": op13_bit_packed_token_files,
 }
