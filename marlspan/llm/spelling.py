@@ -75,6 +75,12 @@ def rare_bigrams(words: DataFrame, k: int = RAREST) -> DataFrame:
     return ranked.groupBy("word").agg(least.alias("least")).select("word", F.inline("least")).select("word", "gram", "at")
 
 
+def letters(word: Column) -> Column:
+    """Which letters ``word`` has, as bits by their code points modulo 64."""
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))
+    return F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a.bitwiseOR(one(c)))
+
+
 def _keys(rare: DataFrame) -> DataFrame:
     """``key, long, word``: what a word and its near words share. ``long`` is
     the length of the longer one of a pair: a word comes under its own length
@@ -83,7 +89,8 @@ def _keys(rare: DataFrame) -> DataFrame:
     after = F.xxhash64(F.lit("<"), F.substring("word", F.lit(1), F.col("at") + 2))  # the edit is after the bigram
     before = F.xxhash64(F.lit(">"), F.substring("word", F.col("at") + 1, length))  # the edit is before it
     sides = rare.select("word", F.explode(F.array(after, before)).alias("key"))
-    return sides.select("key", "word", F.posexplode(F.array(F.length("word"), F.length("word") + 1)).alias("role", "long")).distinct()
+    return sides.select("key", "word", F.posexplode(F.array(F.length("word"), F.length("word") + 1)).alias("role", "long")).distinct() \
+        .withColumn("letters", letters(F.col("word")))
 
 
 def near_words(words: DataFrame, tile: int = TILE) -> DataFrame:
@@ -97,9 +104,10 @@ def near_words(words: DataFrame, tile: int = TILE) -> DataFrame:
     own = F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int")
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
     # longer words go down the rows of tiles, those as long or one shorter go across
-    left = tiles.where("role = 0").select("key", "long", own.alias("i"), F.explode(every).alias("j"), F.col("word").alias("a"))
-    right = tiles.select("key", "long", F.explode(every).alias("i"), own.alias("j"), F.col("word").alias("b"), "role")
-    near = ((F.col("role") == 1) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)
+    left = tiles.where("role = 0").select("key", "long", own.alias("i"), F.explode(every).alias("j"), F.col("word").alias("a"), F.col("letters").alias("a_letters"))
+    right = tiles.select("key", "long", F.explode(every).alias("i"), own.alias("j"), F.col("word").alias("b"), "role", "letters")
+    # an edit changes two bits at most; what has more need not be compared letter by letter
+    near = (F.bit_count(F.col("a_letters").bitwiseXOR(F.col("letters"))) <= 2) & ((F.col("role") == 1) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)
     found = left.join(right.hint("merge"), ["key", "long", "i", "j"]).where(near).select("a", "b").distinct()
     return found.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
 
