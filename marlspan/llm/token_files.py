@@ -31,16 +31,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import objects, shared_dir, shuffle_width, slices
-from .packing import encoder, vocabulary
+from .common import shared_dir, shuffle_width
+from .packing import CACHED_WORDS, WordEncoder, encoder, vocabulary
 
 MAGIC = b"MSPNTOK1"
 #: bits, ids in a block, ids, documents, blocks, where the documents begin, where the offsets begin, magic
@@ -51,6 +51,8 @@ BLOCK = 8192
 FILE_CHARS = 256_000_000
 #: Ids that a reader hands on at a time, unless one document has more.
 BATCH_IDS = 1 << 20
+#: Texts that are encoded together.
+SLICE_ROWS = 500
 MANIFEST = "manifest.json"
 
 
@@ -68,6 +70,10 @@ def _places(bits: int) -> Iterator[tuple[int, int, int]]:
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
     """``ids`` in ``bits`` bits each, low bits first, filled up to a whole byte."""
     n = len(ids)
+    if bits % 8 == 0:  # whole bytes: nothing to shift
+        if n and int(ids.max()) >> bits:
+            raise ValueError(f"an id does not fit {bits} bits")
+        return ids.astype("<u4").view(np.uint8).reshape(n, 4)[:, :bits // 8].tobytes()
     wide = np.zeros((-(-n // 8), 8), np.uint64)
     wide.reshape(-1)[:n] = ids
     if n and int(wide.max()) >> bits:
@@ -82,6 +88,10 @@ def pack_bits(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack_bits(raw: bytes, n: int, bits: int) -> np.ndarray:
     """The ``n`` ids that :func:`pack_bits` made ``raw`` of."""
+    if bits % 8 == 0:
+        bytes_of = np.zeros((n, 4), np.uint8)
+        bytes_of[:, :bits // 8] = np.frombuffer(raw, np.uint8).reshape(n, bits // 8)
+        return bytes_of.reshape(-1).view("<u4")
     groups = -(-n // 8)
     held = np.zeros(groups * bits, np.uint8)
     held[:len(raw)] = np.frombuffer(raw, np.uint8)[:groups * bits]
@@ -305,16 +315,55 @@ def qualified(spark: SparkSession, path: str) -> str:
     return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
+def flat_ids(words: WordEncoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other, and how many each text has. Arrow
+    cuts the texts into words and numbers the distinct ones; only those are
+    looked up, and numpy lays out their ids."""
+    if not words.by_word:
+        raw = words.encode(texts)
+        return np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64)
+    cut = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
+    number = cut.flatten().dictionary_encode()
+    distinct = number.dictionary.to_pylist()
+    found = list(map(words.known.get, distinct))
+    fresh = [w for w, x in zip(distinct, found) if x is None]
+    if len(words.known) + len(fresh) > CACHED_WORDS:
+        words.forget()
+        fresh = distinct
+    if fresh:
+        words.learn(fresh)
+        found = list(map(words.known.__getitem__, distinct))
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+    at = number.indices.to_numpy()
+    n = sizes[at]
+    ends = np.cumsum(n)
+    every = ids[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+    words_to = np.r_[0, ends][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+    return every, np.diff(words_to)
+
+
+def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The same with ``end_id`` after each text."""
+    if end_id is None:
+        return ids, lengths
+    return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
     """``id, ids`` of rows ``id, text`` in the order they come."""
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer if os.sep in tokenizer else vocabulary(tokenizer))
-        for b in slices(batches, 128):
-            yield pd.DataFrame({"id": b["id"], "ids": objects([x + end for x in words.encode([t or "" for t in b["text"]])])})
-
-    return docs.mapInPandas(run, "id long, ids binary")
+        for batch in batches:
+            for at in range(0, len(batch), SLICE_ROWS):
+                b = batch.slice(at, SLICE_ROWS)
+                ids, n = with_end(*flat_ids(words, [t or "" for t in b.column("text").to_pylist()]), end_id)
+                cuts = pa.array(np.r_[0, 4 * np.cumsum(n)], pa.int64())
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, cuts.buffers()[1], pa.py_buffer(ids.astype("<u4", copy=False).tobytes())])
+                yield pa.RecordBatch.from_arrays([b.column("id"), raw.cast(pa.binary())], names=["id", "ids"])
+
+    return docs.mapInArrow(run, "id long, ids binary")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int | None = 1,
