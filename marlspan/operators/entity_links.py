@@ -98,23 +98,27 @@ def alias_table(aliases: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _same(token: Column, part: Column) -> Column:
-    """Whether a token stands for an alias's part: separators are alike."""
-    return (F.lower(token) == part) | ((token == ",") & (part == " "))
+    """Whether a small token stands for an alias's part: separators are alike."""
+    return (token == part) | ((token == ",") & (part == " "))
 
 
 def _begins(token: Column, part: Column, hebrew: Column) -> Column:
     """The same for a first part, which a Hebrew name may have letters before."""
     before = F.substring(token, F.lit(1), F.greatest(F.length(token) - F.length(part), F.lit(0)))
-    return _same(token, part) | (hebrew & token.endswith(part) & before.rlike(f"^[{PREFIX_LETTERS}]{{1,2}}$"))
+    return F.when(token == part, True).when(~hebrew, False).otherwise(token.endswith(part) & before.rlike(f"^[{PREFIX_LETTERS}]{{1,2}}$"))
 
 
-def _spans(text: Column, known: Column) -> Column:
-    """Where the aliases ``known`` stand among the tokens ``text``: structs
-    ``(start, end, length, key, common)`` with places from 1."""
+def _spans(low: Column, known: Column) -> Column:
+    """Where the aliases ``known`` stand among the small tokens ``low``: structs
+    ``(start, end, length, key, common, hebrew)`` with places from 1."""
+    places = F.sequence(F.lit(1), F.size(low))
+
     def of(a: Column) -> Column:
         n = F.size(a["parts"])
-        starts = F.filter(F.sequence(F.lit(1), F.size(text)), lambda i: (i + n - 1 <= F.size(text)) & _begins(F.get(text, i - 1), F.get(a["parts"], 0), a["hebrew"]))
-        whole = F.filter(starts, lambda i: F.forall(F.zip_with(F.slice(text, i + 1, F.greatest(n - 1, F.lit(0))), F.slice(a["parts"], F.lit(2), F.greatest(n - 1, F.lit(0))), _same), lambda x: F.coalesce(x, F.lit(False))))
+        first, rest = F.get(a["parts"], 0), F.slice(a["parts"], F.lit(2), F.greatest(n - 1, F.lit(0)))
+        starts = F.filter(F.when(F.size(low) > 0, places), lambda i: _begins(F.get(low, i - 1), first, a["hebrew"]))
+        follows = lambda i: (i + n - 1 <= F.size(low)) & F.forall(F.zip_with(F.slice(low, i + 1, F.greatest(n - 1, F.lit(0))), rest, _same), lambda x: F.coalesce(x, F.lit(False)))
+        whole = F.filter(starts, lambda i: (n == 1) | follows(i))
         return F.transform(whole, lambda i: F.struct(i.alias("start"), (i + n - 1).alias("end"), F.length(a["key"]).alias("length"), a["key"].alias("key"), a["common"].alias("common"), a["hebrew"].alias("hebrew")))
 
     return F.flatten(F.transform(known, of))
@@ -124,7 +128,8 @@ def leftmost_longest(spans: Column) -> Column:
     """Of spans those that a scan from the left takes, the longest at each place."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["length"]).alias("shorter"), s["end"].alias("end"), s["key"].alias("key"), s["common"].alias("common"), s["hebrew"].alias("hebrew"))))
     last = lambda taken: F.coalesce(F.try_element_at(taken, F.lit(-1))["end"], F.lit(0))
-    return F.aggregate(ordered, F.slice(ordered, 1, 0), lambda taken, s: F.when(s["start"] > last(taken), F.concat(taken, F.array(s))).otherwise(taken))
+    none = F.expr("cast(array() AS array<struct<start: int, shorter: int, `end`: int, key: string, common: boolean, hebrew: boolean>>)")
+    return F.aggregate(ordered, none, lambda taken, s: F.when(s["start"] > last(taken), F.concat(taken, F.array(s))).otherwise(taken))
 
 
 def _words(text: Column) -> Column:
@@ -189,13 +194,15 @@ def alias_links(items: DataFrame, aliases: DataFrame, vocabulary: Vocabulary | N
     asked = words.select("item_id", F.explode(forms).alias("anchor")).distinct()
     may = asked.join(known.select("anchor", F.struct("key", "parts", "hebrew", "common").alias("a")), "anchor").groupBy("item_id").agg(F.collect_list("a").alias("known"))
     told = items.select("item_id", "text").join(may, "item_id").select("item_id", "known", F.inline(F.array(F.struct(tokens(F.col("text")).alias("tokens")))))
-    found = told.select("item_id", "known", "tokens", F.inline(F.array(F.struct(leftmost_longest(_spans(F.col("tokens"), F.col("known"))).alias("spans")))))
-    # a common name found by the scan counts if any place of it does
-    common = F.filter("spans", lambda s: s["common"])
-    places = _spans(F.col("tokens"), F.filter("known", lambda a: F.exists(common, lambda s: s["key"] == a["key"])))
-    counted = F.transform(F.filter(places, lambda s: _counts_as_name(F.col("tokens"), s, v)), lambda s: F.struct(s["key"].alias("key"), F.lit("context").alias("method")))
+    told = told.select("*", F.inline(F.array(F.struct(F.transform("tokens", lambda t: F.lower(t)).alias("low")))))
+    found = told.select("*", F.inline(F.array(F.struct(leftmost_longest(_spans(F.col("low"), F.col("known"))).alias("spans")))))
+    # a common name that the scan finds counts if any place of it does
+    asked_for = F.array_distinct(F.transform(F.filter("spans", lambda s: s["common"]), lambda s: s["key"]))
+    found = found.select("*", F.inline(F.array(F.struct(_spans(F.col("low"), F.filter("known", lambda a: F.array_contains(asked_for, a["key"]))).alias("places"), asked_for.alias("asked_for")))))
+    counts = F.filter("asked_for", lambda k: F.exists("places", lambda s: (s["key"] == k) & _counts_as_name(F.col("tokens"), s, v)))
+    counted = F.transform(counts, lambda k: F.struct(k.alias("key"), F.lit("context").alias("method")))
     plain = F.transform(F.filter("spans", lambda s: ~s["common"]), lambda s: F.struct(s["key"].alias("key"), F.lit("alias").alias("method")))
-    keys = found.select("item_id", F.explode(F.array_distinct(F.concat(plain, counted))).alias("k")).select("item_id", "k.*")
+    keys = found.select("item_id", F.inline(F.array(F.struct(F.array_distinct(F.concat(plain, counted)).alias("keys"))))).select("item_id", F.inline("keys"))
     hits = keys.join(known.select("key", "links"), "key").select("item_id", "method", F.inline("links"))
     return hits.select("item_id", "ticker", F.when(F.col("method") == "context", F.least("weight", F.lit(0.8))).otherwise(F.col("weight")).alias("score"), "method")
 
