@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlspan.operators import entity_links as E
+from marlspan.operators import search_index as I
 from marlspan.sources import views
 
 from .registry import Register
@@ -30,3 +31,32 @@ def linked(spark, d):  # noqa: ANN001, ANN201
 @query("entity_link_context")
 def _(spark, d):
     return E.link_entities(*linked(spark, d))
+
+
+ASKED = ["the", "on th", "AN", "b", "", "e.\nT", "ré"]
+NOTES = """notes AS (SELECT doc_id AS id, lower(coalesce(source, '')) AS title, lower(coalesce(text, '')) AS body FROM documents),
+asked AS (SELECT item_id AS query_id, trim(lower(substr(text, 11, 14)), ' ') AS q FROM benchmark UNION ALL SELECT * FROM (VALUES """ + ", ".join(
+    f"({-1 - k}, '{q.lower()}')" for k, q in enumerate(ASKED)).replace("\n", "' || chr(10) || '") + """) t(query_id, q)),
+hit AS (SELECT query_id, id, (SELECT count(*) FROM unnest(range(1, length(title) - length(q) + 2)) r(i) WHERE substr(title, i, length(q)) = q) + (SELECT count(*) FROM unnest(range(1, length(body) - length(q) + 2)) r(i) WHERE substr(body, i, length(q)) = q) AS hits
+  FROM notes, asked WHERE length(q) >= 3 AND (contains(title, q) OR contains(body, q)))"""
+RANKED = """, total AS (SELECT count(*) AS docs, avg(greatest(length(title) - 2, 0) + greatest(length(body) - 2, 0)) AS mean FROM notes), idf AS (SELECT query_id, ln((docs - n + 0.5) / (n + 0.5)) AS raw FROM (SELECT query_id, count(*) AS n FROM hit GROUP BY 1), total),
+score AS (SELECT query_id, id, hits, CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * (greatest(length(title) - 2, 0) + greatest(length(body) - 2, 0)) / mean)) AS score FROM hit JOIN idf USING (query_id) JOIN notes USING (id), total)"""
+
+
+def notes(spark, d):  # noqa: ANN001, ANN201
+    docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("body"))
+    asked = views.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 11, 14).alias("text"))
+    return docs, asked.unionByName(spark.createDataFrame([(-1 - k, q) for k, q in enumerate(ASKED)], "query_id long, text string"))
+
+
+@query("search_index", f"WITH {NOTES} SELECT query_id, id, hits FROM hit")
+def _(spark, d):
+    docs, asked = notes(spark, d)
+    return I.occurrences(I.postings(docs, ["title", "body"]), asked).groupBy("query_id", "id").agg(F.count("*").alias("hits"))
+
+
+@query("search_ranked", f"WITH {NOTES}{RANKED} SELECT query_id, id, hits, round(score, 9) AS score FROM score QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 1000000")
+def _(spark, d):
+    docs, asked = notes(spark, d)
+    fields = ["title", "body"]
+    return I.search(I.postings(docs, fields), I.lengths(docs, fields), asked, 1_000_000).select("query_id", "id", "hits", F.round("score", 9).alias("score"))
