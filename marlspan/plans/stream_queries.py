@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from marlspan.operators import alerts as A
 from marlspan.operators.events import quiet
 from marlspan.sources import views
 from marlspan.streaming import quotes as Q
+from marlspan.streaming import stateful as W
 
 from .registry import Register
 
@@ -122,3 +124,44 @@ def _(spark, d):
 @query("json_extract", "SELECT event_id, json_type(props) = 'OBJECT' AS is_object FROM events")
 def _(spark, d):
     return views.table(spark, d, "events").select("event_id", F.expr("from_json(props, 'MAP<STRING,STRING>') IS NOT NULL").alias("is_object"))
+
+
+QUOTED = """qt AS (SELECT *, event_id % 5 = 0 AS reference, CASE WHEN event_id % 5 = 0 AND event_id % 3 = 0 THEN NULL ELSE value - 1 END AS prev_close FROM ev)"""
+
+
+def quoted(df):  # noqa: ANN001, ANN202
+    """Readings as quotes: every fifth is a reference, some of those without a previous close."""
+    k = F.col("event_id")
+    return df.withColumns({"last": F.col("value"), "reference": k % 5 == 0, "prev_close": F.when((k % 5 == 0) & (k % 3 == 0), None).otherwise(F.col("value") - 1)})
+
+
+def in_batches(df, at, n):  # noqa: ANN001, ANN202
+    """``df`` as a stream of ``n`` micro-batches, rows dealt out whatever their time."""
+    df.repartition(n, F.xxhash64("event_id")).write.mode("overwrite").parquet(at)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+def book(spark, d, at, n=3):  # noqa: ANN001, ANN202
+    r = quoted(readings(spark, d))
+    split = r.where("ticker <> 'U7'").agg(F.percentile_approx("event_id", 0.4)).first()[0]
+    return W.quote_book(in_batches(r.where((F.col("event_id") > split) | (F.col("ticker") == "U7")), f"{at}/quotes", n), r.where((F.col("event_id") <= split) & (F.col("ticker") != "U7")))
+
+
+@query("quote_book", f"""WITH {EV}, {QUOTED}, q AS (SELECT * FROM qt QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) = 1), r AS (SELECT * FROM qt WHERE reference QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) = 1),
+h AS (SELECT q.ticker, q.ts, q.value AS last, CASE WHEN q.reference OR r.ticker IS NULL THEN q.prev_close WHEN (q.ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')::DATE > (r.ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')::DATE THEN r.value ELSE coalesce(r.prev_close, q.prev_close) END AS prev_close
+  FROM q LEFT JOIN r ON q.ticker = r.ticker) SELECT ticker, ts, last, prev_close, round(CASE WHEN prev_close <> 0 THEN (last / prev_close - 1) * 100 END, 6) AS change_pct FROM h""")
+def _(spark, d):
+    at = f"{_shared(spark).rstrip('/')}/book-{uuid.uuid4().hex}"
+    told = W.newest_versions(W.run_stateful(book(spark, d, at), "update", at))
+    return told.select("ticker", "ts", "last", "prev_close", F.round("change_pct", 6).alias("change_pct"))
+
+
+def alarms(df):  # noqa: ANN001, ANN202
+    return df.where("value > 80").select("event_id", F.when(F.col("event_id") % 2 == 0, "mail").otherwise("chat").alias("channel"), F.col("event_id").alias("id"), "ticker", "ts")
+
+
+@query("digest_queue", f"""WITH {EV}, a AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'mail' ELSE 'chat' END AS channel, (date_trunc('day', ts) + INTERVAL 7 HOUR + CASE WHEN hour(ts) >= 22 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END)::TIMESTAMP AS flushed_at FROM ev WHERE value > 80 AND (hour(ts) >= 22 OR hour(ts) < 7))
+SELECT channel, flushed_at, count(*) AS n, array_to_string(list_sort(list_distinct(list(ticker))), ',') AS tickers, array_to_string(list(event_id ORDER BY event_id), ',') AS ids FROM a WHERE flushed_at <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM a) GROUP BY 1, 2""")
+def _(spark, d):
+    at = f"{_shared(spark).rstrip('/')}/digest-{uuid.uuid4().hex}"
+    return W.run_stateful(W.digest_queue(alarms(_stream(spark, d)), 22 * 60, 7 * 60, "1 day"), "append", at)

@@ -21,11 +21,16 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet")
 
 
 def run_to_end(stream: DataFrame, mode: str, shared: str) -> DataFrame:
+    """:func:`run_at` in a new folder of ``shared``."""
+    return run_at(stream, mode, f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}")
+
+
+def run_at(stream: DataFrame, mode: str, at: str) -> DataFrame:
     """Runs ``stream`` over all there is and returns what it wrote. Each
     micro-batch writes a folder of its own, over whatever an earlier attempt at
     the same batch left there, so a batch that is run again is not told twice;
-    in complete mode the last one is the result."""
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    in complete mode the last one is the result. A second run at the same folder
+    goes on where the first ended."""
     out, schema = f"{at}/out", stream.schema
     target = (lambda n: out) if mode == "complete" else (lambda n: f"{out}/batch={n}")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True) \
