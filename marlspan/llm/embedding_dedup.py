@@ -13,8 +13,10 @@ of the number of vectors, so lists stay about as long as the data grow.
 
 Defined results: vectors that are null, empty, zero, or hold a null or
 non-finite component link with nothing, as do vectors of different dimensions;
-repeated rows are vectors of their own; a null id gives a null component that
-isn't kept; an empty table gives no rows; labels and other columns are ignored.
+repeated rows are vectors of their own; a row with a null id links like any
+other, names no component and isn't kept, and a component of such rows alone has
+a null name; magnitudes don't matter, however large or small; an empty table
+gives no rows; labels and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ CALL_ROWS = 8192
 
 def _unit(vectors) -> np.ndarray:
     m = np.stack([np.asarray(v, dtype="float64") for v in vectors])
+    # scaled by a power of two first: squares neither overflow nor vanish, and nothing is rounded
+    m = np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
@@ -50,7 +54,7 @@ def vector_classes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataF
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
     # -0.0 equals 0.0
     rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(kind))).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.withColumn("ok", usable(F.col("vec")) & F.col("id").isNotNull())
+    rows = rows.withColumn("ok", usable(F.col("vec")))
     rows = rows.withColumn("digest", F.when(F.col("ok"), F.sha2(F.to_json(F.struct("vec")).cast("binary"), 256)))
     rows = durable(rows, "vectors")
     grouped = with_group_facts(

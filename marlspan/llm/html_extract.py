@@ -66,7 +66,8 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute with its value, so that what stands inside a value is no attribute.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HEADERS = {"header", "site-header", "page-header", "siteheader", "pageheader"}
 # Words of class and id names that say what role an element has, and words that only hint at one.
 ROLE_NAMES = (

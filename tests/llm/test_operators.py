@@ -693,10 +693,24 @@ def test_op9_odd(spark):
     by = {}
     for x in got:
         by.setdefault(x["id"], []).append((x["n_links"], x["component"], x["kept"]))
-    assert len(got) == 10 and by[1] == [(2, 1, True)] * 2 and by[7] == [(2, 1, False)] and by[2] == [(0, 2, True)] and by[None] == [(0, None, False)]
+    assert len(got) == 10 and by[1] == [(3, 1, True)] * 2 and by[7] == [(3, 1, False)] and by[2] == [(0, 2, True)] and by[None] == [(3, 1, False)]
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_op9_magnitudes_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1e200, 1e180, 0.0]), (3, [1e-200, 0.0, 0.0]), (4, [0.0, 5e-324, 0.0]), (5, [0.0, 1.7e308, 0.0]), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 2.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in got if r["id"]) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
+    assert [tuple(r) for r in got if r["id"] is None] == [(None, 1, None, False)] * 2
+
+
+@pytest.mark.parametrize("given", ['style="overflow:hidden"', 'title="the hidden truth"', 'data-role="navigation"', 'data-hidden="false"', "data-id='menu'", 'data-class="ad"'])
+def test_op2_words_inside_attributes_decide_nothing(given):
+    prose = "It was a long day, and nobody in the village had seen a train since the early morning of the day before."
+    assert html_extract.extract_text(f"<html><body><div {given}><p>{prose}</p><p>{prose}</p></div></body></html>").endswith(f"{prose}\n{prose}")
+    assert html_extract.extract_text(f"<html><body><div {given} hidden><p>{prose}</p></div></body></html>") == ""
+
+
 def test_op10_laws(spark, sf, documents):
     got = Q["op10_two_pass_sharding"](spark, sf).toPandas()
     assert sorted(got["doc_id"]) == sorted(documents.index)
