@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlspan.operators import filing_tables as T
+from marlspan.operators import statement_pages as P
 from marlspan.sources import views
 
 from .registry import Register
@@ -89,3 +90,27 @@ FROM f, (VALUES (1, 'IS', 8, 7, 'Of which: abroad'), (2, 'BS', 3, 3, ''), (3, 'C
 def _(spark, d):
     found = T.table_report(T.statement_lines(T.statement_tables(pages(spark, d))), ["accession"])
     return found.withColumn("unknown", F.array_join("unknown", "; "))
+
+
+def report_pages(spark, d):  # noqa: ANN001, ANN201
+    """A report for each nation: contents, a letter, an auditor's page that names
+    all statements, a balance sheet of two pages, an income statement in English
+    or in Hebrew written backwards, notes. Figures are the nation's."""
+    f = figures(spark, d).groupBy("entity").agg(F.sort_array(F.collect_list("rev")).alias("rev")).where(F.size("rev") >= 12)
+    numbers = F.array_join(F.transform("rev", lambda v: F.format_number(v + 1000, 0)), " ")
+    k = F.col("entity")
+    unit = F.when(k % 3 == 0, "NIS in thousands").when(k % 3 == 1, "U.S.  dollars in thousands").otherwise("no unit")
+    hebrew = F.reverse(F.lit("דוחות מאוחדים על הרווח הכולל"))
+    texts = F.array(
+        F.lit("Table of Contents\nBalance sheets 3\nStatements of cash flows 5"), F.concat(F.lit("Dear holders, "), F.array_join(F.slice("rev", 1, 3), " ")),
+        F.lit("We audited the balance sheets, income statements and statements of cash flows."), F.concat(F.lit("Consolidated Balance Sheets\n"), unit, F.lit("\n"), numbers),
+        F.concat(F.lit("continued\nin millions\n"), numbers), F.concat(F.when(k % 2 == 0, "Statements of Operations").otherwise(hebrew), F.lit("\n"), numbers), F.concat(F.lit("Note 1\n"), F.when(k % 4 == 0, numbers).otherwise("")),
+        F.concat(F.lit("Note 2\n"), numbers), F.lit(None).cast("string"))
+    return f.select(F.col("entity").alias("doc_id"), F.posexplode(texts).alias("page", "text"))
+
+
+@query("statement_pages", f"""WITH {FIGURES}, e AS (SELECT entity, count(*) AS n FROM figures GROUP BY 1 HAVING count(*) >= 12)
+SELECT entity AS doc_id, page::INT AS page, kinds, CASE WHEN entity % 3 = 2 THEN 6 ELSE 3 END AS unit_scale, CASE entity % 3 WHEN 0 THEN 'ILS' WHEN 1 THEN 'USD' END AS currency
+FROM e, (VALUES (3, 'BS'), (4, ''), (5, 'IS'), (6, '')) t(page, kinds) WHERE page <> 6 OR entity % 4 = 0""")
+def _(spark, d):
+    return P.statement_pages(report_pages(spark, d)).withColumn("kinds", F.array_join("kinds", ","))
