@@ -211,20 +211,91 @@ def ledoit_wolf(s: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, float
     return (1 - k) * s + k * mu * np.eye(p), float(k)
 
 
+def average_merges(dist: np.ndarray) -> list[tuple[int, int, float]]:
+    """The merges of average linkage by height, each as two leaves of the groups
+    that it joins. A chain goes from group to nearest group until two are each
+    other's nearest, so every merge costs a few rows of the matrix."""
+    d, size = dist.astype("float64").copy(), np.ones(len(dist))
+    np.fill_diagonal(d, np.inf)
+    alive, chain, merges = np.ones(len(d), bool), [], []
+    while len(merges) < len(d) - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            row = np.where(alive, d[chain[-1]], np.inf)
+            near = int(row.argmin())
+            if len(chain) > 1 and row[chain[-2]] <= row[near]:
+                near = chain[-2]  # of equally near ones the one before, or the chain would not end
+            if len(chain) > 1 and near == chain[-2]:
+                break
+            chain.append(near)
+        i, j = sorted((chain.pop(), chain.pop()))
+        merges.append((i, j, float(d[i, j])))
+        d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i, i] = np.inf
+        size[i] += size[j]
+        alive[j] = False
+    return sorted(merges, key=lambda m: m[2])
+
+
+def _cheapest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Over all k the least ``a[i, k] + b[k, j]``."""
+    out = np.full((len(a), b.shape[1]), np.inf)
+    for i in range(len(a)):
+        out[i] = (a[i][:, None] + b).min(axis=0)
+    return out
+
+
+def leaf_order(dist: np.ndarray, merges: list[tuple[int, int, float]]) -> list[int]:
+    """Of all orders that turn branches of the tree around, one whose neighbours
+    are nearest in all. For each branch the least cost is kept for each pair of
+    leaves at its ends; on the way back the ends that gave it are found again."""
+    root_of = list(range(len(dist)))
+
+    def root(i: int) -> int:
+        while root_of[i] != i:
+            root_of[i] = root_of[root_of[i]]
+            i = root_of[i]
+        return i
+
+    # per branch: its leaves, the least costs by left and right end, and the two branches it joins
+    branch = {i: (np.array([i]), np.zeros((1, 1)), None) for i in range(len(dist))}
+    for i, j, _ in merges:
+        left, right = root(i), root(j)
+        x, y = branch[left], branch[right]
+        across = _cheapest(_cheapest(x[1], dist[np.ix_(x[0], y[0])]), y[1])
+        n = len(x[0])
+        cost = np.full((n + len(y[0]),) * 2, np.inf)
+        cost[:n, n:], cost[n:, :n] = across, across.T
+        root_of[right] = left
+        branch[left] = (np.r_[x[0], y[0]], cost, (x, y))
+
+    def told(node, u: int, w: int) -> list[int]:  # noqa: ANN001
+        leaves, _, parts = node
+        if parts is None:
+            return [int(leaves[0])]
+        x, y = parts
+        n = len(x[0])
+        if u >= n:  # the other branch is on the left
+            return told(node, w, u)[::-1]
+        between = x[1][u][:, None] + dist[np.ix_(x[0], y[0])] + y[1][:, w - n][None, :]
+        m, k = np.unravel_index(int(between.argmin()), between.shape)
+        return told(x, u, int(m)) + told(y, int(k), w - n)
+
+    whole = branch[root(0)]
+    if whole[2] is None:
+        return [0]
+    return told(whole, *map(int, np.unravel_index(int(whole[1].argmin()), whole[1].shape)))
+
+
 def average_linkage(dist: np.ndarray, cut: float) -> tuple[list[int], list[int]]:
-    """Clusters at height ``cut`` and an order of the leaves."""
-    groups = {i: [i] for i in range(len(dist))}
-    label = list(range(len(dist)))
-    while len(groups) > 1:
-        keys = list(groups)
-        h, i, j = min((dist[np.ix_(groups[p], groups[q])].mean(), p, q) for m, p in enumerate(keys) for q in keys[m + 1:])
+    """Clusters at height ``cut``, named by their first leaf, and the best order of the leaves."""
+    merges, label = average_merges(dist), np.arange(len(dist))
+    for i, j, h in merges:
         if h <= cut:
-            for x in groups[j]:
-                label[x] = label[groups[i][0]]
-        left, right = groups[i], groups.pop(j)
-        # of the four ways to join two runs, the one whose ends are nearest
-        groups[i] = min(([*u, *v] for u in (left, left[::-1]) for v in (right, right[::-1])), key=lambda z: dist[z[len(left) - 1], z[len(left)]])
-    return label, next(iter(groups.values()))
+            a, b = label[i], label[j]
+            label[(label == a) | (label == b)] = min(a, b)
+    return label.tolist(), leaf_order(dist, merges)
 
 
 def universe(s: np.ndarray, q: np.ndarray, n: int):
