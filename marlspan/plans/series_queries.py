@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlspan.operators import indicators as I
+from marlspan.operators import refresh as W
 from marlspan.operators import series as S
-from marlspan.sources import files, views
+from marlspan.sources import files, store, views
+from marlspan.sources.files import kept, shared
 from marlspan.sources.views import BARS, OBS, SHIP
 
 from .registry import Register
@@ -347,3 +351,52 @@ def _(spark, d):
     x = views.ship_observations(spark, d).where("series_id = 'A' AND day(ts) % 3 = 0").select("ts", "value")
     w = Window.partitionBy(F.lit("A")).orderBy("ts").rowsBetween(-2, 0)
     return days.join(x, "ts", "left").select("ts", F.last("value", ignorenulls=True).over(w).alias("value"))
+
+
+# --- the lake on disk, and what follows from a fetch
+
+FORMULAS = {"gap": ("x - y", {"x": "1-URGENT", "y": "2-HIGH"}), "share": ("gap * 100 / (z + gap)", {"gap": "gap", "z": "3-MEDIUM"}), "total": ("a + b * 2", {"a": "share", "b": "gap"}), "lone": ("u / 2", {"u": "5-LOW"})}
+FETCHED = f"""{OBS}, latest AS (SELECT series_id, ts, CASE WHEN ts >= TIMESTAMP '1997-01-01' AND day(ts) = 7 AND series_id <> '5-LOW' THEN value * 1.5 ELSE value END AS value FROM obs WHERE series_id <> '5-LOW' OR ts < TIMESTAMP '1998-06-01')"""
+
+
+def _level(name: str, of: dict[str, str], value: str) -> str:
+    """A derived series over tables of its inputs, as SQL."""
+    grid = " UNION ALL ".join(f"SELECT ts, {', '.join(f'value AS {c}' if c == n else f'NULL::DOUBLE AS {c}' for c in of)} FROM {t}" for n, t in of.items())
+    held = ", ".join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY ts ROWS 10 PRECEDING) AS {c}" for c in of)
+    return f"""{name}_g AS (SELECT ts, {', '.join(f'max({c}) AS {c}' for c in of)} FROM ({grid}) GROUP BY 1), {name}_h AS (SELECT ts, {held} FROM {name}_g),
+{name} AS (SELECT ts, {value} AS value FROM {name}_h WHERE {' AND '.join(f'{c} IS NOT NULL' for c in of)} AND ({value}) IS NOT NULL)"""
+
+
+REFRESHED = f"""WITH {FETCHED}, s1 AS (SELECT ts, value FROM latest WHERE series_id = '1-URGENT'), s2 AS (SELECT ts, value FROM latest WHERE series_id = '2-HIGH'), s3 AS (SELECT ts, value FROM latest WHERE series_id = '3-MEDIUM'), s5 AS (SELECT ts, value FROM latest WHERE series_id = '5-LOW'),
+{_level('gap', {'x': 's1', 'y': 's2'}, 'x - y')}, {_level('share', {'gap': 'gap', 'z': 's3'}, 'gap * 100 / (z + gap)')}, {_level('total', {'a': 'share', 'b': 'gap'}, 'a + b * 2')}, {_level('lone', {'u': 's5'}, 'u / 2')}
+SELECT series_id, ts, round(value, 6) AS value FROM latest UNION ALL {' UNION ALL '.join(f"SELECT '{n}', ts, round(value, 6) FROM {n}" for n in ('gap', 'share', 'total', 'lone'))}"""
+
+
+def lake(spark, d):  # noqa: ANN001, ANN201
+    """A lake of the first years with its derived series, and what a fetch of all years, some values revised, tells."""
+    obs = views.observations(spark, d)
+    early = obs.where("ts < timestamp_ntz'1998-06-01'").where("NOT (series_id = '3-MEDIUM' AND ts >= timestamp_ntz'1998-01-01')")
+    revised = F.when((F.col("ts") >= F.lit("1997-01-01").cast("timestamp_ntz")) & (F.dayofmonth("ts") == 7), F.col("value") * 1.5).otherwise(F.col("value"))
+    return early, obs.where("series_id <> '5-LOW'").withColumn("value", revised)
+
+
+@query("refresh_derived", REFRESHED)
+def _(spark, d):
+    early, fetched = lake(spark, d)
+    at = f"{shared(spark)}/lake-{uuid.uuid4().hex}"
+    store.create(early.unionByName(W.recompute(early, FORMULAS)), at, 16)
+    stored = store.read(spark, at)
+    written, since = W.refresh(stored, fetched, FORMULAS, keep=lambda df, name: kept(df, f"{at}-{name}"))
+    derived = F.col("series_id").isin(list(FORMULAS))
+    store.upsert(written.where(~derived), at, 16)
+    store.replace_from(written.where(derived), since, at, 16)
+    return rounded(store.read(spark, at), "value", digits=6)
+
+
+@query("store_upsert", f"""WITH {OBS} SELECT series_id, ts, round(CASE WHEN day(ts) <= 5 AND series_id < '3' THEN value * 1.1 ELSE value END, 6) AS value FROM obs UNION ALL SELECT 'new', ts, round(value, 6) FROM obs WHERE series_id = '5-LOW'""")
+def _(spark, d):
+    obs, at = views.observations(spark, d), f"{shared(spark)}/lake-{uuid.uuid4().hex}"
+    store.create(obs, at, 16)
+    again = obs.where("day(ts) <= 5 AND series_id < '3'").withColumn("value", F.col("value") * 1.1)
+    store.upsert(again.unionByName(obs.where("series_id = '5-LOW'").withColumn("series_id", F.lit("new"))), at, 16)
+    return rounded(store.read(spark, at), "value", digits=6)

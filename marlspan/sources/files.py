@@ -3,6 +3,10 @@ and the sinks."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +63,19 @@ def write_cache(df: DataFrame, path: str, by: str) -> None:
 def read_cache(spark, path: str, by: str, key: str, score: str, name: str, limit: int) -> DataFrame:
     """The strongest rows of one key of a cache; only its folder is read."""
     return spark.read.parquet(path).where(F.col(by) == key).orderBy(F.abs(score).desc(), name).limit(limit)
+
+
+def shared(spark) -> str:  # noqa: ANN001
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; where
+    that is unset and all runs in one process, a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (path or tempfile.mkdtemp(prefix="marlspan-")).rstrip("/")
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet under a name of its own beginning with ``path``, and read back."""
+    at = f"{path}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
