@@ -10,6 +10,7 @@ from marlspan.operators import reference as C
 from marlspan.operators import series as S
 from marlspan.operators import valuation as V
 from marlspan.operators.news import strip_html
+from marlspan.operators import layered as Y
 from marlspan.sources import views
 from marlspan.sources.views import BARS, FACTS, ITEMS, OBS
 
@@ -194,3 +195,33 @@ def _(spark, d):
 def _(spark, d):
     own = (F.col("item_id") % 100).cast("double")
     return views.items(spark, d).select("item_id", F.round(0.5 * own + 0.5 * F.coalesce(F.when(F.col("item_id") % 2 == 0, 60.0), own), 4).alias("importance"))
+
+
+# --- nested assumptions in layers
+
+
+def assumption_layers(spark, d):  # noqa: ANN001, ANN201
+    """Three layers for each supplier: house defaults, a sector's, which may put a
+    number in the place of an object, and a user's, which may put an object back."""
+    k = F.col("s_suppkey")
+    n = k.cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    house = text('{"wacc":{"beta":1.1,"rf":0.04},"growth":{"near":', n, ',"far":2},"note":"house","none":null}')
+    sector = F.when(k % 3 == 0, '{"wacc":9}').when(k % 3 == 1, '{"wacc":{"beta":1.3,"size":{"small":true}},"growth":{}}').otherwise('{"growth":{"near":[1,2]},"note":null}')
+    user = F.when(k % 2 == 0, text('{"wacc":{"rf":', n, '},"name":"', F.col("s_name"), '"}')).otherwise("{}")
+    s = views.table(spark, d, "supplier")
+    return s.select("s_suppkey", F.posexplode(F.array(house, sector, user)).alias("layer", "json"))
+
+
+@query("assumption_deep_merge", """SELECT s_suppkey, '{"growth":{"far":2,"near":' || CASE WHEN s_suppkey % 3 = 2 THEN '[1,2]' ELSE s_suppkey::VARCHAR END || '},' || CASE WHEN s_suppkey % 2 = 0 THEN '"name":"' || s_name || '",' ELSE '' END || '"note":"house","wacc":' ||
+CASE WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN '{"rf":' || s_suppkey || '}' ELSE '9' END ELSE '{"beta":' || CASE WHEN s_suppkey % 3 = 1 THEN '1.3' ELSE '1.1' END || ',"rf":' || CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::VARCHAR ELSE '0.04' END || CASE WHEN s_suppkey % 3 = 1 THEN ',"size":{"small":true}' ELSE '' END || '}' END || '}' AS json FROM supplier""")
+def _(spark, d):
+    return Y.deep_merge(assumption_layers(spark, d), ["s_suppkey"])
+
+
+@query("assumption_deep_diff", """SELECT s_suppkey, path, before, after FROM (SELECT s_suppkey, unnest(CASE s_suppkey % 3 WHEN 0 THEN [('wacc', NULL, '9'), ('wacc.beta', '1.1', NULL), ('wacc.rf', '0.04', NULL), ('growth.near', s_suppkey::VARCHAR, NULL), ('growth.far', '2', NULL), ('note', '"house"', NULL)]
+WHEN 1 THEN [('wacc.beta', '1.1', '1.3'), ('wacc.size.small', NULL, 'true'), ('wacc.rf', '0.04', NULL), ('growth.near', s_suppkey::VARCHAR, NULL), ('growth.far', '2', NULL), ('note', '"house"', NULL)]
+ELSE [('growth.near', s_suppkey::VARCHAR, '[1,2]'), ('growth.far', '2', NULL), ('wacc.beta', '1.1', NULL), ('wacc.rf', '0.04', NULL), ('note', '"house"', NULL)] END) AS x FROM supplier) t, LATERAL (SELECT x[1] AS path, x[2] AS before, x[3] AS after)""")
+def _(spark, d):
+    layers = assumption_layers(spark, d)
+    return Y.deep_diff(layers.where("layer = 0").drop("layer"), layers.where("layer = 1").drop("layer"), ["s_suppkey"])
