@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterable
 from itertools import combinations
 
 import numpy as np
@@ -91,23 +92,48 @@ _WORD = re.compile(r"[\w$%]+")
 _TO_PLAIN = str.maketrans(FINALS, PLAIN)
 
 
-def _simhash(text: str | None) -> int:
+def _features(text: str | None) -> Counter:
+    """Words (weight 1) and pairs of neighbouring words (2); words of one letter don't count."""
     words = [w for w in _WORD.findall((text or "").lower().translate(_TO_PLAIN)) if len(w) > 1]
     weights = Counter(words)
     for p in zip(words, words[1:]):
         weights[" ".join(p)] += 2
-    if not weights:
-        return 0
-    hashes = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") for w in weights], dtype=np.uint64)
-    bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    votes = np.where(bits == 1, 1, -1).T @ np.array(list(weights.values()))
-    return int(((votes > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
+    return weights
+
+
+def simhashes(texts: Iterable[str | None]) -> np.ndarray:
+    """Signed 64-bit simhashes. Every feature of the batch is hashed once; the
+    votes of all texts' features on all bits are one sum of an unpacked matrix."""
+    known: dict[str, bytes] = {}
+    digests, weights, counts = [], [], []
+    for text in texts:
+        found = _features(text)
+        for f in found:
+            raw = known.get(f)
+            if raw is None:
+                raw = known[f] = hashlib.blake2b(f.encode(), digest_size=8).digest()
+            digests.append(raw)
+        weights.extend(found.values())
+        counts.append(len(found))
+    n, out = np.array(counts, np.int64), np.zeros(len(counts), np.int64)
+    some = np.flatnonzero(n)
+    if len(some):
+        bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1)
+        signed = np.where(bits == 1, 1, -1).astype(np.int32) * np.array(weights, np.int32)[:, None]
+        votes = np.add.reduceat(signed, (np.cumsum(n) - n)[some], axis=0)
+        out[some] = np.ascontiguousarray(np.packbits(votes > 0, axis=1)).view(">u8").astype(np.uint64).view(np.int64).reshape(-1)
+    return out
+
+
+#: Texts whose votes are summed up together.
+SIMHASH_TEXTS = 64
 
 
 @F.pandas_udf(T.LongType())
 def simhash64(text: pd.Series) -> pd.Series:
     """Signed 64-bit simhash over words (weight 1) and word pairs (2)."""
-    return text.map(_simhash).astype("int64")
+    parts = [simhashes(text.iloc[i:i + SIMHASH_TEXTS]) for i in range(0, len(text), SIMHASH_TEXTS)]
+    return pd.Series(np.concatenate(parts) if parts else np.empty(0, np.int64))
 
 
 def hamming_pairs(df: DataFrame, most: int = 3, blocks: int = 6) -> DataFrame:
@@ -117,7 +143,8 @@ def hamming_pairs(df: DataFrame, most: int = 3, blocks: int = 6) -> DataFrame:
     The 64 bits are ``blocks`` blocks; of two near hashes ``blocks - most`` blocks
     agree, so pairs meet by each choice of that many: 20 keys of 32 bits for six
     blocks, which few hashes share by chance. Equal hashes are collapsed first,
-    their pairs given to the smallest id.
+    their pairs given to the smallest id. ``df`` is read several times: where the
+    hash is worked out, write it down first.
     """
     df = df.where("hash <> 0")
     hashes = df.groupBy("hash").agg(F.min("id").alias("id"))

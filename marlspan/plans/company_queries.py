@@ -11,6 +11,7 @@ from marlspan.operators import fundamentals as D
 from marlspan.operators import news as N
 from marlspan.operators import valuation as V
 from marlspan.sources import views
+from marlspan.sources.files import kept, shared, widened
 from marlspan.sources.views import BARS, FACTS, ITEMS
 
 from .registry import Register
@@ -334,12 +335,13 @@ def _(spark, d):
 
 @query("simhash64")
 def _(spark, d):
-    return views.items(spark, d).select("item_id", N.simhash64("snippet").alias("hash"))
+    return widened(views.items(spark, d)).select("item_id", N.simhash64("snippet").alias("hash"))
 
 
 @query("simhash_pairs")
 def _(spark, d):
-    return N.hamming_pairs(views.items(spark, d).select(F.col("item_id").alias("id"), N.simhash64("snippet").alias("hash")))
+    hashed = kept(widened(views.items(spark, d)).select(F.col("item_id").alias("id"), N.simhash64("snippet").alias("hash")), f"{shared(spark)}/simhash")
+    return N.hamming_pairs(hashed)
 
 
 @query("title_similarity")
@@ -353,7 +355,7 @@ def _(spark, d):
 
 @query("cluster_assign")
 def _(spark, d):
-    i = views.items(spark, d).select(
+    i = widened(views.items(spark, d)).select(
         "ticker", "item_id", "published_at", F.when(F.col("item_id") % 40 == 0, "filing").otherwise("news").alias("kind"), F.substring(F.sha2(F.col("snippet").cast("binary"), 256), 1, 40).alias("url_hash"),
         N.normalize_title(F.col("title")).alias("title"), N.simhash64("snippet").alias("hash"))
     return N.cluster_in_order(i)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marlspan.operators import entity_links as E
 from marlspan.operators import search_index as I
 from marlspan.sources import views
+from marlspan.sources.files import widened
 
 from .registry import Register
 
@@ -19,7 +20,7 @@ EVERYDAY, BUSINESS, VERBS = ["the", "der", "and", "la"], ["of", "in", "und", "de
 
 def linked(spark, d):  # noqa: ANN001, ANN201
     """Documents, companies named by the first words of benchmark passages, and what decides about everyday names."""
-    items = views.table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text", F.lit(None).cast("map<string,double>").alias("provided"))
+    items = widened(views.table(spark, d, "documents")).select(F.col("doc_id").alias("item_id"), "text", F.lit(None).cast("map<string,double>").alias("provided"))
     words = F.split("text", " ")
     names = F.array(*[F.struct(F.array_join(F.slice(words, 1, n), " ").alias("alias"), F.lit(w).alias("weight")) for n, w in ((1, 0.4), (2, 0.7), (3, 1.0))])
     passages = views.table(spark, d, "benchmark").select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("ticker"), F.inline(names))

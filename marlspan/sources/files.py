@@ -79,3 +79,10 @@ def kept(df: DataFrame, path: str) -> DataFrame:
     at = f"{path}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its few files give fewer tasks, for work that
+    is dear by row; the splits of a large table stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
