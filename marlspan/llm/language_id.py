@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, slices
+from .common import WORKER_CACHES, durable, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -153,6 +153,7 @@ def train(labelled: DataFrame, max_train_rows: int = 8000, min_word: int = 2, mi
 
 
 _scorers: dict[str, Scorer] = {}
+WORKER_CACHES.append(_scorers)
 
 
 def scorer_of(key: str, shared) -> Scorer:

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    HOT_GROUPS, LEAST_HOT, connected_components, discard, durable, free_name, join_facts, numbered, objects, shuffle_width, slices, with_group_facts,
+    HOT_GROUPS, LEAST_HOT, connected_components, discard, durable, free_name, join_facts, let_go, numbered, objects, shuffle_width, slices, with_group_facts,
 )
 from .word_hash import token_sets
 
@@ -97,6 +97,7 @@ def hot_tokens(texts: DataFrame, n: int) -> pd.DataFrame:
 
 def _prefixes(n: int, percent: int, hot):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         often, rank = hot.value
         told: set[bytes] = set()
         for b in slices(batches, SLICE_ROWS):
@@ -123,6 +124,7 @@ def _prefixes(n: int, percent: int, hot):
 
 def _sets(n: int, wanted):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         bits = wanted.value
         for b in slices(batches, SLICE_ROWS):
             digests, sets = [], []
