@@ -130,14 +130,20 @@ def _(spark, d):
     return P.discovery(returns(spark, d), levels(spark, d), 6, 12).orderBy(F.desc_nulls_last("strength"), "pair_id").limit(50)
 
 
-@query("rolling_spearman")
+@query("rolling_spearman", f"""WITH {RET}, k AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY ts) AS k FROM rp), w AS (SELECT x.pair_id, x.ts, y.a, y.b FROM k x JOIN k y ON x.pair_id = y.pair_id AND y.k BETWEEN x.k - 11 AND x.k),
+r AS (SELECT pair_id, ts, rank() OVER (PARTITION BY pair_id, ts ORDER BY a) + (count(*) OVER (PARTITION BY pair_id, ts, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY pair_id, ts ORDER BY b) + (count(*) OVER (PARTITION BY pair_id, ts, b) - 1) / 2.0 AS rb FROM w)
+SELECT pair_id, ts, round(corr(ra, rb), 6) AS rho FROM r GROUP BY 1, 2 HAVING count(*) >= 10 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0""")
 def _(spark, d):
-    return P.rolling_spearman(returns(spark, d), 12).where("rho IS NOT NULL").select("pair_id", "ts", "rho")
+    return rounded(P.rolling_spearman(returns(spark, d), 12).where("rho IS NOT NULL").select("pair_id", "ts", "rho"), "rho")
 
 
-@query("ewma_corr")
+# All earlier rows weigh a half for every four rows of age.
+@query("ewma_corr", f"""WITH {RET}, k AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY ts) AS k FROM rp), w AS (SELECT x.pair_id, x.ts, y.a, y.b, pow(0.5, (x.k - y.k) / 4.0) AS w FROM k x JOIN k y ON x.pair_id = y.pair_id AND y.k <= x.k),
+m AS (SELECT pair_id, ts, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, count(*) AS n FROM w GROUP BY 1, 2),
+c AS (SELECT pair_id, ts, any_value(n) AS n, sum(w * (a - ma) * (b - mb)) AS ab, sum(w * (a - ma) ** 2) AS aa, sum(w * (b - mb) ** 2) AS bb FROM w JOIN m USING (pair_id, ts) GROUP BY 1, 2)
+SELECT pair_id, ts, CASE WHEN n >= 3 AND aa > 0 AND bb > 0 THEN round(ab / sqrt(aa * bb), 6) END AS r FROM c""")
 def _(spark, d):
-    return P.ewma_correlation(returns(spark, d), 12)
+    return rounded(P.ewma_correlation(returns(spark, d), 12), "r")
 
 
 for name, f in (("ols_hac", P.hac), ("adf_kpss", P.unit_roots), ("cointegration", P.cointegration), ("johansen", P.johansen), ("granger", P.granger)):
