@@ -36,6 +36,20 @@ def grid(df: DataFrame, changes: dict[str, list[float]]) -> DataFrame:
     return df
 
 
+def centred_grid(df: DataFrame, steps: dict[str, float], n: int = 5, below: tuple[str, str] | None = None) -> DataFrame:
+    """``n`` values around each named input, its step apart and of four digits;
+    every combination is a row, columns ``at_<input>`` tell which. With ``below``
+    ``(a, b)`` values of ``a`` go that aren't under the least of ``b``."""
+    for column, step in steps.items():
+        df = df.withColumn(f"all_{column}", F.array(*[F.round(F.col(column) + (i - n // 2) * step, 4) for i in range(n)]))
+    if below:
+        a, b = (f"all_{c}" for c in below)
+        df = df.withColumn(a, F.filter(a, lambda x: x < F.array_min(F.col(b))))
+    for column in steps:
+        df = df.withColumn(f"at_{column}", F.explode(f"all_{column}")).withColumn(column, F.col(f"at_{column}"))
+    return df.drop(*[f"all_{c}" for c in steps])
+
+
 def implied_growth(df: DataFrame, years: int = 10) -> DataFrame:
     """Growth at which the cash-flow value meets ``price``, between -50 % and
     150 %; null where it can't. Adds ``implied_growth``."""

@@ -113,6 +113,24 @@ def _(spark, d):
     return rounded(V.fcff(g, ["ticker", "d_wacc", "d_terminal_growth"]).drop("pv", "terminal"), "value", digits=5)
 
 
+def _centred_sql(x: str, x_step: float, y: str, y_step: float, keep: str) -> str:
+    return f"""WITH {INPUTS}, a AS (SELECT * REPLACE (ax AS {x}, ay AS {y}), ax AS at_{x}, ay AS at_{y} FROM (SELECT *, unnest(list_transform(range(-2, 3), lambda i: round({y} + i * {y_step}, 4))) AS ay FROM
+  (SELECT *, list_min(list_transform(range(-2, 3), lambda i: round({x} + i * {x_step}, 4))) AS low, unnest(list_transform(range(-2, 3), lambda i: round({x} + i * {x_step}, 4))) AS ax FROM inp)) WHERE {keep}), {_dcf_sql('a', f'ticker, at_{x}, at_{y}')}
+SELECT ticker, at_{x}, at_{y}, round((pv + terminal - net_debt) / shares, 5) AS value FROM v"""
+
+
+@query("wacc_growth_grid", _centred_sql("wacc", 0.01, "terminal_growth", 0.005, "ay < low"))
+def _(spark, d):
+    g = V.centred_grid(inputs(spark, d), {"wacc": 0.01, "terminal_growth": 0.005}, below=("terminal_growth", "wacc"))
+    return rounded(V.fcff(g, ["ticker", "at_wacc", "at_terminal_growth"]).drop("pv", "terminal"), "value", digits=5)
+
+
+@query("growth_margin_grid", _centred_sql("growth", 0.02, "margin", 0.02, "true"))
+def _(spark, d):
+    g = V.centred_grid(inputs(spark, d), {"growth": 0.02, "margin": 0.02})
+    return rounded(V.fcff(g, ["ticker", "at_growth", "at_margin"]).drop("pv", "terminal"), "value", digits=5)
+
+
 @query("reverse_dcf")
 def _(spark, d):
     return V.implied_growth(inputs(spark, d).withColumn("price", 10.0 + F.col("ticker") % 20)).select("ticker", "price", "implied_growth")
