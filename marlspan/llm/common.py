@@ -86,17 +86,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: What Python workers remember from task to task, by operator.
-WORKER_CACHES: list[dict] = []
-
-
-def let_go() -> None:
-    """Forget what operators that ran earlier in this worker have remembered: a
-    pipeline's next stage has the memory to itself."""
-    for cache in WORKER_CACHES:
-        cache.clear()
-
-
 SLICE_ROWS = 1000
 
 
