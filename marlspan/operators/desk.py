@@ -60,6 +60,43 @@ def active_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
     return events.withColumn("day", F.to_date("ts")).join(spread, "day").where(F.col("ts").between(F.col("start"), F.col("end"))).select("event_id", "window_id")
 
 
+def _blocks(windows: DataFrame) -> DataFrame:
+    """``level, block, n, first_window``: windows ``(start, end)`` of whole numbers, the end left
+    out, cut into blocks of powers of two, two at most of each size."""
+    low = lambda k: -F.call_function("shiftright", -F.col("start"), k)
+    high = lambda k: F.call_function("shiftright", F.col("end"), k)
+    cut = lambda k: F.array(F.when((low(k) < high(k)) & (low(k) % 2 != 0), F.struct(k.alias("level"), low(k).alias("block"))),
+                            F.when((low(k) < high(k)) & (high(k) % 2 != 0), F.struct(k.alias("level"), (high(k) - 1).alias("block"))))
+    levels = F.sequence(F.lit(0), F.lit(62))
+    return windows.select("n", "first_window", F.inline(F.filter(F.flatten(F.transform(levels, cut)), lambda x: x.isNotNull()))) \
+        .groupBy("level", "block").agg(F.sum("n").alias("n"), F.min("first_window").alias("first_window"))
+
+
+def open_counts(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """``event_id, n, first_window``: how many of ``windows(window_id, start, end)``
+    are open at an event of ``events(event_id, ts)``, both ends included, and the
+    least id; events in none go. What :func:`active_windows` gives, counted
+    without its pairs: between two ends of windows the answer stays the same, so
+    it is worked out for these ends only (each window is cut into blocks, an end
+    asks for the blocks it lies in), and an event takes that of the last end
+    before it in its hour or of the hour's beginning."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp_ntz").cast("timestamp"))
+    hour = 3_600_000_000
+    e = events.where("ts IS NOT NULL").select("event_id", micros("ts").alias("at")).withColumn("hour", F.floor(F.col("at") / hour))
+    w = windows.select("window_id", micros("start").alias("start"), (micros("end") + 1).alias("end")).where(F.col("start") < F.col("end"))
+    w = w.groupBy("start", "end").agg(F.count("*").alias("n"), F.min("window_id").alias("first_window"))
+    blocks = _blocks(w)
+    ends = w.select(F.explode(F.array("start", "end")).alias("at")).unionByName(e.select((F.col("hour") * hour).alias("at"))).distinct()
+    levels = blocks.select("level").distinct()  # 63 at most
+    asked = ends.join(F.broadcast(levels)).withColumn("block", F.call_function("shiftright", F.col("at"), F.col("level")))
+    told = asked.join(blocks, ["level", "block"]).groupBy("at").agg(F.sum("n").alias("n"), F.min("first_window").alias("first_window"))
+    known = ends.join(told, "at", "left").select("at", F.floor(F.col("at") / hour).alias("hour"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "first_window").alias("open"), F.lit(0).alias("side"))
+    both = known.unionByName(e.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    before = Window.partitionBy("hour").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("open", F.last("open", ignorenulls=True).over(before)).where("side = 1 AND open.n > 0")
+    return seen.groupBy("event_id").agg(F.sum("open.n").alias("n"), F.min("open.first_window").alias("first_window"))
+
+
 def prune(stored: DataFrame, fresh: DataFrame, keys: list[str], group: str) -> DataFrame:
     """Stored rows that the fresh parse of their group no longer has; none of a
     group whose parse has nothing, or less than half of what is stored."""
