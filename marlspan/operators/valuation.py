@@ -17,15 +17,19 @@ def fcff(df: DataFrame, keys: list[str], years: int = 10) -> DataFrame:
     tax, reinvestment, wacc, net_debt, shares)`` rows: growth fades linearly
     towards the terminal rate, cash flows are discounted mid-year, the terminal
     value by Gordon over a spread of half a percent at least."""
-    y = df.withColumn("year", F.explode(F.sequence(F.lit(1), F.lit(years))))
-    g = F.col("growth") + (F.col("terminal_growth") - F.col("growth")) * (F.col("year") - 1) / F.lit(float(years))
-    w = Window.partitionBy(*keys).orderBy("year")
-    level = F.col("revenue") * F.exp(F.sum(F.ln(1 + F.greatest(g, F.lit(-0.99)))).over(w))
-    y = y.withColumn("cash", level * F.col("margin") * (1 - F.col("tax")) * (1 - F.col("reinvestment")))
-    y = y.withColumn("pv", F.col("cash") / F.pow(1 + F.col("wacc"), F.col("year") - 0.5))
+    growth = lambda t: F.col("growth") + (F.col("terminal_growth") - F.col("growth")) * (t - 1) / F.lit(float(years))
+    told = lambda sum_ln: F.col("revenue") * F.exp(sum_ln) * F.col("margin") * (1 - F.col("tax")) * (1 - F.col("reinvestment"))
+
+    def year(s: Column, t: Column) -> Column:
+        logs = s["logs"] + F.ln(1 + F.greatest(growth(t), F.lit(-0.99)))
+        cash = told(logs)
+        return F.struct(logs.alias("logs"), (s["pv"] + cash / F.pow(1 + F.col("wacc"), t - 0.5)).alias("pv"), cash.alias("cash"))
+
+    zero = F.struct(F.lit(0.0).alias("logs"), F.lit(0.0).alias("pv"), F.lit(None).cast("double").alias("cash"))
+    y = df.select("*", F.inline(F.array(F.struct(F.aggregate(F.sequence(F.lit(1), F.lit(years)), zero, year).alias("cash_flows")))))
     spread = F.greatest(F.col("wacc") - F.col("terminal_growth"), F.lit(0.005))
-    last = F.max_by("cash", "year") * F.first(1 + F.col("terminal_growth")) / F.first(spread) / F.pow(1 + F.first("wacc"), F.lit(years))
-    out = y.groupBy(*keys).agg(F.sum("pv").alias("pv"), last.alias("terminal"), F.first("net_debt").alias("net_debt"), F.first("shares").alias("shares"))
+    last = F.col("cash_flows.cash") * (1 + F.col("terminal_growth")) / spread / F.pow(1 + F.col("wacc"), F.lit(years))
+    out = y.select(*keys, F.col("cash_flows.pv").alias("pv"), last.alias("terminal"), "net_debt", "shares")
     return out.select(*keys, "pv", "terminal", ratio(F.col("pv") + F.col("terminal") - F.col("net_debt"), F.col("shares")).alias("value"))
 
 

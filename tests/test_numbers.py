@@ -378,3 +378,28 @@ def test_hours_that_clocks_repeat_or_skip(spark):
     stamps = {"19961027T005900": "04:59", "19961027T013000": "06:30", "19961027T020000": "07:00", "19960407T023000": "07:30", "19960407T030000": "07:00"}
     raw = spark.createDataFrame([(1, "".join(map(event.format, stamps)))], "source long, ics string")
     assert {r["summary"]: f"{r['ts']:%H:%M}" for r in parsers.calendar_text(raw).collect()} == stamps
+
+
+def test_a_grid_is_valued_where_its_row_is(spark, sf):
+    from marlspan.plans import catalog
+
+    for q in ("wacc_growth_grid", "growth_margin_grid"):
+        plan = catalog.QUERIES[q](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_open_counts_are_those_of_the_pairs(spark):
+    import random
+
+    from marlspan.operators import desk as K
+
+    r = random.Random(3)
+    at = lambda s: f"timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, {s})"
+    spans = [(k, a, a + r.choice([0, 0.000001, 1, 3600, 86400 * 40, r.random() * 9999, -5])) for k, a in enumerate(r.choice([r.randint(-9, 9) * 1800, r.random() * 30000 - 9999]) for _ in range(120))]
+    times = [x for _, a, b in spans for x in (a, b)] + [r.random() * 60000 - 20000 for _ in range(200)] + [3000000.0]
+    w = spark.createDataFrame([(k, f"{a:.6f}", f"{b:.6f}") for k, a, b in spans] + [(None, "0", "5")], "window_id long, a string, b string")
+    w = w.selectExpr("window_id", f"{at('cast(a AS decimal(18,6))')} AS start", f"{at('cast(b AS decimal(18,6))')} AS end")
+    e = spark.createDataFrame([(k, f"{t:.6f}") for k, t in enumerate(times)] + [(0, "1"), (None, "2"), (999, None)], "event_id long, t string").selectExpr("event_id", f"{at('cast(t AS decimal(18,6))')} AS ts")
+    want = e.join(w, (e.ts >= w.start) & (e.ts <= w.end)).groupBy("event_id").agg(F.count("*").alias("n"), F.min("window_id").alias("first_window"))
+    got = K.open_counts(e, w)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 100
