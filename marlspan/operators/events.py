@@ -99,17 +99,18 @@ def market_reaction(events: DataFrame, bars: DataFrame, lookback: int = 60, leas
     return by the deviation of theirs, ``vol_z`` the volume's z, and the score
     their sum over six, at most one. Without a session, with fewer than
     ``least`` bars before or ``least_bars`` in all, the score is 0 and the rest
-    null. Each bar carries its predecessors, so an event meets one bar only.
+    null. Each bar carries its predecessors, so a day meets one bar only. Days of
+    tickers are worked out once each, whatever the number of their events.
     """
     w = Window.partitionBy("ticker").orderBy("ts")
     facts = F.struct(F.to_date("ts").alias("day"), (ratio(F.col("close"), F.lag("close").over(w)) - 1).alias("ret"), "volume")
     b = bars.select("ticker", "ts", "close", "volume", facts.alias("bar"))
     b = b.withColumns({"past": F.collect_list("bar").over(w.rowsBetween(-lookback - 1, -1)), "next": F.collect_list("bar.day").over(w.rowsBetween(0, ahead_days))})
-    e = events.select("event_id", "ticker", F.col("day").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("side"))
+    e = events.select("ticker", F.to_date("day").cast("timestamp_ntz").alias("ts")).distinct().withColumn("side", F.lit(0))
     both = e.unionByName(b.select("ticker", "ts", F.struct("ts", "bar", "past", "next").alias("hit"), F.lit(1).alias("side")), allowMissingColumns=True)
     back = Window.partitionBy("ticker").orderBy(F.desc("ts"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("hit", F.last("hit", ignorenulls=True).over(back)).where("side = 0").select(
-        "event_id", "ticker", F.to_date("ts").alias("day"), "hit.ts", "hit.bar", "hit.past", "hit.next")
+        "ticker", F.to_date("ts").alias("day"), "hit.ts", "hit.bar", "hit.past", "hit.next")
     inside = lambda x: x["day"] >= F.date_sub("day", 2 * lookback)
     seen = seen.withColumn("window", F.filter("past", inside)).withColumn("n_ahead", F.size(F.filter("next", lambda x: x <= F.date_add("day", ahead_days))))
     # the first bar of the window has no return there; one bar more than the measure tells whether the window starts before it
@@ -117,17 +118,19 @@ def market_reaction(events: DataFrame, bars: DataFrame, lookback: int = 60, leas
     seen = seen.withColumn("window", F.when(F.col("whole"), F.slice("window", -lookback, lookback)).when(F.size("window") > 0, F.concat(
         F.array(F.struct(F.col("window")[0]["day"].alias("day"), F.lit(None).cast("double").alias("ret"), F.col("window")[0]["volume"].alias("volume"))),
         F.slice("window", 2, lookback))).otherwise(F.col("window")))
-    x = seen.select("event_id", "ticker", "ts", "bar", "n_ahead", F.explode_outer("window").alias("x"))
-    m = x.groupBy("event_id", "ticker").agg(
+    x = seen.select("ticker", "day", "ts", "bar", "n_ahead", F.explode_outer("window").alias("x"))
+    m = x.groupBy("ticker", "day").agg(
         F.any_value("ts").alias("ts"), F.any_value("bar").alias("bar"), F.any_value("n_ahead").alias("n_ahead"), F.count("x").alias("n"),
         F.stddev_samp("x.ret").alias("ret_sd"), F.avg("x.volume").alias("vol_mean"), F.stddev_samp("x.volume").alias("vol_sd"))
     known = (F.col("n_ahead") > 0) & (F.col("n") >= least) & (F.col("n") + F.col("n_ahead") >= least_bars)
     ret_z = F.when(F.col("bar.ret").isNotNull() & (F.col("ret_sd") > 1e-9), F.abs("bar.ret") / F.col("ret_sd")).otherwise(0.0)
     vol_z = F.when(F.col("vol_sd") > 1e-9, (F.coalesce("bar.volume", F.lit(0.0)) - F.col("vol_mean")) / F.col("vol_sd")).otherwise(0.0)
     score = F.least(F.lit(1.0), (ret_z + F.greatest(F.lit(0.0), vol_z)) / 6)
-    return m.select("event_id", "ticker", *[F.when(known, c).alias(n) for n, c in (
+    told = m.select("ticker", "day", *[F.when(known, c).alias(n) for n, c in (
         ("session", F.col("ts")), ("ret", F.col("bar.ret")), ("ret_z", F.round(ret_z, 2)), ("vol_z", F.round(vol_z, 2)))],
         F.when(known, F.round(score, 3)).otherwise(0.0).alias("score"))
+    return events.select("event_id", "ticker", F.to_date("day").alias("day")).join(told, ["ticker", "day"], "left") \
+        .select("event_id", "ticker", "session", "ret", "ret_z", "vol_z", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def third_friday(month_start: Column) -> Column:

@@ -403,3 +403,16 @@ def test_open_counts_are_those_of_the_pairs(spark):
     want = e.join(w, (e.ts >= w.start) & (e.ts <= w.end)).groupBy("event_id").agg(F.count("*").alias("n"), F.min("window_id").alias("first_window"))
     got = K.open_counts(e, w)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 100
+
+
+def test_reactions_are_worked_out_by_day_and_not_by_event(spark, sf):
+    from marlspan.operators import events as E
+    from marlspan.plans import catalog
+
+    plan = catalog.QUERIES["market_reaction"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("(Generate|Window).*event_id", plan)
+    bars = spark.range(200).selectExpr("'A' AS ticker", "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id AS int)) AS ts", "100D + id % 7 AS close", "50D + id % 5 AS volume")
+    events = spark.createDataFrame([(1, "A", "2024-05-01"), (2, "A", "2024-05-01"), (3, "B", "2024-05-01"), (4, None, "2024-05-01"), (5, "A", None)], "event_id long, ticker string, day string").withColumn("day", F.to_date("day"))
+    got = {r["event_id"]: r for r in E.market_reaction(events, bars).collect()}
+    assert len(got) == 5 and got[1]["score"] == got[2]["score"] > 0 and got[1]["session"] == got[2]["session"] == datetime(2024, 5, 1)
+    assert [(got[k]["session"], got[k]["score"]) for k in (3, 4, 5)] == [(None, 0.0)] * 3
