@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,65 @@ def test_quiet_hours_within_a_day(spark, tmp_path):
 def test_other_streams_keep_their_store(spark):
     assert spark.conf.get(W.PROVIDER, None) != W.ROCKS
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_alerts_hold_a_reading_only(monkeypatch):
+    from marlspan.operators import alerts as A
+    from marlspan.streaming import quotes as Q
+
+    a = pd.DataFrame({"rule_id": "r", "ticker": "A", "event_id": [3, 1], "ts": pd.to_datetime(["2024-01-03", "2024-01-01"]), "value": [90.0, 10.0], "threshold": 80.0, "direction": "above",
+                      "hysteresis": 1.0, "cooldown_hours": 0.0, "daily_cap": 0, "stale_seconds": 900.0, "allow_grey": False})
+    b = a.assign(event_id=[2, 4], ts=pd.to_datetime(["2024-01-02", "2024-01-04"]), value=[85.0, 70.0])
+
+    class Ruled:
+        def groupBy(self, *keys):  # noqa: ANN002, ANN202, N802
+            return self
+
+        def applyInPandasWithState(self, step, *rest):  # noqa: ANN001, ANN002, ANN202, N802
+            class Kept:
+                exists, update = False, staticmethod(lambda x: None)
+
+            self.sizes, concat = [], pd.concat
+            monkeypatch.setattr(Q.pd, "concat", lambda parts, **k: (self.sizes.extend(set(p.columns) for p in parts), concat(parts, **k))[1])
+            self.told = concat(list(step(("r", "A"), iter([a, b]), Kept())))
+            return self
+
+    got = Q.alerts(Ruled())
+    assert all(c <= set(Q.READING) for c in got.sizes) and len(got.sizes) == 2
+    assert got.told["event_id"].tolist() == [1, 2, 3, 4] and got.told["outcome"].tolist() == A.run_rows(A.rule_of(a), A.State(), pd.concat([a, b]))["outcome"].tolist()
+
+
+def test_an_end_of_quiet_hours_reads_its_own_items_only():
+    class State:
+        def __init__(self):  # noqa: ANN204
+            self.rows = []
+
+        def appendValue(self, x):  # noqa: ANN001, ANN202, N802
+            self.rows.append(x)
+
+        def get(self):  # noqa: ANN202
+            return iter(self.rows)
+
+        def clear(self):  # noqa: ANN202
+            self.rows.clear()
+
+    class Handle:
+        def __init__(self):  # noqa: ANN204
+            self.state, self.timers = State(), []
+
+        def getListState(self, *x):  # noqa: ANN002, ANN202, N802
+            return self.state
+
+        def registerTimer(self, x):  # noqa: ANN001, ANN202, N802
+            self.timers.append(x)
+
+    class Expiry:
+        def getExpiryTimeInMs(self):  # noqa: ANN202, N802
+            return 1000
+
+    h, q = Handle(), W.DigestQueue()
+    q.init(h)
+    list(q.handleInputRows(("mail", 1000), iter([pd.DataFrame({"id": [3, 1], "ticker": ["B", "A"], "until": 1000}), pd.DataFrame({"id": [2], "ticker": ["B"], "until": 1000})]), None))
+    assert len(h.state.rows) == 2 and h.timers == [1000]
+    (out,) = q.handleExpiredTimer(("mail", 1000), None, Expiry())
+    assert out.iloc[0].tolist() == ["mail", pd.Timestamp(1, unit="s"), 3, "A,B", "1,2,3"] and not h.state.rows
