@@ -12,6 +12,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from marlspan.operators.alerts import OUTCOME, State, rule_of, run_rows
 
+#: Columns of a reading that the machine looks at, and the rows that it tells at once.
+READING, STEP_ROWS = ["event_id", "ts", "value", "age", "grey", "is_open"], 50_000
+
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
     """``ticker, event_id, ts, value`` of the events file in a folder as a stream."""
@@ -62,11 +65,16 @@ def sessions(stream: DataFrame, gap: str, delay: str) -> DataFrame:
 def alerts(ruled: DataFrame) -> DataFrame:
     """The alert machine with its state kept per rule and ticker across micro-batches."""
     def step(key, batches, state):  # noqa: ANN001, ANN202
-        s = State(*state.get) if state.exists else State()
-        g = pd.concat(list(batches), ignore_index=True)
-        out = run_rows(rule_of(g), s, g)
+        s, rule, parts = State(*state.get) if state.exists else State(), None, []
+        for g in batches:
+            rule = rule or rule_of(g)
+            parts.append(g[[c for c in READING if c in g]])  # what is the same in all rows of a group isn't kept
+        told = pd.concat(parts, ignore_index=True)
+        parts.clear()
+        told = told.sort_values(["ts", "event_id"], ignore_index=True)
+        for i in range(0, len(told), STEP_ROWS):
+            yield run_rows(rule, s, told.iloc[i:i + STEP_ROWS].assign(rule_id=key[0], ticker=key[1]))
         state.update((s.armed, s.last_value, s.fired_at, s.day, s.fired_today))
-        yield out
 
     return ruled.groupBy("rule_id", "ticker").applyInPandasWithState(
         step, OUTCOME, "armed boolean, last_value double, fired_at double, day int, fired_today int", "append", GroupStateTimeout.NoTimeout)
