@@ -10,9 +10,13 @@ where they are capitalised and words near them speak of business.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from unicodedata import category
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,111 +79,132 @@ def _plain(word: str) -> str:
     return word.lower().translate(str.maketrans(FINALS, PLAIN))
 
 
-def tokens(text: Column) -> Column:
-    """Words (a dollar sign before one belongs to it), apostrophes, ``" "`` for
-    white space and ``","`` for separators with anything else; letters as they are."""
-    t = F.translate(F.coalesce(text, F.lit("")), FINALS + "’׳", PLAIN + "''")
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, f"[^{_WORD}\\s$']+", ","), "[\\s,]*,[\\s,]*", ","), "\\s+", " ")
-    return F.regexp_extract_all(t, F.lit(f"\\$*[{_WORD}]+|\\$+|['\\s,]"), F.lit(0))
+def _plain_letters(text: Column) -> Column:
+    marks = FINALS + "’׳"
+    return F.when(text.rlike(f"[{marks}]"), F.translate(text, marks, PLAIN + "''")).otherwise(F.coalesce(text, F.lit("")))
 
 
-def alias_table(aliases: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``aliases(ticker, alias, weight)`` by their plain text: ``key, parts,
-    hebrew, common, anchor, links``. The anchor is the word that fewest aliases
-    have, the longest of those."""
-    plain = aliases.select(F.upper("ticker").alias("ticker"), mention_text(F.col("alias")).alias("key"), "weight").where("key <> ''")
-    known = plain.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ticker", "weight"))).alias("links"))
-    known = known.withColumns({"parts": tokens(F.col("key")), "hebrew": F.col("key").rlike(_HEBREW),
-                               "common": F.col("key").isin([*map(_plain, vocabulary.common), *map(_plain, vocabulary.common_hebrew)])})
-    words = known.select("key", F.explode(F.filter(F.array_distinct("parts"), lambda p: ~p.isin(" ", ",", "'"))).alias("word"))
-    often = words.groupBy("word").agg(F.count("*").alias("n"))
-    anchor = words.join(often, "word").groupBy("key").agg(F.min_by("word", F.struct("n", -F.length("word"), "word")).alias("anchor"))
-    return known.join(anchor, "key")
-
-
-def _same(token: Column, part: Column) -> Column:
-    """Whether a small token stands for an alias's part: separators are alike."""
-    return (token == part) | ((token == ",") & (part == " "))
-
-
-def _begins(token: Column, part: Column, hebrew: Column) -> Column:
-    """The same for a first part, which a Hebrew name may have letters before."""
-    before = F.substring(token, F.lit(1), F.greatest(F.length(token) - F.length(part), F.lit(0)))
-    return F.when(token == part, True).when(~hebrew, False).otherwise(token.endswith(part) & before.rlike(f"^[{PREFIX_LETTERS}]{{1,2}}$"))
-
-
-def _spans(low: Column, known: Column) -> Column:
-    """Where the aliases ``known`` stand among the small tokens ``low``: structs
-    ``(start, end, length, key, common, hebrew)`` with places from 1."""
-    places = F.sequence(F.lit(1), F.size(low))
-
-    def of(a: Column) -> Column:
-        n = F.size(a["parts"])
-        first, rest = F.get(a["parts"], 0), F.slice(a["parts"], F.lit(2), F.greatest(n - 1, F.lit(0)))
-        starts = F.filter(F.when(F.size(low) > 0, places), lambda i: _begins(F.get(low, i - 1), first, a["hebrew"]))
-        follows = lambda i: (i + n - 1 <= F.size(low)) & F.forall(F.zip_with(F.slice(low, i + 1, F.greatest(n - 1, F.lit(0))), rest, _same), lambda x: F.coalesce(x, F.lit(False)))
-        whole = F.filter(starts, lambda i: (n == 1) | follows(i))
-        return F.transform(whole, lambda i: F.struct(i.alias("start"), (i + n - 1).alias("end"), F.length(a["key"]).alias("length"), a["key"].alias("key"), a["common"].alias("common"), a["hebrew"].alias("hebrew")))
-
-    return F.flatten(F.transform(known, of))
+def token_text(text: Column) -> Column:
+    """Letters as they are, runs of separators as one ``","``, or ``" "`` for white space alone."""
+    t = F.regexp_replace(_plain_letters(text), f"[^{_WORD}\\s$']+", ",")
+    return F.regexp_replace(F.regexp_replace(t, "\\s+", " "), " ?,[ ,]*", ",")
 
 
-def leftmost_longest(spans: Column) -> Column:
-    """Of spans those that a scan from the left takes, the longest at each place."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["length"]).alias("shorter"), s["end"].alias("end"), s["key"].alias("key"), s["common"].alias("common"), s["hebrew"].alias("hebrew"))))
-    last = lambda taken: F.coalesce(F.try_element_at(taken, F.lit(-1))["end"], F.lit(0))
-    none = F.expr("cast(array() AS array<struct<start: int, shorter: int, `end`: int, key: string, common: boolean, hebrew: boolean>>)")
-    return F.aggregate(ordered, none, lambda taken, s: F.when(s["start"] > last(taken), F.concat(taken, F.array(s))).otherwise(taken))
+def words(text: Column) -> Column:
+    """The distinct words of a text, a dollar sign before one belonging to it; letters as they are."""
+    t = F.regexp_replace(_plain_letters(text), f"[^{_WORD}$]+", " ")
+    parted = F.when(F.contains(t, F.lit("$")), F.regexp_replace(t, "(?<=[^$ ])\\$", " \\$")).otherwise(t)
+    return F.filter(F.array_distinct(F.split(parted, " ")), lambda w: w != "")
 
 
-def _words(text: Column) -> Column:
-    """Tokens as the words between blanks, without the apostrophes at their ends and a genitive s."""
-    joined = F.trim(F.regexp_replace(F.translate(F.lower(F.array_join(text, "")), ",", " "), " +", " "))
-    return F.filter(F.split(joined, " "), lambda w: w != "")
-
-
-def _bare(words: Column) -> Column:
-    return F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, "^'+|'+$", ""), "'s$", ""))
-
-
-def speaks_of_business(text: Column, span: Column, v: Vocabulary) -> Column:
-    """Whether the words around a name at ``span`` make it a company's: a verb of
-    action right after it, or a word or phrase of business within ``WINDOW``
-    words, unless the name is itself a part of such a phrase."""
-    context, phrases, verbs, adverbs = ([_plain(w) for w in x] for x in (v.context, v.phrases, v.verbs, v.adverbs))
-    context = [w for w in context if " " not in w] or [""]
-    phrases = phrases or [""]
-    start, end = span["start"], span["end"]
-    first = F.greatest(start - _REACH, F.lit(1))
-    left = _words(F.slice(text, first, start - first))
-    right = _words(F.slice(text, end + 1, F.lit(_REACH)))
-    name = F.split(span["key"], " ")
-
-    def judged(x: Column) -> Column:
-        genitive = F.coalesce(F.get(x["right"], 0).isin("'s", "s"), F.lit(False))
-        before = _bare(F.slice(x["left"], F.greatest(F.size(x["left"]) - WINDOW + 1, F.lit(1)), F.lit(WINDOW)))
-        following = _bare(F.slice(x["right"], 1, WINDOW))
-        after = F.when(genitive, F.slice(following, F.lit(2), F.lit(WINDOW))).otherwise(following)
-        joined = lambda a, b: F.coalesce(F.concat_ws(" ", a, b).isin(phrases) & a.isNotNull() & b.isNotNull(), F.lit(False))
-        inside = joined(F.try_element_at(before, F.lit(-1)), F.get(x["name"], 0)) | joined(F.element_at(x["name"], -1), F.get(following, 0))
-        next_word = F.when(F.get(after, 0).isin(adverbs) & (F.size(after) > 1), F.get(after, 1)).otherwise(F.get(after, 0))
-        acts = ~genitive & F.coalesce(next_word.isin(verbs), F.lit(False))
-        told = lambda w: w.isin(context) | (w.rlike(_HEBREW) & F.exists(F.array(F.lit(1), F.lit(2)), lambda k: (F.length(w) - k >= 2) & F.substring(w, k + 1, F.length(w)).isin(context)))
-        pairs = lambda side: F.exists(F.zip_with(side, F.slice(side, F.lit(2), F.greatest(F.size(side) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: F.coalesce(p.isin(phrases), F.lit(False)))
-        near = lambda side: F.exists(side, told) | pairs(side)
-        return ~inside & (acts | near(before) | near(after))
-
-    return F.get(F.transform(F.array(F.struct(left.alias("left"), right.alias("right"), name.alias("name"))), judged), 0)
+def alias_table(aliases: DataFrame) -> DataFrame:
+    """``aliases(ticker, alias, weight)`` by their plain text: ``key, anchor,
+    links``. The anchor is the word that fewest aliases have, the longest of those."""
+    plain = aliases.select(F.upper("ticker").alias("ticker"), mention_text(F.col("alias")).alias("key"), "weight").where("key <> ''")
+    known = plain.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ticker", "weight"))).alias("links"))
+    parts = known.select("key", F.explode(words(F.col("key"))).alias("word"))
+    often = parts.groupBy("word").agg(F.count("*").alias("n"))
+    anchor = parts.join(often, "word").groupBy("key").agg(F.min_by("word", F.struct("n", -F.length("word"), "word")).alias("anchor"))
+    return known.join(anchor, "key")
 
 
-def _counts_as_name(text: Column, span: Column, v: Vocabulary) -> Column:
-    """A common name needs its words parted by white space, a capital, and words of business near it."""
-    own = F.slice(text, span["start"], span["end"] - span["start"] + 1)
-    first = F.substring(F.get(own, 0), 1, 1)
-    # of the letters that Hebrew puts before words a name that is one takes these only
-    before = F.substring(F.get(own, 0), F.lit(1), F.length(F.get(own, 0)) - F.length(F.substring_index(span["key"], " ", 1)))
-    strict = before.rlike("^ו?[בלש]?$") | ~span["hebrew"]
-    return ~F.array_contains(own, ",") & (span["hebrew"] | ((first != F.lower(first)) & first.rlike("\\p{Lu}"))) & strict & speaks_of_business(text, span, v)
+#: The tokens of a ``token_text``, whose separators are these three alone.
+_TOKEN = re.compile(r"\$*[^$' ,]+|\$+|[' ,]")
+
+
+class Matcher:
+    """Where aliases stand among the tokens of a text, and whether they count there."""
+
+    def __init__(self, v: Vocabulary):
+        self.everyday = {*map(_plain, v.common), *map(_plain, v.common_hebrew)}
+        self.context, self.phrases, self.verbs, self.adverbs = ({_plain(w) for w in x} for x in (v.context, v.phrases, v.verbs, v.adverbs))
+        self.parts: dict[str, list[str]] = {}
+
+    def _parts(self, key: str) -> list[str]:
+        if key not in self.parts:
+            self.parts[key] = _TOKEN.findall(key)
+        return self.parts[key]
+
+    def keys(self, text: str, known: Iterable[str]) -> list[tuple[str, str]]:
+        """``(key, method)`` of the aliases ``known`` that a scan from the left
+        takes, the longest at each place; an everyday name if any place of it counts."""
+        told = _TOKEN.findall(text)
+        low = [t.lower() for t in told]
+        begins: dict[str, list[str]] = {}
+        for key in sorted(known, key=lambda k: (-len(k), k)):
+            begins.setdefault(self._parts(key)[0], []).append(key)
+        prefixed = {w for w, keys in begins.items() if any(map(_is_hebrew, keys))}
+        taken: dict[str, None] = {}
+        places: dict[str, list[tuple[int, int]]] = {}
+        last = 0
+        for i, word in enumerate(low):
+            found = begins.get(word, ())
+            if prefixed:
+                # letters that Hebrew puts before a name
+                cut = [word[k:] for k in (1, 2) if word[k:] in prefixed and all(c in PREFIX_LETTERS for c in word[:k])]
+                if cut:
+                    found = sorted([*found, *(key for w in cut for key in begins[w] if _is_hebrew(key))], key=lambda k: (-len(k), k))
+            for key in found:
+                parts = self._parts(key)
+                end = i + len(parts)
+                if end > len(low) or any(t != p and (t, p) != (",", " ") for t, p in zip(low[i + 1:end], parts[1:])):
+                    continue
+                if key in self.everyday:
+                    places.setdefault(key, []).append((i, end))
+                if i >= last:
+                    taken[key] = None
+                    last = end
+        out = []
+        for key in taken:
+            if key not in self.everyday:
+                out.append((key, "alias"))
+            elif any(self.counts(told, *place, key) for place in places[key]):
+                out.append((key, "context"))
+        return out
+
+    def counts(self, told: list[str], start: int, end: int, key: str) -> bool:
+        """An everyday name needs its words parted by white space, a capital, and words of business near it."""
+        first = told[start]
+        if "," in told[start:end]:
+            return False
+        if _is_hebrew(key):
+            # of the letters that Hebrew puts before words a name that is one takes these only
+            if not re.fullmatch("ו?[בלש]?", first[:max(len(first) - len(key.split(" ")[0]), 0)]):
+                return False
+        elif category(first[0]) != "Lu":
+            return False
+        return self.speaks_of_business(told, start, end, key)
+
+    def speaks_of_business(self, told: list[str], start: int, end: int, key: str) -> bool:
+        """Whether the words around a name make it a company's: a verb of action
+        right after it, or a word or phrase of business within ``WINDOW`` words,
+        unless the name is itself a part of such a phrase."""
+        left, right = _words(told[max(start - _REACH, 0):start])[-WINDOW:], _words(told[end:end + _REACH])[:WINDOW]
+        genitive = right[:1] in (["'s"], ["s"])
+        before, following, name = _bare(left), _bare(right), key.split(" ")
+        after = following[1:] if genitive else following
+        if before and f"{before[-1]} {name[0]}" in self.phrases or following and f"{name[-1]} {following[0]}" in self.phrases:
+            return False
+        if after and not genitive and after[1 if after[0] in self.adverbs and len(after) > 1 else 0] in self.verbs:
+            return True
+        return any(any(map(self._told, side)) or any(f"{a} {b}" in self.phrases for a, b in zip(side, side[1:])) for side in (before, after))
+
+    def _told(self, word: str) -> bool:
+        return word in self.context or _is_hebrew(word) and any(len(word) - k >= 2 and word[k:] in self.context for k in (1, 2))
+
+
+def _is_hebrew(word: str) -> bool:
+    return not word.isascii() and any("\u0590" <= c <= "\u05ff" for c in word)
+
+
+def _words(told: list[str]) -> list[str]:
+    """Tokens as the words between blanks."""
+    return "".join(told).lower().replace(",", " ").split()
+
+
+def _bare(words: list[str]) -> list[str]:
+    """Words without the apostrophes at their ends and a genitive s."""
+    return [w.strip("'").removesuffix("'s") for w in words]
 
 
 def alias_links(items: DataFrame, aliases: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -187,22 +212,21 @@ def alias_links(items: DataFrame, aliases: DataFrame, vocabulary: Vocabulary | N
     ``item_id, ticker, score, method``, method ``alias``, or ``context`` for
     names that are ordinary words, whose score is .8 at most."""
     v = vocabulary or Vocabulary()
-    known = alias_table(aliases, v)
-    words = items.select("item_id", F.explode(F.array_distinct(F.transform(tokens(F.col("text")), lambda t: F.lower(t)))).alias("word")).where(~F.col("word").isin(" ", ",", "'"))
+    known = alias_table(aliases)
+    own = items.select("item_id", F.explode(words(F.col("text"))).alias("token")).select("item_id", F.lower("token").alias("word"))
     bare = lambda k: F.when(F.substring("word", 1, k).rlike(f"^[{PREFIX_LETTERS}]{{{k}}}$"), F.substring("word", F.lit(k + 1), F.length("word")))
     forms = F.when(F.col("word").rlike(_HEBREW), F.filter(F.array(F.col("word"), bare(1), bare(2)), lambda w: w.isNotNull())).otherwise(F.array("word"))
-    asked = words.select("item_id", F.explode(forms).alias("anchor")).distinct()
-    may = asked.join(known.select("anchor", F.struct("key", "parts", "hebrew", "common").alias("a")), "anchor").groupBy("item_id").agg(F.collect_list("a").alias("known"))
-    told = items.select("item_id", "text").join(may, "item_id").select("item_id", "known", F.inline(F.array(F.struct(tokens(F.col("text")).alias("tokens")))))
-    told = told.select("*", F.inline(F.array(F.struct(F.transform("tokens", lambda t: F.lower(t)).alias("low")))))
-    found = told.select("*", F.inline(F.array(F.struct(leftmost_longest(_spans(F.col("low"), F.col("known"))).alias("spans")))))
-    # a common name that the scan finds counts if any place of it does
-    asked_for = F.array_distinct(F.transform(F.filter("spans", lambda s: s["common"]), lambda s: s["key"]))
-    found = found.select("*", F.inline(F.array(F.struct(_spans(F.col("low"), F.filter("known", lambda a: F.array_contains(asked_for, a["key"]))).alias("places"), asked_for.alias("asked_for")))))
-    counts = F.filter("asked_for", lambda k: F.exists("places", lambda s: (s["key"] == k) & _counts_as_name(F.col("tokens"), s, v)))
-    counted = F.transform(counts, lambda k: F.struct(k.alias("key"), F.lit("context").alias("method")))
-    plain = F.transform(F.filter("spans", lambda s: ~s["common"]), lambda s: F.struct(s["key"].alias("key"), F.lit("alias").alias("method")))
-    keys = found.select("item_id", F.inline(F.array(F.struct(F.array_distinct(F.concat(plain, counted)).alias("keys"))))).select("item_id", F.inline("keys"))
+    asked = own.select("item_id", F.explode(forms).alias("anchor"))
+    may = asked.join(known.select("anchor", "key"), "anchor").groupBy("item_id").agg(F.collect_set("key").alias("known"))
+    told = items.select("item_id", token_text(F.col("text")).alias("text")).join(may, "item_id")
+    matcher = Matcher(v)
+
+    def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, *found) for i, text, known in zip(b["item_id"], b["text"], b["known"]) for found in matcher.keys(text, known)]
+            yield pd.DataFrame(rows, columns=["item_id", "key", "method"])
+
+    keys = told.mapInPandas(matched, f"item_id {dict(items.dtypes)['item_id']}, key string, method string")
     hits = keys.join(known.select("key", "links"), "key").select("item_id", "method", F.inline("links"))
     return hits.select("item_id", "ticker", F.when(F.col("method") == "context", F.least("weight", F.lit(0.8))).otherwise(F.col("weight")).alias("score"), "method")
 
@@ -212,11 +236,12 @@ def symbol_links(items: DataFrame, known: DataFrame, vocabulary: Vocabulary | No
     as a cashtag or in brackets .9, and as a bare word of four capitals .6 where
     the text has small letters and the ticker is no ordinary word."""
     v = vocabulary or Vocabulary()
-    raw = F.translate("text", "’׳", "''")
+    raw = F.when(F.col("text").rlike("[’׳]"), F.translate("text", "’׳", "''")).otherwise(F.col("text"))
     found = lambda p, k=1: F.regexp_extract_all(raw, F.lit(p), F.lit(k))
+    marked = lambda mark, p: F.when(F.contains("text", F.lit(mark)), found(p))
     bare = F.filter(found("[A-Za-z][A-Za-z.]{0,7}", 0), lambda w: (w == F.upper(w)) & (F.length(F.translate(w, ".", "")) >= 4) & ~F.lower(w).isin(v.common))
-    kinds = [(found(f"(?i)\\b(?:{EXCHANGES})\\s*:\\s*({SYMBOL})\\b"), 0.95, "cashtag"), (found(f"(?<![{_WORD}$])\\$({SYMBOL})\\b"), 0.9, "cashtag"),
-             (found("\\(([A-Z]{1,6}(?:\\.[A-Z]{1,3})?)\\)"), 0.9, "cashtag"), (F.when(raw.rlike("\\p{Ll}"), bare), 0.6, "alias")]
+    kinds = [(marked(":", f"(?i)(?=[{''.join(sorted({x[0] for x in EXCHANGES.split('|')}))}])\\b(?:{EXCHANGES})\\s*:\\s*({SYMBOL})\\b"), 0.95, "cashtag"), (marked("$", f"(?<![{_WORD}$])\\$({SYMBOL})\\b"), 0.9, "cashtag"),
+             (marked("(", "\\(([A-Z]{1,6}(?:\\.[A-Z]{1,3})?)\\)"), 0.9, "cashtag"), (F.when(raw.rlike("\\p{Ll}"), bare), 0.6, "alias")]
     scored = lambda tickers, score, method: F.transform(F.coalesce(tickers, F.array().cast("array<string>")), lambda t: F.struct(
         F.upper(t).alias("ticker"), F.lit(score).alias("score"), F.lit(method).alias("method")))
     every = F.flatten(F.array(*[scored(*kind) for kind in kinds]))

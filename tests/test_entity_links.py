@@ -1,6 +1,7 @@
 """Links against a brute force that scans texts with one regular expression."""
 
 import re
+import time
 
 import pytest
 
@@ -114,3 +115,14 @@ def test_whole_documents(spark, sf):
         assert got.get(r["item_id"], {}) == want, r["item_id"]
         methods |= {m for _, m in want.values()}
     assert methods >= {"alias", "context"}
+
+
+def test_work_grows_with_the_text(spark):
+    """One text of 40,000 words that names 2,000 aliases at every other word."""
+    names = [f"name{k}" for k in range(2000)]
+    text = " ".join(f"{names[k % 2000]} w{k}" for k in range(20000))
+    items = spark.createDataFrame([(1, text)], "item_id int, text string")
+    aliases = spark.createDataFrame([(n.upper(), n, 1.0) for n in names], "ticker string, alias string, weight double")
+    began = time.monotonic()
+    got = {r["ticker"] for r in E.alias_links(items, aliases).collect()}
+    assert got == {n.upper() for n in names} and time.monotonic() - began < 30
