@@ -303,6 +303,13 @@ def test_near_hashes_match_brute_force(spark):
     assert got == want
 
 
+def test_near_hashes_are_not_broadcast(spark, tmp_path):
+    """A small file of hashes is 20 rows for each of them where pairs meet."""
+    spark.range(1000).selectExpr("id", "xxhash64(id) AS hash").write.parquet(f"{tmp_path}/h")
+    plan = N.hamming_pairs(spark.read.parquet(f"{tmp_path}/h"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_clusters_go_by_address_title_and_hash(spark):
     near = 0b111
     rows = [(1, 0, "news", "u1", "alpha beta gamma", 1 << 40), (2, 1, "news", "u1", "other words here", 5 << 50), (3, 2, "news", "u3", "gamma beta alpha", 9 << 30),
