@@ -310,6 +310,26 @@ def test_near_hashes_are_not_broadcast(spark, tmp_path):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_clusters_reach_over_blocks(spark):
+    """A busy ticker is many groups, and chains of items go back over all of them."""
+    r = np.random.default_rng(8)
+    rows = [("T", k, DAY + timedelta(hours=int(k * 5)), "filing" if r.random() < 0.05 else "news", f"u{int(r.integers(9))}", " ".join(f"word{int(z)}" for z in r.integers(6, size=int(r.integers(4)))) + f" w{int(r.integers(40))} x", int(r.integers(1, 2**60))) for k in range(400)]
+    rows += [(None, k, DAY + timedelta(hours=47 * k), "news", "same", "", 0) for k in range(40)] + [("U", 1, None, "news", "u", "t", 1), ("U", 2, None, "news", "u", "t", 1)]
+    kind = "ticker string, item_id long, published_at timestamp_ntz, kind string, url_hash string, title string, hash long"
+    df = spark.createDataFrame(rows, kind)
+    want = {}
+    for ticker in ("T", None, "U"):
+        mine = [x for x in rows if x[0] == ticker]
+        for i, x in enumerate(mine):
+            earlier = [y for y in mine[:i] if x[2] and y[2] >= x[2] - timedelta(hours=48)][::-1] if x[3] != "filing" else []
+            found = next((y for y in earlier if y[4] == x[4]), None) or next((y for y in earlier if N.title_ratio(y[5], x[5]) >= 90), None) \
+                or next((y for y in earlier if (y[6] ^ x[6]).bit_count() <= 3 and x[6] and y[6]), None)
+            want[ticker, x[1]] = want[ticker, found[1]] if found else x[1]
+    for block in (1, 8):
+        got = N.cluster_in_order(df, block=block)
+        assert {(x["ticker"], x["item_id"]): x["cluster_id"] for x in got.collect()} == want
+
+
 def test_clusters_go_by_address_title_and_hash(spark):
     near = 0b111
     rows = [(1, 0, "news", "u1", "alpha beta gamma", 1 << 40), (2, 1, "news", "u1", "other words here", 5 << 50), (3, 2, "news", "u3", "gamma beta alpha", 9 << 30),
