@@ -28,6 +28,8 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ GENERATIONS = 12
 #: An island's round ends after so many generations that save no sequence.
 PATIENCE = 3
 CACHED_WORDS = 1_000_000
+#: Texts whose words are numbered together.
+TEXTS = 512
 
 
 class WordEncoder:
@@ -152,6 +156,34 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def flat_ids(words: WordEncoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other, and how many each text has. Arrow
+    cuts the texts into words and numbers the distinct ones; only those are
+    looked up, and numpy lays out their ids."""
+    if not words.by_word:
+        raw = words.encode(texts)
+        return np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64)
+    cut = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
+    number = cut.flatten().dictionary_encode()
+    distinct = number.dictionary.to_pylist()
+    found = list(map(words.known.get, distinct))
+    fresh = [w for w, x in zip(distinct, found) if x is None]
+    if len(words.known) + len(fresh) > CACHED_WORDS:
+        words.forget()
+        fresh = distinct
+    if fresh:
+        words.learn(fresh)
+        found = list(map(words.known.__getitem__, distinct))
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+    at = number.indices.to_numpy()
+    n = sizes[at]
+    ends = np.cumsum(n)
+    every = ids[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+    words_to = np.r_[0, ends][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+    return every, np.diff(words_to)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: ``row, id, piece, start, length, ids_crc32``. ``tokenizer`` is
     the name of a vocabulary file or its path."""
@@ -161,13 +193,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "
         for b in slices(batches):
             out: dict[str, list] = {k: [] for k in ("row", "id", "piece", "start", "length", "ids_crc32")}
             texts = [t or "" for t in b["text"]]
-            encoded = (ids for i in range(0, len(texts), 128) for ids in words.encode(texts[i:i + 128]))
-            for row, key, found in zip(b["row"], b["id"], encoded):
-                ids = memoryview(found + bytes(4))
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    for name, v in zip(out, (row, key, k, at // 4, len(part) // 4, zlib.crc32(part))):
-                        out[name].append(v)
+            for i in range(0, len(texts), TEXTS):
+                every, sizes = flat_ids(words, texts[i:i + TEXTS])
+                every, ends = memoryview(every.astype("<u4", copy=False).tobytes()), (4 * np.cumsum(sizes)).tolist()
+                for row, key, begin, end in zip(b["row"].iloc[i:i + TEXTS], b["id"].iloc[i:i + TEXTS], [0, *ends], ends):
+                    ids = memoryview(bytes(every[begin:end]) + bytes(4))
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at:at + 4 * capacity]
+                        for name, v in zip(out, (row, key, k, at // 4, len(part) // 4, zlib.crc32(part))):
+                            out[name].append(v)
             yield pd.DataFrame(out).astype({"id": "Int64"})
 
     rows = docs.select(

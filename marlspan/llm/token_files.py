@@ -32,7 +32,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .common import shared_dir, shuffle_width
-from .packing import CACHED_WORDS, WordEncoder, encoder, vocabulary
+from .packing import encoder, flat_ids, vocabulary
 
 MAGIC = b"MSPNTOK1"
 #: bits, ids in a block, ids, documents, blocks, where the documents begin, where the offsets begin, magic
@@ -315,34 +314,6 @@ def qualified(spark: SparkSession, path: str) -> str:
     return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
-def flat_ids(words: WordEncoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after the other, and how many each text has. Arrow
-    cuts the texts into words and numbers the distinct ones; only those are
-    looked up, and numpy lays out their ids."""
-    if not words.by_word:
-        raw = words.encode(texts)
-        return np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64)
-    cut = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
-    number = cut.flatten().dictionary_encode()
-    distinct = number.dictionary.to_pylist()
-    found = list(map(words.known.get, distinct))
-    fresh = [w for w, x in zip(distinct, found) if x is None]
-    if len(words.known) + len(fresh) > CACHED_WORDS:
-        words.forget()
-        fresh = distinct
-    if fresh:
-        words.learn(fresh)
-        found = list(map(words.known.__getitem__, distinct))
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
-    at = number.indices.to_numpy()
-    n = sizes[at]
-    ends = np.cumsum(n)
-    every = ids[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-    words_to = np.r_[0, ends][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
-    return every, np.diff(words_to)
-
-
 def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """The same with ``end_id`` after each text."""
     if end_id is None:
