@@ -18,6 +18,8 @@ MIN_LANGUAGE_SCORE = 0.5
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
+#: Words whose ids a worker of the last stage remembers: fewer than a query by itself has room for, as its executors hold what the stages before needed.
+CACHED_WORDS = 250_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents packed into sequences; ``row`` tells copies apart."""
     small_batches(spark)
-    return pack_documents(docs, TOKENIZER, CAPACITY).select(
+    return pack_documents(docs, TOKENIZER, CAPACITY, cached_words=CACHED_WORDS).select(
         F.col("id").alias("doc_id"), "row", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -3,12 +3,15 @@ access and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What Python workers remember from task to task, by operator.
+_remembered: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    """The table in which a worker remembers things for an operator's next tasks."""
+    return _remembered.setdefault(operator, {})
+
+
+def let_go(operator: str) -> None:
+    """In a worker: forget what other operators have remembered, and give back
+    the memory that this and earlier tasks have freed. A worker serves a
+    pipeline's stages one after the other, and neither Arrow nor the C library
+    returns free memory by itself, so a stage would add to the one before it."""
+    others = [t for k, t in _remembered.items() if k != operator and t]
+    for t in others:
+        t.clear()
+    if others:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 _own_dir: dict[str, str] = {}
 
 

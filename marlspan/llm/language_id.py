@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, slices
+from .common import durable, let_go, remembered, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -152,7 +152,7 @@ def train(labelled: DataFrame, max_train_rows: int = 8000, min_word: int = 2, mi
     return Model(langs, words, word_logs, gram_index, gram_logs)
 
 
-_scorers: dict[str, Scorer] = {}
+_scorers: dict[str, Scorer] = remembered("language_id")
 
 
 def scorer_of(key: str, shared) -> Scorer:
@@ -171,6 +171,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go("language_id")
         scorer = scorer_of(key, shared)
         for b in slices(batches):
             found = [scorer.predict(t) for t in b[text_col]]

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    HOT_GROUPS, LEAST_HOT, connected_components, discard, durable, free_name, join_facts, numbered, objects, shuffle_width, slices, with_group_facts,
+    HOT_GROUPS, LEAST_HOT, connected_components, discard, durable, free_name, join_facts, let_go, numbered, objects, shuffle_width, slices, with_group_facts,
 )
 from .word_hash import token_sets
 
@@ -78,6 +78,7 @@ def _first_pass(n: int):
     """Frequent tokens of each slice."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go("ngram_jaccard")
         for b in slices(batches, SLICE_ROWS):
             sets = list(token_sets(b["text"], n))
             tokens, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.int64),) * 2
@@ -97,6 +98,7 @@ def hot_tokens(texts: DataFrame, n: int) -> pd.DataFrame:
 
 def _prefixes(n: int, percent: int, hot):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go("ngram_jaccard")
         often, rank = hot.value
         told: set[bytes] = set()
         for b in slices(batches, SLICE_ROWS):
@@ -123,6 +125,7 @@ def _prefixes(n: int, percent: int, hot):
 
 def _sets(n: int, wanted):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go("ngram_jaccard")
         bits = wanted.value
         for b in slices(batches, SLICE_ROWS):
             digests, sets = [], []
@@ -150,6 +153,7 @@ def _classes_of(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarra
 
 def _ask_shared(n_parts: int):
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
+        let_go("ngram_jaccard")
         tokens, times = np.unique(np.concatenate(_classes_of(g)[2]), return_counts=True)
         at = np.r_[np.searchsorted(tokens, _edges(n_parts)), len(tokens)]
         out = [(k, int(key[0]), tokens[i:j].tobytes(), *_packed(times[i:j])) for k, (i, j) in enumerate(zip(at, at[1:])) if j > i]
@@ -176,6 +180,7 @@ def _edges(n_parts: int) -> np.ndarray:
 
 def _answer_shared(g: pd.DataFrame) -> pd.DataFrame:
     """For each token that a batch asked for, how many classes have it."""
+    let_go("ngram_jaccard")
     parts = [np.frombuffer(x, np.int64) for x in g["tokens"]]
     every = np.concatenate(parts)
     times = np.concatenate([_unpacked(x, y, len(p)) for x, y, p in zip(g["twice"], g["times"], parts)])
@@ -191,6 +196,7 @@ def _answer_shared(g: pd.DataFrame) -> pd.DataFrame:
 
 def _keep_shared(percent: int):
     def run(key, g: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        let_go("ngram_jaccard")
         rows, sizes, prefixes = _classes_of(g)
         flat, lengths = np.concatenate(prefixes), np.array([len(p) for p in prefixes])
         owner = np.repeat(np.arange(len(rows)), lengths)
@@ -398,6 +404,7 @@ def _opened(asking: DataFrame, members: DataFrame, sets: DataFrame, percent: int
 
 def _compare(percent: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        let_go("ngram_jaccard")
         out = []
         for _, tile in g.groupby(["grp", "x", "y"], sort=False):
             asks = tile["asks"].to_numpy()

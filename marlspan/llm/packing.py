@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import durable, let_go, remembered, slices
 
 DISTRICT = 4096
 ISLANDS = 2
@@ -45,6 +45,8 @@ PATIENCE = 3
 CACHED_WORDS = 1_000_000
 #: Texts whose words are numbered together.
 TEXTS = 512
+#: New words that are encoded together: the tokenizer holds some hundred bytes for each of their tokens.
+LEARNT = 8192
 
 
 class WordEncoder:
@@ -52,7 +54,7 @@ class WordEncoder:
     space or a newline, and starts a new token between a letter and a full stop
     or comma: words are encoded once, without such an ending, and their ids
     (little-endian, 32 bits) looked up after that. The table of words is
-    emptied when it is full. Words of letters alone, which the tokenizer's own
+    emptied when it has ``most`` of them, but for the words in use. Words of letters alone, which the tokenizer's own
     normalising and splitting leave whole, go straight to its merges.
 
     Whether a vocabulary has these properties is tried on ``PROBES``; one that
@@ -64,12 +66,13 @@ class WordEncoder:
         "a\tb.\r\nc.  two  spaces ", "", "<|endoftext|> <|startoftext|>. \x85b. 🙂. www.a.bc/d?e=f",
     ]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.most = most
         self.by_word = False
         if not getattr(self.tokenizer.model, "end_of_word_suffix", None):
             return
@@ -83,9 +86,10 @@ class WordEncoder:
         self.forget()
         self.by_word = self._by_words(self.PROBES) == self._whole(self.PROBES)
 
-    def forget(self) -> None:
+    def forget(self, but: dict[str, bytes | None] = {}) -> None:
         self.known = {"": b""}
         self.learn({".", ","})
+        self.known.update((w, x) for w, x in but.items() if x is not None)
 
     def _add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         raw, ends = ids.tobytes(), (4 * ends).tolist()
@@ -109,13 +113,15 @@ class WordEncoder:
                 others.add(stem)
             if stem != w:
                 like.append((w, stem, end))
-        if letters:
-            words = list(letters)
+        every = list(letters)
+        for i in range(0, len(every), LEARNT):
+            words = every[i:i + LEARNT]
             # the last piece of a word has the suffix that ends words
             ids = np.array(self.merges.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
             self._add(words, ids, np.flatnonzero(self.last[ids]) + 1)
-        if others:
-            words = list(others)
+        every = list(others)
+        for i in range(0, len(every), LEARNT):
+            words = every[i:i + LEARNT]
             found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
             self._add(words, np.array(found.ids, dtype="<u4"), np.searchsorted(np.array(found.word_ids), np.arange(1, len(words) + 1)))
         for w, stem, end in like:
@@ -132,22 +138,21 @@ class WordEncoder:
         distinct = list(set().union(*split))
         here = dict(zip(distinct, map(self.known.get, distinct)))
         fresh = [w for w in distinct if here[w] is None]
-        if len(self.known) + len(fresh) > CACHED_WORDS:
-            self.forget()
-            fresh = distinct
+        if len(self.known) + len(fresh) > self.most:
+            self.forget(here)
         self.learn(fresh)
         here.update((w, self.known[w]) for w in fresh)
         look = here.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = remembered("tokens")
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int = CACHED_WORDS) -> WordEncoder:
+    if (path, most) not in _encoders:
+        _encoders[path, most] = WordEncoder(path, most)
+    return _encoders[path, most]
 
 
 def vocabulary(name: str) -> str:
@@ -168,9 +173,8 @@ def flat_ids(words: WordEncoder, texts: list[str]) -> tuple[np.ndarray, np.ndarr
     distinct = number.dictionary.to_pylist()
     found = list(map(words.known.get, distinct))
     fresh = [w for w, x in zip(distinct, found) if x is None]
-    if len(words.known) + len(fresh) > CACHED_WORDS:
-        words.forget()
-        fresh = distinct
+    if len(words.known) + len(fresh) > words.most:
+        words.forget(dict(zip(distinct, found)))
     if fresh:
         words.learn(fresh)
         found = list(map(words.known.__getitem__, distinct))
@@ -184,12 +188,15 @@ def flat_ids(words: WordEncoder, texts: list[str]) -> tuple[np.ndarray, np.ndarr
     return every, np.diff(words_to)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text",
+                 cached_words: int = CACHED_WORDS) -> DataFrame:
     """Per piece: ``row, id, piece, start, length, ids_crc32``. ``tokenizer`` is
-    the name of a vocabulary file or its path."""
+    the name of a vocabulary file or its path; a worker remembers the ids of
+    ``cached_words`` words."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = encoder(tokenizer if os.sep in tokenizer else vocabulary(tokenizer))
+        let_go("tokens")
+        words = encoder(tokenizer if os.sep in tokenizer else vocabulary(tokenizer), cached_words)
         for b in slices(batches):
             out: dict[str, list] = {k: [] for k in ("row", "id", "piece", "start", "length", "ids_crc32")}
             texts = [t or "" for t in b["text"]]
@@ -395,6 +402,6 @@ def pack(pieces: DataFrame, capacity: int, district: int = DISTRICT, islands: in
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    pieces = token_pieces(docs, tokenizer, capacity, id_col, text_col)
+                   id_col: str = "doc_id", text_col: str = "text", cached_words: int = CACHED_WORDS) -> DataFrame:
+    pieces = token_pieces(docs, tokenizer, capacity, id_col, text_col, cached_words)
     return pack(durable(pieces, "pieces"), capacity)

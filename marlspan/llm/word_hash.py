@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _VALUE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _VALUE[ord("A"):ord("Z") + 1] = _VALUE[ord("a"):ord("z") + 1]
