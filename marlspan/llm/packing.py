@@ -170,14 +170,15 @@ def flat_ids(words: WordEncoder, texts: list[str]) -> tuple[np.ndarray, np.ndarr
         return np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64)
     cut = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
     number = cut.flatten().dictionary_encode()
-    distinct = number.dictionary.to_pylist()
+    distinct = number.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each word on the way
     found = list(map(words.known.get, distinct))
     fresh = [w for w, x in zip(distinct, found) if x is None]
     if len(words.known) + len(fresh) > words.most:
         words.forget(dict(zip(distinct, found)))
     if fresh:
         words.learn(fresh)
-        found = list(map(words.known.__getitem__, distinct))
+        known = words.known
+        found = [known[w] if x is None else x for w, x in zip(distinct, found)]
     sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
     ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
     at = number.indices.to_numpy()
